@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import simhash
+from weirflow.llm import packing, pii, simhash
 from weirflow.llm.common import table
 
 
+def op1_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii_deobfuscation": op1_pii_deobfuscation,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
