@@ -4,18 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import simhash
+from weirflow.llm import packing, pii, quality, simhash, toxicity
 from weirflow.llm.common import staged, table
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; the trusted target is the labels' quality 1."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.keep_one_each(docs)
 
 
-STAGES = [("simhash_dedup", near_dedup)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifiers, plain and disguised, give way to their kind's name; n_chars is counted again."""
+    return pii.redact(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("simhash_dedup", near_duplicates),
+    ("pii", personal_data),
+    ("packing", sequences),
+]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages (Viterbi decoding, XXH64, tokens); tests hold them against brute force.
 ORACLE_SQL = None
 
 

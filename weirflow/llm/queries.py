@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import packing, pii, quality, simhash
+from weirflow.llm import packing, pii, quality, simhash, toxicity
 from weirflow.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_deobfuscation": op1_pii_deobfuscation,
         "op4_quality_ratio": op4_quality_ratio,
+        "op6_toxicity_channel": op6_toxicity_channel,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
