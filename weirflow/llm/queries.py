@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import packing, pii, quality, simhash, toxicity
+from weirflow.llm import chat, packing, pii, quality, simhash, toxicity, urls
 from weirflow.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_url_temporal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.query(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.formatted(chat.with_control_case(table(spark, sf_dir, "conversations"))))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents"))
 
@@ -34,11 +42,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_deobfuscation": op1_pii_deobfuscation,
         "op4_quality_ratio": op4_quality_ratio,
+        "op5_url_temporal_join": op5_url_temporal_join,
         "op6_toxicity_channel": op6_toxicity_channel,
+        "op8_chat_masks": op8_chat_masks,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_url_temporal_join": urls.ORACLE,
+    }
