@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import chat, packing, pii, quality, simhash, toxicity, urls
+from weirflow.llm import chat, counting, encoding, packing, pii, quality, simhash, spotsigs, toxicity, urls
 from weirflow.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +34,10 @@ def op6_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(chat.with_control_case(table(spark, sf_dir, "conversations"))))
 
@@ -41,9 +53,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_deobfuscation": op1_pii_deobfuscation,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_spotsigs": op3_spotsigs,
         "op4_quality_ratio": op4_quality_ratio,
         "op5_url_temporal_join": op5_url_temporal_join,
         "op6_toxicity_channel": op6_toxicity_channel,
+        "op7_trie_token_counts": op7_trie_token_counts,
         "op8_chat_masks": op8_chat_masks,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
