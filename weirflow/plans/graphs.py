@@ -190,10 +190,10 @@ QUERIES = {
     "g2_contract_passthrough": (g2, """, rem AS (SELECT g, node FROM nodes n WHERE (SELECT count(*) FROM fe WHERE fe.g = n.g AND src = node) = 1 AND (SELECT count(*) FROM fe WHERE fe.g = n.g AND dst = node) = 1
         AND (g, node) NOT IN (SELECT g, node FROM ent)),
       nxt AS (SELECT r.g, r.node, fe.dst AS next FROM rem r JOIN fe ON fe.g = r.g AND fe.src = r.node WHERE fe.dst <> r.node),
-      walk AS (SELECT g, node, next AS at FROM nxt UNION SELECT w.g, w.node, nxt.next FROM walk w JOIN nxt ON nxt.g = w.g AND nxt.node = w.at),
-      cyc AS (SELECT g, node, min(at) AS top FROM walk w WHERE (g, node, node) IN (SELECT g, node, at FROM walk) GROUP BY g, node),
-      tops AS (SELECT w.g, w.node, w.at AS top FROM walk w WHERE (w.g, w.at) NOT IN (SELECT g, node FROM nxt)
-        UNION SELECT w.g, w.node, c.top FROM walk w JOIN cyc c ON c.g = w.g AND c.node = w.at),
+      walk AS (SELECT g, node, next AS ahead FROM nxt UNION SELECT w.g, w.node, nxt.next FROM walk w JOIN nxt ON nxt.g = w.g AND nxt.node = w.ahead),
+      cyc AS (SELECT g, node, min(ahead) AS top FROM walk w WHERE (g, node, node) IN (SELECT g, node, ahead FROM walk) GROUP BY g, node),
+      tops AS (SELECT w.g, w.node, w.ahead AS top FROM walk w WHERE (w.g, w.ahead) NOT IN (SELECT g, node FROM nxt)
+        UNION SELECT w.g, w.node, c.top FROM walk w JOIN cyc c ON c.g = w.g AND c.node = w.ahead),
       turned AS (SELECT * FROM tops WHERE node <> top)
       SELECT DISTINCT fe.g, fe.src, coalesce(t.top, fe.dst) AS dst FROM fe LEFT JOIN turned t ON t.g = fe.g AND t.node = fe.dst WHERE (fe.g, fe.src) NOT IN (SELECT g, node FROM turned)""", ("nodes", "fe", "ent")),
     "g3_reachable": (g3, ", r AS (SELECT g, node FROM ent UNION SELECT fe.g, fe.dst FROM r JOIN fe ON fe.g = r.g AND fe.src = r.node WHERE NOT src LIKE 'error%') SELECT * FROM r", ("fe", "ent")),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.plans import fixtures, graphs, relational
+from weirflow.plans import fixtures, graphs, records, relational
 
-_ALL = relational.QUERIES | graphs.QUERIES
+_ALL = relational.QUERIES | graphs.QUERIES | records.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
