@@ -219,3 +219,31 @@ def check_graph(nodes: DataFrame, edges: DataFrame, entries: DataFrame, returns:
         ended = nodes.where(returns).select("g", "node").join(edges.select("g", F.col("src").alias("node")), ["g", "node"], "left_semi")
         found = found.unionByName(ended.select("g", F.lit("return_goes_on").alias("rule"), "node"))
     return found
+
+
+def resolve_aliases(links: DataFrame) -> DataFrame:
+    """(g, node, top, steps): the source behind each copy of links(g, node, next)."""
+    return jump(links)
+
+
+def chain_terms(links: DataFrame, terms: DataFrame) -> DataFrame:
+    """(g, top, n, terms): each chain of links(g, node, next) as one row of its nodes' terms(g, node, term), the end last."""
+    placed = jump(links).join(terms, ["g", "node"])
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("place"), "node", "term")))
+    return placed.groupBy("g", "top").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda e: e["term"]), ",").alias("terms"))
+
+
+def reaching_versions(uses: DataFrame, exits: DataFrame, merges: DataFrame, dom: DataFrame, inside: DataFrame) -> DataFrame:
+    """(g, pc, reg, version) seen by each of uses(g, node, pc, reg), as text.
+
+    inside(g, pc, version) is the last write before a use in its own node. Without one it is the node's merge, pN; or
+    else what the nearest strict dominator leaves: its last write exits(g, node, reg, version), or its merge; or 0.
+    """
+    merged = merges.select("g", "node", "reg", F.concat(F.lit("p"), F.col("node").cast("string")).alias("_merge"))
+    left = exits.select("g", "node", "reg", F.col("version").alias("_exit")).join(merged, ["g", "node", "reg"], "full_outer")
+    depth = dom.groupBy("g", F.col("n").alias("d")).agg(F.count("*").alias("_depth"))
+    above = dom.where("d <> n").join(depth, ["g", "d"]).select("g", F.col("n").alias("node"), F.col("d").alias("_d"), "_depth")
+    leaves = left.select("g", F.col("node").alias("_d"), "reg", F.coalesce("_exit", "_merge").alias("_leaves"))
+    nearest = uses.select("g", "node", "reg").distinct().join(above, ["g", "node"]).join(leaves, ["g", "_d", "reg"]).groupBy("g", "node", "reg").agg(F.max_by("_leaves", "_depth").alias("_above"))
+    rows = uses.join(inside.select("g", "pc", F.col("version").alias("_own")), ["g", "pc"], "left").join(merged, ["g", "node", "reg"], "left").join(nearest, ["g", "node", "reg"], "left")
+    return rows.select("g", "pc", "reg", F.coalesce("_own", "_merge", "_above", F.lit("0")).alias("version"))

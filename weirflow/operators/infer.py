@@ -68,3 +68,13 @@ def apply_renames(refs: DataFrame, renames: DataFrame) -> DataFrame:
     events = refs.select("g", "pc", "name", F.lit(None).cast("string").alias("renamed"), F.lit(True).alias("_ref")).unionByName(renames.select("g", "pc", "name", "renamed", F.lit(False).alias("_ref")))
     order = Window.partitionBy("g", "name").orderBy("pc", F.desc("_ref")).rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("shown", F.coalesce(F.last("renamed", ignorenulls=True).over(order), "name")).where("_ref").select("g", "pc", "name", "shown")
+
+
+def body_use_facts(uses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(g, subject, type, n): types that rules(op, type) say of a subject by the op of its uses(g, subject, op)."""
+    return uses.join(F.broadcast(rules.select("op", "type")), "op").groupBy("g", "subject", "type").agg(F.count("*").alias("n"))
+
+
+def annotate_locals(rows: DataFrame, kind: Column) -> DataFrame:
+    """(g, pc, type) of rows whose first value has a type; nil leaves a row bare."""
+    return rows.select("g", "pc", kind.alias("type")).where("type is not null and type <> 'nil'")

@@ -43,30 +43,30 @@ def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], mos
     raise RuntimeError(f"the fixpoint still grows after {most_rounds} rounds")
 
 
-def jump(links: DataFrame, most_rounds: int = 64) -> DataFrame:
+def jump(links: DataFrame) -> DataFrame:
     """(g, node, top, steps): the end of each node's chain of links(g, node, next), by pointer jumping.
 
-    A node without a link is its own end. Each round doubles the steps seen, so a chain of n links takes log n
-    rounds. On a cycle the smallest node is the end, with as many steps as lead to it.
+    A node without a link, or with one to itself, is its own end. Each round doubles the steps seen, so a chain of n
+    links takes log n rounds. Where a chain leads into a cycle, the end is the cycle's smallest node and steps is null.
     """
+    links = settled(links.select("g", "node", "next").where("node <> next"))
     nodes = links.select("g", "node").union(links.select("g", F.col("next").alias("node"))).distinct()
-    state = nodes.join(links.where("node <> next"), ["g", "node"], "left").select(
-        "g", "node", F.coalesce("next", "node").alias("top"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.coalesce(F.least("node", "next"), "node").alias("low")
+    state = settled(
+        nodes.join(links, ["g", "node"], "left").select(
+            "g", "node", F.coalesce("next", "node").alias("top"), F.col("next").isNotNull().cast("long").alias("steps"), F.least("node", "next").alias("low")
+        )
     )
-    state = settled(state)
-    for _ in range(most_rounds):
-        ahead = state.select("g", F.col("node").alias("top"), F.col("top").alias("top2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
+    most = state.groupBy("g").count().agg(F.max("count")).first()[0] or 1
+    for _ in range(most.bit_length() + 1):
+        ahead = state.select("g", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("low").alias("_low"))
         following = settled(
-            state.join(ahead, ["g", "top"]).select(
-                "g", "node", F.col("top2").alias("top"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low")
-            )
+            state.join(ahead, ["g", "top"]).select("g", "node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("low", "_low").alias("low"))
         )
-        moved = following.join(state, ["g", "node"]).where(following["top"] != state["top"]).isEmpty()
+        same = following.join(state.select("g", "node", F.col("top").alias("_before")), ["g", "node"]).where("top <> _before").isEmpty()
         state = following
-        if moved:
-            return state.select("g", "node", "top", "steps")
-        if state.agg(F.max("steps")).first()[0] > 2**40:
+        if same:
             break
-    # What still moves after so many doublings goes round: every node there has seen its whole cycle.
-    ends = state.join(links.select("g", F.col("node").alias("top")), ["g", "top"], "left_semi").select("g", "node").withColumn("_round", F.lit(True))
-    return state.join(ends, ["g", "node"], "left").select("g", "node", F.when(F.col("_round"), F.col("low")).otherwise(F.col("top")).alias("top"), F.when(F.col("_round"), None).otherwise(F.col("steps")).alias("steps"))
+    # An end that leads on lies on a cycle; by now the low of each node there has seen all of it.
+    rounds = state.join(links.select("g", "node"), ["g", "node"], "left_semi").select("g", F.col("node").alias("top"), F.col("low").alias("_least"))
+    out = state.join(rounds, ["g", "top"], "left")
+    return out.select("g", "node", F.coalesce("_least", "top").alias("top"), F.when(F.col("_least").isNull(), F.col("steps")).alias("steps"))

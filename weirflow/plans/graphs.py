@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, Window, functions as F
 
 from weirflow.operators import graph, joins, segment
 from weirflow.plans import fixtures as fx
@@ -94,6 +94,39 @@ def g8(s, d):
     return graph.place_merges(frontier, writes, _live(s, d))
 
 
+def g9(s, d):
+    access = _block_access(s, d)
+    shown = F.concat(F.lit("d"), F.col("pc").cast("string"))
+    writes = access.where("mode = 'W'")
+    inside = access.where("mode = 'R'").join(writes.select("g", "node", "reg", F.col("pc").alias("w")), ["g", "node", "reg"]).where("w < pc").groupBy("g", "pc").agg(F.max("w").alias("w"))
+    exits = writes.groupBy("g", "node", "reg").agg(F.max("pc").alias("pc")).select("g", "node", "reg", shown.alias("version"))
+    entries = segment.assign_blocks(fx.ir(s, d), _error()).where("b = 0").select("g", F.col("b").alias("node"))
+    dom = graph.dominators(settled(_block_edges(s, d)), entries)
+    merges = settled(g8(s, d))
+    return graph.reaching_versions(access.where("mode = 'R'").select("g", "node", "pc", "reg"), exits, merges, dom, inside.select("g", "pc", F.concat(F.lit("d"), F.col("w").cast("string")).alias("version")))
+
+
+def _order_links(s, d):
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return fx.table(s, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("node"), following.alias("next")).where("next is not null and node % 3 <> 0")
+
+
+def g21(s, d):
+    return graph.resolve_aliases(_order_links(s, d))
+
+
+def g23(s, d):
+    terms = fx.table(s, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("node"), F.substring("o_orderpriority", 1, 1).alias("term"))
+    return graph.chain_terms(_order_links(s, d), terms)
+
+
+def g24(s, d):
+    # a capture of a customer is its nation's if the key is odd, and that its region's if the nation's key is odd
+    up = lambda t, key, parent, own, above: fx.table(s, d, t).where(F.col(key) % 2 == 1).select(F.lit(0).cast("long").alias("g"), (F.col(key) + own).cast("long").alias("node"), (F.col(parent) + above).cast("long").alias("next"))
+    links = up("customer", "c_custkey", "c_nationkey", 100000, 1000).unionByName(up("nation", "n_nationkey", "n_regionkey", 1000, 0))
+    return graph.resolve_aliases(links).where("node >= 100000").select("node", F.col("top").alias("origin"), "steps")
+
+
 def g10(s, d):
     rows = fx.ir(s, d).where("op = 'purchase'")
     return rows.select("g", "pc", F.explode(F.sequence("reg", F.col("reg") + F.col("k") % 4)).alias("span_reg"))
@@ -179,6 +212,16 @@ _BLOCKS = """, bedge AS (SELECT g, b AS src, b + 1 AS dst FROM blk WHERE (g, b +
   firsts AS (SELECT g, node, reg FROM acc GROUP BY g, node, reg HAVING arg_min(mode, pc) = 'R'), wr AS (SELECT DISTINCT g, node, reg FROM acc WHERE mode = 'W'),
   live AS (SELECT g, node, reg FROM firsts UNION SELECT l.g, e.src, l.reg FROM live l JOIN bedge e ON e.g = l.g AND e.dst = l.node
     WHERE NOT EXISTS (SELECT 1 FROM wr WHERE wr.g = l.g AND wr.node = e.src AND wr.reg = l.reg))"""
+_MERGES = f"""{_BLOCKS}, bn AS (SELECT g, b AS node FROM blk),
+      bavoid AS (SELECT g, node AS d, CAST(0 AS BIGINT) AS n FROM bn WHERE node <> 0 UNION SELECT a.g, a.d, e.dst FROM bavoid a JOIN bedge e ON e.g = a.g AND e.src = a.n WHERE e.dst <> a.d),
+      bdom AS (SELECT a.g, a.node AS d, b.node AS n FROM bn a JOIN bn b ON a.g = b.g WHERE NOT EXISTS (SELECT 1 FROM bavoid x WHERE x.g = a.g AND x.d = a.node AND x.n = b.node)),
+      bdf AS ({_FRONTIER.format(e="bedge", dom="bdom")}),
+      phi AS (SELECT f.g, f.n AS node, w.reg FROM bdf f JOIN wr w ON w.g = f.g AND w.node = f.d JOIN live l ON l.g = f.g AND l.node = f.n AND l.reg = w.reg
+        UNION SELECT f.g, f.n, p.reg FROM phi p JOIN bdf f ON f.g = p.g AND f.d = p.node JOIN live l ON l.g = f.g AND l.node = f.n AND l.reg = p.reg)"""
+_CHAINS = """WITH RECURSIVE o AS (SELECT o_custkey AS g, o_orderkey AS node, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next, substr(o_orderpriority, 1, 1) AS term FROM orders),
+  l AS (SELECT g, node, next FROM o WHERE next IS NOT NULL AND node % 3 <> 0), n AS (SELECT g, node FROM l UNION SELECT g, next FROM l),
+  w AS (SELECT g, node, node AS ahead, 0 AS steps FROM n UNION ALL SELECT w.g, w.node, l.next, steps + 1 FROM w JOIN l ON l.g = w.g AND l.node = w.ahead),
+  t AS (SELECT g, node, max_by(ahead, steps) AS top, max(steps) AS steps FROM w GROUP BY g, node)"""
 _DOM = ("dom", "fe")
 QUERIES = {
     "flagship_idoms": (flagship, f", back AS ({_BACK}) SELECT g, node, idom, (g, node) IN (SELECT g, dst FROM back) AS is_loop_header FROM idom", ("idom", "fe")),
@@ -203,13 +246,18 @@ QUERIES = {
     "g5_dom_tree": (g5, "SELECT g, idom AS node, count(*) AS n_children, string_agg(node, ',' ORDER BY node) AS children FROM idom WHERE idom IS NOT NULL GROUP BY g, idom", ("idom",)),
     "g6_dominance_frontier": (g6, _FRONTIER.format(e="fe", dom="dom"), _DOM),
     "g7_liveness": (g7, _BLOCKS + " SELECT * FROM live", ("blk", "du")),
-    "g8_place_merges": (g8, _BLOCKS + f""", bn AS (SELECT g, b AS node FROM blk),
-      bavoid AS (SELECT g, node AS d, CAST(0 AS BIGINT) AS n FROM bn WHERE node <> 0 UNION SELECT a.g, a.d, e.dst FROM bavoid a JOIN bedge e ON e.g = a.g AND e.src = a.n WHERE e.dst <> a.d),
-      bdom AS (SELECT a.g, a.node AS d, b.node AS n FROM bn a JOIN bn b ON a.g = b.g WHERE NOT EXISTS (SELECT 1 FROM bavoid x WHERE x.g = a.g AND x.d = a.node AND x.n = b.node)),
-      bdf AS ({_FRONTIER.format(e="bedge", dom="bdom")}),
-      phi AS (SELECT f.g, f.n AS node, w.reg FROM bdf f JOIN wr w ON w.g = f.g AND w.node = f.d JOIN live l ON l.g = f.g AND l.node = f.n AND l.reg = w.reg
-        UNION SELECT f.g, f.n, p.reg FROM phi p JOIN bdf f ON f.g = p.g AND f.d = p.node JOIN live l ON l.g = f.g AND l.node = f.n AND l.reg = p.reg)
-      SELECT * FROM phi""", ("blk", "du")),
+    "g8_place_merges": (g8, _MERGES + " SELECT * FROM phi", ("blk", "du")),
+    "g9_reaching_versions": (g9, _MERGES + """, lv AS (SELECT g, node, reg, 'd' || max(pc) AS v FROM acc WHERE mode = 'W' GROUP BY g, node, reg
+        UNION ALL SELECT g, node, reg, 'p' || node FROM phi WHERE (g, node, reg) NOT IN (SELECT g, node, reg FROM wr)),
+      dep AS (SELECT g, n, count(*) AS depth FROM bdom GROUP BY g, n),
+      near AS (SELECT d.g, d.n AS node, lv.reg, max_by(lv.v, dep.depth) AS v FROM bdom d JOIN lv ON lv.g = d.g AND lv.node = d.d JOIN dep ON dep.g = d.g AND dep.n = d.d WHERE d.d <> d.n GROUP BY d.g, d.n, lv.reg)
+      SELECT a.g, a.pc, a.reg, coalesce((SELECT 'd' || max(w.pc) FROM acc w WHERE w.g = a.g AND w.node = a.node AND w.reg = a.reg AND w.mode = 'W' AND w.pc < a.pc),
+        (SELECT 'p' || p.node FROM phi p WHERE p.g = a.g AND p.node = a.node AND p.reg = a.reg), near.v, '0') AS version
+      FROM acc a LEFT JOIN near ON near.g = a.g AND near.node = a.node AND near.reg = a.reg WHERE a.mode = 'R'""", ("blk", "du")),
+    "g21_resolve_aliases": (g21, _CHAINS + " SELECT * FROM t", None),
+    "g23_chain_terms": (g23, _CHAINS + " SELECT t.g, top, count(*) AS n, string_agg(term, ',' ORDER BY steps DESC) AS terms FROM t JOIN o ON o.g = t.g AND o.node = t.node GROUP BY t.g, top", None),
+    "g24_resolve_captures": (g24, """SELECT c_custkey + 100000 AS node, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 100000 WHEN c_nationkey % 2 = 0 THEN c_nationkey + 1000 ELSE n_regionkey END AS origin,
+      CASE WHEN c_custkey % 2 = 0 THEN 0 WHEN c_nationkey % 2 = 0 THEN 1 ELSE 2 END AS steps FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 1""", None),
     "g10_expand_spans": (g10, "SELECT g, pc, unnest(range(reg, reg + k % 4 + 1)) AS span_reg FROM ir WHERE op = 'purchase'", ("ir",)),
     "g11_back_edges": (g11, _BACK, _DOM),
     "g12_loops": (g12, _LOOPS + " SELECT * FROM loops", _DOM),

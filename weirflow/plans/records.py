@@ -175,6 +175,16 @@ def t2(s, d):
     return infer.call_site_facts(calls, owners)
 
 
+def t3(s, d):
+    rules = s.createDataFrame([("click", "number"), ("view", "table"), ("purchase", "number")], "op string, type string")
+    return infer.body_use_facts(fx.ir(s, d).select("g", F.col("reg").alias("subject"), "op"), rules)
+
+
+def t5(s, d):
+    kind = F.when(F.col("op") == "error", "nil").otherwise(infer.expression_type(F.lit("x"), F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).otherwise(F.col("op"))))
+    return infer.annotate_locals(fx.ir(s, d), kind)
+
+
 def t4(s, d):
     rows = fx.ir(s, d)
     params = rows.select("g", F.col("reg").alias("subject")).distinct().withColumn("declared", F.when(F.col("subject") == 0, "self"))
@@ -258,7 +268,8 @@ QUERIES = {
     "s8_to_dot": (s8, """SELECT g, 'digraph g {' || chr(10) || string_agg('"' || src || '" -> "' || dst || '" [label="' || CASE WHEN dst <= src THEN 'back' ELSE 'next' END || '"];', chr(10) ORDER BY src, dst) || chr(10) || '}' AS dot FROM fe GROUP BY g""", ("fe",)),
     "r1_update_chains": (r1, _ISLANDS.format(where=""), ("ir",)),
     "r2_drop_noops": (r2, "SELECT g, pc, op, k, reg FROM ir WHERE NOT (op = 'view' AND k = reg)", ("ir",)),
-    "r3_eliminate_dead": (r3, None, None),
+    "r3_eliminate_dead": (r3, """, p AS (SELECT g, pc AS pos, reg AS target, lead(reg) OVER (PARTITION BY g ORDER BY pc) AS reads, mode = 'W' AS pure FROM du),
+      live AS (SELECT * FROM p WHERE NOT pure UNION SELECT p.* FROM p JOIN live l ON l.g = p.g AND l.pos > p.pos AND l.reads = p.target) SELECT * FROM live""", ("du",)),
     "r4_prune_branches": (r4, """WITH t AS (SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, CASE WHEN r_regionkey % 2 = 0 THEN true END AS condition, true AS side FROM region
       UNION ALL SELECT n_nationkey + 1000, n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 2 = 0 END, n_nationkey % 2 = 0 FROM nation UNION ALL SELECT c_custkey + 100000, c_nationkey + 1000, NULL, c_custkey % 2 = 0 FROM customer),
       k AS (SELECT c.id, c.parent FROM t c LEFT JOIN t p ON p.id = c.parent WHERE p.condition IS NULL OR p.condition = c.side)
@@ -271,6 +282,8 @@ QUERIES = {
     "t1_expression_type": (t1, "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'boolean' WHEN 3 THEN 'integer' WHEN 4 THEN 'string' END AS type FROM events", None),
     "t2_call_site_facts": (t2, """WITH c AS (SELECT role || (conv_id % 40) AS callee, turn, turn % 2 AS position, CASE WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS type FROM conversations)
       SELECT callee, position, type, count(*) AS n FROM c WHERE callee IN (SELECT callee FROM c WHERE turn <= 1 AND callee NOT LIKE 'user1%') GROUP BY ALL""", None),
+    "t3_body_use_facts": (t3, """SELECT g, reg AS subject, CASE op WHEN 'view' THEN 'table' ELSE 'number' END AS type, count(*) AS n FROM ir WHERE op IN ('click', 'view', 'purchase') GROUP BY ALL""", ("ir",)),
+    "t5_annotate_locals": (t5, "SELECT g, pc, CASE WHEN k % 2 = 0 THEN 'number' ELSE 'string' END AS type FROM ir WHERE op <> 'error'", ("ir",)),
     "t4_resolve_types": (t4, """SELECT p.g, p.reg AS subject, CASE WHEN p.reg = 0 THEN 'self' ELSE coalesce((SELECT 'bought' FROM ir c WHERE c.g = p.g AND c.reg = p.reg AND c.op = 'purchase' LIMIT 1),
       (SELECT min(op) FROM ir b WHERE b.g = p.g AND b.reg = p.reg AND b.op IN ('click', 'view')), 'unknown') END AS type FROM (SELECT DISTINCT g, reg FROM ir) p""", ("ir",)),
     "t6_call_result_type": (t6, relational.QUERIES["o2_first_rule"][1].replace("AS result FROM", "AS type FROM"), ("ir",)),

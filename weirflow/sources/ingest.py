@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of binary files, one row each."""
+    """(path, length, content) of binary files, one row each; Spark's reader leaves out files without a byte."""
     return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
@@ -24,10 +24,10 @@ def gate_versions(chunks: DataFrame, versions: tuple[int, int] = (3, 11), types:
     out = chunks.withColumn("version", byte(1))
     out = out.withColumn("types_version", F.when(F.col("version") >= typed_from, byte(2)))
     status = (
-        F.when(F.length("content") == 0, "empty").when(F.col("version") == 0, "compile_error").when(~F.col("version").between(*versions), "unsupported")
+        F.when(F.col("content").isNull() | (F.length("content") == 0), "empty").when(F.col("version") == 0, "compile_error").when(~F.col("version").between(*versions), "unsupported")
         .when((F.col("version") >= typed_from) & ~F.coalesce(F.col("types_version").between(*types), F.lit(False)), "unsupported_types").otherwise("ok")
     )
-    return out.withColumn("status", F.coalesce(status, F.lit("empty")))
+    return out.withColumn("status", status)
 
 
 def quarantine(rows: DataFrame, good: Column) -> tuple[DataFrame, DataFrame]:
