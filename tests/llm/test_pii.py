@@ -59,6 +59,12 @@ def test_base_spans_match_the_stated_patterns():
         ("email", "jane&#64;example.com"),
         ("email", "jane @ example . com"),
         ("email", "jane_at_example_dot_com"),
+        ("email", "jane -at- example -dot- com"),
+        ("email", "jane dot doe at example dot com"),
+        ("email", "jane@example dot com"),
+        ("phone", "+1 (4l5) 555-O123"),
+        ("card", "4lll 1111 1111 llI1"),
+        ("ip", "192.l68.O.1"),
         ("phone", "+1 (four one five) five five five zero one two three"),
         ("phone", "plus four four two zero seven nine four six zero nine five eight"),
         ("phone", "+１ (４１５) ５５５ ０１２３"),
@@ -84,7 +90,7 @@ def test_disguises_map_back_to_the_source(kind, shown):
     "text",
     [
         "", "At the end, look at the dot on the map.", "one two three go", "He is at home. Dot com was a boom.", "One, two, three, four, five.",
-        "Look at page 4. At 5 p.m. we meet at noon dot.", "un deux trois la la la", "version 1.2.3 and 10 000 000", "Été à Nîmes – déjà vu – 12:30",
+        "Look at page 4. At 5 p.m. we meet at noon dot.", "un deux trois la la la", "look at example.com for more", "in 2O21 I had 1 of 10, ol 5",  "version 1.2.3 and 10 000 000", "Été à Nîmes – déjà vu – 12:30",
     ],
 )
 def test_clean_texts_have_no_spans(text):

@@ -87,6 +87,7 @@ _SPELLED = {
 }
 _AT_WORDS = ("at", "arroba", "arobase", "klammeraffe", "ät")
 _DOT_WORDS = ("dot", "punto", "point", "punkt", "period")
+_FIGURES = str.maketrans("OolI", "0011")
 _PLUS_WORDS = ("plus", "más", "mas")
 _TOP_LABELS = (
     "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "ai", "app", "dev", "co", "me", "tv", "eu", "uk", "us", "ca", "au", "nz", "ie",
@@ -136,8 +137,8 @@ _BRACKETED = re.compile(
     rf"\s*{_OPEN}\s*(?:(?P<at>{'|'.join(_AT_WORDS)}|@|a)|(?P<dot>{'|'.join(_DOT_WORDS)}|\.))\s*{_CLOSE}\s*|(?P<code>&#64;|&#x40;|&commat;|%40)|(?P<point>&#46;|&#x2e;|&period;|%2e)", re.I
 )
 _BRACKET_HINT = re.compile(r"[\[({<&%]")
-_WORDY_AT = rf"(?:\s+(?:{'|'.join(_AT_WORDS)})\s+|\s*@\s*|[_-](?:{'|'.join(_AT_WORDS)})[_-])"
-_WORDY_DOT = rf"(?:\s+(?:{'|'.join(_DOT_WORDS)})\s+|[_-](?:{'|'.join(_DOT_WORDS)})[_-]|\s+\.\s*|\s*\.\s+(?=[a-z]{{2,6}}\b(?!\s*[@(])))"
+_WORDY_AT = rf"(?:\s+(?:{'|'.join(_AT_WORDS)})\s+|\s*@\s*|\s*[_-](?:{'|'.join(_AT_WORDS)})[_-]\s*)"
+_WORDY_DOT = rf"(?:\s+(?:{'|'.join(_DOT_WORDS)})\s+|\s*[_-](?:{'|'.join(_DOT_WORDS)})[_-]\s*|\s+\.\s*|\s*\.\s+(?=[a-z]{{2,6}}\b(?!\s*[@(])))"
 #: name at host dot com: at and dot as words, with a dot disguise at least, or a spaced sign.
 _WORDY = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\s+(?:{'|'.join(_DOT_WORDS)})\s+)[A-Za-z0-9_%+-]+)*)"
@@ -217,7 +218,9 @@ def _wordy_sites(text: str) -> list[tuple[int, int, str]]:
         bare = match["sign"].strip(" \t\n\r_-").lower() != "@"
         said = dot.search(match["rest"])
         last = re.split(r"[^A-Za-z0-9]", match["rest"])[-1].lower()
-        if not said if match["sign"] == "@" else last not in _TOP_LABELS if bare or said else False:
+        if match["sign"] == "@" and not said or match["sign"] != "@" and (bare or said) and last not in _TOP_LABELS:
+            continue
+        if bare and not said:  # as in: look at example.com
             continue
         for part in ("local", "rest"):
             sites += [(match.start(part) + m.start(), match.start(part) + m.end(), ".") for m in re.finditer(rf"\s+(?:{'|'.join(_DOT_WORDS)})\s+" if part == "local" else _WORDY_DOT, match[part], re.I)]
@@ -232,6 +235,14 @@ def _wordy_sites(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_IN_FIGURES = re.compile(r"(?<=[0-9])[OolI]+(?=[0-9])|(?<![^\W_])[OolI]+(?=[0-9])|(?<=[0-9])[OolI]+(?![^\W_])|(?<=[0-9]\.)[OolI](?=\.[0-9OolI])")
+
+
+def _figure_sites(text: str) -> list[tuple[int, int, str]]:
+    """Letters that stand for 0 and 1 among figures."""
+    return [(*m.span(), m[0].translate(_FIGURES)) for m in _IN_FIGURES.finditer(text)]
+
+
 def _homoglyph_sites(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), HOMOGLYPHS[m[0]]) for m in _HOMOGLYPH.finditer(text) if m[0] in HOMOGLYPHS]
 
@@ -240,6 +251,7 @@ def _homoglyph_sites(text: str) -> list[tuple[int, int, str]]:
 _TRANSDUCERS = (
     (lambda text: not text.isascii() and _HOMOGLYPH.search(text), _homoglyph_sites),
     (_BRACKET_HINT.search, _bracket_sites),
+    (_DIGIT.search, _figure_sites),
     (_may_spell, _spelled_sites),
     (_may_be_wordy, _wordy_sites),
 )
