@@ -84,3 +84,10 @@ def test_empty_tables(spark):
     e, start = frames(spark, [], [])
     assert graph.reachable(e, start).count() == graph.dominators(e, start).count() == 0
     assert graph.contract_passthrough(e, start).count() == 0
+
+
+def test_chains_keep_nodes_without_links(spark):
+    links = spark.createDataFrame([(1, 3, 5), (1, 5, 6)], "g long, node long, next long")
+    terms = spark.createDataFrame([(1, 3, "a"), (1, 5, "b"), (1, 6, "c"), (2, 9, "d")], "g long, node long, term string")
+    assert {tuple(r) for r in graph.resolve_aliases(links, terms).collect()} == {(1, 3, 6, 2), (1, 5, 6, 1), (1, 6, 6, 0), (2, 9, 9, 0)}
+    assert {tuple(r) for r in graph.chain_terms(links, terms, alone=True).collect()} == {(1, 6, 3, "a,b,c"), (2, 9, 1, "d")}

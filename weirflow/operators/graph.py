@@ -221,14 +221,22 @@ def check_graph(nodes: DataFrame, edges: DataFrame, entries: DataFrame, returns:
     return found
 
 
-def resolve_aliases(links: DataFrame) -> DataFrame:
-    """(g, node, top, steps): the source behind each copy of links(g, node, next)."""
-    return jump(links)
+def resolve_aliases(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(g, node, top, steps): the source behind each copy of links(g, node, next); those of nodes(g, node) in no link are their own."""
+    found = jump(links)
+    if nodes is None:
+        return found
+    found = settled(found)
+    alone = nodes.select("g", "node").distinct().join(found, ["g", "node"], "left_anti")
+    return found.unionByName(alone.select("g", "node", F.col("node").alias("top"), F.lit(0).cast("long").alias("steps")))
 
 
-def chain_terms(links: DataFrame, terms: DataFrame) -> DataFrame:
-    """(g, top, n, terms): each chain of links(g, node, next) as one row of its nodes' terms(g, node, term), the end last."""
-    placed = jump(links).join(terms, ["g", "node"])
+def chain_terms(links: DataFrame, terms: DataFrame, alone: bool = False) -> DataFrame:
+    """(g, top, n, terms): each chain of links(g, node, next) as one row of its nodes' terms(g, node, term), the end last.
+
+    With alone, a term in no link is a chain of one.
+    """
+    placed = resolve_aliases(links, terms if alone else None).join(terms, ["g", "node"])
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("place"), "node", "term")))
     return placed.groupBy("g", "top").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda e: e["term"]), ",").alias("terms"))
 

@@ -106,25 +106,48 @@ def g9(s, d):
     return graph.reaching_versions(access.where("mode = 'R'").select("g", "node", "pc", "reg"), exits, merges, dom, inside.select("g", "pc", F.concat(F.lit("d"), F.col("w").cast("string")).alias("version")))
 
 
-def _order_links(s, d):
+def _all_order_links(s, d):
     following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return fx.table(s, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("node"), following.alias("next")).where("next is not null and node % 3 <> 0")
+    return fx.table(s, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("node"), following.alias("next")).where("next is not null")
+
+
+def _order_links(s, d):
+    return _all_order_links(s, d).where("node % 3 <> 0")
+
+
+def _order_terms(s, d):
+    return fx.table(s, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("node"), F.substring("o_orderpriority", 1, 1).alias("term"))
 
 
 def g21(s, d):
     return graph.resolve_aliases(_order_links(s, d))
 
 
+def g21_all(s, d):
+    return graph.resolve_aliases(_all_order_links(s, d), _order_terms(s, d))
+
+
 def g23(s, d):
-    terms = fx.table(s, d, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("node"), F.substring("o_orderpriority", 1, 1).alias("term"))
-    return graph.chain_terms(_order_links(s, d), terms)
+    return graph.chain_terms(_order_links(s, d), _order_terms(s, d))
 
 
-def g24(s, d):
+def g23_all(s, d):
+    return graph.chain_terms(_all_order_links(s, d), _order_terms(s, d), alone=True)
+
+
+def _capture_links(s, d):
     # a capture of a customer is its nation's if the key is odd, and that its region's if the nation's key is odd
     up = lambda t, key, parent, own, above: fx.table(s, d, t).where(F.col(key) % 2 == 1).select(F.lit(0).cast("long").alias("g"), (F.col(key) + own).cast("long").alias("node"), (F.col(parent) + above).cast("long").alias("next"))
-    links = up("customer", "c_custkey", "c_nationkey", 100000, 1000).unionByName(up("nation", "n_nationkey", "n_regionkey", 1000, 0))
-    return graph.resolve_aliases(links).where("node >= 100000").select("node", F.col("top").alias("origin"), "steps")
+    return up("customer", "c_custkey", "c_nationkey", 100000, 1000).unionByName(up("nation", "n_nationkey", "n_regionkey", 1000, 0))
+
+
+def g24(s, d):
+    return graph.resolve_aliases(_capture_links(s, d)).where("node >= 100000").select("node", F.col("top").alias("origin"), "steps")
+
+
+def g24_all(s, d):
+    customers = fx.table(s, d, "customer").select(F.lit(0).cast("long").alias("g"), (F.col("c_custkey") + 100000).cast("long").alias("node"))
+    return graph.resolve_aliases(_capture_links(s, d), customers).where("node >= 100000").select("node", F.col("top").alias("origin"), "steps")
 
 
 def g10(s, d):
@@ -222,6 +245,7 @@ _CHAINS = """WITH RECURSIVE o AS (SELECT o_custkey AS g, o_orderkey AS node, lea
   l AS (SELECT g, node, next FROM o WHERE next IS NOT NULL AND node % 3 <> 0), n AS (SELECT g, node FROM l UNION SELECT g, next FROM l),
   w AS (SELECT g, node, node AS ahead, 0 AS steps FROM n UNION ALL SELECT w.g, w.node, l.next, steps + 1 FROM w JOIN l ON l.g = w.g AND l.node = w.ahead),
   t AS (SELECT g, node, max_by(ahead, steps) AS top, max(steps) AS steps FROM w GROUP BY g, node)"""
+_ORDERS = "SELECT o_custkey AS g, o_orderkey AS node, substr(o_orderpriority, 1, 1) AS term FROM orders"
 _DOM = ("dom", "fe")
 QUERIES = {
     "flagship_idoms": (flagship, f", back AS ({_BACK}) SELECT g, node, idom, (g, node) IN (SELECT g, dst FROM back) AS is_loop_header FROM idom", ("idom", "fe")),
@@ -258,6 +282,10 @@ QUERIES = {
     "g23_chain_terms": (g23, _CHAINS + " SELECT t.g, top, count(*) AS n, string_agg(term, ',' ORDER BY steps DESC) AS terms FROM t JOIN o ON o.g = t.g AND o.node = t.node GROUP BY t.g, top", None),
     "g24_resolve_captures": (g24, """SELECT c_custkey + 100000 AS node, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 100000 WHEN c_nationkey % 2 = 0 THEN c_nationkey + 1000 ELSE n_regionkey END AS origin,
       CASE WHEN c_custkey % 2 = 0 THEN 0 WHEN c_nationkey % 2 = 0 THEN 1 ELSE 2 END AS steps FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 2 = 1""", None),
+    "g21_all_aliases": (g21_all, f"SELECT g, node, max(node) OVER (PARTITION BY g) AS top, count(*) OVER (PARTITION BY g ORDER BY node DESC) - 1 AS steps FROM ({_ORDERS})", None),
+    "g23_all_terms": (g23_all, f"SELECT g, max(node) AS top, count(*) AS n, string_agg(term, ',' ORDER BY node) AS terms FROM ({_ORDERS}) GROUP BY g", None),
+    "g24_all_captures": (g24_all, """SELECT c_custkey + 100000 AS node, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 100000 WHEN c_nationkey % 2 = 0 THEN c_nationkey + 1000 ELSE n_regionkey END AS origin,
+      CASE WHEN c_custkey % 2 = 0 THEN 0 WHEN c_nationkey % 2 = 0 THEN 1 ELSE 2 END AS steps FROM customer JOIN nation ON n_nationkey = c_nationkey""", None),
     "g10_expand_spans": (g10, "SELECT g, pc, unnest(range(reg, reg + k % 4 + 1)) AS span_reg FROM ir WHERE op = 'purchase'", ("ir",)),
     "g11_back_edges": (g11, _BACK, _DOM),
     "g12_loops": (g12, _LOOPS + " SELECT * FROM loops", _DOM),

@@ -83,6 +83,14 @@ def j3(s, d):
     return joins.zip_template(template, "ks", "vs", fx.table(s, d, "supplier"), "s_suppkey", "s_name")
 
 
+def j3_all(s, d):
+    # all lines of an order are keys; in one order of seven the last has no value
+    rows = fx.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("g"), "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "s"))).alias("e"))
+    template = lists.select("g", F.transform("e", lambda e: e["p"]).alias("ks"), F.slice(F.transform("e", lambda e: F.when(e["s"] % 7 == 0, -1).otherwise(e["s"])), F.lit(1), F.greatest(F.size("e") - (F.col("g") % 7 == 0).cast("int"), F.lit(0))).alias("vs"))
+    return joins.zip_template(template, "ks", "vs", fx.table(s, d, "supplier"), "s_suppkey", "s_name")
+
+
 def j4(s, d):
     return joins.def_use(_defs(s, d), _uses(s, d))
 
@@ -116,6 +124,10 @@ def j11(s, d):
     return joins.same_source(fx.table(s, d, "lineitem").where("l_linenumber <= 2"), "l_orderkey", "l_suppkey", 1)
 
 
+def j11_all(s, d):
+    return joins.same_source(fx.table(s, d, "lineitem"), "l_orderkey", "l_suppkey", 2)
+
+
 def a1(s, d):
     return aggregates.use_counts(_uses(s, d))
 
@@ -205,6 +217,9 @@ QUERIES = {
     "j3_zip_template": (j3, """WITH r AS (SELECT l_orderkey AS g, l_linenumber AS l, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
       n AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY l) - 1 AS pos, p AS key, CASE WHEN s % 7 = 0 THEN -1 ELSE s END AS i FROM r)
       SELECT g, pos, key, s_name AS value FROM n LEFT JOIN supplier ON s_suppkey = i WHERE pos < 2""", None),
+    "j3_all_lines": (j3_all, """WITH r AS (SELECT l_orderkey AS g, l_linenumber AS l, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
+      n AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY l) - 1 AS pos, count(*) OVER (PARTITION BY g) AS many, p AS key, CASE WHEN s % 7 = 0 THEN -1 ELSE s END AS i FROM r)
+      SELECT g, pos, key, s_name AS value FROM n LEFT JOIN supplier ON s_suppkey = i WHERE pos < many - CASE WHEN g % 7 = 0 THEN 1 ELSE 0 END""", None),
     "j4_def_use": (j4, "SELECT u.g, u.reg, u.version, d.pc AS def_pc, u.pc AS use_pc FROM uses u JOIN defs d ON d.g = u.g AND d.reg = u.reg AND d.version = u.version", ("uses",)),
     "j5_block_of": (j5, "SELECT ir.g, ir.pc, coalesce(b, -1) AS b FROM ir LEFT JOIN blk ON blk.g = ir.g AND ir.pc BETWEEN head_pc AND tail_pc AND b % 3 <> 2", ("ir", "blk")),
     "j6_asof_version": (j6, "SELECT g, pc, reg, version FROM uses", ("uses",)),
@@ -214,6 +229,7 @@ QUERIES = {
       cap AS (SELECT 'n' || CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT) AS name FROM supplier)
       SELECT id, name, CASE WHEN EXISTS (SELECT 1 FROM cap WHERE cap.name = own.name) THEN name || '_' || id ELSE name END AS resolved FROM own""", None),
     "j11_same_source": (j11, "SELECT l_orderkey, count(*) AS n, min(l_suppkey) AS source FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) = 1 AND count(DISTINCT l_suppkey) = 1", None),
+    "j11_all_lines": (j11_all, "SELECT l_orderkey, count(*) AS n, min(l_suppkey) AS source FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2 AND count(DISTINCT l_suppkey) = 1", None),
     "a1_use_counts": (a1, "SELECT g, reg, version, count(*) AS n, count(*) = 1 AS single FROM uses GROUP BY g, reg, version", ("uses",)),
     "a2_type_union": (a2, """, t AS (SELECT g, op, min(pc) AS p FROM ir GROUP BY g, op)
       SELECT g, CASE WHEN bool_or(op <> 'error') THEN string_agg(op, '|' ORDER BY p) FILTER (WHERE op <> 'error') || CASE WHEN bool_or(op = 'error') THEN '|nil' ELSE '' END END AS types FROM t GROUP BY g""", ("ir",)),
