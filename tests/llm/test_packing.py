@@ -82,3 +82,16 @@ def test_rows_rebuild_every_document(spark):
             at += length
         assert at <= 2048
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_local_search_leaves_no_step_between_any_two_bins():
+    draw = random.Random(5)
+    lengths = [draw.randint(60, 90) for _ in range(1500)]
+    bins = packing.improve(lengths, packing.best_fit(lengths, 204), 204)
+    assert sorted(i for b in bins for i in b) == list(range(1500)) and all(sum(lengths[i] for i in b) <= 204 for b in bins)
+    held = [sorted(lengths[i] for i in b) for b in bins if sum(lengths[i] for i in b) < 204]
+    assert len(held) > 200
+    for victim, partner in itertools.permutations(held, 2):
+        if sum(victim) <= sum(partner):
+            wanted = {*victim, *map(sum, itertools.combinations(victim, 2))}
+            assert not any(0 < gain - back <= 204 - sum(partner) for gain in wanted for back in [0, *partner])

@@ -2,8 +2,8 @@
 
 Every document becomes token ids with an end id. A document longer than a sequence is cut into pieces, of which the
 first may be shorter; pieces are packed whole. The pieces are dealt into groups of bounded size, and each group is
-packed by best fit decreasing and then improved: moving one piece, or exchanging one for one or two for one, between
-two underfull bins, each step increasing the sum of squared fills, until bins empty.
+packed by best fit decreasing and then improved: moving one or two pieces, or exchanging one for one or two for one,
+between any two underfull bins, each step increasing the sum of squared fills, until no step is left.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ GROUP_PIECES = 20_000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Remembered ids of text chunks in a worker, about 200 bytes each; beyond it the memory starts anew.
 MOST_CHUNKS = 600_000
-#: Bins of a group that local search tries to empty, least full first, and partners it looks at for each piece.
-MOST_VICTIMS = 200
 
 _tokenizers: dict[str, object] = {}
 _chunks: dict[tuple[str, str], dict[str, bytes]] = {}
@@ -157,11 +155,39 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Bins:
-    """Underfull bins, to be searched by room and by the lengths that they hold."""
+    """Underfull bins as partners, to be searched by what they can take.
+
+    A bin with free room r that gives a piece of length b (0: none) takes up to b + r, its reach. by_reach[b + r] has
+    the bit b set for each such offer, reaches the bit b + r; holders tells whose the offers are.
+    """
 
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int) -> None:
         self.lengths, self.capacity, self.bins = lengths, capacity, bins
         self.room = [capacity - sum(lengths[i] for i in b) for b in bins]
+        self.by_reach, self.reaches = [0] * (capacity + 1), 0
+        self.holders: dict[tuple[int, int], dict[int, None]] = {}
+        for b in range(len(bins)):
+            self.offer(b)
+
+    def _offers(self, bin_: int) -> set[int]:
+        return {0, *(self.lengths[i] for i in self.bins[bin_])} if self.bins[bin_] and self.room[bin_] > 0 else set()
+
+    def offer(self, bin_: int) -> None:
+        for back in self._offers(bin_):
+            reach = back + self.room[bin_]
+            self.by_reach[reach] |= 1 << back
+            self.reaches |= 1 << reach
+            self.holders.setdefault((reach, back), {})[bin_] = None
+
+    def withdraw(self, bin_: int) -> None:
+        for back in self._offers(bin_):
+            reach = back + self.room[bin_]
+            held = self.holders[reach, back]
+            del held[bin_]
+            if not held:
+                self.by_reach[reach] &= ~(1 << back)
+                if not self.by_reach[reach]:
+                    self.reaches &= ~(1 << reach)
 
     def put(self, bin_: int, numbers: list[int], out: list[int]) -> None:
         for i in out:
@@ -170,59 +196,76 @@ class _Bins:
         self.room[bin_] += sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in numbers)
 
 
-def improve(lengths: list[int], bins: list[list[int]], capacity: int, most_victims: int = MOST_VICTIMS) -> list[list[int]]:
+def improve(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Fewer bins, if local search finds a way.
 
-    The least full bins are victims in turn. A piece of the victim moves to the underfull bin that it fills best, or
-    is exchanged for a shorter piece, or two of its pieces for one longer than either and shorter than both, such
-    that the other bin becomes fuller. As the partner is at least as full as the victim, each step increases the sum of squared fills,
-    so the search ends; a victim that empties is a bin less.
+    All underfull bins are victims in turn, the least full first. One or two pieces of the victim move to the
+    underfull bin that they fill best, or are exchanged for one piece shorter than they are together, such that the
+    other bin becomes fuller. As the partner is at least as full as the victim, each step increases the sum of squared
+    fills, so the search ends; a victim that empties is a bin less. Passes over all underfull bins are repeated until
+    one takes no step, or no fewer bins could hold the pieces.
     """
     state = _Bins(lengths, [list(b) for b in bins], capacity)
-    open_ = sorted((b for b in range(len(bins)) if state.room[b] > 0), key=lambda b: -state.room[b])
-    for victim in open_[:most_victims]:
-        partners = [b for b in open_ if b != victim and state.bins[b] and state.room[b] > 0]
-        while state.bins[victim] and partners:
-            step = _best_step(state, victim, partners)
-            if step is None:
-                break
-            partner, given, taken = step
-            state.put(partner, given, taken)
-            state.put(victim, taken, given)
-            partners = [b for b in partners if state.room[b] > 0]
+    left, least = len(bins), -(-sum(lengths) // capacity)
+    moved = True
+    while moved and left > least:
+        moved = False
+        for victim in sorted((b for b in range(len(bins)) if state.bins[b] and state.room[b] > 0), key=lambda b: -state.room[b]):
+            if not state.room[victim]:  # filled up meanwhile
+                continue
+            state.withdraw(victim)
+            while state.bins[victim] and (step := _best_step(state, victim)):
+                partner, given, taken = step
+                state.withdraw(partner)
+                state.put(partner, given, taken)
+                state.put(victim, taken, given)
+                state.offer(partner)
+                moved = True
+            state.offer(victim)
+            if not state.bins[victim]:
+                left -= 1
+                if left == least:
+                    break
     return [b for b in state.bins if b]
 
 
-def _best_step(state: _Bins, victim: int, partners: list[int]) -> tuple[int, list[int], list[int]] | None:
+def _best_step(state: _Bins, victim: int) -> tuple[int, list[int], list[int]] | None:
     """The step that leaves the partner fullest: (partner, given to it, taken from it)."""
-    lengths, room = state.lengths, state.room
-    fill = state.capacity - room[victim]
-    own = sorted(state.bins[victim], key=lambda i: -lengths[i])
-    pairs = [(own[i], own[j]) for i in range(len(own)) for j in range(i)] if len(own) <= 24 else []
-    best, least = None, None
-    for partner in partners:
-        free = room[partner]
-        if state.capacity - free < fill:  # the fuller bin takes, or squared fill would not rise
-            continue
-        for one in own:
-            gain = lengths[one]
-            if gain <= free and (least is None or free - gain < least):
-                least, best = free - gain, (partner, [one], [])
-        if best and not least:
-            return best
-        for other in state.bins[partner]:
-            back = lengths[other]
-            for one in own:
-                gain = lengths[one] - back
-                if 0 < gain <= free and (least is None or free - gain < least):
-                    least, best = free - gain, (partner, [one], [other])
-            for pair in pairs:
-                gain = lengths[pair[0]] + lengths[pair[1]] - back
-                if 0 < gain <= free and (least is None or free - gain < least):
-                    least, best = free - gain, (partner, [*pair], [other])
-        if best and not least:
-            return best
-    return best
+    lengths, room = state.lengths, state.room[victim]
+    own: dict[int, list[int]] = {}
+    for i in state.bins[victim]:
+        own.setdefault(lengths[i], []).append(i)
+    sizes = sorted(own, reverse=True)  # few: the distinct lengths in a bin add up to its capacity at most
+    wanted = {size: (size,) for size in sizes}
+    for place, size in enumerate(sizes):
+        if len(own[size]) > 1:
+            wanted.setdefault(2 * size, (size, size))
+        for other in sizes[place + 1 :]:
+            wanted.setdefault(size + other, (size, other))
+    best, least = None, state.capacity + 1
+    for gain, parts in wanted.items():
+        reaches, over = state.reaches >> gain, 0
+        while reaches:
+            skip = (reaches & -reaches).bit_length() - 1
+            over += skip
+            if over >= least:
+                break
+            # what comes back is shorter than what is given, and the partner's room no more than the victim's
+            low = max(0, gain + over - room)
+            fit = (state.by_reach[gain + over] >> low) & ((1 << (gain - low)) - 1) if low < gain else 0
+            if fit:
+                best, least = (gain + over, low + (fit & -fit).bit_length() - 1, parts), over
+                break
+            reaches >>= skip + 1
+            over += 1
+        if not least:
+            break
+    if best is None:
+        return None
+    reach, back, parts = best
+    partner = next(iter(state.holders[reach, back]))
+    given = own[parts[0]][:2] if len(parts) == 2 and parts[0] == parts[1] else [own[size][0] for size in parts]
+    return partner, given, [next(i for i in state.bins[partner] if lengths[i] == back)] if back else []
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
