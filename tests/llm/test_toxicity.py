@@ -96,6 +96,26 @@ def test_disguises_are_restored(fitted, shown, meant):
     assert toxicity.restore(shown, fitted[2].costs.tolist()) == [meant]
 
 
+@pytest.mark.parametrize(
+    ("shown", "meant"),
+    [
+        ("w-r-e-t-c-h-w-r-e-t-c-h-w-r-e-t-c-h", "wretchwretchwretch"), ("rotte" + "n" * 30, "rotten"), ("vviillllaaiinn", "villain"), ("dre@d.fu1", "dreadful"), ("dreаdful", "dreadful"),
+        ("letter", "letter"), ("summer", "summer"), ("some.one@mail.example.org", "some.one@mail.example.org"), ("https://a.b/vv11", "https://a.b/vv11"), ("0badc0ffee0badc0ffee", "0badc0ffee0badc0ffee"),
+    ],
+)
+def test_every_disguise_reaches_the_lattice(fitted, shown, meant):
+    costs = fitted[2].costs.tolist()
+    assert toxicity.restore(shown, costs)[-1] == meant
+
+
+def test_hex_letters_are_words_and_spaced_runs_are_joined(fitted):
+    costs = fitted[2].costs
+    assert toxicity.restore("baaaaaaaaaaaad", costs.tolist()) != ["baaaaaaaaaaaad"]
+    features = toxicity._Features(costs, None)
+    assert all("=rotten" in features.of_text(x) for x in ("the r o t t e n one", "r  o t\tt\ne n", "r o t t e n"))
+    assert "=wet" in features.of_text("some w e t river")
+
+
 def test_held_out_accuracy_and_disguised_texts(spark, fitted):
     docs, labels, _ = fitted
     disguised = [(10_000 + i, f"the {x} of people and water") for i, x in enumerate(["v1ll@in", "r o t t e n", "dreadfuuul", "w.r.e.t.c.h", "garden", "w1nd0w"])]

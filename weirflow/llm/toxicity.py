@@ -1,6 +1,6 @@
 """Toxicity through a noisy channel: disguised words are restored under a character language model, then scored.
 
-A token with leetspeak, separators or repetition in it becomes a lattice: each observed character may stand for
+A token with leetspeak, lookalikes, separators or repetition in it becomes a lattice: each observed character may stand for
 itself, for the letters that it resembles, or for nothing. Viterbi decoding over the lattice, with trigram
 probabilities counted from the whole corpus, gives the restored word. A logistic model over restored words and
 their prefixes, fitted on labelled documents, scores the text.
@@ -30,8 +30,6 @@ PREFIXES = (4, 5, 6)
 FOLDS = 5
 #: Remembered tokens in a worker; beyond it the memory starts anew.
 MOST_TOKENS = 400_000
-#: Tokens longer than this are words of no channel, such as keys and addresses; they stay as they are.
-LONGEST_NOISY = 24
 
 # ---- the language model: codes 0 boundary, 1-26 the letters, 27 any other letter, 28 a figure or sign ----
 _CODES = 32
@@ -87,18 +85,23 @@ COST_RESEMBLING, COST_SEPARATOR, COST_REPEATED, COST_LONG_RUN, COST_AS_IS, COST_
 # ---- end of fixed values ----
 
 _LETTERS_ONLY = re.compile(r"[^\W\d_]*")
-_TRIPLE = re.compile(r"(.)\1\1")
+#: What makes letters a disguise: one that is written twice, or looks like another.
+_NOISY = re.compile(rf"(.)\1|[{''.join(filter(str.isalpha, RESEMBLES))}]")
+_SIGNS = re.escape("".join(c for c in RESEMBLES if not c.isalpha()))
+#: A sign or figure in a word.
+_SIGNED = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]")
 _EDGES = ".,;:!?\"'()[]{}<>|*#%&~^`_-=+/\\…«»„“”‘’¿¡"
 _SPELLED_OUT = re.compile(r"[^\W_](?:[.\-_*~'/,:]+[^\W_])+")
 _INNER_BREAK = re.compile(r"[.\-_*~'`^:,/\\=;&?#%()\[\]{}<>\"]+")
-_SPACED_RUN = re.compile(r"(?<!\S)[^\s](?: [^\s]){3,}(?!\S)")
-_SPACED_HINT = re.compile(r" \S \S \S")
-_SKIPPED = re.compile(r"@.*\.|://|[0-9a-f]{12}")
+_SPACED_RUN = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
+_SPACED_HINT = re.compile(r"\s\S\s++\S\s")
+#: Words of no channel: an e-mail address, a URL, a hash that has a digit.
+_SKIPPED = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|(?:[a-z][a-z0-9+.-]*://|www\.)\S+|(?=[a-f-]*+[0-9])(?:[0-9a-f]{12,}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
 
 
 def decode(observed: str, costs: list[float]) -> str:
     """The cheapest reading of an observed string through the lattice, by Viterbi over the last two codes."""
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # cost, and (what came before, what is written last)
     for place, char in enumerate(observed):
         run = place and observed[place - 1] == char
         long_run = run and (place > 1 and observed[place - 2] == char or observed[place + 1 : place + 2] == char)
@@ -114,8 +117,8 @@ def decode(observed: str, costs: list[float]) -> str:
             options.append(("", -1, COST_LONG_RUN if long_run else COST_REPEATED))
         if not options or char in RESEMBLES and not char.isalpha():
             options.append((char, _SIGN, COST_AS_IS))
-        reached: dict[int, tuple[float, str]] = {}
-        for state, (cost, text) in states.items():
+        reached: dict[int, tuple[float, tuple | None]] = {}
+        for state, (cost, path) in states.items():
             for written, code, asked in options:
                 if code < 0:
                     after, total = state, cost + asked
@@ -124,30 +127,40 @@ def decode(observed: str, costs: list[float]) -> str:
                     total = cost + asked + costs[state << 5 | code]
                 known = reached.get(after)
                 if known is None or total < known[0]:
-                    reached[after] = (total, text + written)
+                    reached[after] = (total, (path, written) if written else path)
         states = reached
-    return min((cost + costs[state << 5], text) for state, (cost, text) in states.items())[1]
+    ends = [(cost + costs[state << 5], path) for state, (cost, path) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_written(path) for cost, path in ends if cost == least)
+
+
+def _written(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, last = path
+        out.append(last)
+    return "".join(reversed(out))
 
 
 def restore(token: str, costs: list[float]) -> list[str]:
     """The words that a lower-case token stands for."""
-    if _LETTERS_ONLY.fullmatch(token) and not _TRIPLE.search(token):
+    if _LETTERS_ONLY.fullmatch(token) and not _NOISY.search(token):
         return [token] if token else []
     core = token.rstrip(_EDGES).lstrip(_EDGES)
     if core[:1] in "@$" and (core[1:2] in "@$" or not core[1:2].isalnum()):
         core = core.lstrip("@$")
     if core[-3:] == "$$$":
         core = core.rstrip("$")
-    if not core or _LETTERS_ONLY.fullmatch(core) and not _TRIPLE.search(core):
+    if not core or _LETTERS_ONLY.fullmatch(core) and not _NOISY.search(core):
         return [core] if core else []
     letters = sum(map(str.isalpha, core))
-    if not letters or len(core) > LONGEST_NOISY or _SKIPPED.search(core):
+    if not letters or _SKIPPED.fullmatch(core):
         return [core]
     if _SPELLED_OUT.fullmatch(core) and len(core) >= 5:
         return decode(core, costs).split()
     parts = [x for x in _INNER_BREAK.split(core) if x]
     if len(parts) > 1:
-        joined = decode("".join(parts), costs).split() if any(len(x) == 1 for x in parts) or "*" in core else []
+        joined = decode("".join(parts), costs).split() if "*" in core or any(len(x) == 1 or _SIGNED.search(x) for x in parts) else []
         return [w for part in parts for w in restore(part, costs)] + joined
     return decode(core, costs).split()
 
@@ -173,9 +186,9 @@ class _Features(dict):
         found: set = set()
         for token in set(lowered.split()):
             found.update(self[token])
-        if _SPACED_HINT.search(" " + lowered):
+        if _SPACED_HINT.search(f" {lowered} "):
             for match in _SPACED_RUN.finditer(lowered):
-                found.update(self.of_words(decode(match[0], self.costs).split()))
+                found.update(self.of_words(decode(" ".join(match[0].split()), self.costs).split()))
         return found
 
 
