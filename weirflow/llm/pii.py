@@ -8,11 +8,13 @@ what was written, and each span found maps back to the source.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -87,6 +89,9 @@ _SPELLED = {
 }
 _AT_WORDS = ("at", "arroba", "arobase", "klammeraffe", "ät")
 _DOT_WORDS = ("dot", "punto", "point", "punkt", "period")
+#: Dot words that go with an at word of their language; others need a label that is no common word.
+_PAIRED = {"at": ("dot", "punkt"), "ät": ("dot", "punkt"), "klammeraffe": ("dot", "punkt"), "arroba": ("dot", "punto"), "arobase": ("dot", "point")}
+_PLAIN_LABELS = ("com", "org", "net", "edu", "gov", "biz", "info", "io", "fr", "uk", "ca", "pl", "nl", "dk", "cz")
 _FIGURES = str.maketrans("OolI", "0011")
 _PLUS_WORDS = ("plus", "más", "mas")
 _TOP_LABELS = (
@@ -124,38 +129,35 @@ def _class(chars) -> str:
 
 #: Those of the basic plane, and for speed all others, of which only the table's are rewritten.
 _HOMOGLYPH = re.compile(_class(c for c in HOMOGLYPHS if c <= "\uffff")[:-1] + "\U00010000-\U0001ffff]")
-_DIGIT_WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
-_UNIT = rf"(?:{_DIGIT_WORD}|[0-9]+)"
-_GAP = r"(?:\s*[-,/]\s*|\s+)"
-#: Three or more spelled digits in a row, or with figures among them, two spelled at least.
-_SPELLED_RUN = re.compile(
-    rf"(?<![^\W_])(?:(?:{'|'.join(_PLUS_WORDS)})\s+)?\+?\(?(?=(?:[0-9]+\)?{_GAP})*{_DIGIT_WORD}\b){_UNIT}\)?(?:{_GAP}\(?{_UNIT}\)?){{2,}}(?![^\W_])", re.I
-)
-_TOKEN = re.compile(rf"{_DIGIT_WORD}|[0-9]|\+|{'|'.join(_PLUS_WORDS)}", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
+_ANY_AT, _ANY_DOT = "|".join(_AT_WORDS), "|".join(_DOT_WORDS)
 _BRACKETED = re.compile(
-    rf"\s*{_OPEN}\s*(?:(?P<at>{'|'.join(_AT_WORDS)}|@|a)|(?P<dot>{'|'.join(_DOT_WORDS)}|\.))\s*{_CLOSE}\s*|(?P<code>&#64;|&#x40;|&commat;|%40)|(?P<point>&#46;|&#x2e;|&period;|%2e)", re.I
+    rf"{_OPEN}\s*+(?:(?P<at>{_ANY_AT}|@|a)|(?P<dot>{_ANY_DOT}|\.))\s*+{_CLOSE}\s*+|(?P<code>&#64;|&#x40;|&commat;|%40)|(?P<point>&#46;|&#x2e;|&period;|%2e)", re.I
 )
 _BRACKET_HINT = re.compile(r"[\[({<&%]")
-_WORDY_AT = rf"(?:\s+(?:{'|'.join(_AT_WORDS)})\s+|\s*@\s*|\s*[_-](?:{'|'.join(_AT_WORDS)})[_-]\s*)"
-_WORDY_DOT = rf"(?:\s+(?:{'|'.join(_DOT_WORDS)})\s+|\s*[_-](?:{'|'.join(_DOT_WORDS)})[_-]\s*|\s+\.\s*|\s*\.\s+(?=[a-z]{{2,6}}\b(?!\s*[@(])))"
-#: name at host dot com: at and dot as words, with a dot disguise at least, or a spaced sign.
-_WORDY = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\s+(?:{'|'.join(_DOT_WORDS)})\s+)[A-Za-z0-9_%+-]+)*)"
-    rf"(?P<sign>@|{_WORDY_AT})(?P<host>[A-Za-z0-9-]+)(?P<rest>(?:(?:\.|{_WORDY_DOT})[A-Za-z0-9-]+)+)", re.I
-)
 _SPACED_AT = re.compile(r"@\s|\s@")
-_GAP_SIGNS = str.maketrans(dict.fromkeys("-,/()", " "))
-_SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:\s*(?:\s(?:{'|'.join(_DOT_WORDS)})\s|{_OPEN}(?:{'|'.join(_DOT_WORDS)}|\.){_CLOSE})\s*[0-9]{{1,3}}){{3}}(?![0-9.])", re.I)
+_NO_WORD = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
+
+# Each pattern below begins at a fixed place - a word's end, a number's start - and gives nothing back, so that a text
+# is read a fixed number of times, however long its runs are.
+_WORD = re.compile(r"[^\W_]+")
+_GAP = re.compile(r"\)?(?:\s*+[-,/]\s*+|\s++)\(?")
+_LABEL = r"[A-Za-z0-9_%+-]"
+_AT_SITE = re.compile(rf"(?<={_LABEL})(?:\s++({_ANY_AT})\s++|\s*+@\s*+|\s*+[_-]({_ANY_AT})[_-]\s*+)(?=[A-Za-z0-9-])", re.I)
+_DOT_SITE = re.compile(rf"(?<={_LABEL})(?:\s++({_ANY_DOT})\s++|\s*+[_-]({_ANY_DOT})[_-]\s*+|\s++\.\s*+|\.\s++)(?=[A-Za-z0-9-])", re.I)
+_HOST_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_LOCAL_LABELS = re.compile(r"[A-Za-z0-9_%+.-]")
+_AFTER_SPACED = re.compile(r"[A-Za-z]{2,6}+\b(?!\s*+[@(])")
+_SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\s++(?:{_ANY_DOT})\s++|\s*+{_OPEN}(?:{_ANY_DOT}|\.){_CLOSE}\s*+)[0-9]{{1,3}}){{3}}(?![0-9.])", re.I)
 
 
 def _may_spell(text: str) -> bool:
-    """Whether a spelled digit stands beside another digit word or figure; a run can be nowhere else."""
-    words = text.lower().translate(_GAP_SIGNS).split() if text.isascii() else re.sub("[-,/()]", " ", text.lower()).split()
+    """Whether a spelled digit stands beside another digit word, a figure or a dot word; a site can be nowhere else."""
+    words = text.lower().translate(_NO_WORD).split() if text.isascii() else _WORD.findall(text.lower())
     if _SPELLED.keys().isdisjoint(words):
         return False
-    places = [i for i, word in enumerate(words) if word in _SPELLED]
-    return any(b - a == 1 for a, b in zip(places, places[1:])) or any(words[i + d][:1].isdigit() for i in places for d in (-1, 1) if 0 <= i + d < len(words))
+    beside = lambda word: word in _SPELLED or word[:1].isdigit() or word in _DOT_WORDS
+    return any(beside(words[i + d]) for i, word in enumerate(words) if word in _SPELLED for d in (-1, 1) if 0 <= i + d < len(words))
 
 
 def _may_be_wordy(text: str) -> bool:
@@ -167,7 +169,8 @@ class Normalised:
     """A text with the span of source characters behind each of its characters."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.starts = text, np.arange(len(text), dtype=np.int64)
+        self.ends = self.starts + 1
 
     def rewrite(self, sites: list[tuple[int, int, str]]) -> None:
         """Put what is written in place of each (start, end), left to right, not overlapping."""
@@ -176,57 +179,162 @@ class Normalised:
         text, starts, ends, at = [], [], [], 0
         for start, end, written in sites:
             text += [self.text[at:start], written]
-            starts += self.starts[at:start] + [self.starts[start]] * len(written)
-            ends += self.ends[at:start] + [self.ends[end - 1]] * len(written)
+            starts += [self.starts[at:start], np.full(len(written), self.starts[start])]
+            ends += [self.ends[at:start], np.full(len(written), self.ends[end - 1])]
             at = end
         self.text = "".join(text) + self.text[at:]
-        self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
+        self.starts, self.ends = np.concatenate([*starts, self.starts[at:]]), np.concatenate([*ends, self.ends[at:]])
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        return int(self.starts[start]), int(self.ends[end - 1])
+
+
+def _run_sites(text: str, run: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """What is written for a run of digit words and figures: its digits; what lies between them goes."""
+    at = run[0][0]
+    for first, last, written in run:
+        if first > at:
+            yield at, first, ""
+        if text[first:last] != written:
+            yield first, last, written
+        at = last
+
+
+def _begun(text: str, run: list[tuple[int, int, str]], before: tuple[int, int, str] | None) -> list[tuple[int, int, str]]:
+    """The run with the bracket, the plus sign or the plus word in front of it."""
+    start, front = run[0][0], []
+    if text[start - 1 : start] == "(":
+        start -= 1
+        front = [(start, start + 1, "")]
+    if text[start - 1 : start] == "+":
+        start -= 1
+        front = [(start, start + 1, "+"), *front]
+    if before and before[2] in _PLUS_WORDS and before[1] < start and text[before[1] : start].isspace():
+        front = [(before[0], before[1], "+"), *front]
+    return [*front, *run]
 
 
 def _spelled_sites(text: str) -> list[tuple[int, int, str]]:
-    sites = []
-    for match in _SPELLED_RUN.finditer(text):
+    """Runs of digit words, or of digit words and figures, as figures; a digit word alone only beside a dot word."""
+    sites: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, str]] = []
+    spelled = 0
+    before = in_front = last = None  # the word before this one, the one before the run, whether the run follows a dot word
+
+    def close(following: str) -> None:
+        if spelled and (len(run) > 1 or following in _DOT_WORDS or in_front and in_front[2] in _DOT_WORDS):
+            sites.extend(s for s in _run_sites(text, _begun(text, run, in_front)) if s[0] < s[1])
+
+    for match in _WORD.finditer(text):
         start, end = match.span()
-        out, spelled = [], 0
-        for token in _TOKEN.finditer(text, start, end):
-            word = token[0].lower()
+        word = match[0].lower()
+        digits = _SPELLED.get(word) or (word if word.isascii() and word.isdigit() else None)
+        if run and (digits is None or not _GAP.fullmatch(text, run[-1][1], start)):
+            close(word if text[run[-1][1] : start].isspace() else "")
+            run, spelled = [], 0
+        if digits is not None:
+            if not run:
+                in_front = before
+            run.append((start, end, digits))
             spelled += word in _SPELLED
-            out.append((token.start(), token.end(), "+" if word in _PLUS_WORDS or word == "+" else _SPELLED.get(word, word)))
-        if spelled < 2:
-            continue
-        at = start
-        for first, last, written in out:
-            if first > at:  # what lies between two digits goes, and counts to the digit after it only if a span covers both
-                sites.append((at, first, ""))
-            if text[first:last] != written:
-                sites.append((first, last, written))
-            at = last
-    return [s for s in sites if s[0] < s[1]]
+        before = (start, end, word)
+    if run:
+        close("")
+    return sites
 
 
 def _bracket_sites(text: str) -> list[tuple[int, int, str]]:
-    return [(*m.span(), "@" if m["at"] or m["code"] else ".") for m in _BRACKETED.finditer(text)]
+    """Signs in brackets or as codes; a dot in brackets is left to the transducer behind this one, as a dot that is said."""
+    sites, at = [], 0
+    for match in _BRACKETED.finditer(text):
+        start = match.start()
+        if match["at"] or match["dot"]:  # the white space in front belongs to it
+            while start > at and text[start - 1].isspace():
+                start -= 1
+        at = match.end()
+        sites.append((start, at, "@" if match["at"] or match["code"] else " dot " if match["dot"] else "."))
+    return sites
+
+
+def _word_of(match: re.Match) -> str:
+    return (match[1] or match[2] or "").lower()
+
+
+def _local_dots(text: str, at: int, floor: int, ending: dict[int, re.Match]) -> tuple[list[re.Match], bool]:
+    """Dots said in the local part that ends at a place, and whether it is more than one plain word."""
+    dots, marked = [], False
+    while at > floor:
+        while at > floor and _LOCAL_LABELS.match(text[at - 1]):
+            at -= 1
+            marked |= not text[at].isalpha()
+        site = ending.get(at)
+        if site is None or not _word_of(site) or site.start() < floor:
+            break
+        dots.append(site)
+        at, marked = site.start(), True
+    return dots, marked
+
+
+def _host_labels(text: str, at: int, starting: dict[int, re.Match], starts: list[int]) -> list[tuple[str, re.Match | None]]:
+    """The labels of a host from a place on, each with the dot said in front of it, None for a plain one."""
+    labels: list[tuple[str, re.Match | None]] = []
+    said, plain = None, False
+    while match := _HOST_LABEL.match(text, at):
+        end = match.end()
+        place = bisect.bisect_right(starts, at)
+        if place < len(starts) and starts[place] < end:  # a dot said with hyphens inside
+            end = starts[place]
+        labels.append((text[at:end], said))
+        if text[end : end + 1] == "." and _HOST_LABEL.match(text, end + 1):
+            at, said, plain = end + 1, None, True
+            continue
+        said = starting.get(end)
+        if said is None or not _word_of(said) and (plain or "." not in said[0] or said[0][0] == "." and not _AFTER_SPACED.match(text, said.end())):
+            break
+        at = said.end()
+    return labels
+
+
+def _accepts(sign: str, labels: list[tuple[str, re.Match | None]], marked: bool) -> bool:
+    """Whether host labels behind a sign (an at word, or @ with or without space) make an address."""
+    said = [dot for _, dot in labels if dot is not None]
+    last = labels[-1][0].lower()
+    backed = last in _TOP_LABELS or len(last) > 1 and last.isalpha() and (marked or len(said) > 1 or sign == " @ " and len(labels) > 2)
+    if not said or len(labels) < 2:
+        return sign == " @ " and len(labels) > 1 and backed
+    if any(not _word_of(dot) for dot in said):  # a dot with a space beside it: also the end of a sentence
+        return last in _TOP_LABELS
+    if not sign.strip(" @"):
+        return True
+    if any(_word_of(dot) not in _PAIRED[sign] for dot in said):
+        return last in _PLAIN_LABELS
+    return backed
 
 
 def _wordy_sites(text: str) -> list[tuple[int, int, str]]:
-    sites = []
-    dot = re.compile(_WORDY_DOT, re.I)
-    for match in _WORDY.finditer(text):
-        bare = match["sign"].strip(" \t\n\r_-").lower() != "@"
-        said = dot.search(match["rest"])
-        last = re.split(r"[^A-Za-z0-9]", match["rest"])[-1].lower()
-        if match["sign"] == "@" and not said or match["sign"] != "@" and (bare or said) and last not in _TOP_LABELS:
-            continue
-        if bare and not said:  # as in: look at example.com
+    """Addresses with at or dot said or spaced: from each at, the local part to its left and the host to its right.
+
+    The words between two at signs are read twice at most, once as a host and once as a local part.
+    """
+    dots = list(_DOT_SITE.finditer(text))
+    starting, ending, starts = {m.start(): m for m in dots}, {m.end(): m for m in dots}, [m.start() for m in dots]
+    sites, floor = [], 0
+    for site in _AT_SITE.finditer(text):
+        if site.start() <= floor:
             continue
-        for part in ("local", "rest"):
-            sites += [(match.start(part) + m.start(), match.start(part) + m.end(), ".") for m in re.finditer(rf"\s+(?:{'|'.join(_DOT_WORDS)})\s+" if part == "local" else _WORDY_DOT, match[part], re.I)]
-        if match["sign"] != "@":
-            sites.append((*match.span("sign"), "@"))
-    sites += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _SPOKEN_IP.finditer(text) for d in re.finditer(r"[^0-9]+", m[0])]
+        labels = _host_labels(text, site.end(), starting, starts)
+        sign = _word_of(site) or ("@" if site[0] == "@" else " @ ")
+        local, marked = _local_dots(text, site.start(), floor, ending)
+        while labels and not _accepts(sign, labels, marked):
+            labels.pop()
+        floor = site.end()
+        if labels:
+            sites += [(*m.span(), ".") for m in reversed(local)]
+            if site[0] != "@":
+                sites.append((*site.span(), "@"))
+            sites += [(*dot.span(), ".") for _, dot in labels if dot is not None]
+            floor = max([floor, *(dot.end() for _, dot in labels if dot is not None)])
+    sites += [(m.start() + d.start(), m.start() + d.end(), ".") for m in _SPOKEN_IP.finditer(text) for d in _NO_DIGIT.finditer(m[0])]
     out, at = [], 0
     for site in sorted(sites):
         if site[0] >= at:
@@ -257,8 +365,14 @@ _TRANSDUCERS = (
 )
 
 
+def _goes_on(text: str, kind: str, span: tuple[int, int], known: list[tuple[int, int]]) -> bool:
+    """Whether a span that holds base spans whole says more of the same identifier: not a dash or bullet beside it, nor one number word."""
+    beyond = f"{text[span[0] : known[0][0]]} {text[known[-1][1] : span[1]]}"
+    return not any(HOMOGLYPHS.get(c, "x") in "-._+%" for c in beyond) and len(_WORD.findall(beyond)) > (kind != "email")
+
+
 def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-    """Spans of disguised identifiers, none of which touches a base span of its kind."""
+    """Spans of disguised identifiers: those that touch no base span of their kind, or that hold one whole and go on."""
     normal = None
     for may_have, sites_of in _TRANSDUCERS:
         now = normal.text if normal else text
@@ -274,7 +388,8 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
         for span in (normal.source(*s) for s in spans):
             while at < len(known) and known[at][1] <= span[0]:
                 at += 1
-            if at == len(known) or known[at][0] >= span[1]:
+            touched = known[at : bisect.bisect_left(known, (span[1], 0))]
+            if not touched or span not in touched and all(span[0] <= a and b <= span[1] for a, b in touched) and _goes_on(text, kind, span, touched):
                 new.append(span)
         added[kind] = new
     return added
