@@ -4,69 +4,129 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: The folder behind each settled table, and those written in each open scratch().
+_folder_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_open: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset."""
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder in local mode; on a cluster that raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, name: str = "round") -> DataFrame:
     """The table, written once into the shared folder: later rounds neither repeat its plan nor lose it with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/weirflow-round-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/weirflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folder_of[out] = path
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of settled tables whose rows are settled elsewhere by now; other tables are left alone."""
+    for df in tables:
+        path = _folder_of.pop(df, None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes all tables settled inside when it ends, but for those handed to the function that it gives.
+
+    A query's result reads its settled tables, so write the result inside:
+    with scratch(spark): query(spark, folder).write.parquet(out).
+    """
+    mine: list[str] = []
+    kept: list[str] = []
+    _open.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_folder_of[df])
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.remove(mine)
+        if _open:
+            _open[-1].extend(kept)
+        for path in mine:
+            if path not in kept:
+                _delete(spark, path)
 
 
 def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 10_000, gather: int = 16) -> DataFrame:
     """The least set that holds seed and all that step(newest, all so far) derives from it.
 
     Rows are compared as wholes. Each round joins only the rows that the last one added. The parts are gathered into
-    one table every so many rounds. A set that still grows after most_rounds rounds raises; nothing is cut off.
+    one table every so many rounds, and their folders deleted. A set that still grows after most_rounds rounds raises;
+    nothing is cut off.
     """
     newest = settled(seed.distinct())
-    known = newest
+    known, parts = newest, [newest]
     for done in range(1, most_rounds + 1):
         newest = settled(step(newest, known).distinct().join(known, seed.columns, "left_anti"))
         if newest.isEmpty():
+            discard(newest)
             return known
         known = known.unionByName(newest)
+        parts.append(newest)
         if not done % gather:
             known = settled(known)
+            discard(*parts[:-1])
+            parts = [newest, known]
     raise RuntimeError(f"the fixpoint still grows after {most_rounds} rounds")
 
 
-def jump(links: DataFrame) -> DataFrame:
+def jump(links: DataFrame, cycle_end: Callable[..., Column] = F.least) -> DataFrame:
     """(g, node, top, steps): the end of each node's chain of links(g, node, next), by pointer jumping.
 
     A node without a link, or with one to itself, is its own end. Each round doubles the steps seen, so a chain of n
-    links takes log n rounds. Where a chain leads into a cycle, the end is the cycle's smallest node and steps is null.
+    links takes log n rounds. Where a chain leads into a cycle, the end is the cycle's smallest node, or with F.greatest
+    its largest, and steps is null.
     """
     links = settled(links.select("g", "node", "next").where("node <> next"))
     nodes = links.select("g", "node").union(links.select("g", F.col("next").alias("node"))).distinct()
     state = settled(
         nodes.join(links, ["g", "node"], "left").select(
-            "g", "node", F.coalesce("next", "node").alias("top"), F.col("next").isNotNull().cast("long").alias("steps"), F.least("node", "next").alias("low")
+            "g", "node", F.coalesce("next", "node").alias("top"), F.col("next").isNotNull().cast("long").alias("steps"), cycle_end("node", "next").alias("end")
         )
     )
     most = state.groupBy("g").count().agg(F.max("count")).first()[0] or 1
     for _ in range(most.bit_length() + 1):
-        ahead = state.select("g", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("low").alias("_low"))
+        ahead = state.select("g", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("end").alias("_end"))
         following = settled(
-            state.join(ahead, ["g", "top"]).select("g", "node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("low", "_low").alias("low"))
+            state.join(ahead, ["g", "top"]).select("g", "node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), cycle_end("end", "_end").alias("end"))
         )
         same = following.join(state.select("g", "node", F.col("top").alias("_before")), ["g", "node"]).where("top <> _before").isEmpty()
+        discard(state)
         state = following
         if same:
             break
-    # An end that leads on lies on a cycle; by now the low of each node there has seen all of it.
-    rounds = state.join(links.select("g", "node"), ["g", "node"], "left_semi").select("g", F.col("node").alias("top"), F.col("low").alias("_least"))
+    # An end that leads on lies on a cycle; by now the end that each node there has seen is that of the whole cycle.
+    rounds = state.join(links.select("g", "node"), ["g", "node"], "left_semi").select("g", F.col("node").alias("top"), F.col("end").alias("_on_cycle"))
     out = state.join(rounds, ["g", "top"], "left")
-    return out.select("g", "node", F.coalesce("_least", "top").alias("top"), F.when(F.col("_least").isNull(), F.col("steps")).alias("steps"))
+    return out.select("g", "node", F.coalesce("_on_cycle", "top").alias("top"), F.when(F.col("_on_cycle").isNull(), F.col("steps")).alias("steps"))
