@@ -107,3 +107,35 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.query(empty).count() == 0
     assert simhash.query(empty).schema["component_id"].dataType == T.LongType()
+
+
+def test_clashing_names_keep_their_values(spark):
+    rows = [(1, "a b c d e", "X", "K", "r", 7, {"m": 1}), (2, "a b c d e", "Y", "L", "s", 8, {"m": 2}), (3, "quite other words here", "Z", "M", "t", 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key string, row string, part int, extra map<string,int>")
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["_id"], r["_key"], r.row, r.part) for r in kept.collect()) == [(1, "X", "K", "r", 7), (3, "Z", "M", "t", 9)]
+
+
+def test_of_rows_equal_in_id_and_text_always_the_same_stays(spark):
+    rows = [(1, "a b c d e", x) for x in "pqrstuvw"]
+    chosen = {simhash.keep_one_each(spark.createDataFrame(order, "doc_id long, text string, source string")).first().source for order in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(chosen) == 1
+
+
+def test_a_large_star_and_many_copies_are_spread(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [draw.choice(words) for _ in range(500)]
+    rows = [(i, " ".join(base[:-1] + [f"z{i}"])) for i in range(400)] + [(1000 + i, "the very same text in each of these rows") for i in range(400)] + [(2000, "one that stands alone among them all")]
+    found = {r.doc_id: r.component_id for r in simhash.query(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {k: v for k, _, _, v in [(x[1], 0, 0, x[3]) for x in plain_components(rows)]}
+    assert found[1399] == 1000 and found[2000] == 2000
+
+
+def test_components_of_a_star_and_a_path(spark):
+    from weirflow.llm.components import connected_components
+
+    edges = [(5000, i) for i in range(1000)] + [(i, i + 1) for i in range(6000, 6040)] + [(7, 7), (None, 3)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in [*range(1000), 5000]}, **{i: 6000 for i in range(6000, 6041)}}

@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from weirflow.plans.fixpoint import settled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir of the session, a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table once into the shared folder and read it again, so that lost executors repeat nothing before it."""
-    path = f"{shared_folder(df.sparkSession)}/weirflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return settled(df, name)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one, so that none of them meets an operator's own columns."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
@@ -40,8 +36,20 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a task holds at once does not depend on the session's batch size."""
+#: Text that an operator takes up at a time; a single longer text comes alone.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, of so many rows and so much text at most, so that what a task holds at once depends on neither."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        if "text" in batch.schema.names:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(sizes)
+        start = 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + most_bytes, side="right"))))
+            yield batch.slice(start, end - start)
+            start = end

@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from weirflow.llm.common import bytes_of, small_batches, staged
+from weirflow.llm.common import bytes_of, small_batches, staged, whole_row
 from weirflow.llm.components import connected_components
 
 SEED = 42
@@ -29,6 +29,8 @@ SMALL_BUCKET = 64
 HOT_BUCKET = 20_000
 #: The bits outside a segment are cut into one block more than may differ, so that one block is equal.
 FINER_BLOCKS = MOST_BITS + 1
+#: Copies of one fingerprint are spread over so many keys wherever rows meet by fingerprint.
+SPREAD = 128
 
 
 def fingerprint(text: bytes) -> int:
@@ -216,26 +218,42 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     is the empty text, whose fingerprint is 0; a component with null ids only has a null component_id. An empty
     table gives no rows; other columns are not read.
     """
-    rows = staged(fingerprints(docs), "fingerprints")
+    # The part is written with the row, so it stays the same when a task is repeated.
+    rows = staged(fingerprints(docs).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    distinct = rows.groupBy("fp").agg(best.alias("best"))
+    parts = staged(rows.groupBy("fp", "part").agg(best.alias("best")), "fingerprint-parts")
+    distinct = staged(parts.groupBy("fp").agg(F.min("best").alias("best")), "distinct-fingerprints")
     roots = connected_components(links(distinct.select("fp"), hot_bucket))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     tops = rooted.where("root is not null").groupBy("root").agg(F.min("best").alias("top"))
     named = rooted.join(tops, "root", "left").select("fp", F.coalesce("top", "best").alias("top"))
-    return rows.join(named, "fp").select(
+    spread = parts.select("fp", "part").join(named, "fp")
+    return rows.join(spread, ["fp", "part"]).select(
         "doc_id", "row_key", "fp", F.col("top.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row_key") == F.col("top.row_key"))).alias("keeps"),
     )
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stand for their near-duplicate component; a repeated row stays once."""
+    """The rows of docs, all columns, that stand for their near-duplicate component; a repeated row stays once.
+
+    The row with the smallest doc_id stays, of several texts of that id the one of least hash, null ids last; of rows
+    equal in id and text that differ elsewhere, the one whose other columns have the least hash (columns of maps are
+    left out of it). A null text is the empty text. An empty table gives no rows. No column name can clash.
+    """
     kept = near_duplicates(docs).where("keeps").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), "_key": row_key(docs)})
-    return keyed.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not _has_map(f.dataType)]
+    keyed = docs.select(whole_row(docs).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_id"), row_key(docs).alias("_key"), F.xxhash64(*hashed).alias("_rest"))
+    one = keyed.join(kept, ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.min_by("row", "_rest").alias("row"))
+    return one.select("row.*")
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id."""
+    """doc_id, fingerprint (16 lowercase hex digits), component_id for each row of docs; edge cases as in near_duplicates()."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
