@@ -44,3 +44,13 @@ def test_as_of_join_matches_brute_force(spark):
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.query(pages).count() == 0
+
+
+def test_clashing_names_keep_their_values(spark):
+    names = ["_part", "_at", "row", "list", "pattern", "valid_from", "filter_host", "n_active", "blocked"]
+    captures = spark.createDataFrame([(1, "http://a.org/x", 5, *names)], "key long, url string, fetched long, " + ", ".join(f"{n} string" for n in names))
+    out = urls.evaluate(captures, spark.createDataFrame([("L", "a.org", 1, "add")], "list string, pattern string, effective long, action string"))
+    assert len(set(out.columns)) == len(out.columns)
+    row = out.first()
+    assert all(row[n] == n for n in names[:6]) and (row.filter_host, row.n_active, row.active_lists, row.blocked) == ("a.org", 1, "L", True)
+    assert urls.evaluate(captures.unionByName(captures), spark.createDataFrame([], "list string, pattern string, effective long, action string")).where("not blocked").count() == 2

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weirflow.llm.common import whole_row
+
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, valid_from, valid_to) from entries(list, pattern, effective, action add or remove).
@@ -46,11 +48,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     """captures, all columns, with filter_host, n_active, active_lists and blocked as of the fetch time.
 
     n_active counts the list entries in force for the capture, active_lists names their lists in order, comma-joined.
-    A capture with a null address or time has none. What a capture asks depends on (host, path part, time) only, so
-    each distinct question is answered once and the answers join back: copies and hot hosts cost no more, and both
-    joins are plain equi-joins, which adaptive execution can split.
+    A capture with a null address or time has none. Repeated captures give repeated rows; of two changes of one list
+    and pattern at one time the remove holds (intervals()). Without captures there are no rows, without entries none
+    is blocked. Columns of captures named like one of the four results give way to it; other names can't clash.
+
+    What a capture asks depends on (host, path part, time) only, so each distinct question is answered once and the
+    answers join back: copies and hot hosts cost no more, and both joins are plain equi-joins, which adaptive
+    execution can split.
     """
-    asked = captures.withColumns({"filter_host": host_of(F.col(url)), "_part": first_part(F.col(url)), "_at": F.col(fetched)})
+    asked = captures.select(
+        whole_row(captures).alias("row"), host_of(F.col(url)).alias("filter_host"), first_part(F.col(url)).alias("_part"), F.col(fetched).alias("_at")
+    )
     questions = asked.where("filter_host <> '' and _at is not null").select("filter_host", "_part", "_at").distinct()
     wanted = questions.withColumn("pattern", F.explode(F.array_distinct(patterns_of(F.col("filter_host"), F.col("_part")))))
     in_force = (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
@@ -58,8 +66,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     answers = hits.groupBy("filter_host", "_part", "_at").agg(
         F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("active_lists")
     )
+    told = ("filter_host", "n_active", "active_lists", "blocked")
     return asked.join(answers, ["filter_host", "_part", "_at"], "left").select(
-        *(F.col(f"`{c}`") for c in captures.columns), "filter_host",
+        *(F.col("row").getField(c).alias(c) for c in captures.columns if c.lower() not in told), "filter_host",
         F.coalesce("n_active", F.lit(0).cast("long")).alias("n_active"), F.coalesce("active_lists", F.lit("")).alias("active_lists"), (F.col("n_active").isNotNull()).alias("blocked"),
     )
 
@@ -98,7 +107,11 @@ def page_entries(pages: DataFrame) -> DataFrame:
 
 
 def query(pages: DataFrame) -> DataFrame:
-    """page_id, filter_host, fetched, n_active, active_lists, blocked for each row of pages(page_id, url)."""
+    """page_id, filter_host, fetched, n_active, active_lists, blocked for each row of pages(page_id, url).
+
+    A null address has an empty host and no active entry; a null id has no fetch day, so no active entry either.
+    Repeated rows give repeated rows, an empty table none; other columns, whatever their names, are not read.
+    """
     return evaluate(page_captures(pages), page_entries(pages)).select("page_id", "filter_host", "fetched", "n_active", "active_lists", "blocked")
 
 
