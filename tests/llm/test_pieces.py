@@ -132,3 +132,20 @@ def test_queries(spark, vocabulary):
     back = {(r.doc_id, r.text) for r in encoding.texts(encoding.ids(docs)).collect()}
     assert back == {(d, t or "") for d, t in rows}
     assert encoding.encode_documents(docs.limit(0)).count() == counting.token_counts(docs.limit(0)).count() == 0
+
+
+def test_long_random_words_take_bounded_memory():
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäß0123456789"))
+    words = ["".join(draw.choice(letters, size=110)) for _ in range(40_000)]
+    counter = counting.Counter(P.load(P.MODEL))
+    tracemalloc.start()
+    counted = counter.count([" ".join(words)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counted[0][0] == len(words) and peak < 120 << 20, peak
+    few = words[::2000]
+    encoder = encoding.Encoder(P.load(P.MODEL))
+    assert [n for _, n in counter.count(few)] == [len(x) // 4 for x in encoder.encode(few)]

@@ -19,13 +19,15 @@ from weirflow.llm.common import small_batches, texts_of
 #: Remembered words in a worker; beyond it the memory starts anew.
 MOST_WORDS = 600_000
 LONG_WORD = 160
+#: Words that make one trie: those of a block, in order, so that neighbours share their prefixes.
+BLOCK = 8_192
 
 
 def _trie_counts(words: list[bytes], vocabulary: P.Pieces) -> np.ndarray:
     """Tokens of each of the sorted, distinct words."""
     sizes = np.array([len(w) for w in words])
     count, longest = len(words), int(sizes.max())
-    data = np.full((count, longest), -1, dtype=np.int64)
+    data = np.full((count, longest), -1, dtype=np.int16)
     for row, word in enumerate(words):
         data[row, : len(word)] = np.frombuffer(word, dtype=np.uint8)
     differs = data[1:] != data[:-1]
@@ -46,7 +48,7 @@ def _trie_counts(words: list[bytes], vocabulary: P.Pieces) -> np.ndarray:
         leaders = rows[fresh]
         parent = node_of[leaders]
         node_of[rows] = np.cumsum(fresh) - 1
-        byte = data[leaders, depth - 1]
+        byte = data[leaders, depth - 1].astype(np.int64)
         width = np.maximum(P.WIDTH[byte], 1)
         first = lacks[parent] == 0
         began = np.where(first, depth - 1, began[parent])
@@ -88,8 +90,9 @@ class Counter:
     def _learn(self, new: set[str]) -> None:
         marked = sorted((P.marked(w), w) for w in new)
         short = [x for x in marked if len(x[0]) <= LONG_WORD]
-        if short:
-            self.known.update(zip((w for _, w in short), _trie_counts([d for d, _ in short], self.vocabulary).tolist()))
+        for start in range(0, len(short), BLOCK):
+            part = short[start : start + BLOCK]
+            self.known.update(zip((w for _, w in part), _trie_counts([d for d, _ in part], self.vocabulary).tolist()))
         for data, word in marked:
             if len(data) > LONG_WORD:
                 path = encoding.best_path(data, self.vocabulary)
@@ -120,8 +123,10 @@ def _count_batches(path: str):
 def token_counts(docs: DataFrame, model: str = P.MODEL) -> DataFrame:
     """doc_id, n_pre_tokens, n_tokens for each row of docs(doc_id, text).
 
-    The count is that of the best unigram path, byte pieces of unknown characters one each. A null text is the empty
-    text, which has none. Repeated rows give repeated rows; an empty table none; other columns are not read.
+    The count is that of the best unigram path, byte pieces of unknown characters one each; of paths of equal score
+    the first found counts, as in encoding. A null text is the empty text, which has none. Repeated rows give repeated
+    rows; an empty table none; other columns are not read. Memory is bounded by BATCH_BYTES of text, BLOCK words and
+    MOST_WORDS remembered counts, or by one text's own words where that is longer.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_count_batches(model), "doc_id long, n_pre_tokens long, n_tokens long")

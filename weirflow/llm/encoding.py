@@ -196,7 +196,11 @@ def _id_batches(path: str):
 
 
 def ids(docs: DataFrame, model: str = P.MODEL) -> DataFrame:
-    """(doc_id, ids) of docs(doc_id, text)."""
+    """(doc_id, ids) of docs(doc_id, text): the piece ids, none for a null or empty text.
+
+    Of paths of equal score the first found counts. Repeated rows give repeated rows, an empty table none; other
+    columns are not read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_id_batches(model), "doc_id long, ids array<int>")
 
@@ -212,5 +216,9 @@ def _text_batches(path: str):
 
 
 def texts(encoded: DataFrame, model: str = P.MODEL) -> DataFrame:
-    """(doc_id, text) of encoded(doc_id, ids): the inverse of ids()."""
+    """(doc_id, text) of encoded(doc_id, ids): the inverse of ids().
+
+    Null ids are the empty text, a null id inside is left out, bytes that are no UTF-8 become replacement characters.
+    Repeated rows give repeated rows, an empty table none; other columns are not read.
+    """
     return encoded.select("doc_id", "ids").mapInArrow(_text_batches(model), "doc_id long, text string")
