@@ -454,6 +454,10 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each identifier in text replaced by its kind, and n_chars, if there, counted again; a null text stays null."""
+    """docs with each identifier in text replaced by its kind, and n_chars, if there, counted again.
+
+    A null text stays null, an empty one empty. Repeated rows give repeated rows, an empty table none; all other
+    columns pass as they are, whatever their names.
+    """
     out = docs.mapInArrow(_redact, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

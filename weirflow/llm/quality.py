@@ -146,7 +146,12 @@ def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
 
 
 def keep(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that are kept."""
+    """The rows of docs, all columns, that are kept.
+
+    A null text is the empty text, which fails the base rules and goes. Repeated rows are judged alike, so all stay or
+    all go; a score equal to the threshold stays. An empty table gives no rows. No column name can clash: the row is
+    carried as one value. Labels with a null id or quality name no target.
+    """
     ratios = ratio_table(log_ratios(docs, labels.where("quality = 1"), buckets), buckets)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("_row"), F.col("text").cast("string").alias("text"))

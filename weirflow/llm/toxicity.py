@@ -284,5 +284,10 @@ def _keeps(model: Model):
 
 
 def keep(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """The rows of docs, all columns, whose score is below 0.5."""
+    """The rows of docs, all columns, whose score is below 0.5.
+
+    A null text is the empty text. Repeated rows score alike, so all stay or all go; a score of exactly 0.5 goes. An
+    empty table gives no rows. Only doc_id and text are read by name, so no other column can clash. Labels with a null
+    id or class are ignored.
+    """
     return docs.mapInArrow(_keeps(fit(docs, labels, **bounds)), docs.schema)
