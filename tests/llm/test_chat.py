@@ -60,3 +60,32 @@ def test_query_rows(spark):
         assert (found.n_loss_tokens > 0) == bool(loss)
     assert len(out) == len({r[0] for r in rows})
     assert chat.digest(chat.formatted(table.limit(0))).count() == 0
+
+
+def test_offsets_and_ids_are_the_tokenizers_own(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(chat.TOKENIZER)
+    whole.encode_special_tokens = True
+    places = chat._Offsets(chat.RANKS)
+    draw = random.Random(3)
+    parts = ["Hello", " world", "  ", "\n", "é", "漢字", "😀", "👩‍👩‍👧", "naïve", " x1", "\t", "ß", "…", "<|turn|>", "[INST]", "\u0301"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(500)]
+    rendered = [chat.rendered([("user", t), ("assistant", t)]) for t in texts]
+    for (text, spans), ids in zip(rendered, chat.encode([t for t, _ in rendered])):
+        own = whole.encode(text, add_special_tokens=False)
+        assert np.frombuffer(ids, "<u4").tolist() == own.ids
+        assert places.spans(text, np.array(own.ids)).tolist() == [list(x) for x in own.offsets], text
+        assert [(a, b) for role, _, a, b in chat.parse(text) if role == "assistant"] == [tuple(x) for x in spans.tolist()]
+    rows = chat.formatted(spark.createDataFrame([(1, 0, "user", "hi", ""), (1, 1, "assistant", "é 😀 ok", "")], SCHEMA)).collect()
+    assert [rows[0].formatted[s.start : s.end] for s in rows[0].loss_spans] == ["é 😀 ok"] and sum(rows[0].loss) > 1
+
+
+def test_many_conversations_in_one_batch(spark):
+    rows = [(i, t, ["user", "assistant"][t % 2], f"{'word ' * (i % 7)}{i}.{t} é", "") for i in range(500) for t in range(i % 5 + 1)]
+    found = {r.conv_id: r for r in chat.digest(chat.formatted(spark.createDataFrame(rows, SCHEMA).coalesce(1)).coalesce(1)).collect()}
+    for conv in range(500):
+        own = [r for r in rows if r[0] == conv]
+        loss = "".join(r[3] for r in own if r[2] == "assistant")
+        assert (found[conv].n_turns, found[conv].turns_sha256) == (len(own), sha("".join(f"{r[2]}\n{r[3]}\n" for r in own)))
+        assert (found[conv].loss_sha256, found[conv].n_loss_tokens > 0) == (sha(loss), bool(loss))
