@@ -76,3 +76,19 @@ def test_one_row_repeated_rows_and_no_row(spark):
     assert spotsigs.fingerprint_documents(one.unionByName(one).unionByName(one)).count() == 3
     assert spotsigs.fingerprint_documents(one.limit(0)).count() == 0
     assert xxhash.xxh64_intdigest("a") != 0
+
+
+def test_many_ranges_hot_ids_and_rows_without_id(spark):
+    draw = random.Random(9)
+    rows = [(draw.randint(-50, 50), random_text(draw, 12)) for _ in range(200)] + [(7, random_text(draw, 12)) for _ in range(300)] + [(None, random_text(draw, 12)) for _ in range(150)]
+    rows += [rows[0]] * 5 + [(1 << 62, "far up of all there"), (-(1 << 63), "far down of all there"), (0, None)]
+    tie = lambda text: (xxhash.xxh64_intdigest(text, 42) + (1 << 63)) % (1 << 64)
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+    expected = sorted(
+        (r[0] is None, r[0] or 0, hashlib.sha256(spotsigs.edited(r[1], ordered[(k + 1) % len(ordered)][1]).encode()).hexdigest()) for k, r in enumerate(ordered)
+    )
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for size in (200, 2_000, 1 << 30):
+        found = spotsigs.fingerprint_documents(docs, range_bytes=size).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.edited_sha256) for r in found) == expected
+    assert spotsigs._Ranges(docs.withColumn("_tie", docs.doc_id), 200, 1000).count > 100

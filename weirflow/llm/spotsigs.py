@@ -8,19 +8,25 @@ that are not neighbours cannot reach the threshold, and a comparison stops once
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, functions as F
 
 from weirflow.llm.common import small_batches
 
 CHAIN = 2
 THRESHOLD = 0.8
+#: Text of a range that one task reads, and how many ranges there are at most.
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 20_000
 #: Remembered words in a worker; beyond it the memory starts anew.
 MOST_WORDS = 600_000
 
@@ -121,6 +127,12 @@ def pruned_likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD,
     return value if value >= threshold else None
 
 
+def compared(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[float, bool]:
+    """The likeness, and whether it reaches the threshold: the pruned comparison decides, and only what it leaves out is counted in full."""
+    value = pruned_likeness(a, b, threshold)
+    return (likeness(a, b), False) if value is None else (value, True)
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last third, in code points, replaced by the first as many of the following text."""
     third = len(text) // 3
@@ -144,44 +156,74 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     _, one, own, mine = last
                     other = edited(own, text)
                     after = signatures(other)
-                    near = likeness(mine, after), likeness(mine, found)
+                    (near_edited, match_edited), (near_next, match_next) = compared(mine, after), compared(mine, found)
                     rows.append(
-                        (one, len(own), hashlib.sha256(other.encode()).hexdigest(), told(mine), told(after), *near, len(mine), length_partition(len(mine)),
-                         pruned_likeness(mine, after) is not None, pruned_likeness(mine, found) is not None)
+                        (one, len(own), hashlib.sha256(other.encode()).hexdigest(), told(mine), told(after), near_edited, near_next, len(mine), length_partition(len(mine)),
+                         match_edited, match_next)
                     )
                 last = None if head else (bucket, doc_id, text, found)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def _bucket(bounds: list[int]) -> Column:
-    inside = F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b <= F.col("doc_id"))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(inside))
+class _Ranges:
+    """Ranges of the order (doc_id descending, nulls last, then tie) that a task reads each: their number follows the bytes.
 
+    Ranges are cut at quantiles of doc_id. A doc_id that several quantiles fall on, and the rows without one, have a
+    range for each such share, cut by the tie, which is a hash. Range numbers fall as the order goes on.
+    """
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    def __init__(self, rows: DataFrame, range_bytes: int, most_ranges: int) -> None:
+        size, count, known = rows.agg(F.sum(F.octet_length("text")), F.count("*"), F.count("doc_id")).first()
+        ranges = min(most_ranges, max(1, -(-(size or 0) // range_bytes)))
+        self.of_null = 0 if known == count else max(1, round(ranges * (count - known) / count))
+        shares = max(1, ranges - self.of_null)
+        points = [i / shares for i in range(1, shares)]
+        found = rows.agg(F.percentile_approx("doc_id", points, 4 * ranges)).first()[0] if points else None
+        self.bounds = sorted(found or [])
+        self.count = self.of_null + len(self.bounds) + 1
+
+    def numbered(self, rows: DataFrame) -> DataFrame:
+        """rows with _bucket, the number of their range."""
+        share = F.col("_tie") / float(1 << 64) + 0.5  # the tie's place between 0 and 1
+        below = F.lit(0)
+        if self.bounds:
+            splits = sorted({float(b) for b in self.bounds})
+            upto = [bisect.bisect_right(self.bounds, x, key=float) for x in splits]
+            cut = Bucketizer(splits=[-np.inf, *splits, np.inf], inputCol="_at", outputCol="_split", handleInvalid="keep")
+            rows = cut.transform(rows.withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
+            below = F.element_at(F.lit([0, *upto]), F.col("_split").cast("int") + 1)
+            often = {b: n for b, n in Counter(self.bounds).items() if n > 1 and abs(b) < 1 << 53}
+            if often:  # half as many as ranges at most, and few unless ids repeat
+                times = F.element_at(F.create_map(*(F.lit(x) for pair in often.items() for x in pair)), F.col("doc_id"))
+                below = below - F.coalesce(F.least(F.floor(share * times), times - 1), F.lit(0))
+        null = self.of_null - 1 - F.least(F.floor(share * self.of_null), F.lit(max(self.of_null - 1, 0)))
+        return rows.withColumn("_bucket", F.when(F.col("doc_id").isNull(), null).otherwise(below + self.of_null).cast("int")).drop("_at", "_split")
+
+
+def fingerprint_documents(docs: DataFrame, range_bytes: int = RANGE_BYTES, most_ranges: int = MOST_RANGES) -> DataFrame:
     """For each row of docs(doc_id, text): its fingerprint, that of its edited text, and likenesses.
 
     The next document is the one behind in descending doc_id, after the last the first; rows of one id are in order
     of a hash of their texts, rows without id come last. A single row is its own next. A null text is the empty
-    text. An empty table gives no rows; other columns are not read.
+    text. Repeated rows follow one another and give a row each. An empty table gives no rows; other columns are not
+    read.
 
-    The texts are shuffled once, into ranges of doc_id; each range is read in order, and the one row that a range
-    needs from beyond its end, the next range's first, is sent along with it.
+    The texts are shuffled once, into ranges of the order; each range is read in order by one task, row by row, and
+    the one row that a range needs from beyond its end, the next range's first, is sent along with it. A range has
+    about range_bytes of text; beyond most_ranges of them the ranges grow.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("_tie", F.xxhash64("text"))
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = rows.agg(F.percentile_approx("doc_id", shares, 20 * ranges)).first()[0] if shares else None
-    keyed = rows.withColumn("_bucket", _bucket(sorted(set(bounds or []))))
+    ranges = _Ranges(rows, range_bytes, most_ranges)
+    keyed = ranges.numbered(rows)
     # One row per range: its first in order. Ranges follow one another downwards, and the last leads to the first.
-    first = F.min_by(F.struct("doc_id", "_tie"), F.struct(-F.col("doc_id"), "_tie")).alias("f")
+    first = F.min_by(F.struct("doc_id", "_tie"), F.struct(F.bitwise_not("doc_id"), "_tie")).alias("f")
     heads = sorted(((r["_bucket"], r.f.doc_id, r.f["_tie"]) for r in keyed.groupBy("_bucket").agg(first).collect()), reverse=True)
     closing = [(heads[i - 1][0], *head[1:]) for i, head in enumerate(heads)]
-    closing_rows = spark.createDataFrame(closing, "_bucket int, _doc long, _same long")
+    closing_rows = spark.createDataFrame(closing, "_bucket int, _doc long, _same long")  # at most most_ranges rows
     here = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_same"))
-    sent = rows.join(F.broadcast(closing_rows), here).select("doc_id", "text", "_tie", "_bucket", F.lit(1).alias("_head"))
-    dealt = keyed.select("doc_id", "text", "_tie", "_bucket", F.lit(0).alias("_head")).unionByName(sent).repartition(ranges, "_bucket")
+    sent = rows.join(F.broadcast(closing_rows), here).select("doc_id", "text", "_tie", "_bucket", F.lit(1).alias("_head")).dropDuplicates(["_bucket"])
+    dealt = keyed.select("doc_id", "text", "_tie", "_bucket", F.lit(0).alias("_head")).unionByName(sent).repartitionById(ranges.count, "_bucket")
     return dealt.sortWithinPartitions("_bucket", "_head", F.desc_nulls_last("doc_id"), "_tie").mapInArrow(_compare, _RESULT)
