@@ -65,7 +65,7 @@ def test_decoding_finds_the_cheapest_reading(fitted):
             if not options or c in toxicity.RESEMBLES and not c.isalpha():
                 options.append((c, toxicity.COST_AS_IS))
             choices.append(options)
-        best = math.inf
+        readings = {}
         for path in itertools.product(*choices):
             a = b = 0
             total = 0.0
@@ -74,18 +74,31 @@ def test_decoding_finds_the_cheapest_reading(fitted):
                 for x in written:
                     total += costs[a << 10 | b << 5 | toxicity._code(x)]
                     a, b = b, toxicity._code(x)
-            best = min(best, total + costs[a << 10 | b << 5])
-        return best
-
-    for observed in ["v1lla1n", "r.o.t.t.e.n", "dreadfuuul", "w|2", "wr3tch", "11", "aab", "st0n3", "5umm3r", "+a813"]:
-        found = toxicity.decode(observed, costs)
-        least = cheapest(observed)
-        a = b = 0
-        total = 0.0
-        for x in found:
-            total += costs[a << 10 | b << 5 | toxicity._code(x)]
-            a, b = b, toxicity._code(x)
-        assert total + costs[a << 10 | b << 5] <= least + 1e-6  # the channel's costs come on top
+            reading = "".join(written for written, _ in path)
+            readings[reading] = min(readings.get(reading, math.inf), total + costs[a << 10 | b << 5])
+        return readings
+
+    for observed in ["v1lla1n", "r.o.t.t.e.n", "dreadfuuul", "w|2", "wr3tch", "11", "aab", "st0n3", "5umm3r", "+a813", "lleett", "s-s", "0o0", "b@@d"]:
+        readings = cheapest(observed)
+        least = min(readings.values())
+        # language and channel costs of the whole path: no other reading costs less, and this one costs no more
+        assert toxicity.decode(observed, costs) in {x for x, total in readings.items() if total <= least + 1e-5}, observed
+
+
+def test_scores_match_a_plain_sum(spark, fitted):
+    docs, _, model = fitted
+    weight = dict(zip(model.names, model.weights))
+    costs = model.costs.tolist()
+    rows = docs.limit(80).collect()
+    found = {r.doc_id: r.score for r in spark.createDataFrame(rows, docs.schema).select("doc_id", "text").mapInArrow(toxicity._scores(model), "doc_id long, score double").collect()}
+    told = 0
+    for row in rows:
+        words = [w for token in row.text.lower().split() for w in toxicity.restore(token, costs)]
+        named = {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in toxicity.PREFIXES if len(w) > n}
+        total = model.intercept + sum(weight.get(x, 0.0) for x in named)
+        told += any(x in weight for x in named)
+        assert abs(found[row.doc_id] - 1 / (1 + math.exp(-total))) < 1e-9
+    assert told > 5
 
 
 @pytest.mark.parametrize(
