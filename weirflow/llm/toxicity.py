@@ -20,9 +20,8 @@ from weirflow.llm.common import bytes_of, small_batches, staged, texts_of
 
 #: Labelled documents that the model is fitted on: of more, those with the least hash of their id.
 MOST_LABELLED = 10_000
-#: Features of the model: the most telling ones by the likelihood ratio.
-MOST_FEATURES = 2_048
-#: A feature must be in so many fitted documents, more often in toxic ones, by so much log-likelihood ratio.
+#: A feature must be in so many fitted documents, more often in toxic ones, by so much log-likelihood ratio. All such
+#: features count; the bound on the documents bounds them.
 LEAST_DOCUMENTS = 3
 LEAST_TELLING = 7.0
 PREFIXES = (4, 5, 6)
@@ -213,7 +212,7 @@ class Model:
         self.costs, self.names, self.weights, self.intercept = costs, names, weights, intercept
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
     """The model from docs(doc_id, text), all texts for the language model, and labels(doc_id, toxic) outside the held-out fold.
 
     At most most_labelled labelled documents count, so their ids may be broadcast; repeated texts count once. A
@@ -237,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
     rate, n, k = F.lit(n_toxic / n_docs), F.col("n"), F.col("k")
     rest, rest_k = F.lit(n_docs) - n, F.lit(n_toxic) - k
     telling = part(k, n * rate) + part(n - k, n * (1 - rate)) + part(rest_k, rest * rate) + part(rest - rest_k, rest * (1 - rate))
-    best = each.where((n >= LEAST_DOCUMENTS) & (k > n * rate)).select("feature", telling.alias("t")).where(F.col("t") >= LEAST_TELLING).orderBy(F.desc("t"), "feature").limit(most_features)
+    best = each.where((n >= LEAST_DOCUMENTS) & (k > n * rate)).select("feature", telling.alias("t")).where(F.col("t") >= LEAST_TELLING)
     names = sorted(r.feature for r in best.collect())
     if not names:
         return Model(costs, [], [], math.log(n_toxic / (n_docs - n_toxic)))
