@@ -20,8 +20,6 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Buckets of the hashed n-grams; the table of log ratios has so many numbers, whatever the corpus.
 BUCKETS = 16_384
-#: Trusted rows that the target multinomial is fitted on: of more, those with the least hash of their id.
-MOST_TRUSTED = 20_000
 #: Pseudo-count of each bucket.
 SMOOTHING = 1.0
 #: A document is kept from this mean log ratio on.
@@ -59,16 +57,15 @@ def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(value, F.lit(buckets)).cast("int")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, ratio): log of the target's over the raw corpus's share of the bucket, from the n-grams of all docs.
 
-    trusted(doc_id) names target documents; at most most_trusted of them count, so it may be broadcast. Without any
-    trusted document all ratios are 0. Buckets that no document has are left out.
+    trusted(doc_id) names target documents, all of which count. Their ids meet the texts before any word is cut, by a
+    join that is Spark's to choose: a broadcast as long as the ids are few, else one shuffle of ids and texts.
+    Without any trusted document all ratios are 0. Buckets that no document has are left out.
     """
-    chosen = trusted.select(F.col("doc_id").cast("long").alias("_id")).dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(most_trusted)
-    flagged = with_words(docs.withColumn("_doc", docs["doc_id"].cast("long")), "_doc").join(
-        F.broadcast(chosen.withColumn("_target", F.lit(1))), F.col("_doc") == F.col("_id"), "left"
-    )
+    chosen = trusted.select(F.col("doc_id").cast("long").alias("_id")).dropna().distinct().withColumn("_target", F.lit(1))
+    flagged = with_words(docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"]).join(chosen, "_id", "left"), "_target")
     grams = flagged.select(F.coalesce("_target", F.lit(0)).alias("_target"), F.explode(F.concat("_hashes", "_pairs")).alias("_gram"))
     counts = grams.groupBy(_bucket(F.col("_gram"), buckets).alias("bucket")).agg(
         F.count("*").alias("raw"), F.sum("_target").cast("long").alias("target")
