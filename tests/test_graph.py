@@ -50,17 +50,109 @@ def test_dominators_frontiers_and_back_edges_on_random_graphs(spark):
     assert {tuple(r) for r in graph.back_edges(e, dom).collect()} == {(g, a, b) for g, a, b in edges if (g, b, a) in expected}
 
 
-def test_dominators_refuse_large_graphs(spark):
-    e, start = frames(spark, [(1, f"n{i}", f"n{i + 1}") for i in range(6)], [(1, "n0")])
-    with pytest.raises(ValueError, match="7 nodes"):
-        graph.dominators(e, start, most_nodes=6)
+def plain_idoms(size, edges):
+    """Immediate dominators of one graph from node 0, by repeated intersection in reverse post-order."""
+    out, into = {}, {}
+    for x, y in edges:
+        out.setdefault(x, []).append(y)
+        into.setdefault(y, []).append(x)
+    order, seen, stack = [], {0}, [(0, iter(out.get(0, [])))]
+    while stack:
+        node, ways = stack[-1]
+        for y in ways:
+            if y not in seen:
+                seen.add(y)
+                stack.append((y, iter(out.get(y, []))))
+                break
+        else:
+            order.append(node)
+            stack.pop()
+    place = {n: i for i, n in enumerate(order)}
+    idom, changed = {0: 0}, True
+    while changed:
+        changed = False
+        for n in reversed(order[:-1]):
+            new = None
+            for p in into[n]:
+                if p in idom:
+                    if new is None:
+                        new = p
+                    x = p
+                    while x != new:
+                        while place[x] < place[new]:
+                            x = idom[x]
+                        while place[new] < place[x]:
+                            new = idom[new]
+            if idom.get(n) != new:
+                idom[n], changed = new, True
+    return {n: None if n == 0 else d for n, d in idom.items()}
+
+
+def test_dominators_of_one_large_graph(spark):
+    size, draw = 50_000, random.Random(4)
+    edges = [(i // 3, i) for i in range(1, size)] + [(i, draw.randrange(size)) for i in range(0, size, 7)] + [(i, max(0, i - draw.randint(1, 50))) for i in range(0, size, 5)]
+    edges += [(size + i, size + i + 1) for i in range(50)] + [(size, 3)]  # not reached from 0
+    e = spark.createDataFrame([(1, a, b) for a, b in edges], "g long, src long, dst long")
+    dom = graph.dominators(e, spark.createDataFrame([(1, 0)], "g long, node long"))
+    found = {r.node: r.idom for r in graph.immediate_dominators(dom).collect()}
+    assert found == plain_idoms(size, edges)
+
+
+def test_ranks_are_in_pre_order(spark):
+    e, start = frames(spark, [(1, "r", "b"), (1, "r", "a"), (1, "b", "d"), (1, "a", "c"), (1, "c", "e"), (1, "b", "e")], [(1, "r")])
+    told = {r.node: (r.depth, r["rank"], r.n_children, r.children) for r in graph.dominator_tree(graph.dominators(e, start)).collect()}
+    assert told == {"r": (0, 0, 3, "a,b,e"), "a": (1, 1, 1, "c"), "c": (2, 2, 0, ""), "b": (1, 3, 1, "d"), "d": (2, 4, 0, ""), "e": (1, 5, 0, "")}
+
+
+def test_loop_kinds_latches_and_exits(spark):
+    edges = [
+        (1, "h", "b"), (1, "b", "l"), (1, "l", "h"), (1, "h", "x"),  # while
+        (2, "h", "b"), (2, "b", "h"), (2, "b", "x"),  # repeat, the latch decides
+        (3, "h", "l"), (3, "h", "x"), (3, "l", "h"), (3, "h", "m"), (3, "m", "l"),  # repeat, the header leads straight to the latch
+        (4, "p", "l"), (4, "l", "b"), (4, "b", "p"), (4, "b", "x"),  # for
+        (5, "s", "s"),  # endless
+        (6, "h", "a"), (6, "h", "x"), (6, "a", "h"), (6, "a", "z"), (6, "z", "h"),  # two latches
+    ]
+    e, start = frames(spark, edges, [(1, "h"), (2, "h"), (3, "h"), (4, "p"), (5, "s"), (6, "h")])
+    dom = graph.dominators(e, start)
+    ops = spark.createDataFrame([(4, "p", "PREP")], "g long, node string, op string")
+    looped = graph.loops(e, dom, ops, {"PREP": "pairs"})
+    told = {r.g: (r.header, r.latch, r.kind, r.exit) for r in looped.collect()}
+    assert told[1] == ("h", "l", "while", "x") and told[2] == ("h", "b", "repeat", "x") and told[5] == ("s", "s", "while", None)
+    assert told[3][:3] == ("h", "l", "repeat") and told[3][3] == "m" and told[4] == ("p", "b", "pairs", "x")
+    assert told[6] == ("h", "a", "repeat", "z")
+    endless = {tuple(r) for r in graph.endless_loops(e, dom, looped).collect()}
+    assert endless == {(5, "s", "s"), (6, "h", "z")}
+
+
+def test_merge_point_rules(spark):
+    edges = [(1, "a", "m"), (1, "b", "k"), (1, "k", "m"), (1, "b", "m2"), (1, "a", "m2"), (1, "m", "b"), (2, "a", "b"), (3, "a", "x"), (3, "b", "y")]
+    pairs = spark.createDataFrame([(1, "a", "b"), (2, "a", "b"), (2, "b", "b"), (3, "a", "b"), (3, "x", "b"), (3, "x", "y"), (3, "b", "y")], "g long, a string, b string")
+    e, gone = frames(spark, edges, [(3, "x"), (3, "y")])
+    back = spark.createDataFrame([(1, "m", "b")], "g long, src string, dst string")
+    found = {(r.g, r.a, r.b): r.merge for r in graph.merge_point(e, pairs, gone, back).collect()}
+    assert found == {(1, "a", "b"): "m2", (2, "a", "b"): "b", (2, "b", "b"): "b", (3, "a", "b"): None, (3, "x", "b"): "b", (3, "x", "y"): None, (3, "b", "y"): "b"}
+
+
+def test_chains_of_decisions_and_member_paths(spark):
+    rows = [(1, "a", "t", "b", True), (1, "b", "t", "c", True), (1, "c", "e", "t", True), (2, "a", "t", "b", True), (2, "b", "t", "x", True), (3, "a", "t", "b", True), (3, "b", "e", "t", False), (4, "a", "t", "b", True), (4, "b", "t", "a", True)]
+    decisions = spark.createDataFrame(rows, "g long, node string, on_true string, on_false string, comparison boolean")
+    found = {tuple(r) for r in graph.shared_target_chains(decisions).collect()}
+    assert found == {(1, "a", "t", 3, "a,b,c", "e"), (1, "b", "t", 2, "b,c", "e")}
+    size = 70
+    ladder = [(9, f"{i:02d}", "m", f"{i + 1:02d}", True) for i in range(size)]
+    merges = spark.createDataFrame([(9, r[1], "m") for r in ladder] + [(1, "a", "t"), (4, "a", "t"), (4, "b", "t")], "g long, node string, merge string")
+    depth = {(r.g, r.node): (r.depth, r.is_deep) for r in graph.dispatch_depth(decisions.unionByName(spark.createDataFrame(ladder, decisions.schema)), merges).collect()}
+    assert depth[(9, "00")] == (69, True) and depth[(9, "69")] == (0, False) and depth[(1, "a")] == (0, False) and depth[(4, "a")] == (None, None)
+    reads = spark.createDataFrame([(1, "z", "y", "c", False), (1, "y", "x", "k", True), (1, "x", "root", "a", False), (2, "p", "q", "h", False), (2, "q", "p", "h", False)], "g long, node string, base string, hop string, keyed boolean")
+    assert {tuple(r) for r in graph.member_paths(reads).collect()} == {(1, "z", "root", ".a[k].c", 3), (1, "y", "root", ".a[k]", 2), (1, "x", "root", ".a", 1)}
 
 
 def test_contraction_of_chains_and_of_a_cycle(spark):
     edges = [(1, "a", "x"), (1, "x", "y"), (1, "y", "b"), (1, "a", "b"), (2, "a", "p"), (2, "p", "q"), (2, "q", "r"), (2, "r", "p")]
     removable = [(1, "x"), (1, "y"), (2, "p"), (2, "q"), (2, "r")]
     e, gone = frames(spark, edges, removable)
-    assert {tuple(r) for r in graph.contract_passthrough(e, gone).collect()} == {(1, "a", "b"), (2, "a", "p"), (2, "p", "p")}
+    assert {tuple(r) for r in graph.contract_passthrough(e, gone).collect()} == {(1, "a", "b"), (2, "a", "r"), (2, "r", "r")}
 
 
 def test_damaged_graphs_are_told(spark):

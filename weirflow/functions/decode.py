@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: The multiplier of the permuted low byte; 227 undoes it modulo 256.
+# ---- fixed values: the multiplier of the permuted low byte; 227 undoes it modulo 256 ----
 PERMUTATION = 203
+# ---- end of fixed values ----
 
 
 def permuted(op: Column) -> Column:
@@ -84,7 +85,7 @@ def param_type(types: Column, i: Column, default: str = "any") -> Column:
 
 def classify(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """records with the flags of their op; catalog is a dimension of one row per op."""
-    return records.join(F.broadcast(catalog), "op", "left")
+    return records.join(catalog, "op", "left")
 
 
 def jump_target(pc: Column, offset: Column, bias: Column) -> Column:
@@ -107,6 +108,27 @@ def invert_condition(op: Column) -> Column:
     return chain.otherwise(F.concat(F.lit("not "), op))
 
 
+# ---- fixed values: conditional records and the comparison that each makes ----
+COMPARISONS = {"JUMPIFEQ": "==", "JUMPIFNOTEQ": "~=", "JUMPIFLT": "<", "JUMPIFNOTLT": ">=", "JUMPIFLE": "<=", "JUMPIFNOTLE": ">"}
+TRUTH, FALSEHOOD, CONSTANT = "JUMPIF", "JUMPIFNOT", "JUMPXEQK"
+# ---- end of fixed values ----
+
+
+def condition_of(op: Column, left: Column, right: Column, constant: Column, negated: Column) -> Column:
+    """(comparison, left, right) of a conditional record: two operands compared, a plain truth test, or one against a constant.
+
+    A truth test is truth or not and has no right side. A constant's comparison is turned by negated; a null constant
+    is nil. Another record is no condition: false, without sides.
+    """
+    told = lambda sign, a, b: F.struct(sign.alias("comparison"), a.alias("left"), b.alias("right"))
+    none = F.lit(None).cast("string")
+    chain = F.when(op == TRUTH, told(F.lit("truth"), left, none)).when(op == FALSEHOOD, told(F.lit("not"), left, none))
+    chain = chain.when(op == CONSTANT, told(F.when(F.coalesce(negated, F.lit(False)), "~=").otherwise("=="), left, F.coalesce(constant, F.lit("nil"))))
+    for name, sign in COMPARISONS.items():
+        chain = chain.when(op == name, told(F.lit(sign), left, right))
+    return chain.otherwise(told(F.lit("false"), none, none))
+
+
 def is_identifier(text: Column) -> Column:
     return text.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z")
 
@@ -134,10 +156,28 @@ def constant_value(text: Column) -> Column:
     return F.struct(F.coalesce(text, F.lit("nil")).alias("value"), kind.alias("type"))
 
 
+# ---- fixed values: the builtins by their numbers, from 0 on ----
+BUILTINS = """
+    none assert math.abs math.acos math.asin math.atan2 math.atan math.ceil math.cosh math.cos math.deg math.exp math.floor math.fmod math.frexp
+    math.ldexp math.log10 math.log math.max math.min math.modf math.pow math.rad math.sinh math.sin math.sqrt math.tanh math.tan bit32.arshift
+    bit32.band bit32.bnot bit32.bor bit32.bxor bit32.btest bit32.extract bit32.lrotate bit32.lshift bit32.replace bit32.rrotate bit32.rshift type
+    string.byte string.char string.len typeof string.sub math.clamp math.sign math.round rawset rawget rawequal table.insert table.unpack Vector3.new
+    bit32.countlz bit32.countrz select rawlen bit32.extract getmetatable setmetatable tonumber tostring bit32.byteswap buffer.readi8 buffer.readu8
+    buffer.writeu8 buffer.readi16 buffer.readu16 buffer.writeu16 buffer.readi32 buffer.readu32 buffer.writeu32 buffer.readf32 buffer.writef32
+    buffer.readf64 buffer.writef64 vector.magnitude vector.normalize vector.cross vector.dot vector.floor vector.ceil vector.abs vector.sign
+    vector.clamp vector.min vector.max math.lerp vector.lerp math.isnan math.isinf math.isfinite buffer.readinteger buffer.writeinteger integer.create
+    integer.tonumber integer.neg integer.add integer.sub integer.mul integer.div integer.min integer.max integer.rem integer.idiv integer.udiv
+    integer.urem integer.mod integer.clamp integer.band integer.bor integer.bnot integer.bxor integer.lt integer.le integer.ult integer.ule integer.gt
+    integer.ge integer.ugt integer.uge integer.lshift integer.rshift integer.arshift integer.lrotate integer.rrotate integer.extract integer.btest
+    integer.countrz integer.countlz integer.bswap
+""".split()
+# ---- end of fixed values ----
+
+
 def builtin_name(records: DataFrame, number: str, names: DataFrame) -> DataFrame:
     """records with builtin: the name of their number in names(id, name), or Unknown_BFID_n."""
     known = names.select(F.col("id").alias("_id"), F.col("name").alias("_name"))
-    return records.join(F.broadcast(known), records[number] == F.col("_id"), "left").withColumn("builtin", F.coalesce("_name", F.concat(F.lit("Unknown_BFID_"), F.col(number).cast("string")))).drop("_id", "_name")
+    return records.join(known, records[number] == F.col("_id"), "left").withColumn("builtin", F.coalesce("_name", F.concat(F.lit("Unknown_BFID_"), F.col(number).cast("string")))).drop("_id", "_name")
 
 
 def const_bool(text: Column) -> Column:

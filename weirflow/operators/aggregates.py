@@ -31,11 +31,11 @@ def block_stats(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("g", "type").agg(F.count("*").alias("n"))
 
 
-def unit_summary(records: DataFrame) -> DataFrame:
-    """One row per graph of what its records hold."""
+def unit_summary(records: DataFrame, flagged: str, counted: str) -> DataFrame:
+    """One row per graph of what its records hold: has_{flagged} tells whether that op occurs, n_{counted}s how often that one does."""
     return records.groupBy("g").agg(
         F.count("*").alias("n_records"), F.countDistinct("op").alias("n_ops"), F.max("reg").alias("max_reg"), F.countDistinct("reg").alias("n_regs"),
-        F.bool_or(F.col("op") == "error").alias("has_error"), F.count_if(F.col("op") == "purchase").alias("n_purchases"),
+        F.bool_or(F.col("op") == flagged).alias(f"has_{flagged}"), F.count_if(F.col("op") == counted).alias(f"n_{counted}s"),
     )
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import functools
+import itertools
 
-from weirflow.plans.fixpoint import grow, jump, settled
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Graphs with more nodes are refused by dominators(), whose work is quadratic in a graph's nodes.
-MOST_NODES = 5_000
+from weirflow.plans.fixpoint import discard, grow, jump, settled
 
 
 def link_blocks(blocks: DataFrame, jumps: DataFrame) -> DataFrame:
@@ -47,21 +47,43 @@ def can_reach(edges: DataFrame, pairs: DataFrame, stops: DataFrame | None = None
     return pairs.join(reach.withColumnRenamed("node", "b").withColumn("_r", F.lit(True)), ["g", "a", "b"], "left").select("g", "a", "b", F.coalesce("_r", F.lit(False)).alias("reaches"))
 
 
-def dominators(edges: DataFrame, entries: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
-    """(g, d, n): d dominates n, which holds unless n can be reached from the entry when d is taken away.
+def shortest_paths(links: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, path): each node that starts(keys, node) reach over links(g, node, dst), with the first of its shortest paths in order of names.
+
+    Nodes of a level are in the order in which a breadth-first search meets them if they are in order of their paths.
+    A round a level; only the newest level is joined.
+    """
+    links = settled(links.select("g", "node", "dst").where("node <> dst").distinct())
+    level = settled(starts.select(*keys, "node").distinct().withColumn("path", F.array("node")))
+    known, parts = level, [level]
+    for done in itertools.count(1):
+        ahead = level.join(links, ["g", "node"]).select(*keys, F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        level = settled(ahead.groupBy(*keys, "node").agg(F.min("path").alias("path")).join(known.select(*keys, "node"), [*keys, "node"], "left_anti"))
+        if level.isEmpty():
+            return known
+        known = known.unionByName(level)
+        parts.append(level)
+        if not done % 16:
+            known = settled(known)
+            discard(*parts[:-1])
+            parts = [level, known]
+    raise AssertionError
+
+
+def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """(g, d, n): d dominates n, which holds if every way from an entry to n leads over d. Nodes that are not reached are absent.
 
-    One fixpoint finds, for all nodes d of all graphs, what is reached without d. Nodes that are not reached at all
-    are absent. A graph of more than most_nodes nodes raises.
+    What dominates a node lies on each way to it, so the nodes on one shortest path are all that can. One fixpoint
+    takes those away that do not dominate a predecessor, and follows the edges from each that goes. The rows are as
+    many as the nodes' paths are long, whatever the number of nodes; the rounds, as many as the deepest path.
     """
-    reached = settled(reachable(edges, entries))
-    largest = reached.groupBy("g").count().agg(F.max("count")).first()[0]
-    if largest and largest > most_nodes:
-        raise ValueError(f"a graph has {largest} nodes; dominators() takes {most_nodes} at most")
-    links = settled(prune(edges, reached).select("g", F.col("src").alias("n"), "dst").distinct())
-    seed = reached.select("g", F.col("node").alias("d")).join(entries.select("g", F.col("node").alias("n")), "g").where("d <> n")
-    avoid = grow(seed, lambda new, _: new.join(links, ["g", "n"]).where("dst <> d").select("g", "d", F.col("dst").alias("n")))
-    pairs = reached.select("g", F.col("node").alias("d")).join(reached.select("g", F.col("node").alias("n")), "g")
-    return settled(pairs.join(avoid, ["g", "d", "n"], "left_anti"))
+    paths = shortest_paths(edges.select("g", F.col("src").alias("node"), "dst"), entries, ["g"])
+    above = settled(paths.select("g", F.col("node").alias("n"), F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("d")))
+    links = settled(prune(edges, paths).select("g", F.col("src").alias("n"), "dst").where("n <> dst").distinct())
+    seed = links.join(above.withColumnRenamed("n", "dst"), ["g", "dst"]).where("d <> n").join(above, ["g", "n", "d"], "left_anti").select("g", "d", F.col("dst").alias("n"))
+    lost = grow(seed, lambda new, _: new.join(links, ["g", "n"]).where("dst <> d").select("g", "d", F.col("dst").alias("n")).join(above, ["g", "d", "n"], "left_semi"))
+    own = paths.select("g", F.col("node").alias("d"), F.col("node").alias("n"))
+    return settled(above.select("g", "d", "n").join(lost, ["g", "d", "n"], "left_anti").unionByName(own))
 
 
 def immediate_dominators(dom: DataFrame) -> DataFrame:
@@ -72,9 +94,15 @@ def immediate_dominators(dom: DataFrame) -> DataFrame:
     return ranked.groupBy("g", F.col("n").alias("node")).agg(best.alias("idom"), (F.count("*") - 1).alias("depth"))
 
 
-def dominator_tree(idoms: DataFrame) -> DataFrame:
-    """(g, node, n_children, children): names of the nodes that a node dominates immediately, in order."""
-    return idoms.where("idom is not null").groupBy("g", F.col("idom").alias("node")).agg(F.count("*").alias("n_children"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("children"))
+def dominator_tree(dom: DataFrame) -> DataFrame:
+    """(g, node, depth, rank, n_children, children): rank is the place in pre-order, children are names in order, comma-joined."""
+    own = dom.groupBy("g", F.col("n").alias("d")).agg(F.count("*").alias("own"))
+    path = F.transform(F.array_sort(F.collect_list(F.struct("own", "d"))), lambda e: e["d"])
+    paths = settled(dom.join(own, ["g", "d"]).groupBy("g", F.col("n").alias("node")).agg(path.alias("path")))
+    below = paths.where("size(path) > 1").groupBy("g", F.get("path", F.size("path") - 2).alias("node")).agg(F.count("*").alias("n_children"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("children"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("path")) - 1
+    ranked = paths.select("g", "node", (F.size("path") - 1).cast("long").alias("depth"), rank.cast("long").alias("rank"))
+    return ranked.join(below, ["g", "node"], "left").select("g", "node", "depth", "rank", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"), F.coalesce("children", F.lit("")).alias("children"))
 
 
 def dominance_frontier(edges: DataFrame, dom: DataFrame, min_preds: int = 2) -> DataFrame:
@@ -90,22 +118,40 @@ def back_edges(edges: DataFrame, dom: DataFrame) -> DataFrame:
     return edges.select("g", "src", "dst").distinct().join(dom.select("g", F.col("d").alias("dst"), F.col("n").alias("src")), ["g", "src", "dst"], "left_semi")
 
 
-def loops(edges: DataFrame, dom: DataFrame) -> DataFrame:
-    """(g, header, latch, kind, exit) of each back edge.
+def loops(edges: DataFrame, dom: DataFrame, records: DataFrame | None = None, for_kinds: dict[str, str] | None = None) -> DataFrame:
+    """(g, header, latch, kind, exit), one row per header, that is per target of a back edge.
+
+    kind: what for_kinds makes of the record that records(g, node, op) gives for the header - numeric, general, pairs
+    or indexed; else repeat if the latch decides, or if the header decides and leads straight to the latch; else
+    while. Of several latches one that makes a repeat holds before others, then the last by name.
 
-    repeat if the latch decides or the header leads straight to it, while otherwise; exit is the first successor, by
-    name, of the deciding end (latch or header) that its header does not dominate back, null if there is none.
+    exit is the first by name of: the other successors of a latch that decides; the other successors of a header that
+    leads straight to its latch; for while, the header's successors that don't dominate the latch; for the others,
+    those of the latch's successors that it dominates. It is null where there is none.
     """
-    back = back_edges(edges, dom).select("g", F.col("dst").alias("header"), F.col("src").alias("latch"))
     plain = edges.select("g", "src", "dst").distinct()
-    width = plain.groupBy("g", F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
-    sized = back.join(width.select("g", F.col("node").alias("latch"), F.col("n_out").alias("_latch_out")), ["g", "latch"], "left")
-    kinds = sized.select("g", "header", "latch", F.when(F.col("_latch_out") > 1, "repeat").otherwise("while").alias("kind"))
-    decides = kinds.withColumn("src", F.when(F.col("kind") == "repeat", F.col("latch")).otherwise(F.col("header")))
-    inside = dom.select("g", F.col("d").alias("header"), F.col("n").alias("dst"), F.lit(True).alias("_in"))
-    leaving = decides.join(plain, ["g", "src"]).where("dst <> header").join(inside, ["g", "header", "dst"], "left").where("_in is null")
-    exits = leaving.groupBy("g", "header", "latch").agg(F.min("dst").alias("exit"))
-    return kinds.join(exits, ["g", "header", "latch"], "left").select("g", "header", "latch", "kind", "exit")
+    back = back_edges(plain, dom).select("g", F.col("dst").alias("header"), F.col("src").alias("latch"))
+    width = plain.groupBy("g", F.col("src").alias("node")).agg(F.count("*").alias("_out"))
+    out = lambda end: width.select("g", F.col("node").alias(end), F.col("_out").alias(f"_{end}_out"))
+    straight = plain.select("g", F.col("src").alias("header"), F.col("dst").alias("latch"), F.lit(True).alias("_straight"))
+    rows = back.join(out("latch"), ["g", "latch"]).join(out("header"), ["g", "header"]).join(straight, ["g", "header", "latch"], "left")
+    named = F.lit(None).cast("string")
+    if records is not None and for_kinds:
+        rows = rows.join(records.select("g", F.col("node").alias("header"), F.col("op").alias("_op")), ["g", "header"], "left")
+        for op, kind in for_kinds.items():
+            named = F.when(F.col("_op") == op, kind).otherwise(named)
+    decides = (F.col("_latch_out") > 1) & (F.col("latch") != F.col("header"))
+    tested = (F.col("_header_out") > 1) & F.coalesce("_straight", F.lit(False)) & (F.col("latch") != F.col("header"))
+    rows = rows.select("g", "header", "latch", F.coalesce(named, F.when(decides | tested, "repeat").otherwise("while")).alias("kind"), decides.alias("_decides"))
+    best = F.max_by(F.struct("latch", "kind", "_decides"), F.struct((F.col("kind") == "repeat").alias("r"), "latch"))
+    one = settled(rows.groupBy("g", "header").agg(best.alias("b")).select("g", "header", "b.*"))
+    at_latch = (F.col("kind") != "while") & ((F.col("kind") != "repeat") | F.col("_decides"))
+    ends = one.withColumn("src", F.when(at_latch, F.col("latch")).otherwise(F.col("header")))
+    over = dom.select("g", F.col("d"), F.col("n"), F.lit(True).alias("_over"))
+    leaving = ends.join(plain, ["g", "src"]).where("dst <> header and dst <> latch")
+    leaving = leaving.withColumn("d", F.when(F.col("kind") == "while", F.col("dst")).otherwise(F.col("latch"))).withColumn("n", F.when(F.col("kind") == "while", F.col("latch")).otherwise(F.col("dst")))
+    leaving = leaving.join(over, ["g", "d", "n"], "left").where("kind = 'repeat' or (kind = 'while') = (_over is null)")
+    return one.join(leaving.groupBy("g", "header").agg(F.min("dst").alias("exit")), ["g", "header"], "left").select("g", "header", "latch", "kind", "exit")
 
 
 def innermost_loop(dom: DataFrame, headers: DataFrame) -> DataFrame:
@@ -125,40 +171,117 @@ def classify_exits(edges: DataFrame, inner: DataFrame, looped: DataFrame, dom: D
     return rows.select("g", "src", "dst", role.alias("role"))
 
 
-def endless_loops(edges: DataFrame) -> DataFrame:
-    """(g, node): nodes whose only edge leads to themselves."""
-    return edges.groupBy("g", F.col("src").alias("node")).agg(F.count_if(F.col("dst") != F.col("src")).alias("_out")).where("_out = 0").select("g", "node")
+def endless_loops(edges: DataFrame, dom: DataFrame, looped: DataFrame) -> DataFrame:
+    """(g, node, latch) of loops without a test: nodes whose only edge leads to themselves, and headers of looped(g, header, latch) with a second latch that leads nowhere else.
+
+    Of several such latches the first by name counts.
+    """
+    plain = edges.select("g", "src", "dst").distinct()
+    alone = plain.groupBy("g", "src").agg(F.count("*").alias("_out"), F.min("dst").alias("dst")).where("_out = 1").select("g", "src", "dst")
+    fused = alone.where("src = dst").select("g", F.col("src").alias("node"), F.col("src").alias("latch"))
+    back = alone.where("src <> dst").join(dom.select("g", F.col("d").alias("dst"), F.col("n").alias("src")), ["g", "src", "dst"], "left_semi")
+    second = back.join(looped.select("g", F.col("header").alias("dst"), F.col("latch").alias("_known")), ["g", "dst"]).where("src <> _known")
+    return fused.unionByName(second.groupBy("g", F.col("dst").alias("node")).agg(F.min("src").alias("latch")))
+
+
+def merge_point(edges: DataFrame, branches: DataFrame, returns: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
+    """branches(g, a, b) with merge, the node where the two ways meet again.
+
+    a if both are one; null if both are returns(g, node), the other one if one is; b if a reaches it; else the first
+    node that a breadth-first search from b meets, successors in order of names, of those that a reaches; null if there
+    is none. Edges in back(g, src, dst), those of loops, are not followed.
+    """
+    pairs = settled(branches.select("g", "a", "b").distinct())
+    links = edges.select("g", "src", "dst").distinct()
+    if back is not None:
+        links = links.join(back.select("g", "src", "dst").distinct(), ["g", "src", "dst"], "left_anti")
+    starts = pairs.select("g", F.col("a").alias("s")).union(pairs.select("g", F.col("b").alias("s"))).distinct().withColumn("node", F.col("s"))
+    paths = settled(shortest_paths(links.withColumnRenamed("src", "node"), starts, ["g", "s"]))
+    left = paths.select("g", F.col("s").alias("a"), "node")
+    right = paths.select("g", F.col("s").alias("b"), "node", F.struct(F.size("path").alias("n"), "path").alias("place"))
+    both = pairs.join(left, ["g", "a"]).join(right, ["g", "b", "node"])  # b itself has the first place of all
+    met = both.groupBy("g", "a", "b").agg(F.min_by("node", "place").alias("_met"))
+    rows = pairs.join(met, ["g", "a", "b"], "left")
+    ends = [F.lit(False), F.lit(False)]
+    if returns is not None:
+        for i, side in enumerate("ab"):
+            rows = rows.join(returns.select("g", F.col("node").alias(side)).distinct().withColumn(f"_{side}", F.lit(True)), ["g", side], "left")
+            ends[i] = F.coalesce(f"_{side}", F.lit(False))
+    merge = F.when(F.col("a") == F.col("b"), F.col("a")).when(ends[0] & ends[1], None).when(ends[0], F.col("b")).when(ends[1], F.col("a")).otherwise(F.col("_met"))
+    return rows.select("g", "a", "b", merge.alias("merge"))
+
+
+def shared_target_chains(decisions: DataFrame) -> DataFrame:
+    """(g, head, target, n, links, otherwise) of chains of two or more decisions(g, node, on_true, on_false, comparison).
+
+    All but the last of a chain lead to one target if true and to the next if false; the last leads to it if false, and
+    otherwise is where it leads if true. All are comparisons. A chain that ends another way, or in a circle, is none.
+    A round a link; a chain from each head.
+    """
+    known = settled(decisions.where("on_true is not null and on_false is not null").select("g", "node", "on_true", "on_false", "comparison"))
+    level = settled(known.where("comparison").select("g", F.col("node").alias("head"), F.col("on_true").alias("target"), "node", F.array("node").alias("path")))
+    found = level.where("false").select("g", "head", "target", "path", F.col("target").alias("otherwise"))
+    while not level.isEmpty():
+        here = level.join(known.where("comparison"), ["g", "node"])
+        ended = settled(here.where("on_true <> target and on_false = target and size(path) > 1").select("g", "head", "target", "path", F.col("on_true").alias("otherwise")))
+        found = found.unionByName(ended)
+        ahead = here.where("on_true = target").select("g", "head", "target", F.col("on_false").alias("node"), "path").where(~F.array_contains("path", F.col("node")))
+        after = settled(ahead.join(known, ["g", "node"]).where("on_true = target or on_false = target").select("g", "head", "target", "node", F.array_append("path", F.col("node")).alias("path")))
+        discard(level)
+        level = after
+    return settled(found).select("g", "head", "target", F.size("path").cast("long").alias("n"), F.array_join("path", ",").alias("links"), "otherwise")
+
+
+def dispatch_depth(decisions: DataFrame, merges: DataFrame, deep: int = 64) -> DataFrame:
+    """(g, node, merge, depth, is_deep) of decisions(g, node, on_true, on_false) that merge(g, node, merge) where they lead if true.
+
+    depth is how many decisions with the same merge, where they lead if true, follow one another if false; null where
+    they run in a circle. Found by pointer jumping, so long chains take few rounds.
+    """
+    rows = settled(decisions.select("g", "node", "on_true", "on_false").join(merges.select("g", "node", "merge"), ["g", "node"]).where("merge = on_true"))
+    ahead = rows.select("g", F.col("node").alias("on_false"), "merge")
+    links = rows.join(ahead, ["g", "on_false", "merge"]).select("g", "node", F.col("on_false").alias("next"))
+    own = links.where("node = next").select("g", F.col("node").alias("top"), F.lit(True).alias("_own"))  # a circle of one
+    steps = settled(resolve_aliases(links, rows)).join(own, ["g", "top"], "left").select("g", "node", F.when(F.col("_own").isNull(), F.col("steps")).alias("depth"))
+    return rows.join(steps, ["g", "node"]).select("g", "node", "merge", "depth", (F.col("depth") >= deep).alias("is_deep"))
+
 
+def member_paths(reads: DataFrame) -> DataFrame:
+    """(g, node, root, path, n_hops) of reads(g, node, base, hop, keyed): each node is the field hop of its base.
 
-def merge_point(edges: DataFrame, branches: DataFrame) -> DataFrame:
-    """branches(g, a, b) with merge: the first common node, by distance from b and then by name, of what both reach, themselves included."""
-    links = settled(edges.select("g", F.col("src").alias("node"), "dst").distinct())
-    starts = branches.select("g", F.col("a").alias("s")).union(branches.select("g", F.col("b").alias("s"))).distinct()
-    state = settled(starts.select("g", "s", F.col("s").alias("node"), F.lit(0).cast("long").alias("dist")))
-    newest, dist = state, 0
-    while not newest.isEmpty():
-        dist += 1
-        found = newest.join(links, ["g", "node"]).select("g", "s", F.col("dst").alias("node")).distinct()
-        newest = settled(found.join(state, ["g", "s", "node"], "left_anti").withColumn("dist", F.lit(dist).cast("long")))
-        state = state.unionByName(newest)
-        if not dist % 16:
-            state = settled(state)
-    left = state.select("g", F.col("s").alias("a"), "node")
-    right = state.select("g", F.col("s").alias("b"), "node", "dist")
-    both = branches.select("g", "a", "b").distinct().join(left, ["g", "a"]).join(right, ["g", "b", "node"])
-    best = both.groupBy("g", "a", "b").agg(F.min(F.struct("dist", "node")).alias("m")).select("g", "a", "b", F.col("m.node").alias("merge"))
-    return branches.select("g", "a", "b").distinct().join(best, ["g", "a", "b"], "left")
+    A base that is no read itself is the root. Hops are in order from the root: .name, or [key] where keyed. Pointer
+    jumping carries the hops, so a chain of n reads takes log n rounds. Reads that lead into a circle have no root and
+    are left out.
+    """
+    piece = F.when(F.col("keyed"), F.concat(F.lit("["), F.col("hop"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("hop")))
+    state = settled(reads.select("g", "node", F.col("base").alias("top"), F.array(piece).alias("hops")))
+    rounds = (state.groupBy("g").count().agg(F.max("count")).first()[0] or 1).bit_length() + 1
+    for _ in range(rounds):
+        ahead = state.select("g", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("hops").alias("_hops"))
+        if state.join(ahead, ["g", "top"], "left_semi").isEmpty():
+            break
+        following = settled(state.join(ahead, ["g", "top"], "left").select("g", "node", F.coalesce("_top", "top").alias("top"), F.when(F.col("_hops").isNotNull(), F.concat("_hops", "hops")).otherwise(F.col("hops")).alias("hops")))
+        discard(state)
+        state = following
+    rooted = state.join(reads.select("g", F.col("node").alias("top")), ["g", "top"], "left_anti")
+    return rooted.select("g", "node", F.col("top").alias("root"), F.array_join("hops", "").alias("path"), F.size("hops").cast("long").alias("n_hops"))
+
+
+def expand_spans(records: DataFrame, base: Column, count: Column) -> DataFrame:
+    """(g, pc, reg) for each register that a record mentions by a span: count of them from base on; none for a count of 0 or null."""
+    spans = records.select("g", "pc", base.cast("long").alias("_from"), count.cast("long").alias("_many")).where("_many > 0")
+    return spans.select("g", "pc", F.explode(F.sequence("_from", F.col("_from") + F.col("_many") - 1)).alias("reg"))
 
 
 def contract_passthrough(edges: DataFrame, removable: DataFrame) -> DataFrame:
     """The distinct edges when removable(g, node), each with one successor, give way to what they lead to.
 
-    A chain of removable nodes leads to its end. On a cycle of removable nodes alone the smallest one stays, with an
+    A chain of removable nodes leads to its end. On a cycle of removable nodes alone the largest one stays, with an
     edge to itself.
     """
     plain = edges.select("g", "src", "dst").distinct()
     links = plain.join(removable.select("g", F.col("node").alias("src")).distinct(), ["g", "src"], "left_semi").where("src <> dst").select("g", F.col("src").alias("node"), F.col("dst").alias("next"))
-    tops = settled(jump(links))
+    tops = settled(jump(links, F.greatest))
     turned = tops.join(links.select("g", "node"), ["g", "node"], "left_semi").select("g", "node", "top").where("node <> top")
     moved = plain.join(turned.select("g", F.col("node").alias("src")), ["g", "src"], "left_anti").join(turned.select("g", F.col("node").alias("dst"), "top"), ["g", "dst"], "left")
     return moved.select("g", "src", F.coalesce("top", "dst").alias("dst")).distinct()
@@ -186,12 +309,19 @@ def liveness(edges: DataFrame, reads_first: DataFrame, writes: DataFrame) -> Dat
     return grow(reads_first.select("g", "node", "reg"), step)
 
 
-def place_merges(frontier: DataFrame, writes: DataFrame, live: DataFrame) -> DataFrame:
-    """(g, node, reg): iterated frontier of each register's writing nodes, kept where the register is live in."""
+def place_merges(frontier: DataFrame, writes: DataFrame, live: DataFrame, edges: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    """(g, node, reg, n_operands): iterated frontier of each register's writing nodes, kept where the register is live in.
+
+    params(g, node, reg) are written at the entry node too. A merge has an operand for each edge into its node.
+    """
     df = settled(frontier.select("g", F.col("d").alias("node"), F.col("n").alias("at")).distinct())
     alive = settled(live.select("g", F.col("node").alias("at"), "reg").distinct())
     over = lambda rows: rows.join(df, ["g", "node"]).join(alive, ["g", "at", "reg"], "left_semi").select("g", F.col("at").alias("node"), "reg")
-    return grow(over(writes.select("g", "node", "reg")), lambda new, _: over(new))
+    written = writes.select("g", "node", "reg")
+    if params is not None:
+        written = written.union(params.select("g", "node", "reg"))
+    placed = grow(over(written), lambda new, _: over(new))
+    return placed.join(edges.groupBy("g", F.col("dst").alias("node")).agg(F.count("*").alias("n_operands")), ["g", "node"])
 
 
 def unit_paths(children: DataFrame, roots: DataFrame, separator: str = "_SUB_") -> DataFrame:
@@ -207,18 +337,46 @@ def unit_paths(children: DataFrame, roots: DataFrame, separator: str = "_SUB_")
         known = known.unionByName(level)
 
 
-def check_graph(nodes: DataFrame, edges: DataFrame, entries: DataFrame, returns: Column | None = None) -> DataFrame:
-    """(g, rule, node): violations. An edge's ends are nodes, a node is reached, a graph has one entry, a node of type RETURN has no successor."""
+def check_graph(nodes: DataFrame, edges: DataFrame, entries: DataFrame, returns: Column | None = None, reverse: DataFrame | None = None, looped: DataFrame | None = None) -> DataFrame:
+    """(g, rule, node): a row per violation. Rules whose columns or tables are not given are not asked.
+
+    An edge's ends are nodes (edge_end_unknown), a node is reached (unreached), a graph has one entry (several_entries).
+    Of nodes' columns: id is the place in the graph from 0 on (id_not_place); head_pc is no larger than tail_pc
+    (head_behind_tail); on_true and on_false of a node of type IF are its successors (target_no_successor). A node for
+    which returns holds has no successor (return_goes_on). edges and reverse(g, src, dst), kept from the other end, have
+    the same pairs (edge_not_symmetric). looped(g, node, header, latch): a header's latch and a latch's header point at
+    each other (loop_not_paired).
+    """
     known = nodes.select("g", "node").distinct()
+    told = lambda df, rule: df.select("g", F.lit(rule).alias("rule"), "node")
     ends = edges.select("g", F.col("src").alias("node")).union(edges.select("g", F.col("dst").alias("node"))).distinct()
-    stray = ends.join(known, ["g", "node"], "left_anti").select("g", F.lit("edge_end_unknown").alias("rule"), "node")
-    lost = known.join(reachable(edges, entries), ["g", "node"], "left_anti").select("g", F.lit("unreached").alias("rule"), "node")
-    many = entries.groupBy("g").agg(F.count("*").alias("_n"), F.max("node").alias("node")).where("_n > 1").select("g", F.lit("several_entries").alias("rule"), "node")
-    found = stray.unionByName(lost).unionByName(many)
+    found = [
+        told(ends.join(known, ["g", "node"], "left_anti"), "edge_end_unknown"),
+        told(known.join(reachable(edges, entries), ["g", "node"], "left_anti"), "unreached"),
+        told(entries.groupBy("g").agg(F.count("*").alias("_n"), F.max("node").alias("node")).where("_n > 1"), "several_entries"),
+    ]
+    if "id" in nodes.columns:
+        place = F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1
+        found.append(told(nodes.withColumn("_place", place).where("id is null or id <> _place"), "id_not_place"))
+    if "head_pc" in nodes.columns:
+        found.append(told(nodes.where("head_pc is null or tail_pc is null or head_pc > tail_pc"), "head_behind_tail"))
+    if "on_true" in nodes.columns:
+        targets = nodes.where("type = 'IF'").select("g", "node", F.explode(F.array("on_true", "on_false")).alias("dst"))
+        pairs = edges.select("g", F.col("src").alias("node"), "dst").distinct().withColumn("_known", F.lit(True))
+        found.append(told(targets.join(pairs, ["g", "node", "dst"], "left").where("_known is null").select("g", "node").distinct(), "target_no_successor"))
     if returns is not None:
-        ended = nodes.where(returns).select("g", "node").join(edges.select("g", F.col("src").alias("node")), ["g", "node"], "left_semi")
-        found = found.unionByName(ended.select("g", F.lit("return_goes_on").alias("rule"), "node"))
-    return found
+        found.append(told(nodes.where(returns).select("g", "node").join(edges.select("g", F.col("src").alias("node")), ["g", "node"], "left_semi"), "return_goes_on"))
+    if reverse is not None:
+        one, other = (df.select("g", "src", "dst").distinct() for df in (edges, reverse))
+        uneven = one.join(other, ["g", "src", "dst"], "left_anti").unionByName(other.join(one, ["g", "src", "dst"], "left_anti"))
+        found.append(told(uneven.select("g", F.col("src").alias("node")).distinct(), "edge_not_symmetric"))
+    if looped is not None:
+        of = looped.select("g", F.col("node").alias("latch"), F.col("header").alias("_back"))
+        to = looped.select("g", F.col("node").alias("header"), F.col("latch").alias("_back"))
+        heads = looped.where("latch is not null").join(of, ["g", "latch"], "left").where("_back is null or _back <> node")
+        tails = looped.where("header is not null").join(to, ["g", "header"], "left").where("_back is null or _back <> node")
+        found.append(told(heads.select("g", "node").union(tails.select("g", "node")).distinct(), "loop_not_paired"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def resolve_aliases(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -241,17 +399,32 @@ def chain_terms(links: DataFrame, terms: DataFrame, alone: bool = False) -> Data
     return placed.groupBy("g", "top").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda e: e["term"]), ",").alias("terms"))
 
 
+def _left_above(wanted: DataFrame, exits: DataFrame, merges: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For wanted(g, node, reg): the merges, as text, what nodes leave, and what the nearest strict dominator leaves, as _above."""
+    merged = merges.select("g", "node", "reg", F.concat(F.lit("p"), F.col("node").cast("string")).alias("_merge"))
+    left = exits.select("g", "node", "reg", F.col("version").alias("_exit")).join(merged, ["g", "node", "reg"], "full_outer").select("g", "node", "reg", F.coalesce("_exit", "_merge").alias("_leaves"))
+    depth = dom.groupBy("g", F.col("n").alias("d")).agg(F.count("*").alias("_depth"))
+    above = dom.where("d <> n").join(depth, ["g", "d"]).select("g", F.col("n").alias("node"), F.col("d").alias("_d"), "_depth")
+    leaves = left.withColumnRenamed("node", "_d")
+    nearest = wanted.select("g", "node", "reg").distinct().join(above, ["g", "node"]).join(leaves, ["g", "_d", "reg"]).groupBy("g", "node", "reg").agg(F.max_by("_leaves", "_depth").alias("_above"))
+    return merged, left, nearest
+
+
 def reaching_versions(uses: DataFrame, exits: DataFrame, merges: DataFrame, dom: DataFrame, inside: DataFrame) -> DataFrame:
     """(g, pc, reg, version) seen by each of uses(g, node, pc, reg), as text.
 
-    inside(g, pc, version) is the last write before a use in its own node. Without one it is the node's merge, pN; or
-    else what the nearest strict dominator leaves: its last write exits(g, node, reg, version), or its merge; or 0.
+    inside(g, pc, reg, version) is the last write before a use in its own node. Without one it is the node's merge, pN;
+    or else what the nearest strict dominator leaves: its last write exits(g, node, reg, version), or its merge; or 0.
     """
-    merged = merges.select("g", "node", "reg", F.concat(F.lit("p"), F.col("node").cast("string")).alias("_merge"))
-    left = exits.select("g", "node", "reg", F.col("version").alias("_exit")).join(merged, ["g", "node", "reg"], "full_outer")
-    depth = dom.groupBy("g", F.col("n").alias("d")).agg(F.count("*").alias("_depth"))
-    above = dom.where("d <> n").join(depth, ["g", "d"]).select("g", F.col("n").alias("node"), F.col("d").alias("_d"), "_depth")
-    leaves = left.select("g", F.col("node").alias("_d"), "reg", F.coalesce("_exit", "_merge").alias("_leaves"))
-    nearest = uses.select("g", "node", "reg").distinct().join(above, ["g", "node"]).join(leaves, ["g", "_d", "reg"]).groupBy("g", "node", "reg").agg(F.max_by("_leaves", "_depth").alias("_above"))
-    rows = uses.join(inside.select("g", "pc", F.col("version").alias("_own")), ["g", "pc"], "left").join(merged, ["g", "node", "reg"], "left").join(nearest, ["g", "node", "reg"], "left")
+    merged, _, nearest = _left_above(uses, exits, merges, dom)
+    rows = uses.join(inside.select("g", "pc", "reg", F.col("version").alias("_own")), ["g", "pc", "reg"], "left").join(merged, ["g", "node", "reg"], "left").join(nearest, ["g", "node", "reg"], "left")
     return rows.select("g", "pc", "reg", F.coalesce("_own", "_merge", "_above", F.lit("0")).alias("version"))
+
+
+def merge_operands(edges: DataFrame, exits: DataFrame, merges: DataFrame, dom: DataFrame) -> DataFrame:
+    """(g, node, reg, pred, version): for each of merges(g, node, reg) and each node before it, the version at that node's end."""
+    into = merges.select("g", "node", "reg").join(edges.select("g", F.col("src").alias("pred"), F.col("dst").alias("node")).distinct(), ["g", "node"])
+    ends = into.select("g", F.col("pred").alias("node"), "reg").distinct()
+    _, left, nearest = _left_above(ends, exits, merges, dom)
+    known = ends.join(left, ["g", "node", "reg"], "left").join(nearest, ["g", "node", "reg"], "left").select("g", F.col("node").alias("pred"), "reg", F.coalesce("_leaves", "_above", F.lit("0")).alias("version"))
+    return into.join(known, ["g", "pred", "reg"]).select("g", "node", "reg", "pred", "version")

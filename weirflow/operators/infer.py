@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weirflow.operators.joins import as_of
+from weirflow.plans.fixpoint import grow, settled
+
 # ---- fixed values: what an operator's result is ----
 RESULT_OF = {"==": "boolean", "<": "boolean", "not": "boolean", "+": "number", "-": "number", "*": "number", "/": "number", "#": "number", "..": "string", "{}": "table", "function": "function"}
 # ---- end of fixed values ----
@@ -34,15 +37,53 @@ def resolve_types(params: DataFrame, *facts: DataFrame) -> DataFrame:
     return out.withColumn("type", F.coalesce(*found, F.lit("unknown"))).select("g", "subject", "type")
 
 
-def propagate_types(rows: DataFrame) -> DataFrame:
-    """rows(g, pc, scope, name, type) with known: the last type that the name got before, in the same scope."""
-    before = Window.partitionBy("g", "scope", "name").orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("known", F.last("type", ignorenulls=True).over(before))
+def call_result_type(calls: DataFrame, *rules: DataFrame) -> DataFrame:
+    """calls with type: of each rules(key, priority, on, result, argument) in turn, the best rule for the call's column on.
+
+    The first table with a rule for the call decides: by method, then by the receiver's type, then by the global
+    function, say. A rule with an argument takes the class that the call names there, calls' column argN, and result
+    only where it is null. Of several rules for one key that of least priority counts; all rows of a table name one
+    column in on. No rule gives null.
+    """
+    out, found = calls, []
+    for rank, table in enumerate(rules):
+        on = table.first()["on"]
+        best = table.groupBy(F.col("key").alias(f"_k{rank}")).agg(F.min_by(F.struct("result", "argument"), "priority").alias(f"_r{rank}"))
+        out = out.join(best, out[on] == F.col(f"_k{rank}"), "left")
+        named = F.lit(None).cast("string")
+        for name in [c for c in calls.columns if c.startswith("arg") and c[3:].isdigit()]:
+            named = F.when(F.col(f"_r{rank}.argument") == int(name[3:]), F.col(name)).otherwise(named)
+        found.append(F.coalesce(named, F.col(f"_r{rank}.result")))
+    return out.select(*(F.col(c) for c in calls.columns), F.coalesce(*found).alias("type"))
+
+
+def scope_ancestors(scopes: DataFrame) -> DataFrame:
+    """(g, scope, ancestor): each of scopes(g, scope, parent), parent null at the top, with itself and all that enclose it."""
+    up = settled(scopes.where("parent is not null").select("g", F.col("scope").alias("ancestor"), "parent"))
+    seed = scopes.select("g", "scope", F.col("scope").alias("ancestor"))
+    return grow(seed, lambda new, _: new.join(up, ["g", "ancestor"]).select("g", "scope", F.col("parent").alias("ancestor")))
+
+
+def propagate_types(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    """rows(g, pc, scope, name, type) with known: the last type that the name got before, in the same scope or one that encloses it.
+
+    scopes(g, scope, parent) is the tree; a scope's types are not seen outside it. Each row asks its scope and those
+    above by one sort each of (scope, name), and the latest answer counts.
+    """
+    asked = rows.select("g", "pc", "scope", "name").distinct().join(scope_ancestors(scopes), ["g", "scope"]).select("g", "pc", F.col("scope").alias("_own"), "name", F.col("ancestor").alias("scope"))
+    marks = rows.where("type is not null").select("g", "pc", "scope", "name", F.struct("pc", "type").alias("mark"))
+    seen = as_of(asked, marks, ["g", "scope", "name"], "pc", "mark", None)
+    best = seen.groupBy("g", "pc", F.col("_own").alias("scope"), "name").agg(F.max("mark").alias("mark"))
+    return rows.join(best, ["g", "pc", "scope", "name"], "left").select("g", "pc", "scope", "name", "type", F.col("mark.type").alias("known"))
 
 
-def suggest_names(calls: DataFrame, methods: list[str], wanted: Column) -> DataFrame:
-    """(g, pc, suggestion) of lookup calls."""
-    return calls.where(F.col("method").isin(methods)).select("g", "pc", wanted.alias("suggestion"))
+def suggest_names(calls: DataFrame, methods: list[str], wanted: Column, requires: list[str] = ()) -> DataFrame:
+    """(g, pc, suggestion) of lookup calls, and of calls in requires whose argument is the result of one: the record at arg_pc."""
+    looked = calls.where(F.col("method").isin(*methods)).select("g", "pc", wanted.alias("suggestion"))
+    if not requires:
+        return looked
+    needed = calls.where(F.col("method").isin(*requires)).select("g", F.col("pc").alias("_at"), F.col("arg_pc").alias("pc"))
+    return looked.unionByName(needed.join(looked, ["g", "pc"]).select("g", F.col("_at").alias("pc"), "suggestion"))
 
 
 def resolve_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
@@ -71,8 +112,15 @@ def apply_renames(refs: DataFrame, renames: DataFrame) -> DataFrame:
 
 
 def body_use_facts(uses: DataFrame, rules: DataFrame) -> DataFrame:
-    """(g, subject, type, n): types that rules(op, type) say of a subject by the op of its uses(g, subject, op)."""
-    return uses.join(F.broadcast(rules.select("op", "type")), "op").groupBy("g", "subject", "type").agg(F.count("*").alias("n"))
+    """(g, subject, type, n): types that rules(op, type) say of a subject by the op of its uses(g, subject, op).
+
+    A rule of type "other" takes the type of the other side, uses' column other, or unknown. Uses that a column nested
+    marks, those in a function inside, are left out.
+    """
+    told = uses.where(~F.coalesce("nested", F.lit(False))) if "nested" in uses.columns else uses
+    other = F.coalesce("other", F.lit("unknown")) if "other" in uses.columns else F.lit("unknown")
+    kind = F.when(F.col("type") == "other", other).otherwise(F.col("type"))
+    return told.join(rules.select("op", "type"), "op").groupBy("g", "subject", kind.alias("type")).agg(F.count("*").alias("n"))
 
 
 def annotate_locals(rows: DataFrame, kind: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def lookup(rows: DataFrame, key: str, pool: DataFrame, pool_key: str, value: str, null_key: int | None = 0) -> DataFrame:
@@ -44,10 +44,14 @@ def block_of(records: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.select("g", "pc", F.when(F.col("pc") <= F.col("blk.tail_pc"), F.col("blk.b")).otherwise(-1).alias("b"))
 
 
-def in_scope(records: DataFrame, scopes: DataFrame) -> DataFrame:
-    """records joined with scopes(g, reg, name, start_pc, end_pc) that hold their register at their place, half open."""
-    s = scopes.select("g", "reg", "name", "start_pc", "end_pc")
-    return records.join(s, ["g", "reg"]).where("start_pc <= pc and pc < end_pc").drop("start_pc", "end_pc")
+def in_scope(records: DataFrame, scopes: DataFrame, width: int = 256) -> DataFrame:
+    """records joined with scopes(g, reg, name, start_pc, end_pc) that hold their register at their place, half open.
+
+    Records and scopes meet by stretches of width places, so a register of many scopes isn't one key.
+    """
+    stretch = lambda c: F.floor(c / width)
+    s = scopes.where("start_pc < end_pc").select("g", "reg", "name", "start_pc", "end_pc", F.explode(F.sequence(stretch(F.col("start_pc")), stretch(F.col("end_pc") - 1))).alias("_stretch"))
+    return records.withColumn("_stretch", stretch(F.col("pc"))).join(s, ["g", "reg", "_stretch"]).where("start_pc <= pc and pc < end_pc").drop("start_pc", "end_pc", "_stretch")
 
 
 def name_collisions(own: DataFrame, captured: DataFrame) -> DataFrame:
@@ -69,7 +73,3 @@ def same_source(inputs: DataFrame, consumer: str, source: str, n: int) -> DataFr
 def links(children: DataFrame, parents: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Plain equi-join of records to the units that they create."""
     return parents.join(children, on, how)
-
-
-def condition(names: list[str]) -> Column:
-    return F.concat_ws(".", *names)

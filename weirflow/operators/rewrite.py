@@ -19,9 +19,23 @@ def collapse_update_chains(rows: DataFrame, key: str, term: Column) -> DataFrame
 
 
 def drop_noops(rows: DataFrame, noop: Column) -> DataFrame:
+    """rows without those for which noop holds; a noop that is null keeps its row."""
     return rows.where(~F.coalesce(noop, F.lit(False)))
 
 
+def drop_empty_branches(rows: DataFrame) -> DataFrame:
+    """rows(id, parent, branch, pure) without branches that hold nothing and whose test is pure; repeated, as a branch may be all that another held."""
+    left = settled(rows.where("not branch or not pure or branch is null or pure is null").select("id", "parent"))
+    known = settled(rows.select("id", "parent"))
+    # what stays: all that is no empty branch, and every branch above something that stays
+    kept = left
+    while True:
+        above = settled(known.join(left.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").join(kept.select("id"), "id", "left_anti"))
+        if above.isEmpty():
+            return rows.join(kept.select("id").distinct(), "id", "left_semi")
+        kept, left = kept.unionByName(above), above
+
+
 def eliminate_dead(rows: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """rows(g, pos, target, reads, pure) without pure rows whose target no later row that stays reads; repeated until nothing changes.
 
@@ -67,12 +81,16 @@ def prune_constant_branches(rows: DataFrame) -> DataFrame:
     return rows.join(gone, "id", "left_anti")
 
 
-def inline_candidates(defs: DataFrame, counts: DataFrame, consumed: DataFrame, overwritten: DataFrame) -> DataFrame:
-    """(g, pc, reg, version, inline, reason) of each definition(g, pc, reg, version, op): the first rule that matches decides."""
+def inline_candidates(defs: DataFrame, counts: DataFrame, consumed: DataFrame, overwritten: DataFrame, constants: list[str], effects: list[str] = ()) -> DataFrame:
+    """(g, pc, reg, version, inline, reason) of each definition(g, pc, reg, version, op): the first rule that matches decides.
+
+    A definition without use, with a side effect (ops in effects), consumed by a merge or capture, or overwritten by its
+    own reader stays; one with a single use, or a constant (ops in constants), is inlined; one used several times stays.
+    """
     keys = ["g", "reg", "version"]
     rows = defs.join(counts.select(*keys, "n"), keys, "left").join(consumed.select(*keys, "consumed"), keys, "left").join(overwritten.select(*keys, "overwritten"), keys, "left")
     reason = (
-        F.when(F.col("n").isNull(), "unused").when(F.coalesce("consumed", F.lit(False)), "consumed").when(F.coalesce("overwritten", F.lit(False)), "overwritten")
-        .when(F.col("n") == 1, "single").when(F.col("op") == "signup", "constant").otherwise("several")
+        F.when(F.col("n").isNull(), "unused").when(F.col("op").isin(*effects), "effect").when(F.coalesce("consumed", F.lit(False)), "consumed").when(F.coalesce("overwritten", F.lit(False)), "overwritten")
+        .when(F.col("n") == 1, "single").when(F.col("op").isin(*constants), "constant").otherwise("several")
     )
     return rows.select("g", "pc", "reg", "version", reason.isin("single", "constant").alias("inline"), reason.alias("reason"))

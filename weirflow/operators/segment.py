@@ -30,14 +30,24 @@ def assign_blocks(records: DataFrame, ends_block: Column, targets: DataFrame | N
     return with_blocks(records, ends_block, targets).groupBy("g", "b").agg(F.min("pc").alias("head_pc"), F.max("pc").alias("tail_pc"))
 
 
-def classify_blocks(blocked: DataFrame, terminators: dict[str, str], default: str = "FALL") -> DataFrame:
-    """(g, b, terminator, type): the tail record's op by a map; a last block returns, one that its terminator ends breaks."""
-    tail = blocked.groupBy("g", "b").agg(F.max_by("op", "pc").alias("op"))
-    last = F.lead("b").over(Window.partitionBy("g").orderBy("b")).isNull()
+def classify_blocks(blocked: DataFrame, terminators: dict[str, str], default: str = "FALL", offset: str | None = None, loop_ops: list[str] = ()) -> DataFrame:
+    """(g, b, terminator, type): the tail record's op by a map; a last block returns, one that its terminator ends breaks.
+
+    With offset, a column of how far a tail record jumps, a block that jumps back continues. A block that jumps right
+    before a record of loop_ops breaks or continues by the sign; other jumps are then LEAP.
+    """
+    tail = blocked.groupBy("g", "b").agg(F.max_by("op", "pc").alias("op"), *([F.max_by(offset, "pc").alias("_by")] if offset else []), F.min_by("op", "pc").alias("_first"))
+    order = Window.partitionBy("g").orderBy("b")
+    last = F.lead("b").over(order).isNull()
     chain = F.lit(default)
     for op, name in terminators.items():
         chain = F.when(F.col("op") == op, name).otherwise(chain)
-    return tail.withColumn("terminator", chain).select("g", "b", "terminator", F.when(last, "RETURN").when(F.col("terminator") != default, "BREAK").otherwise("STANDARD").alias("type"))
+    kind = F.lit("BREAK")
+    if offset:
+        kind = F.when(F.col("_by") < 0, "CONTINUE").otherwise("BREAK")
+        kind = F.when(F.lead("_first").over(order).isin(*loop_ops), kind).otherwise("LEAP") if loop_ops else kind
+    found = tail.withColumn("terminator", chain)
+    return found.select("g", "b", "terminator", F.when(last, "RETURN").when(F.col("terminator") != default, kind).otherwise("STANDARD").alias("type"))
 
 
 def decode_line_deltas(records: DataFrame, delta: str, gap: int) -> DataFrame:
@@ -77,12 +87,25 @@ def trailing_run(records: DataFrame, anchor: str, op: str) -> DataFrame:
     return rows.where((F.col("op") == op) & (F.col("before") == anchor)).select("g", "anchor_pc", "pc", (F.col("pc") - F.col("anchor_pc") - 1).alias("ord"))
 
 
-def collect_until_barrier(records: DataFrame, anchor: Column, wanted: Column, barrier: Column, limit: int = 100) -> DataFrame:
-    """(g, anchor_pc, n, pcs): wanted records behind each anchor, up to limit places and before the first barrier."""
+def collect_until_barrier(records: DataFrame, anchor: Column, wanted: Column, barrier: Column, limit: int = 100, redefines: Column | None = None, foldable: Column | None = None) -> DataFrame:
+    """(g, anchor_pc, n, pcs): wanted records behind each anchor, up to limit places and before the first barrier.
+
+    A record for which redefines holds is a barrier to anchors of the same reg. If foldable does not hold for one of the
+    records found, the anchor gets none. Records meet anchors by stretches of limit places, so lists are made for
+    anchors only.
+    """
+    place = F.floor(F.col("pc") / limit)
     ahead = Window.partitionBy("g").orderBy("pc").rangeBetween(1, limit)
-    rows = records.select("g", "pc", anchor.alias("_a"), wanted.alias("_w"), F.min(F.when(barrier, F.col("pc"))).over(ahead).alias("_stop"), F.collect_list(F.when(wanted, F.col("pc"))).over(ahead).alias("_pcs"))
-    inside = F.filter("_pcs", lambda p: F.col("_stop").isNull() | (p < F.col("_stop")))
-    return rows.where("_a").select("g", F.col("pc").alias("anchor_pc"), F.size(inside).cast("long").alias("n"), F.array_join(inside.cast("array<string>"), ",").alias("pcs"))
+    behind = Window.partitionBy("g", "reg").orderBy("pc").rowsBetween(1, Window.unboundedFollowing)
+    again = F.min(F.when(redefines, F.col("pc"))).over(behind) if redefines is not None else F.lit(None).cast("long")
+    rows = records.select("g", "pc", anchor.alias("_a"), F.min(F.when(barrier, F.col("pc"))).over(ahead).alias("_stop"), again.alias("_again"))
+    anchors = rows.where("_a").select("g", F.col("pc").alias("anchor_pc"), F.least("_stop", "_again").alias("_stop"))
+    stretches = F.floor(F.col("anchor_pc") / limit)
+    looking = anchors.withColumn("_stretch", F.explode(F.array(stretches, stretches + 1)))
+    found = records.where(wanted).select("g", "pc", place.alias("_stretch"), (foldable if foldable is not None else F.lit(True)).alias("_ok"))
+    hits = looking.join(found, ["g", "_stretch"]).where(f"pc > anchor_pc and pc <= anchor_pc + {limit} and (_stop is null or pc < _stop)")
+    lists = hits.groupBy("g", "anchor_pc").agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("_ok"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("pc")), lambda p: p.cast("string")), ",").alias("pcs"))
+    return anchors.select("g", "anchor_pc").join(lists.where("_ok"), ["g", "anchor_pc"], "left").select("g", "anchor_pc", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("pcs", F.lit("")).alias("pcs"))
 
 
 def fallthrough(blocks: DataFrame) -> DataFrame:
@@ -90,6 +113,11 @@ def fallthrough(blocks: DataFrame) -> DataFrame:
     return blocks.select("g", "b", F.lead("b").over(Window.partitionBy("g").orderBy("b")).alias("next_b"))
 
 
-def first_write(defs: DataFrame) -> DataFrame:
-    """(g, pc, reg, declares): whether a write is the register's first in its graph."""
-    return defs.select("g", "pc", "reg", (F.row_number().over(Window.partitionBy("g", "reg").orderBy("pc")) == 1).alias("declares"))
+def first_write(defs: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    """(g, pc, reg, declares): whether a write is the register's first in its graph. A register of params(g, reg) is declared at the entry, so never later."""
+    first = F.row_number().over(Window.partitionBy("g", "reg").orderBy("pc")) == 1
+    rows = defs.select("g", "pc", "reg", first.alias("declares"))
+    if params is None:
+        return rows
+    given = params.select("g", "reg").distinct().withColumn("_given", F.lit(True))
+    return rows.join(given, ["g", "reg"], "left").select("g", "pc", "reg", (F.col("declares") & F.col("_given").isNull()).alias("declares"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 ROWS = "chunk_id long, tag string, fid int, pos int, kind string, num double, whole long, text string, a int, b int, c int, d int"
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
+#: The kinds of constants by their tags.
 KINDS = {0: "nil", 1: "boolean", 2: "number", 3: "string", 4: "path", 5: "template", 6: "function", 7: "vector", 9: "integer"}
 
 
