@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weirflow.operators import aggregates, joins, ordering, segment
 from weirflow.plans import fixtures as fx
+from weirflow.plans.fixpoint import settled
 
 
 
@@ -30,10 +31,21 @@ def w1(s, d):
     return _blk(s, d)
 
 
-def w2(s, d):
+def w1_targets(s, d):
+    # each purchase leads k records back, so a block begins there too
+    aimed = fx.ir(s, d).where("op = 'purchase'").select("g", F.greatest(F.col("pc") - F.col("k") % 10, F.lit(0)).alias("pc"))
+    return segment.assign_blocks(fx.ir(s, d), _error(), aimed)
+
+
+def _plain_blocks(s, d):
     return segment.classify_blocks(segment.with_blocks(fx.ir(s, d), _error()), {"error": "ERROR"})
 
 
+def w2(s, d):
+    rows = fx.ir(s, d).withColumn("off", F.when(F.col("k") % 2 == 0, F.col("k")).otherwise(-F.col("k")))
+    return segment.classify_blocks(segment.with_blocks(rows, _error()), {"error": "ERROR"}, offset="off", loop_ops=["signup", "click"])
+
+
 def w3(s, d):
     return segment.decode_line_deltas(fx.ir(s, d), "k", 2)
 
@@ -58,12 +70,18 @@ def w8(s, d):
     return segment.collect_until_barrier(fx.ir(s, d), F.expr("op = 'signup'"), F.expr("op = 'purchase'"), _error())
 
 
+def w8_folded(s, d):
+    rows = fx.ir(s, d)
+    return segment.collect_until_barrier(rows, F.expr("op = 'signup'"), F.expr("op = 'purchase'"), _error(), 20, redefines=F.expr("op in ('signup', 'purchase')"), foldable=F.expr("k < 70"))
+
+
 def w9(s, d):
     return segment.fallthrough(_blk(s, d))
 
 
 def w10(s, d):
-    return segment.first_write(fx.du(s, d).where("mode = 'W'"))
+    given = fx.ir(s, d).select("g", F.lit(3).cast("long").alias("reg")).distinct()  # register 3 is a parameter of each graph
+    return segment.first_write(fx.du(s, d).where("mode = 'W'"), given)
 
 
 def j1(s, d):
@@ -77,9 +95,11 @@ def j2(s, d):
 
 
 def j3(s, d):
-    rows = fx.table(s, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("g"), "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
-    lists = rows.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "s"))), lambda e: F.struct(e["p"].alias("p"), e["s"].alias("s"))).alias("e"))
-    template = lists.select("g", F.transform("e", lambda e: e["p"]).alias("ks"), F.slice(F.transform("e", lambda e: F.when(e["s"] % 7 == 0, -1).otherwise(e["s"])), 1, 2).alias("vs"))
+    # the parts of all lines of an order, zipped with the suppliers of those that were not returned
+    rows = fx.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("g"), "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.max("l_returnflag").alias("f"))
+    lists = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p", "s", "f"))).alias("e"))
+    kept = F.filter("e", lambda e: e["f"] != "R")
+    template = lists.select("g", F.transform("e", lambda e: e["p"]).alias("ks"), F.transform(kept, lambda e: F.when(e["s"] % 7 == 0, -1).otherwise(e["s"])).alias("vs"))
     return joins.zip_template(template, "ks", "vs", fx.table(s, d, "supplier"), "s_suppkey", "s_name")
 
 
@@ -121,7 +141,7 @@ def j9(s, d):
 
 
 def j11(s, d):
-    return joins.same_source(fx.table(s, d, "lineitem").where("l_linenumber <= 2"), "l_orderkey", "l_suppkey", 1)
+    return joins.same_source(fx.table(s, d, "lineitem"), "l_orderkey", "l_returnflag", 3)
 
 
 def j11_all(s, d):
@@ -142,11 +162,11 @@ def a3(s, d):
 
 
 def a4(s, d):
-    return aggregates.block_stats(w2(s, d))
+    return aggregates.block_stats(_plain_blocks(s, d))
 
 
 def a5(s, d):
-    return aggregates.unit_summary(fx.ir(s, d))
+    return aggregates.unit_summary(fx.ir(s, d), "error", "purchase")
 
 
 def a6(s, d):
@@ -177,6 +197,10 @@ def o2(s, d):
     return ordering.first_rule(fx.ir(s, d), ["event_id"], rules, "op")
 
 
+def o3(s, d):
+    return ordering.bounded_reach(settled(fx.fe(s, d).select("g", "src", "dst")), fx.ent(s, d), 3)
+
+
 def x1(s, d):
     edges = fx.fe(s, d)
     return ordering.common_reach(edges.where("src like 'click%'").select("g", F.col("dst").alias("node")), edges.where("src like 'view%'").select("g", F.col("dst").alias("node")))
@@ -195,8 +219,13 @@ _USES_OP = "SELECT u.*, ir.op, ir.k FROM uses u JOIN ir ON ir.g = u.g AND ir.pc
 #: name: query, SQL, the views that the SQL reads
 QUERIES = {
     "w1_assign_blocks": (w1, "SELECT * FROM blk", ("blk",)),
-    "w2_classify_blocks": (w2, """SELECT g, b, t AS terminator, CASE WHEN b = max(b) OVER (PARTITION BY g) THEN 'RETURN' WHEN t <> 'FALL' THEN 'BREAK' ELSE 'STANDARD' END AS type
-      FROM (SELECT g, b, CASE max_by(op, pc) WHEN 'error' THEN 'ERROR' ELSE 'FALL' END AS t FROM blkrow GROUP BY g, b)""", ("blkrow",)),
+    "w1_jump_targets": (w1_targets, """, aim AS (SELECT DISTINCT g, greatest(pc - k % 10, 0) AS pc FROM ir WHERE op = 'purchase'),
+      l AS (SELECT g, pc, CAST(sum(CASE WHEN pc = 0 OR p = 'error' OR (g, pc) IN (SELECT g, pc FROM aim) THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY pc) - 1 AS BIGINT) AS b
+        FROM (SELECT g, pc, lag(op) OVER (PARTITION BY g ORDER BY pc) AS p FROM ir))
+      SELECT g, b, min(pc) AS head_pc, max(pc) AS tail_pc FROM l GROUP BY g, b""", ("ir",)),
+    "w2_classify_blocks": (w2, """, t AS (SELECT r.g, r.b, max_by(r.op, r.pc) AS op, min_by(r.op, r.pc) AS first, max_by(ir.k, r.pc) AS k FROM blkrow r JOIN ir ON ir.g = r.g AND ir.pc = r.pc GROUP BY r.g, r.b)
+      SELECT g, b, CASE op WHEN 'error' THEN 'ERROR' ELSE 'FALL' END AS terminator, CASE WHEN lead(b) OVER w IS NULL THEN 'RETURN' WHEN op <> 'error' THEN 'STANDARD'
+        WHEN lead(first) OVER w NOT IN ('signup', 'click') THEN 'LEAP' WHEN k % 2 = 1 AND k > 0 THEN 'CONTINUE' ELSE 'BREAK' END AS type FROM t WINDOW w AS (PARTITION BY g ORDER BY b)""", ("ir", "blkrow")),
     "w3_line_deltas": (w3, """, r AS (SELECT g, pc, pc // 4 AS i, k, CAST(sum(k) OVER (PARTITION BY g ORDER BY pc) % 256 AS BIGINT) AS low FROM ir),
       s AS (SELECT g, i, coalesce(sum(max_by(k, pc)) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM r GROUP BY g, i)
       SELECT r.g, r.pc, CAST(low + base AS BIGINT) AS line FROM r JOIN s ON s.g = r.g AND s.i = r.i""", ("ir",)),
@@ -209,14 +238,18 @@ QUERIES = {
       FROM ir a LEFT JOIN ir b ON b.g = a.g AND b.pc > a.pc AND b.pc <= a.pc + 100 AND b.op = 'purchase'
         AND NOT EXISTS (SELECT 1 FROM ir e WHERE e.g = a.g AND e.op = 'error' AND e.pc > a.pc AND e.pc < b.pc)
       WHERE a.op = 'signup' GROUP BY a.g, a.pc""", ("ir",)),
+    "w8_collect_folded": (w8_folded, """, a AS (SELECT ir.*, (SELECT min(e.pc) FROM ir e WHERE e.g = ir.g AND e.pc > ir.pc AND (e.op = 'error' AND e.pc <= ir.pc + 20 OR e.reg = ir.reg AND e.op IN ('signup', 'purchase'))) AS stop FROM ir WHERE op = 'signup')
+      SELECT a.g, a.pc AS anchor_pc, CASE WHEN bool_and(b.k < 70) THEN count(b.pc) ELSE 0 END AS n, CASE WHEN bool_and(b.k < 70) THEN string_agg(CAST(b.pc AS VARCHAR), ',' ORDER BY b.pc) ELSE '' END AS pcs
+      FROM a LEFT JOIN ir b ON b.g = a.g AND b.pc > a.pc AND b.pc <= a.pc + 20 AND b.op = 'purchase' AND (stop IS NULL OR b.pc < stop) GROUP BY a.g, a.pc""", ("ir",)),
     "w9_fallthrough": (w9, "SELECT g, b, lead(b) OVER (PARTITION BY g ORDER BY b) AS next_b FROM blk", ("blk",)),
-    "w10_first_write": (w10, "SELECT g, pc, reg, version = 1 AS declares FROM defs", ("defs",)),
+    "w10_first_write": (w10, "SELECT g, pc, reg, version = 1 AND reg <> 3 AS declares FROM defs", ("defs",)),
     "j1_lookup_string": (j1, """SELECT o_orderkey, sid, c_name, CASE WHEN c_custkey IS NOT NULL THEN 'ok' WHEN sid = 0 THEN 'null' ELSE 'missing' END AS status
       FROM (SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE o_custkey END AS sid FROM orders) LEFT JOIN customer ON c_custkey = sid""", None),
     "j2_lookup_constant": (j2, "SELECT l_orderkey, l_linenumber, p_name, CASE WHEN p_partkey IS NOT NULL THEN 'ok' WHEN l_partkey = 0 THEN 'null' ELSE 'missing' END AS status FROM lineitem LEFT JOIN part ON p_partkey = l_partkey", None),
-    "j3_zip_template": (j3, """WITH r AS (SELECT l_orderkey AS g, l_linenumber AS l, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
-      n AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY l) - 1 AS pos, p AS key, CASE WHEN s % 7 = 0 THEN -1 ELSE s END AS i FROM r)
-      SELECT g, pos, key, s_name AS value FROM n LEFT JOIN supplier ON s_suppkey = i WHERE pos < 2""", None),
+    "j3_zip_template": (j3, """WITH r AS (SELECT l_orderkey AS g, l_linenumber AS l, min(l_partkey) AS p, min(l_suppkey) AS s, max(l_returnflag) AS f FROM lineitem GROUP BY ALL),
+      k AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY l) - 1 AS pos, p AS key FROM r),
+      v AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY l) - 1 AS pos, CASE WHEN s % 7 = 0 THEN -1 ELSE s END AS i FROM r WHERE f <> 'R')
+      SELECT k.g, k.pos, key, s_name AS value FROM k JOIN v ON v.g = k.g AND v.pos = k.pos LEFT JOIN supplier ON s_suppkey = i""", None),
     "j3_all_lines": (j3_all, """WITH r AS (SELECT l_orderkey AS g, l_linenumber AS l, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL),
       n AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY l) - 1 AS pos, count(*) OVER (PARTITION BY g) AS many, p AS key, CASE WHEN s % 7 = 0 THEN -1 ELSE s END AS i FROM r)
       SELECT g, pos, key, s_name AS value FROM n LEFT JOIN supplier ON s_suppkey = i WHERE pos < many - CASE WHEN g % 7 = 0 THEN 1 ELSE 0 END""", None),
@@ -228,7 +261,7 @@ QUERIES = {
     "j9_name_collisions": (j9, """WITH own AS (SELECT c_custkey AS id, 'n' || CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS name FROM customer),
       cap AS (SELECT 'n' || CAST(regexp_extract(s_name, '([0-9]+)$', 1) AS BIGINT) AS name FROM supplier)
       SELECT id, name, CASE WHEN EXISTS (SELECT 1 FROM cap WHERE cap.name = own.name) THEN name || '_' || id ELSE name END AS resolved FROM own""", None),
-    "j11_same_source": (j11, "SELECT l_orderkey, count(*) AS n, min(l_suppkey) AS source FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) = 1 AND count(DISTINCT l_suppkey) = 1", None),
+    "j11_same_source": (j11, "SELECT l_orderkey, count(*) AS n, min(l_returnflag) AS source FROM lineitem GROUP BY l_orderkey HAVING count(*) = 3 AND count(DISTINCT l_returnflag) = 1", None),
     "j11_all_lines": (j11_all, "SELECT l_orderkey, count(*) AS n, min(l_suppkey) AS source FROM lineitem GROUP BY l_orderkey HAVING count(*) = 2 AND count(DISTINCT l_suppkey) = 1", None),
     "a1_use_counts": (a1, "SELECT g, reg, version, count(*) AS n, count(*) = 1 AS single FROM uses GROUP BY g, reg, version", ("uses",)),
     "a2_type_union": (a2, """, t AS (SELECT g, op, min(pc) AS p FROM ir GROUP BY g, op)
@@ -247,6 +280,9 @@ QUERIES = {
       SELECT fe.g, fe.dst, src, row_number() OVER (PARTITION BY fe.g, fe.dst ORDER BY coalesce(src = latch, false), src) - 1 AS ord FROM fe LEFT JOIN l ON l.g = fe.g AND l.dst = fe.dst""", ("fe",)),
     "o2_first_rule": (o2, """, rules(priority, method, result) AS (VALUES (1, 'signup', 'first'), (2, 'click', 'press'), (3, 'click', 'dead'), (0, 'purchase', 'buy'), (9, 'signup', 'never'))
       SELECT event_id, arg_min(result, priority) AS result FROM ir JOIN rules ON op = method GROUP BY event_id""", ("ir",)),
+    "o3_bounded_reach": (o3, """, lev AS (SELECT g, node, 0 AS d FROM ent UNION SELECT l.g, fe.dst, d + 1 FROM lev l JOIN fe ON fe.g = l.g AND fe.src = l.node WHERE d < 12),
+      f AS (SELECT g, node, min(d) AS d FROM lev GROUP BY g, node), c AS (SELECT g, d, sum(count(*)) OVER (PARTITION BY g ORDER BY d) AS n FROM f GROUP BY g, d)
+      SELECT g, CAST(coalesce(min(n) FILTER (WHERE n >= 3), max(n)) AS BIGINT) AS n, coalesce(min(n) FILTER (WHERE n >= 3), max(n)) < max(n) AS truncated FROM c GROUP BY g""", ("fe", "ent")),
     "x1_common_reach": (x1, "SELECT g, dst AS node FROM fe WHERE src LIKE 'click%' INTERSECT SELECT g, dst FROM fe WHERE src LIKE 'view%'", ("fe",)),
     "x2_unreached": (x2, "SELECT g, node FROM nodes EXCEPT SELECT g, dst FROM fe", ("nodes", "fe")),
     "x3_merge_facts": (x3, "SELECT g, 0 AS source, pc AS pos, node AS type FROM ir WHERE op = 'click' UNION ALL SELECT g, 1, pc, op FROM ir WHERE reg = 3", ("ir",)),

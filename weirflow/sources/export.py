@@ -17,11 +17,31 @@ def escape_html(text: Column) -> Column:
     return F.replace(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
 
 
-def to_dot(edges: DataFrame, label: Column) -> DataFrame:
-    """(g, dot): one DOT text per graph, its edges in order of their ends."""
-    arrow = F.concat(F.lit('"'), escape_html(F.col("src")), F.lit('" -> "'), escape_html(F.col("dst")), F.lit('" [label="'), label, F.lit('"];'))
-    rows = F.array_sort(F.collect_list(F.struct("src", "dst", arrow.alias("a"))))
-    return edges.groupBy("g").agg(rows.alias("l")).select("g", F.concat(F.lit("digraph g {\n"), F.array_join(F.transform("l", lambda e: e["a"]), "\n"), F.lit("\n}")).alias("dot"))
+def block_listing(blocks: DataFrame, edges: DataFrame, records: DataFrame, line: Column) -> DataFrame:
+    """(g, text): for each of blocks(g, b, head_pc, tail_pc) a header with the blocks before and behind it, then a line per record(g, b, pc) in order.
+
+    edges(g, src, dst) are between blocks. A graph is one text, so its lines meet in one row.
+    """
+    ends = lambda own, other: edges.groupBy("g", F.col(own).alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(other)), lambda x: x.cast("string")), ",").alias(f"_{own}"))
+    heads = blocks.join(ends("dst", "src"), ["g", "b"], "left").join(ends("src", "dst"), ["g", "b"], "left")
+    shown = F.concat(F.lit("block "), F.col("b").cast("string"), F.lit(" <- "), F.coalesce("_dst", F.lit("")), F.lit(" -> "), F.coalesce("_src", F.lit("")))
+    lines = heads.select("g", "b", F.lit(-1).cast("long").alias("pc"), shown.alias("line")).unionByName(records.select("g", "b", F.col("pc").cast("long").alias("pc"), line.alias("line")))
+    return lines.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("b", "pc", "line"))).alias("l")).select("g", F.array_join(F.transform("l", lambda e: e["line"]), "\n").alias("text"))
+
+
+def to_dot(edges: DataFrame, label: Column, dead: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(g, dot): one DOT text per graph, its edges in order of their ends; all texts are escaped.
+
+    Nodes of dead(g, node) have no edges out. links(g, src, dst), to units that a node makes, are dotted and bare.
+    """
+    arrow = lambda tail: F.concat(F.lit('"'), escape_html(F.col("src")), F.lit('" -> "'), escape_html(F.col("dst")), F.lit('" ['), tail, F.lit("];"))
+    shown = edges.select("g", "src", "dst", arrow(F.concat(F.lit('label="'), escape_html(label), F.lit('"'))).alias("a"))
+    if dead is not None:
+        shown = shown.join(dead.select("g", F.col("node").alias("src")).distinct(), ["g", "src"], "left_anti").select("g", "src", "dst", "a")
+    if links is not None:
+        shown = shown.unionByName(links.select("g", "src", "dst").distinct().withColumn("a", arrow(F.lit("style=dotted"))))
+    rows = F.array_sort(F.collect_list(F.struct("src", "dst", "a")))
+    return shown.groupBy("g").agg(rows.alias("l")).select("g", F.concat(F.lit("digraph g {\n"), F.array_join(F.transform("l", lambda e: e["a"]), "\n"), F.lit("\n}")).alias("dot"))
 
 
 def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
