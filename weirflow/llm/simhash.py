@@ -8,6 +8,8 @@ meet in one bucket and are verified there. No link is lost and none is added.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +27,9 @@ MOST_BITS = 4
 SEGMENTS = ((0, 21), (21, 42), (42, 64))
 #: Buckets up to this size are compared by shifts of the sorted column, larger ones by search from each member.
 SMALL_BUCKET = 64
-#: Buckets above this size go through a second exchange under finer keys.
+#: Buckets above this size go through another exchange under finer keys, so many times at most.
 HOT_BUCKET = 20_000
-#: The bits outside a segment are cut into one block more than may differ, so that one block is equal.
-FINER_BLOCKS = MOST_BITS + 1
+LEVELS = 3
 #: Copies of one fingerprint are spread over so many keys wherever rows meet by fingerprint.
 SPREAD = 128
 
@@ -137,22 +138,24 @@ def _links(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(fps[same].tolist(), fps[same + lag].tolist())
 
 
-def _finer(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a hot bucket's members: the bucket's key mixed with each block of the bits outside its segment."""
-    low, high = next(s for s in SEGMENTS if s[0] <= (key >> 22) < s[1])
-    bits = np.array([i for i in range(64) if not low <= i < high], dtype=np.uint64)
+def _finer(key: int, fps: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a hot bucket's members: its key mixed with each choice of level blocks out of MOST_BITS + level.
+
+    Two linked members differ in MOST_BITS bits at most, so level blocks at least are equal and they share a key.
+    """
+    blocks = np.array_split(np.arange(64, dtype=np.uint64), MOST_BITS + level)
+    choices = list(itertools.combinations(range(len(blocks)), level))
     plain = fps.view(np.uint64)
     keys = []
-    for number, block in enumerate(np.array_split(bits, FINER_BLOCKS)):
-        value = np.zeros(len(fps), dtype=np.uint64)
-        for place, bit in enumerate(block):
-            value |= ((plain >> bit) & np.uint64(1)) << np.uint64(place)
-        mixed = (np.uint64(key) * np.uint64(FINER_BLOCKS) + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15)
-        keys.append(((mixed ^ value) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64))
-    return np.concatenate(keys), np.tile(fps, FINER_BLOCKS)
+    for number, chosen in enumerate(choices):
+        mask = np.uint64(sum(1 << int(bit) for block in chosen for bit in blocks[block]))
+        mixed = (np.uint64(key & (1 << 64) - 1) * np.uint64(len(choices)) + np.uint64(number)) * np.uint64(0x9E3779B97F4A7C15)
+        value = (plain & mask) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys.append(((mixed ^ value ^ (value >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)).view(np.int64))
+    return np.concatenate(keys), np.tile(fps, len(choices))
 
 
-def _linker(hot_bucket: int | None):
+def _linker(hot_bucket: int | None, level: int = 1):
     """Reads rows sorted by key; gives (kind 0, a, b) for a link and (kind 1, finer key, fp) for a hot bucket's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def _linker(hot_bucket: int | None):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
         def refined(key: int, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-            keys, fps = _finer(key, fps)
+            keys, fps = _finer(key, fps, level)
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys), pa.array(fps)], ["kind", "a", "b"])
 
         held_keys, held = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -201,13 +204,21 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
     distinct(fp) has each fingerprint once. Every component of the link graph is spanned; links inside a component
     that other links already imply are left out, so large groups do not give all their pairs. A bucket of more than
-    hot_bucket members is not held by one task: its rows go on, under finer keys, to a second exchange.
+    hot_bucket members is not held by one task: its rows go on, under finer keys, to another exchange, up to LEVELS
+    times, each of which only runs if there are such rows.
     """
     sort = lambda df: df.repartition("key").sortWithinPartitions("key", "fp")
-    first = staged(sort(_variants(distinct)).mapInArrow(_linker(hot_bucket), "kind int, a long, b long"), "simhash-links")
-    finer = sort(first.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("fp")))
-    second = finer.mapInArrow(_linker(None), "kind int, a long, b long")
-    return first.unionByName(second).where("kind = 0").select("a", "b")
+    rows, found = _variants(distinct), []
+    for level in range(1, LEVELS + 1):
+        done = staged(sort(rows).mapInArrow(_linker(hot_bucket, level), "kind int, a long, b long"), "simhash-links")
+        found.append(done)
+        hot = done.where("kind = 1")
+        if hot.isEmpty():
+            break
+        rows = hot.select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    else:
+        found.append(sort(rows).mapInArrow(_linker(None), "kind int, a long, b long"))
+    return functools.reduce(DataFrame.unionByName, found).where("kind = 0").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
