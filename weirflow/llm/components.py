@@ -15,12 +15,12 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     """pairs(u, v) with m, the smallest v of each u.
 
     The minimum goes up a tree and down again: from the pairs to the parts of a node, from these, at most SPREAD, to
-    the node, and back. A node with very many neighbours is never one key of a shuffle.
+    the node, whose row goes back to its parts. A node with very many neighbours is never one key of a shuffle.
     """
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
     parts = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
-    least = parts.groupBy("u").agg(F.min("m").alias("m"))
-    return dealt.join(parts.select("u", "part").join(least, "u"), ["u", "part"]).select("u", "v", "m")
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    return dealt.join(least.select("u", F.explode("parts").alias("part"), "m"), ["u", "part"]).select("u", "v", "m")
 
 
 def _hooked(pairs: DataFrame) -> DataFrame:

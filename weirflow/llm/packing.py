@@ -30,8 +30,8 @@ END_ID = 0
 GROUP_PIECES = 20_000
 #: The same vocabulary as ranks: merges the common chunks several times as fast, to the same ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Remembered ids of text chunks in a worker, about 200 bytes each; beyond it the memory starts anew.
-MOST_CHUNKS = 600_000
+#: Remembered ids of text chunks in a worker; beyond it the memory starts anew.
+MOST_CHUNKS = 150_000
 
 _tokenizers: dict[str, object] = {}
 _chunks: dict[tuple[str, str], dict[str, bytes]] = {}

@@ -232,14 +232,13 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     # The part is written with the row, so it stays the same when a task is repeated.
     rows = staged(fingerprints(docs).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")), "fingerprints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
-    parts = staged(rows.groupBy("fp", "part").agg(best.alias("best")), "fingerprint-parts")
-    distinct = staged(parts.groupBy("fp").agg(F.min("best").alias("best")), "distinct-fingerprints")
+    parts = rows.groupBy("fp", "part").agg(best.alias("best"))
+    distinct = staged(parts.groupBy("fp").agg(F.min("best").alias("best"), F.collect_list("part").alias("parts")), "distinct-fingerprints")
     roots = connected_components(links(distinct.select("fp"), hot_bucket))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     tops = rooted.where("root is not null").groupBy("root").agg(F.min("best").alias("top"))
-    named = rooted.join(tops, "root", "left").select("fp", F.coalesce("top", "best").alias("top"))
-    spread = parts.select("fp", "part").join(named, "fp")
-    return rows.join(spread, ["fp", "part"]).select(
+    named = rooted.join(tops, "root", "left").select("fp", F.explode("parts").alias("part"), F.coalesce("top", "best").alias("top"))
+    return rows.join(named, ["fp", "part"]).select(
         "doc_id", "row_key", "fp", F.col("top.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row_key") == F.col("top.row_key"))).alias("keeps"),
     )

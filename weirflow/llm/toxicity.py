@@ -28,7 +28,7 @@ PREFIXES = (4, 5, 6)
 #: One part in this many documents is held out.
 FOLDS = 5
 #: Remembered tokens in a worker; beyond it the memory starts anew.
-MOST_TOKENS = 400_000
+MOST_TOKENS = 150_000
 
 # ---- the language model: codes 0 boundary, 1-26 the letters, 27 any other letter, 28 a figure or sign ----
 _CODES = 32
