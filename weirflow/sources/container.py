@@ -10,11 +10,13 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 ROWS = "chunk_id long, tag string, fid int, pos int, kind string, num double, whole long, text string, a int, b int, c int, d int"
-_NAMES = [x.split()[0] for x in ROWS.split(", ")]
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in ROWS.split(", "))])
+ROWS_AT_ONCE = 8_192
 #: The kinds of constants by their tags.
 KINDS = {0: "nil", 1: "boolean", 2: "number", 3: "string", 4: "path", 5: "template", 6: "function", 7: "vector", 9: "integer"}
 
@@ -120,13 +122,17 @@ def decode(chunk_id: int, data: bytes) -> list[dict]:
 def decode_chunks(chunks: DataFrame) -> DataFrame:
     """Tagged rows of chunks(chunk_id, content): unit, string, userdata, function, word, constant, child, line_delta, line_base, local, capture."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            for chunk_id, content in zip(batch["chunk_id"], batch["content"]):  # a container at a time bounds what a task holds
-                out = pd.DataFrame(decode(chunk_id, content), columns=_NAMES)
-                yield out.astype({n: "Int64" for n in ("chunk_id", "fid", "pos", "whole", "a", "b", "c", "d")} | {"num": "Float64"})
-
-    return chunks.select("chunk_id", "content").mapInPandas(run, ROWS)
+            for chunk_id, content in zip(batch.column("chunk_id").to_pylist(), batch.column("content")):
+                rows += decode(chunk_id, content.as_py())
+                if len(rows) >= ROWS_AT_ONCE:  # a large container may be more, but no two of them are held
+                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                    rows = []
+        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, ROWS)
 
 
 def units(rows: DataFrame) -> DataFrame:
