@@ -86,21 +86,40 @@ def suggest_names(calls: DataFrame, methods: list[str], wanted: Column, requires
     return looked.unionByName(needed.join(looked, ["g", "pc"]).select("g", F.col("_at").alias("pc"), "suggestion"))
 
 
+def _ranked(wanted: DataFrame) -> DataFrame:
+    """wanted(id, name) with _rank, the place of an id among its name's from 1, and _part, the stretch of the order it lies in.
+
+    Rows are sorted over stretches of names and ids, so the claimants of a frequent name are many tasks' work; a
+    stretch counts its own and adds what those before it have of the name.
+    """
+    dealt = settled(wanted.select("id", "name").repartitionByRange("name", "id").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("name", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.row_number().over(Window.partitionBy("name", "_part").orderBy("id"))
+    offsets = parts.select("name", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return dealt.withColumn("_in", inside).join(offsets, ["name", "_part"]).select("id", "name", "_part", (F.col("_in") + F.col("_before")).alias("_rank"))
+
+
 def resolve_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """wanted(id, name), names clean already, with resolved: the first claimant keeps a free name, others get v{n}_{name}.
 
     n counts the claimants of a name from 1 and skips numbers whose name is in taken(name): the claimant of rank r
     gets the r-th number that is free. A number is at most the claimants and the taken names of that form together.
+    A frequent name is dealt over the stretches of _ranked(); each finds the numbers skipped by one sort of its own.
     """
     free = taken.select("name").distinct().withColumn("_taken", F.lit(True))
-    ranked = wanted.join(free, "name", "left").withColumn("_rank", F.row_number().over(Window.partitionBy("name").orderBy("id")).cast("long"))
     later = F.col("_rank") - F.when(F.col("_taken"), 0).otherwise(1)
-    rows = ranked.select("id", "name", later.alias("_later"))
+    rows = settled(_ranked(wanted).join(free, "name", "left").select("id", "name", "_part", later.alias("_later")))
     # Taken numbers of each name, ascending; the i-th of them moves all claimants at or behind its place by one.
-    used = taken.select(F.regexp_extract("name", "^v([0-9]{1,9})_(.*)$", 2).alias("base"), F.regexp_extract("name", "^v([0-9]{1,9})_(.*)$", 1).try_cast("long").alias("number")).where("number >= 1").distinct()
-    places = used.select(F.col("base").alias("name"), (F.col("number") - F.row_number().over(Window.partitionBy("base").orderBy("number")) + 1).alias("_place"))
-    skipped = rows.where("_later >= 1").join(places, "name").where("_place <= _later").groupBy("id").agg(F.count("*").alias("_skip"))
-    out = rows.join(skipped, "id", "left").withColumn("_n", F.col("_later") + F.coalesce("_skip", F.lit(0)))
+    used = taken.select(F.regexp_extract("name", "^v([1-9][0-9]{0,8})_(.*)$", 2).alias("name"), F.regexp_extract("name", "^v([1-9][0-9]{0,8})_(.*)$", 1).try_cast("long").alias("number")).where("number >= 1").distinct()
+    nth = used.withColumn("_skip", F.row_number().over(Window.partitionBy("name").orderBy("number")).cast("long"))
+    places = nth.groupBy("name", (F.col("number") - F.col("_skip") + 1).alias("_later")).agg(F.max("_skip").alias("_skip"))
+    # A stretch knows the places inside it, and at its start what those before it add up to.
+    starts = rows.groupBy("name", "_part").agg(F.min("_later").alias("_later"))
+    opening = as_of(starts, places, ["name"], "_later", "_skip", 0, include=True)
+    inside = as_of(places, starts, ["name"], "_later", "_part", None, include=True).where("_part is not null")
+    marks = opening.unionByName(inside).groupBy("name", "_part", "_later").agg(F.max("_skip").alias("_skip"))
+    out = as_of(rows, marks, ["name", "_part"], "_later", "_skip", 0, include=True).withColumn("_n", F.col("_later") + F.col("_skip"))
     return out.select("id", "name", F.when(F.col("_later") == 0, F.col("name")).otherwise(F.concat(F.lit("v"), F.col("_n").cast("string"), F.lit("_"), "name")).alias("resolved"))
 
 

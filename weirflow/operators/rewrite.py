@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weirflow.operators.infer import scope_ancestors
 from weirflow.plans.fixpoint import settled
 
 
@@ -36,16 +37,22 @@ def drop_empty_branches(rows: DataFrame) -> DataFrame:
         kept, left = kept.unionByName(above), above
 
 
-def eliminate_dead(rows: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def eliminate_dead(rows: DataFrame, most_rounds: int = 10_000, bodies: DataFrame | None = None) -> DataFrame:
     """rows(g, pos, target, reads, pure) without pure rows whose target no later row that stays reads; repeated until nothing changes.
 
     A round marks every pure row that no row left reads; as a removal can free an earlier one, rounds follow until
-    none is marked.
+    none is marked. With bodies(g, scope, parent), the tree of statement lists, rows name theirs in a column scope, and
+    a target is only read by rows of its own list and of the lists nested in it.
     """
     left = settled(rows)
+    keys = ["g", "target"] if bodies is None else ["g", "scope", "target"]
+    around = None if bodies is None else settled(scope_ancestors(bodies))
     for _ in range(most_rounds):
-        last = left.where("reads is not null").groupBy("g", F.col("reads").alias("target")).agg(F.max("pos").alias("_last"))
-        dead = left.where("pure").join(last, ["g", "target"], "left").where("_last is null or _last <= pos").select("g", "pos")
+        reads = left.where("reads is not null")
+        if around is not None:  # a read counts in its own list and in every list around it
+            reads = reads.join(around, ["g", "scope"]).withColumn("scope", F.col("ancestor"))
+        last = reads.withColumn("target", F.col("reads")).groupBy(*keys).agg(F.max("pos").alias("_last"))
+        dead = left.where("pure").join(last, keys, "left").where("_last is null or _last <= pos").select("g", "pos")
         dead = settled(dead)
         if dead.isEmpty():
             return left
@@ -69,10 +76,13 @@ def prune_constant_branches(rows: DataFrame) -> DataFrame:
     """rows(id, parent, condition, side) without those under a branch not taken.
 
     A row whose parent has a constant condition stays only on the side that it takes; what is under a row that goes,
-    goes too. A condition that is null or not constant keeps both sides.
+    goes too. A condition that is null or not constant keeps both sides. Rows that a column loop marks have one body
+    instead of sides: it stays, unless the condition is false, where the loop itself goes.
     """
-    parents = rows.select(F.col("id").alias("parent"), F.col("condition").alias("_taken"))
-    cut = settled(rows.join(parents, "parent").where("_taken is not null and _taken <> side").select("id"))
+    loop = F.coalesce("loop", F.lit(False)) if "loop" in rows.columns else F.lit(False)
+    parents = rows.where(~loop).select(F.col("id").alias("parent"), F.col("condition").alias("_taken"))
+    untaken = rows.join(parents, "parent").where("_taken is not null and _taken <> side").select("id")
+    cut = settled(untaken.unionByName(rows.where(loop & ~F.col("condition")).select("id")).distinct())
     links = settled(rows.select("id", "parent"))
     newest = gone = cut
     while not newest.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weirflow.functions import decode
 from weirflow.operators import aggregates, infer, rewrite, segment
@@ -211,6 +211,11 @@ def r1(s, d):
     return rewrite.collapse_update_chains(fx.ir(s, d).select("g", F.col("pc").alias("pos"), "op", "reg"), "op", F.col("reg").cast("string"))
 
 
+def _parent_scope() -> Column:
+    """Of the scope numbers that the queries use: those of 8 places lie in those of 32, these in 0."""
+    return F.when(F.col("scope") >= 1000000, F.floor((F.col("scope") - 1000000) / 4) + 1000).when(F.col("scope") >= 1000, F.lit(0)).cast("long")
+
+
 def r2(s, d):
     return rewrite.drop_noops(fx.ir(s, d).select("g", "pc", "op", "k", "reg"), F.expr("op = 'view' and k = reg"))
 
@@ -228,6 +233,15 @@ def r3(s, d):
     return rewrite.eliminate_dead(_pure(s, d))
 
 
+def r3_nested(s, d):
+    # Of three rows one lies in the whole graph, one in a list of 8 places, one in the list of 32 around it.
+    pos = F.col("pos")
+    scope = F.when(pos % 3 == 0, 0).when(pos % 3 == 1, F.floor(pos / 8) + 1000000).otherwise(F.floor(pos / 32) + 1000)
+    rows = settled(_pure(s, d).withColumn("scope", scope.cast("long")))
+    every = rows.select("g", F.explode(F.array(F.floor(pos / 8) + 1000000, F.floor(pos / 32) + 1000, F.lit(0))).alias("scope")).distinct()
+    return rewrite.eliminate_dead(rows, bodies=every.select("g", "scope", _parent_scope().alias("parent")))
+
+
 def r4(s, d):
     nation = fx.table(s, d, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("parent"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") % 2 == 0).alias("condition"), (F.col("n_nationkey") % 2 == 0).alias("side"))
     region = fx.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.when(F.col("r_regionkey") % 2 == 0, True).alias("condition"), F.lit(True).alias("side"))
@@ -235,6 +249,14 @@ def r4(s, d):
     return rewrite.prune_constant_branches(region.unionByName(nation).unionByName(customer)).select("id")
 
 
+def r4_loops(s, d):
+    # nations are loops where their key leaves 3 of four, regions where it is above 2, branches elsewhere
+    nation = fx.table(s, d, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("parent"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey") % 2 == 0).alias("condition"), (F.col("n_nationkey") % 2 == 0).alias("side"), (F.col("n_nationkey") % 4 == 3).alias("loop"))
+    region = fx.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.when(F.col("r_regionkey") != 1, F.col("r_regionkey") != 4).alias("condition"), F.lit(True).alias("side"), (F.col("r_regionkey") > 2).alias("loop"))
+    customer = fx.table(s, d, "customer").select((F.col("c_custkey") + 100000).alias("id"), (F.col("c_nationkey") + 1000).cast("long").alias("parent"), F.lit(None).cast("boolean").alias("condition"), (F.col("c_custkey") % 2 == 0).alias("side"), F.lit(None).cast("boolean").alias("loop"))
+    return rewrite.prune_constant_branches(region.unionByName(nation).unionByName(customer)).select("id")
+
+
 def r5(s, d):
     uses, defs = relational._uses(s, d), relational._defs(s, d)
     ops = fx.ir(s, d).select("g", "pc", "op")
@@ -298,8 +320,7 @@ def t7(s, d):
     scope = F.when(F.col("op") == "purchase", 0).when(F.col("op") == "view", F.floor(F.col("pc") / 8) + 1000000).otherwise(F.floor(F.col("pc") / 32) + 1000)
     rows = settled(fx.ir(s, d).select("g", "pc", scope.cast("long").alias("scope"), F.col("reg").alias("name"), F.when(F.col("op").isin("signup", "purchase"), F.col("op")).when(F.col("val") > 80, F.lit("seen")).alias("type")))
     every = rows.select("g", F.explode(F.array(F.floor(F.col("pc") / 8) + 1000000, F.floor(F.col("pc") / 32) + 1000, F.lit(0))).alias("scope")).distinct()
-    parent = F.when(F.col("scope") >= 1000000, F.floor((F.col("scope") - 1000000) / 4) + 1000).when(F.col("scope") >= 1000, F.lit(0))
-    return infer.propagate_types(rows, every.select("g", "scope", parent.cast("long").alias("parent")))
+    return infer.propagate_types(rows, every.select("g", "scope", _parent_scope().alias("parent")))
 
 
 def t8(s, d):
@@ -391,6 +412,14 @@ QUERIES = {
       UNION ALL SELECT n_nationkey + 1000, n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 2 = 0 END, n_nationkey % 2 = 0 FROM nation UNION ALL SELECT c_custkey + 100000, c_nationkey + 1000, NULL, c_custkey % 2 = 0 FROM customer),
       k AS (SELECT c.id, c.parent FROM t c LEFT JOIN t p ON p.id = c.parent WHERE p.condition IS NULL OR p.condition = c.side)
       SELECT a.id FROM k a WHERE a.parent IS NULL OR a.parent IN (SELECT b.id FROM k b WHERE b.parent IS NULL OR b.parent IN (SELECT c.id FROM k c WHERE c.parent IS NULL))""", None),
+    "r3_nested_bodies": (r3_nested, """, p AS (SELECT g, pc AS pos, reg AS target, lead(reg) OVER (PARTITION BY g ORDER BY pc) AS reads, mode = 'W' AS pure,
+        CASE pc % 3 WHEN 0 THEN 0 WHEN 1 THEN pc // 8 + 1000000 ELSE pc // 32 + 1000 END AS scope FROM du),
+      live AS (SELECT * FROM p WHERE NOT pure UNION SELECT p.* FROM p JOIN live l ON l.g = p.g AND l.pos > p.pos AND l.reads = p.target
+        AND (p.scope = 0 OR p.scope = l.scope OR l.scope >= 1000000 AND p.scope = (l.scope - 1000000) // 4 + 1000)) SELECT * FROM live""", ("du",)),
+    "r4_prune_loops": (r4_loops, """WITH t AS (SELECT CAST(r_regionkey AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent, CASE WHEN r_regionkey <> 1 THEN r_regionkey <> 4 END AS condition, true AS side, r_regionkey > 2 AS loop FROM region
+      UNION ALL SELECT n_nationkey + 1000, n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey % 2 = 0 END, n_nationkey % 2 = 0, n_nationkey % 4 = 3 FROM nation UNION ALL SELECT c_custkey + 100000, c_nationkey + 1000, NULL, c_custkey % 2 = 0, false FROM customer),
+      k AS (SELECT c.id, c.parent FROM t c LEFT JOIN t p ON p.id = c.parent WHERE (p.condition IS NULL OR p.loop OR p.condition = c.side) AND (NOT c.loop OR c.condition IS NULL OR c.condition))
+      SELECT a.id FROM k a WHERE a.parent IS NULL OR a.parent IN (SELECT b.id FROM k b WHERE b.parent IS NULL OR b.parent IN (SELECT c.id FROM k c WHERE c.parent IS NULL))""", None),
     "r5_inline_candidates": (r5, """, n AS (SELECT u.g, u.reg, u.version, count(*) AS n, bool_or(ir.op = 'view') AS v, bool_or((u.g, u.reg, u.pc + 1) IN (SELECT g, reg, pc FROM defs)) AS o FROM uses u JOIN ir ON ir.g = u.g AND ir.pc = u.pc GROUP BY ALL),
       r AS (SELECT d.g, d.pc, d.reg, d.version, CASE WHEN n IS NULL THEN 'unused' WHEN ir.op = 'purchase' THEN 'effect' WHEN v THEN 'consumed' WHEN o THEN 'overwritten' WHEN n = 1 THEN 'single' WHEN ir.op = 'signup' THEN 'constant' ELSE 'several' END AS reason
         FROM defs d JOIN ir ON ir.g = d.g AND ir.pc = d.pc LEFT JOIN n ON n.g = d.g AND n.reg = d.reg AND n.version = d.version)
