@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.llm.oracles import duck, same_rows
 from weirflow.llm import urls
 
@@ -41,6 +44,27 @@ def test_as_of_join_matches_brute_force(spark):
     assert out.where("blocked <> (n_active > 0) or pattern <> 'x'").count() == 0 and out.where("blocked").count() > 20
 
 
+@pytest.mark.parametrize("kind", ["long", "date", "timestamp", "string", "double"])
+def test_long_histories_of_any_time(spark, kind):
+    draw = random.Random(7)
+    entries = [(draw.choice("LMN"), draw.choice(["hot.org"] * 9 + ["a.net", "b.net"]), draw.randint(0, 200) ** 2, draw.choice(["add", "remove"])) for _ in range(500)]
+    captures = [(i, f"http://{draw.choice(['hot.org', 'x.hot.org', 'a.net', 'c.net'])}", draw.randint(-1, 210) ** 2) for i in range(300)]
+    timed = {"date": "date_add(date'2000-01-01', cast({0} as int))", "timestamp": "timestamp_seconds({0} * 1000)", "string": "lpad(cast({0} as string), 9, '0')", "double": "{0} / 7"}.get(kind, "{0}")
+    listed = spark.createDataFrame(entries, "list string, pattern string, effective long, action string").withColumn("effective", F.expr(timed.format("effective")))
+    table = spark.createDataFrame(captures, "key long, url string, fetched long").withColumn("fetched", F.expr(timed.format("fetched")))
+    found = urls.evaluate(table, listed)
+    assert sorted(((r.key, r.n_active, r.active_lists) for r in found.collect()), key=repr) == plain(captures, entries)
+
+
+def test_a_history_does_not_multiply_its_questions(spark):
+    valid = spark.range(4_000).selectExpr("'L' as list", "'hot.org' as pattern", "id * 10 as valid_from", "id * 10 + 5 as valid_to")
+    wanted = spark.range(2_000).selectExpr("'hot.org' as pattern", "id * 20 + 1 as _at")
+    plan = urls.in_force(wanted, valid)
+    assert plan.count() == 2_000 and plan.select("_stretch").distinct().count() == 250
+    most = valid.groupBy((F.col("valid_from") * 250 / 39_990).cast("int")).count().agg(F.max("count")).first()[0]
+    assert most <= 2 * urls.STRETCH_INTERVALS
+
+
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.query(pages).count() == 0

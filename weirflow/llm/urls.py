@@ -7,7 +7,7 @@ host with the first part of the path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from weirflow.llm.common import whole_row
 
@@ -44,6 +44,43 @@ def patterns_of(host: Column, part: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).when(part == "", names).otherwise(F.array_append(names, F.concat(host, F.lit("/"), part)))
 
 
+#: Intervals in a stretch of a pattern's time, on average: what a question meets at once.
+STRETCH_INTERVALS = 16
+
+
+def _placed(kind: T.DataType, at: Column) -> Column | None:
+    """A time as a number in the same order; None for types that have no such number."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(at).cast("double")
+    return at.cast("double") if isinstance(kind, (T.NumericType, T.TimestampType)) else None
+
+
+def in_force(wanted: DataFrame, valid: DataFrame, stretch_intervals: int = STRETCH_INTERVALS) -> DataFrame:
+    """Rows of wanted(pattern, _at, ...) joined with those of valid(list, pattern, valid_from, valid_to) that hold at _at.
+
+    A pattern of many intervals is cut into stretches of time, one for each stretch_intervals of them. A row meets the
+    intervals of its own stretch only, so a long history doesn't multiply rows. An interval lies in every stretch
+    that it touches; those of one list don't overlap, so they are as many as intervals, and stretches for each list.
+    Times that aren't numbers, dates or time stamps alike on both sides are one stretch.
+    """
+    kind = wanted.schema["_at"].dataType
+    holds = (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
+    start = _placed(kind, F.col("valid_from")) if valid.schema["valid_from"].dataType == kind else None
+    if start is None:
+        return wanted.join(valid, "pattern").where(holds)
+    span = F.max("_start") - F.min("_start")
+    spans = valid.withColumn("_start", start).groupBy("pattern").agg(
+        F.min("_start").alias("_first"), F.ceil(F.count("*") / stretch_intervals).alias("_many"), F.when(span > 0, span).alias("_span")
+    )
+    stretch = lambda at: F.coalesce(
+        F.greatest(F.lit(0), F.least(F.col("_many") - 1, F.floor((_placed(kind, at) - F.col("_first")) / F.col("_span") * F.col("_many")))), F.lit(0)
+    ).cast("int")
+    touched = F.sequence(stretch(F.col("valid_from")), F.when(F.col("valid_to").isNull(), F.col("_many").cast("int") - 1).otherwise(stretch(F.col("valid_to"))))
+    cut = valid.join(spans, "pattern").withColumn("_stretch", F.explode(touched)).select("list", "pattern", "valid_from", "valid_to", "_stretch")
+    asked = wanted.join(spans, "pattern").withColumn("_stretch", stretch(F.col("_at"))).drop("_first", "_many", "_span")
+    return asked.join(cut, ["pattern", "_stretch"]).where(holds)
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """captures, all columns, with filter_host, n_active, active_lists and blocked as of the fetch time.
 
@@ -53,16 +90,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     is blocked. Columns of captures named like one of the four results give way to it; other names can't clash.
 
     What a capture asks depends on (host, path part, time) only, so each distinct question is answered once and the
-    answers join back: copies and hot hosts cost no more, and both joins are plain equi-joins, which adaptive
-    execution can split.
+    answers join back: copies and hot hosts cost no more, and all joins are plain equi-joins, which adaptive
+    execution can split. The join with the entries is by pattern and stretch of time (in_force()).
     """
     asked = captures.select(
         whole_row(captures).alias("row"), host_of(F.col(url)).alias("filter_host"), first_part(F.col(url)).alias("_part"), F.col(fetched).alias("_at")
     )
     questions = asked.where("filter_host <> '' and _at is not null").select("filter_host", "_part", "_at").distinct()
     wanted = questions.withColumn("pattern", F.explode(F.array_distinct(patterns_of(F.col("filter_host"), F.col("_part")))))
-    in_force = (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
-    hits = wanted.join(intervals(entries), "pattern").where(in_force)
+    hits = in_force(wanted, intervals(entries))
     answers = hits.groupBy("filter_host", "_part", "_at").agg(
         F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("active_lists")
     )
