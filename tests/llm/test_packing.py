@@ -57,7 +57,7 @@ def test_rows_rebuild_every_document(spark):
     draw = random.Random(8)
     words = ["alpha", "beta", "gamma,", "é", "12"]
     texts = [" ".join(draw.choice(words) for _ in range(draw.choice([0, 3, 50, 900, 5000]))) for _ in range(60)] + [None, "", "x" * 9000]
-    rows = list(enumerate(texts)) + [(3, texts[3]), (None, "null id")]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, "null id"), ((1 << 62) + 1, "an id that no float holds")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, length int")
     out = packing.pack(docs, group_pieces=50).collect()
     by_doc = {}

@@ -41,7 +41,10 @@ BATCH_BYTES = 4 << 20
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, of so many rows and so much text at most, so that what a task holds at once depends on neither."""
+    """The same rows in smaller batches, of so many rows and so much text at most, so that what a task holds at once depends on neither.
+
+    What Arrow has freed goes back to the system batch by batch, as a worker lives on behind its task.
+    """
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)
         if "text" in batch.schema.names:
@@ -53,3 +56,5 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512, most_bytes
             end = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + most_bytes, side="right"))))
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        pa.default_memory_pool().release_unused()

@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
@@ -273,16 +272,16 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
 
 
 def _pack_group(capacity: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], kind="stable").reset_index(drop=True)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("_group").sort_by([(c, "ascending") for c in ("length", "doc_id", "piece")])
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        lengths = rows["length"].tolist()
+        lengths = rows["length"].to_pylist()
         for number, bin_ in enumerate(pack_lengths(lengths, capacity)):
             at = 0
             for i in bin_:
-                sequence[i], offset[i] = (int(key[0]) << 24) + number, at
+                sequence[i], offset[i] = (key[0].as_py() << 24) + number, at
                 at += lengths[i]
-        return rows.drop(columns="_group").assign(sequence_id=sequence, offset=offset)
+        return rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return run
 
@@ -297,4 +296,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, ranks: str = RANKS, capaci
     found = staged(pieces(docs, tokenizer, ranks, capacity), "pieces")
     groups = max(1, -(-found.count() // group_pieces))
     dealt = found.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(_pack_group(capacity), f"{_PIECES}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(_pack_group(capacity), f"{_PIECES}, sequence_id long, offset long")
