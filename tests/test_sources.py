@@ -46,11 +46,13 @@ def test_containers_and_every_prefix(spark):
 
 
 def test_files_versions_and_quarantine(spark, tmp_path):
-    for name, data in (("a.bin", sample()), ("b.bin", b""), ("c.bin", b"\x00x")):
+    for name, data in (("a.bin", sample()), ("b.bin", b""), ("c.bin", b"\x00x"), ("d e%.bin", b"\x00"), ("f+ g.bin", b"")):
         (tmp_path / name).write_bytes(data)
     chunks = ingest.read_chunks(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1] for r in chunks.collect()} == {"a.bin", "b.bin", "c.bin", "d e%.bin", "f+ g.bin"}
     gated = {r.path[-5:]: r.status for r in ingest.gate_versions(chunks).collect()}
-    assert gated == {"a.bin": "ok", "c.bin": "compile_error"}
+    assert gated == {"a.bin": "ok", "b.bin": "empty", "c.bin": "compile_error", "%.bin": "compile_error", "g.bin": "empty"}
+    assert {r.path[-5:]: (r.status, r.length, r.content is None) for r in chunks.where("path like '%b.bin' or path like '%c.bin'").collect()} == {"b.bin": ("empty", 0, True), "c.bin": ("ok", 2, False)}
     none = spark.createDataFrame([(b"",), (None,)], "content binary")
     assert [r.status for r in ingest.gate_versions(none).collect()] == ["empty", "empty"]
     rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")

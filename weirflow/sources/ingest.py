@@ -6,8 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of binary files, one row each; Spark's reader leaves out files without a byte."""
-    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
+    """(path, length, content, status) of binary files, one row for each file listed: ok, or empty, without content.
+
+    Spark's reader leaves out files without a byte and those that are gone by the time of reading; their rows are what
+    the listing has beside the reader's paths. No content is shuffled. A listed file that can't be opened raises.
+    """
+    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(path)
+    one_slash = lambda url: F.regexp_replace(url, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+    listed = spark.createDataFrame([(name,) for name in found.inputFiles()], "url string")  # the listing that the reader itself keeps
+    left_out = listed.select(one_slash(F.col("url")).alias("url")).join(found.select(one_slash(F.col("_metadata.file_path")).alias("url")), "url", "left_anti")
+    path_of = F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B")))
+    none = left_out.select(path_of.alias("path"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), F.lit("empty").alias("status"))
+    return found.select("path", "length", "content", F.lit("ok").alias("status")).unionByName(none)
 
 
 def decode_base64(rows: DataFrame, column: str) -> DataFrame:
