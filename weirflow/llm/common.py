@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,41 @@ def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
 
 
 #: Text that an operator takes up at a time; a single longer text comes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: What a worker remembers between batches, and the longest word that it remembers at all, in bytes.
+MEMORY_BYTES, LONGEST_REMEMBERED = 64 << 20, 256
+#: A dict's own share of an entry.
+_ENTRY_BYTES = 100
+
+
+class Memory:
+    """Values by word, remembered between batches up to a number of bytes; beyond it the memory starts anew.
+
+    The words of the batch at hand are held whatever their size: they are as many bytes as its text.
+    """
+
+    def __init__(self, most_bytes: int = MEMORY_BYTES) -> None:
+        self.known: dict = {}
+        self.most_bytes, self.bytes, self._passing = most_bytes, 0, []
+
+    def recall(self, words: Iterable[str], learn: Callable[[list], Iterable]) -> dict:
+        """A dict that has all the distinct words; learn gives the values of a list of new ones, in order."""
+        for word in self._passing:
+            self.known.pop(word, None)
+        self._passing = []
+        if self.bytes > self.most_bytes:
+            self.known.clear()
+            self.bytes = 0
+        new = [w for w in words if w not in self.known]
+        if new:
+            for word, value in zip(new, learn(new)):
+                self.known[word] = value
+                size = sys.getsizeof(word)
+                if size > LONGEST_REMEMBERED:
+                    self._passing.append(word)
+                else:
+                    self.bytes += size + sys.getsizeof(value) + _ENTRY_BYTES
+        return self.known
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

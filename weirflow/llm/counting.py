@@ -14,10 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weirflow.llm import encoding, pieces as P
-from weirflow.llm.common import small_batches, texts_of
+from weirflow.llm.common import Memory, small_batches, texts_of
 
-#: Remembered words in a worker; beyond it the memory starts anew.
-MOST_WORDS = 600_000
 LONG_WORD = 160
 #: Words that make one trie: those of a block, in order, so that neighbours share their prefixes.
 BLOCK = 8_192
@@ -85,28 +83,25 @@ class Counter:
     """Counts the tokens of texts; each distinct word is inserted once and its count remembered."""
 
     def __init__(self, vocabulary: P.Pieces) -> None:
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.memory = vocabulary, Memory()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> list[int]:
         marked = sorted((P.marked(w), w) for w in new)
+        found: dict[str, int] = {}
         short = [x for x in marked if len(x[0]) <= LONG_WORD]
         for start in range(0, len(short), BLOCK):
             part = short[start : start + BLOCK]
-            self.known.update(zip((w for _, w in part), _trie_counts([d for d, _ in part], self.vocabulary).tolist()))
+            found.update(zip((w for _, w in part), _trie_counts([d for d, _ in part], self.vocabulary).tolist()))
         for data, word in marked:
             if len(data) > LONG_WORD:
                 path = encoding.best_path(data, self.vocabulary)
-                self.known[word] = sum(1 if piece >= 0 else len(P.fallback(data[a:b])) for piece, a, b in path)
+                found[word] = sum(1 if piece >= 0 else len(P.fallback(data[a:b])) for piece, a, b in path)
+        return [found[w] for w in new]
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
         """(words, tokens) of each text."""
         cut = [P.words_of(text) for text in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = set().union(*cut)
-        self._learn(new)
-        get = self.known.__getitem__
+        get = self.memory.recall(set().union(*cut), self._learn).__getitem__
         return [(len(words), sum(map(get, words))) for words in cut]
 
 
@@ -126,7 +121,7 @@ def token_counts(docs: DataFrame, model: str = P.MODEL) -> DataFrame:
     The count is that of the best unigram path, byte pieces of unknown characters one each; of paths of equal score
     the first found counts, as in encoding. A null text is the empty text, which has none. Repeated rows give repeated
     rows; an empty table none; other columns are not read. Memory is bounded by BATCH_BYTES of text, BLOCK words and
-    MOST_WORDS remembered counts, or by one text's own words where that is longer.
+    MEMORY_BYTES of remembered counts, or by one text's own words where that is longer.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_count_batches(model), "doc_id long, n_pre_tokens long, n_tokens long")

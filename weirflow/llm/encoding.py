@@ -11,10 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weirflow.llm import pieces as P
-from weirflow.llm.common import small_batches, texts_of
+from weirflow.llm.common import Memory, small_batches, texts_of
 
-#: Remembered words in a worker; beyond it the memory starts anew.
-MOST_WORDS = 400_000
 #: Words of more bytes are encoded one by one, others many at a time.
 LONG_WORD = 160
 BLOCK = 4_096
@@ -125,27 +123,24 @@ class Encoder:
     """Encodes texts; each distinct word is encoded once and remembered."""
 
     def __init__(self, vocabulary: P.Pieces) -> None:
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.memory = vocabulary, Memory()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
         marked = sorted(((P.marked(w), w) for w in new), key=lambda x: len(x[0]))
+        found: dict[str, bytes] = {}
         for data, word in marked:
             if len(data) > LONG_WORD:
-                self.known[word] = _ids(data, best_path(data, self.vocabulary), self.vocabulary)
+                found[word] = _ids(data, best_path(data, self.vocabulary), self.vocabulary)
         short = [x for x in marked if len(x[0]) <= LONG_WORD]
         for start in range(0, len(short), BLOCK):
             part = short[start : start + BLOCK]
-            self.known.update(zip((w for _, w in part), _block([d for d, _ in part], self.vocabulary)))
+            found.update(zip((w for _, w in part), _block([d for d, _ in part], self.vocabulary)))
+        return [found[w] for w in new]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Piece ids of each text as little-endian 32-bit numbers."""
         cut = [P.words_of(text) for text in texts]
-        new = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = set().union(*cut)
-        self._learn(list(new))
-        get = self.known.__getitem__
+        get = self.memory.recall(set().union(*cut), self._learn).__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
     def decode(self, ids: bytes) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from weirflow.llm.common import small_batches, staged, texts_of
+from weirflow.llm.common import Memory, small_batches, staged, texts_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
@@ -29,11 +29,9 @@ END_ID = 0
 GROUP_PIECES = 20_000
 #: The same vocabulary as ranks: merges the common chunks several times as fast, to the same ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Remembered ids of text chunks in a worker; beyond it the memory starts anew.
-MOST_CHUNKS = 150_000
 
 _tokenizers: dict[str, object] = {}
-_chunks: dict[tuple[str, str], dict[str, bytes]] = {}
+_chunks: dict[tuple[str, str], Memory] = {}
 #: White space and controls other than single spaces and line ends between words.
 _ODD_PAIRS = ("  ", " \n", "\n ", "\n\n")
 _ODD_SIGNS = tuple("\x00\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
@@ -41,7 +39,7 @@ _ODD_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u206f\u
 
 
 def _oddly_spaced(text: str) -> bool:
-    if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD_PAIRS) or any(x in text for x in _ODD_SIGNS):
+    if not text or text[0] != " " and text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD_PAIRS) or any(x in text for x in _ODD_SIGNS):
         return True
     return not text.isascii() and _ODD_WIDE.search(text) is not None
 
@@ -81,21 +79,20 @@ def encode(texts: list[str], tokenizer: str = TOKENIZER, ranks: str = RANKS) ->
     anything, so chunks cut there are encoded by themselves, each distinct one once. Texts with other white space
     are encoded whole.
     """
-    whole, fast, known = _tokenizer(tokenizer), _ranked(ranks), _chunks.setdefault((tokenizer, ranks), {})
+    whole, fast, memory = _tokenizer(tokenizer), _ranked(ranks), _chunks.setdefault((tokenizer, ranks), Memory())
     cut: list[list[str] | None] = []
     for text in texts:
         if _oddly_spaced(text):
             cut.append(None)
         else:  # a chunk is a word with the space before it, a word at a line's start, or a line end
             cut.append(text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00"))
-    new = {c for chunks in cut if chunks for c in chunks if c not in known}
-    if len(known) + len(new) > MOST_CHUNKS:
-        known.clear()
-        new = {c for chunks in cut if chunks for c in chunks}
-    for chunk in new:
-        plain = _PLAIN.fullmatch(chunk)
-        known[chunk] = _packed(fast.encode_ordinary(chunk) if plain else whole.encode(chunk, add_special_tokens=False).ids)
-    get = known.__getitem__
+
+    def learn(new: list[str]) -> Iterator[bytes]:
+        for chunk in new:
+            plain = _PLAIN.fullmatch(chunk)
+            yield _packed(fast.encode_ordinary(chunk) if plain else whole.encode(chunk, add_special_tokens=False).ids)
+
+    get = memory.recall(set().union(*filter(None, cut)), learn).__getitem__
     return [_packed(whole.encode(text, add_special_tokens=False).ids) if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, cut)]
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import chat, counting, encoding, packing, pii, quality, simhash, spotsigs, toxicity, urls
+from weirflow.llm import alignment, chat, clusters, counting, encoding, html_text, packing, pii, quality, simhash, spotsigs, toxicity, urls
 from weirflow.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii_deobfuscation": op1_pii_deobfuscation,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_masks": op8_chat_masks,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_html_main_text": op11_html_main_text,
+        "op12_centroid_clusters": op12_centroid_clusters,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 

@@ -20,15 +20,13 @@ import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from weirflow.llm.common import small_batches
+from weirflow.llm.common import Memory, small_batches
 
 CHAIN = 2
 THRESHOLD = 0.8
 #: Text of a range that one task reads, and how many ranges there are at most.
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
-#: Remembered words in a worker; beyond it the memory starts anew.
-MOST_WORDS = 600_000
 
 # ---- fixed values: common words of four languages ----
 ANCHORS = frozenset(
@@ -45,19 +43,14 @@ ANCHORS = frozenset(
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#%&$~^`_-=+/\\…«»„“”‘’¿¡"
 
 
-class _Words(dict):
-    """Token to 64 bits of its word's hash, the last one telling an anchor; 0 for a token without a word."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
+def _hashes(tokens: list[str]) -> Iterator[int]:
+    """64 bits of each token's word's hash, the last one telling an anchor; 0 for a token without a word."""
+    for token in tokens:
         word = token.strip(_PUNCTUATION)
-        value = (xxhash.xxh64_intdigest(word) & ~1 | (word in ANCHORS)) if word else 0
-        self[token] = value
-        return value
+        yield (xxhash.xxh64_intdigest(word) & ~1 | (word in ANCHORS)) if word else 0
 
 
-_words = _Words()
+_words = Memory()
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -67,7 +60,7 @@ def signatures(text: str) -> np.ndarray:
     A text with words but no whole chain has one signature of all its words, a text without words one of itself.
     """
     tokens = text.lower().split()
-    hashes = np.fromiter(map(_words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    hashes = np.fromiter(map(_words.recall(set(tokens), _hashes).__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     hashes = hashes[hashes != 0]
     anchor = (hashes & np.uint64(1)).astype(bool)
     content = hashes[~anchor]

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weirflow.llm.common import bytes_of, small_batches, staged, texts_of
+from weirflow.llm.common import Memory, bytes_of, small_batches, staged, texts_of
 
 #: Labelled documents that the model is fitted on: of more, those with the least hash of their id.
 MOST_LABELLED = 10_000
@@ -27,8 +27,6 @@ LEAST_TELLING = 7.0
 PREFIXES = (4, 5, 6)
 #: One part in this many documents is held out.
 FOLDS = 5
-#: Remembered tokens in a worker; beyond it the memory starts anew.
-MOST_TOKENS = 150_000
 
 # ---- the language model: codes 0 boundary, 1-26 the letters, 27 any other letter, 28 a figure or sign ----
 _CODES = 32
@@ -164,27 +162,24 @@ def restore(token: str, costs: list[float]) -> list[str]:
     return decode(core, costs).split()
 
 
-class _Features(dict):
-    """Token to its features, made when first asked for. chosen: those that count, all where None."""
+class _Features:
+    """The features of tokens and texts. chosen: those that count, all where None."""
 
     def __init__(self, costs: np.ndarray, chosen: dict[str, int] | None) -> None:
-        self.costs, self.chosen = costs.tolist(), chosen
+        self.costs, self.chosen, self.memory = costs.tolist(), chosen, Memory()
 
     def of_words(self, words: list[str]) -> tuple:
         named = {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in PREFIXES if len(w) > n}
         return tuple(named if self.chosen is None else (self.chosen[x] for x in named if x in self.chosen))
 
-    def __missing__(self, token: str) -> tuple:
-        if len(self) > MOST_TOKENS:
-            self.clear()
-        found = self[token] = self.of_words(restore(token, self.costs))
-        return found
+    def _learn(self, tokens: list[str]) -> Iterator[tuple]:
+        return (self.of_words(restore(token, self.costs)) for token in tokens)
 
     def of_text(self, text: str) -> set:
         lowered = text.lower()
         found: set = set()
-        for token in set(lowered.split()):
-            found.update(self[token])
+        tokens = set(lowered.split())
+        found.update(*map(self.memory.recall(tokens, self._learn).__getitem__, tokens))
         if _SPACED_HINT.search(f" {lowered} "):
             for match in _SPACED_RUN.finditer(lowered):
                 found.update(self.of_words(decode(" ".join(match[0].split()), self.costs).split()))
