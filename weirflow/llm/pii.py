@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weirflow.llm.common import small_batches, texts_of
+from weirflow.llm.spotsigs import ANCHORS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -89,17 +90,29 @@ _SPELLED = {
 }
 _AT_WORDS = ("at", "arroba", "arobase", "klammeraffe", "ät")
 _DOT_WORDS = ("dot", "punto", "point", "punkt", "period")
-#: Dot words that go with an at word of their language; others need a label that is no common word.
+#: Dot words that go with an at word of their language; with others only the plain labels below end a host.
 _PAIRED = {"at": ("dot", "punkt"), "ät": ("dot", "punkt"), "klammeraffe": ("dot", "punkt"), "arroba": ("dot", "punto"), "arobase": ("dot", "point")}
 _PLAIN_LABELS = ("com", "org", "net", "edu", "gov", "biz", "info", "io", "fr", "uk", "ca", "pl", "nl", "dk", "cz")
 _FIGURES = str.maketrans("OolI", "0011")
 _PLUS_WORDS = ("plus", "más", "mas")
-_TOP_LABELS = (
-    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "ai", "app", "dev", "co", "me", "tv", "eu", "uk", "us", "ca", "au", "nz", "ie",
-    "de", "fr", "es", "it", "nl", "be", "ch", "at", "pt", "se", "dk", "fi", "pl", "cz", "gr", "ru", "ua", "tr", "in", "cn", "jp", "kr", "br", "mx", "ar", "cl", "za",
-    "example", "test", "invalid", "local", "mail", "email", "online", "site", "xyz", "tech", "cloud",
+#: Last labels that are common words too, and those that may stand behind a dot with a space beside it.
+_WORDY_TOPS = ("me", "us", "it", "at", "be", "in", "is", "my", "so", "to", "no", "de", "es", "la", "as", "an", "am")
+_SPACED_TOPS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "io", "ai", "app", "dev", "co", "tv", "eu", "uk", "ca", "au", "nz", "ie",
+    "fr", "nl", "ch", "pt", "se", "dk", "fi", "pl", "cz", "gr", "ru", "ua", "tr", "cn", "jp", "kr", "br", "mx", "ar", "cl", "za", "example",
 )
+#: Words that go before at in plain prose, and that follow it there; they are no names.
+_BEFORE_AT = (
+    "aim aimed arrive arrived arrives arriving be been begin begins ended glance glanced he here is it keep laugh laughed look looked looking looks meet met now place placed "
+    "point pointed pointing remain remained rest run sat see seen set she shoot shot shout shown sit sitting smile smiled stand standing stare stared staring start started stay "
+    "stayed stop stopped talk them there they throw us was we were work worked working you"
+).split()
+_AFTER_AT = (
+    "all any both each either every first former it its last least most next night noon once one other present random same some that the these this those times various what which"
+).split()
 # ---- end of fixed values ----
+#: Common words; a single letter may be a name.
+_WORDS = frozenset(w for w in ANCHORS if len(w) > 1)
 
 
 def _lookalike(char: str) -> str | None:
@@ -260,9 +273,9 @@ def _word_of(match: re.Match) -> str:
     return (match[1] or match[2] or "").lower()
 
 
-def _local_dots(text: str, at: int, floor: int, ending: dict[int, re.Match]) -> tuple[list[re.Match], bool]:
-    """Dots said in the local part that ends at a place, and whether it is more than one plain word."""
-    dots, marked = [], False
+def _local_dots(text: str, at: int, floor: int, ending: dict[int, re.Match]) -> tuple[list[re.Match], str, bool]:
+    """Dots said in the local part that ends at a place, its last word, and whether it is more than one plain word."""
+    dots, marked, end = [], False, at
     while at > floor:
         while at > floor and _LOCAL_LABELS.match(text[at - 1]):
             at -= 1
@@ -272,7 +285,7 @@ def _local_dots(text: str, at: int, floor: int, ending: dict[int, re.Match]) ->
             break
         dots.append(site)
         at, marked = site.start(), True
-    return dots, marked
+    return dots, "" if marked else text[at:end].lower(), marked
 
 
 def _host_labels(text: str, at: int, starting: dict[int, re.Match], starts: list[int]) -> list[tuple[str, re.Match | None]]:
@@ -295,20 +308,26 @@ def _host_labels(text: str, at: int, starting: dict[int, re.Match], starts: list
     return labels
 
 
-def _accepts(sign: str, labels: list[tuple[str, re.Match | None]], marked: bool) -> bool:
-    """Whether host labels behind a sign (an at word, or @ with or without space) make an address."""
+def _accepts(sign: str, labels: list[tuple[str, re.Match | None]], local: str, marked: bool) -> bool:
+    """Whether host labels behind a sign (an at word, or @ with or without space) make an address.
+
+    No list says which labels may end a host; what tells an address from prose is that none of its words is one that
+    prose has there. A local part that is marked as one, by a figure or a sign, is no word.
+    """
     said = [dot for _, dot in labels if dot is not None]
     last = labels[-1][0].lower()
-    backed = last in _TOP_LABELS or len(last) > 1 and last.isalpha() and (marked or len(said) > 1 or sign == " @ " and len(labels) > 2)
+    named = len(last) > 1 and last.isalpha() and (last not in _WORDS and last not in _AFTER_AT or last in _WORDY_TOPS)
+    hosts = {x.lower() for x, _ in labels[:-1]}
+    prose = not marked and (local in _BEFORE_AT or local in _WORDS) or not hosts.isdisjoint(_AFTER_AT) or last not in _SPACED_TOPS and not hosts.isdisjoint(_WORDS)
     if not said or len(labels) < 2:
-        return sign == " @ " and len(labels) > 1 and backed
+        return sign == " @ " and len(labels) > 1 and named and not prose
     if any(not _word_of(dot) for dot in said):  # a dot with a space beside it: also the end of a sentence
-        return last in _TOP_LABELS
+        return last in _SPACED_TOPS or last in _WORDY_TOPS and sign == "@" and len(said) == len(labels) - 1 and not prose
     if not sign.strip(" @"):
         return True
     if any(_word_of(dot) not in _PAIRED[sign] for dot in said):
         return last in _PLAIN_LABELS
-    return backed
+    return named and not prose
 
 
 def _wordy_sites(text: str) -> list[tuple[int, int, str]]:
@@ -324,8 +343,8 @@ def _wordy_sites(text: str) -> list[tuple[int, int, str]]:
             continue
         labels = _host_labels(text, site.end(), starting, starts)
         sign = _word_of(site) or ("@" if site[0] == "@" else " @ ")
-        local, marked = _local_dots(text, site.start(), floor, ending)
-        while labels and not _accepts(sign, labels, marked):
+        local, word, marked = _local_dots(text, site.start(), floor, ending)
+        while labels and not _accepts(sign, labels, word, marked):
             labels.pop()
         floor = site.end()
         if labels:
