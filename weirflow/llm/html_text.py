@@ -52,6 +52,8 @@ _PRIOR_WORD = dict.fromkeys(AROUND_WORDS.split(), AROUND) | dict.fromkeys(CONTEN
 BUCKETS = 16_384
 #: A feature's counts are smoothed by so many text runs, a tag's by so many tags.
 SMOOTH = 20.0
+#: A feature of which more runs than this share lie on either side, as body or div, tells nothing by itself.
+MIXED = 0.05
 _MOST_KNOWN = 20_000
 _LEARNED = 4.0
 #: What learning sees of a run's surroundings: so many elements outwards, and so many nested articles.
@@ -309,14 +311,14 @@ def fit(pages: DataFrame) -> Weights:
     """Weights from all pages that mark their article; the fixed values alone where no page does.
 
     A feature's weight is corrected by how much oftener it is seen in articles, and more rarely outside, than the fixed
-    values expect, at most by a factor e^4 each way. At most 2 x BUCKETS sums come to the driver, whatever the corpus.
+    values expect, at most by a factor e^4 each way; a feature seen on both sides is left as it is. At most 2 x BUCKETS sums come to the driver, whatever the corpus.
     """
     sums = _sources(pages).mapInArrow(_label_batches, _COUNTS).groupBy("kind", "bucket").agg(*(F.sum(c).alias(c) for c in ("seen_in", "seen_out", "expected_in")))
     elements, tags = np.zeros(BUCKETS), np.full(BUCKETS, TAG_ODDS)
     for row in sums.collect():
         if row.kind == "tag":
             tags[row.bucket] = max(1e-4, (row.seen_out + TAG_ODDS * SMOOTH) / (row.seen_in + SMOOTH))
-        else:
+        elif min(row.seen_in, row.seen_out) <= MIXED * (row.seen_in + row.seen_out):
             expected = row.expected_in / _UNIT
             missing = row.seen_in + row.seen_out - expected
             change = math.log((row.seen_in + SMOOTH) / (expected + SMOOTH)) - math.log((row.seen_out + SMOOTH) / (missing + SMOOTH))
