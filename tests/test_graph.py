@@ -40,7 +40,9 @@ def test_dominators_frontiers_and_back_edges_on_random_graphs(spark):
         if n in reach(edges, g, "n0"):
             expected |= {(g, d, n) for _, d in [x for x in nodes if x[0] == g] if d in reach(edges, g, "n0") and n not in reach(edges, g, "n0", d)}
     dom = graph.dominators(e, start)
-    assert {tuple(r) for r in dom.collect()} == expected
+    assert {tuple(r) for r in graph.dominance_pairs(dom).collect()} == expected
+    other = graph.dominators(e, start, small=0)  # by folding, and by paths where that ends
+    assert {tuple(r) for r in other.collect()} == {tuple(r) for r in dom.collect()}
     live = {(g, n) for g, _, n in expected}
     frontier = {
         (g, d, b) for g, a, b in edges if (g, a) in live for _, d in [x for x in nodes if x[0] == g]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import functools
-import itertools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weirflow.operators.dominance import (  # noqa: F401 - the graph operators that callers know by this module
+    back_edges, dominance_frontier, dominance_pairs, dominators, immediate_dominators, nearest_above, shortest_paths, with_dominance,
+)
 from weirflow.plans.fixpoint import discard, grow, jump, settled
 
 
@@ -47,75 +49,12 @@ def can_reach(edges: DataFrame, pairs: DataFrame, stops: DataFrame | None = None
     return pairs.join(reach.withColumnRenamed("node", "b").withColumn("_r", F.lit(True)), ["g", "a", "b"], "left").select("g", "a", "b", F.coalesce("_r", F.lit(False)).alias("reaches"))
 
 
-def shortest_paths(links: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, path): each node that starts(keys, node) reach over links(g, node, dst), with the first of its shortest paths in order of names.
-
-    Nodes of a level are in the order in which a breadth-first search meets them if they are in order of their paths.
-    A round a level; only the newest level is joined.
-    """
-    links = settled(links.select("g", "node", "dst").where("node <> dst").distinct())
-    level = settled(starts.select(*keys, "node").distinct().withColumn("path", F.array("node")))
-    known, parts = level, [level]
-    for done in itertools.count(1):
-        ahead = level.join(links, ["g", "node"]).select(*keys, F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        level = settled(ahead.groupBy(*keys, "node").agg(F.min("path").alias("path")).join(known.select(*keys, "node"), [*keys, "node"], "left_anti"))
-        if level.isEmpty():
-            return known
-        known = known.unionByName(level)
-        parts.append(level)
-        if not done % 16:
-            known = settled(known)
-            discard(*parts[:-1])
-            parts = [level, known]
-    raise AssertionError
-
-
-def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """(g, d, n): d dominates n, which holds if every way from an entry to n leads over d. Nodes that are not reached are absent.
-
-    What dominates a node lies on each way to it, so the nodes on one shortest path are all that can. One fixpoint
-    takes those away that do not dominate a predecessor, and follows the edges from each that goes. The rows are as
-    many as the nodes' paths are long, whatever the number of nodes; the rounds, as many as the deepest path.
-    """
-    paths = shortest_paths(edges.select("g", F.col("src").alias("node"), "dst"), entries, ["g"])
-    above = settled(paths.select("g", F.col("node").alias("n"), F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("d")))
-    links = settled(prune(edges, paths).select("g", F.col("src").alias("n"), "dst").where("n <> dst").distinct())
-    seed = links.join(above.withColumnRenamed("n", "dst"), ["g", "dst"]).where("d <> n").join(above, ["g", "n", "d"], "left_anti").select("g", "d", F.col("dst").alias("n"))
-    lost = grow(seed, lambda new, _: new.join(links, ["g", "n"]).where("dst <> d").select("g", "d", F.col("dst").alias("n")).join(above, ["g", "d", "n"], "left_semi"))
-    own = paths.select("g", F.col("node").alias("d"), F.col("node").alias("n"))
-    return settled(above.select("g", "d", "n").join(lost, ["g", "d", "n"], "left_anti").unionByName(own))
-
-
-def immediate_dominators(dom: DataFrame) -> DataFrame:
-    """(g, node, idom, depth): the strict dominator that has most dominators itself; null for the entry, whose depth is 0."""
-    depth = dom.groupBy("g", F.col("n").alias("d")).agg((F.count("*") - 1).alias("own"))
-    ranked = dom.join(depth, ["g", "d"])
-    best = F.max_by(F.when(F.col("d") != F.col("n"), F.col("d")), F.when(F.col("d") != F.col("n"), F.col("own")))
-    return ranked.groupBy("g", F.col("n").alias("node")).agg(best.alias("idom"), (F.count("*") - 1).alias("depth"))
-
-
-def dominator_tree(dom: DataFrame) -> DataFrame:
+def dominator_tree(tree: DataFrame) -> DataFrame:
     """(g, node, depth, rank, n_children, children): rank is the place in pre-order, children are names in order, comma-joined."""
-    own = dom.groupBy("g", F.col("n").alias("d")).agg(F.count("*").alias("own"))
-    path = F.transform(F.array_sort(F.collect_list(F.struct("own", "d"))), lambda e: e["d"])
-    paths = settled(dom.join(own, ["g", "d"]).groupBy("g", F.col("n").alias("node")).agg(path.alias("path")))
-    below = paths.where("size(path) > 1").groupBy("g", F.get("path", F.size("path") - 2).alias("node")).agg(F.count("*").alias("n_children"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("children"))
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("path")) - 1
-    ranked = paths.select("g", "node", (F.size("path") - 1).cast("long").alias("depth"), rank.cast("long").alias("rank"))
-    return ranked.join(below, ["g", "node"], "left").select("g", "node", "depth", "rank", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"), F.coalesce("children", F.lit("")).alias("children"))
-
-
-def dominance_frontier(edges: DataFrame, dom: DataFrame, min_preds: int = 2) -> DataFrame:
-    """(g, d, n): d dominates a predecessor of n but not n strictly; n has min_preds edges in or more."""
-    joins = edges.groupBy("g", "dst").agg(F.count("*").alias("_in")).where(F.col("_in") >= min_preds)
-    into = edges.join(joins, ["g", "dst"]).select("g", F.col("src").alias("p"), F.col("dst").alias("n"))
-    over = into.join(dom.select("g", "d", F.col("n").alias("p")), ["g", "p"]).select("g", "d", "n").distinct()
-    return over.join(dom.where("d <> n"), ["g", "d", "n"], "left_anti")
-
-
-def back_edges(edges: DataFrame, dom: DataFrame) -> DataFrame:
-    """(g, src, dst) whose target dominates their source, edges to itself included."""
-    return edges.select("g", "src", "dst").distinct().join(dom.select("g", F.col("d").alias("dst"), F.col("n").alias("src")), ["g", "src", "dst"], "left_semi")
+    names = F.array_join(F.array_sort(F.collect_list("node")), ",")
+    below = tree.where("idom is not null").groupBy("g", F.col("idom").alias("node")).agg(F.count("*").alias("n_children"), names.alias("children"))
+    ranked = tree.select("g", "node", "depth", F.col("pre").alias("rank")).join(below, ["g", "node"], "left")
+    return ranked.select("g", "node", "depth", "rank", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"), F.coalesce("children", F.lit("")).alias("children"))
 
 
 def loops(edges: DataFrame, dom: DataFrame, records: DataFrame | None = None, for_kinds: dict[str, str] | None = None) -> DataFrame:
@@ -147,26 +86,23 @@ def loops(edges: DataFrame, dom: DataFrame, records: DataFrame | None = None, fo
     one = settled(rows.groupBy("g", "header").agg(best.alias("b")).select("g", "header", "b.*"))
     at_latch = (F.col("kind") != "while") & ((F.col("kind") != "repeat") | F.col("_decides"))
     ends = one.withColumn("src", F.when(at_latch, F.col("latch")).otherwise(F.col("header")))
-    over = dom.select("g", F.col("d"), F.col("n"), F.lit(True).alias("_over"))
     leaving = ends.join(plain, ["g", "src"]).where("dst <> header and dst <> latch")
     leaving = leaving.withColumn("d", F.when(F.col("kind") == "while", F.col("dst")).otherwise(F.col("latch"))).withColumn("n", F.when(F.col("kind") == "while", F.col("latch")).otherwise(F.col("dst")))
-    leaving = leaving.join(over, ["g", "d", "n"], "left").where("kind = 'repeat' or (kind = 'while') = (_over is null)")
+    leaving = with_dominance(leaving, dom, "d", "n").where("kind = 'repeat' or (kind = 'while') <> _over")
     return one.join(leaving.groupBy("g", "header").agg(F.min("dst").alias("exit")), ["g", "header"], "left").select("g", "header", "latch", "kind", "exit")
 
 
 def innermost_loop(dom: DataFrame, headers: DataFrame) -> DataFrame:
     """(g, node, header, nesting): the deepest of headers(g, header) that dominates a node, and how many do."""
-    depth = dom.groupBy("g", F.col("n").alias("header")).agg(F.count("*").alias("_depth"))
-    over = headers.select("g", "header").distinct().join(depth, ["g", "header"]).join(dom.select("g", F.col("d").alias("header"), F.col("n").alias("node")), ["g", "header"])
-    return over.groupBy("g", "node").agg(F.max_by("header", "_depth").alias("header"), F.count("*").alias("nesting"))
+    marks = headers.select("g", F.col("header").alias("node")).distinct().withColumn("header", F.col("node"))
+    return nearest_above(dom.select("g", "node"), marks, dom, [], "header").where("header is not null").select("g", "node", "header", F.col("n_above").alias("nesting"))
 
 
 def classify_exits(edges: DataFrame, inner: DataFrame, looped: DataFrame, dom: DataFrame) -> DataFrame:
     """(g, src, dst, role) of edges in a loop, seen from the source's innermost header: break to its exit, continue to the header, inside or leave."""
     exits = looped.where("exit is not null").select("g", "header", F.col("exit").alias("dst")).distinct().withColumn("_exit", F.lit(True))
-    inside = dom.select("g", F.col("d").alias("header"), F.col("n").alias("dst"), F.lit(True).alias("_in"))
     rows = edges.select("g", "src", "dst").distinct().join(inner.select("g", F.col("node").alias("src"), "header"), ["g", "src"])
-    rows = rows.join(exits, ["g", "header", "dst"], "left").join(inside, ["g", "header", "dst"], "left")
+    rows = with_dominance(rows.join(exits, ["g", "header", "dst"], "left"), dom, "header", "dst", "_in")
     role = F.when(F.col("dst") == F.col("header"), "continue").when(F.col("_exit"), "break").when(F.col("_in"), "inside").otherwise("leave")
     return rows.select("g", "src", "dst", role.alias("role"))
 
@@ -179,7 +115,7 @@ def endless_loops(edges: DataFrame, dom: DataFrame, looped: DataFrame) -> DataFr
     plain = edges.select("g", "src", "dst").distinct()
     alone = plain.groupBy("g", "src").agg(F.count("*").alias("_out"), F.min("dst").alias("dst")).where("_out = 1").select("g", "src", "dst")
     fused = alone.where("src = dst").select("g", F.col("src").alias("node"), F.col("src").alias("latch"))
-    back = alone.where("src <> dst").join(dom.select("g", F.col("d").alias("dst"), F.col("n").alias("src")), ["g", "src", "dst"], "left_semi")
+    back = back_edges(alone.where("src <> dst"), dom)
     second = back.join(looped.select("g", F.col("header").alias("dst"), F.col("latch").alias("_known")), ["g", "dst"]).where("src <> _known")
     return fused.unionByName(second.groupBy("g", F.col("dst").alias("node")).agg(F.min("src").alias("latch")))
 
@@ -403,11 +339,8 @@ def _left_above(wanted: DataFrame, exits: DataFrame, merges: DataFrame, dom: Dat
     """For wanted(g, node, reg): the merges, as text, what nodes leave, and what the nearest strict dominator leaves, as _above."""
     merged = merges.select("g", "node", "reg", F.concat(F.lit("p"), F.col("node").cast("string")).alias("_merge"))
     left = exits.select("g", "node", "reg", F.col("version").alias("_exit")).join(merged, ["g", "node", "reg"], "full_outer").select("g", "node", "reg", F.coalesce("_exit", "_merge").alias("_leaves"))
-    depth = dom.groupBy("g", F.col("n").alias("d")).agg(F.count("*").alias("_depth"))
-    above = dom.where("d <> n").join(depth, ["g", "d"]).select("g", F.col("n").alias("node"), F.col("d").alias("_d"), "_depth")
-    leaves = left.withColumnRenamed("node", "_d")
-    nearest = wanted.select("g", "node", "reg").distinct().join(above, ["g", "node"]).join(leaves, ["g", "_d", "reg"]).groupBy("g", "node", "reg").agg(F.max_by("_leaves", "_depth").alias("_above"))
-    return merged, left, nearest
+    above = nearest_above(wanted.select("g", "node", "reg").distinct(), left.withColumnRenamed("_leaves", "_above"), dom, ["reg"], "_above", strict=True)
+    return merged, left, above.select("g", "node", "reg", "_above")
 
 
 def reaching_versions(uses: DataFrame, exits: DataFrame, merges: DataFrame, dom: DataFrame, inside: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weirflow.operators.dominance import with_dominance
+
 
 def lookup(rows: DataFrame, key: str, pool: DataFrame, pool_key: str, value: str, null_key: int | None = 0) -> DataFrame:
     """rows with value and status: ok, null for the null key, missing for a key that the pool has not."""
@@ -61,8 +63,8 @@ def name_collisions(own: DataFrame, captured: DataFrame) -> DataFrame:
 
 
 def dominates(pairs: DataFrame, dom: DataFrame) -> DataFrame:
-    """The pairs(g, d, n) in which d dominates n."""
-    return pairs.join(dom.select("g", "d", "n").distinct(), ["g", "d", "n"], "left_semi")
+    """The pairs(g, d, n) in which d dominates n, by the tree's intervals."""
+    return with_dominance(pairs.select("g", "d", "n"), dom, "d", "n").where("_over").select("g", "d", "n")
 
 
 def same_source(inputs: DataFrame, consumer: str, source: str, n: int) -> DataFrame:
