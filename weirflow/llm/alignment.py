@@ -69,18 +69,21 @@ class PieceEncoder:
     """Piece ids of texts; no piece goes over the space before a word, so each distinct word is encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
-        self.model, self.memory = _pieces(path), Memory()
+        self.model, self.written, self.memory = _pieces(path), _b_bytes(path), Memory()
 
-    def _learn(self, units: list[str]) -> Iterator[array.array]:
+    def _learn(self, units: list[str]) -> Iterator[bytes | None]:
+        """The packed ids of each unit; None for one that they don't spell."""
         alone = self.model.piece_to_id(_MARK)
         for unit, ids in zip(units, self.model.encode([unit[1:] for unit in units], num_threads=1)):
-            yield array.array("i", ids if len(unit) > 1 else [alone])
+            ids = ids if len(unit) > 1 else [alone]
+            yield array.array("i", ids).tobytes() if b"".join(map(self.written.__getitem__, ids)) == unit.encode() else None
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each space + text, which are those that the model gives for the text itself."""
+    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each space + text, which are those that the model gives for the text itself; None where they don't spell it."""
         cut = [_UNITS.findall(" " + text) if text else [] for text in texts]
         get = self.memory.recall(set().union(*cut), self._learn).__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), np.int32).astype(np.int64) for units in cut]
+        found = [list(map(get, units)) for units in cut]
+        return [None if None in ids else np.frombuffer(b"".join(ids), np.int32).astype(np.int64) for ids in found]
 
 
 class Aligned:
@@ -141,17 +144,16 @@ class Aligner:
 
     def __init__(self, tokenizer: str, ranks: str, model: str) -> None:
         self.tokenizer, self.ranks = tokenizer, ranks
-        self.written = [_a_bytes(tokenizer), _b_bytes(model)]
-        self.lengths = [np.array([len(x) for x in side]) for side in self.written]
+        self.lengths = [np.array([len(x) for x in side]) for side in (_a_bytes(tokenizer), _b_bytes(model))]
         self.pieces = PieceEncoder(model)
 
     def align(self, texts: list[str]) -> Aligned:
         """Texts that are empty, or that the tokens of either side don't spell, have no tokens."""
-        first = [np.frombuffer(x, "<u4").astype(np.int64) for x in packing.encode([" " + t for t in texts], self.tokenizer, self.ranks)]
-        second = self.pieces.encode(["" if _MARK in t else t for t in texts])  # a text with the mark can't be spelled
-        for place, text in enumerate(texts):
-            spelled = (" " + text).encode()
-            if not text or any(b"".join(map(table.__getitem__, ids[place].tolist())) != spelled for table, ids in zip(self.written, (first, second))):
+        second = self.pieces.encode(texts)
+        first = [np.frombuffer(x, "<u4").astype(np.int64) for x in packing.encode([" " + t if t and ids is not None else "" for t, ids in zip(texts, second)], self.tokenizer, self.ranks)]
+        for place, ids in enumerate(first):
+            # byte-level tokens spell what they were made of, so their lengths tell whether any of it is missing
+            if second[place] is None or self.lengths[0][ids].sum() != self.lengths[1][second[place]].sum():
                 first[place] = second[place] = np.zeros(0, np.int64)
         return Aligned([first, second], self.lengths)
 

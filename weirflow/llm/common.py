@@ -57,21 +57,21 @@ class Memory:
 
     def recall(self, words: Iterable[str], learn: Callable[[list], Iterable]) -> dict:
         """A dict that has all the distinct words; learn gives the values of a list of new ones, in order."""
-        for word in self._passing:
-            self.known.pop(word, None)
-        self._passing = []
         if self.bytes > self.most_bytes:
             self.known.clear()
-            self.bytes = 0
+            self.bytes, self._passing = 0, []
+        for word in self._passing:
+            value = self.known.pop(word)
+            self.bytes -= sys.getsizeof(word) + sys.getsizeof(value) + _ENTRY_BYTES
+        self._passing = []
         new = [w for w in words if w not in self.known]
         if new:
-            for word, value in zip(new, learn(new)):
-                self.known[word] = value
-                size = sys.getsizeof(word)
-                if size > LONGEST_REMEMBERED:
-                    self._passing.append(word)
-                else:
-                    self.bytes += size + sys.getsizeof(value) + _ENTRY_BYTES
+            values = list(learn(new))
+            self.known.update(zip(new, values))
+            sizes = list(map(sys.getsizeof, new))
+            if max(sizes) > LONGEST_REMEMBERED:
+                self._passing = [w for w, size in zip(new, sizes) if size > LONGEST_REMEMBERED]
+            self.bytes += sum(sizes) + sum(map(sys.getsizeof, values)) + _ENTRY_BYTES * len(new)
         return self.known
 
 

@@ -75,15 +75,21 @@ _PLAIN = re.compile("[\x00-\u024f]*")
 def encode(texts: list[str], tokenizer: str = TOKENIZER, ranks: str = RANKS) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer splits text before each space that a word follows and around each line end before it merges
+    Texts of plain letters are encoded by the rank file of the same vocabulary, which merges several times as fast.
+    The tokenizer splits others before each space that a word follows and around each line end before it merges
     anything, so chunks cut there are encoded by themselves, each distinct one once. Texts with other white space
-    are encoded whole.
+    are encoded whole by the tokenizer itself.
     """
     whole, fast, memory = _tokenizer(tokenizer), _ranked(ranks), _chunks.setdefault((tokenizer, ranks), Memory())
     cut: list[list[str] | None] = []
-    for text in texts:
+    done: dict[int, bytes] = {}
+    for place, text in enumerate(texts):
         if _oddly_spaced(text):
             cut.append(None)
+            done[place] = _packed(whole.encode(text, add_special_tokens=False).ids)
+        elif _PLAIN.fullmatch(text):
+            cut.append(None)
+            done[place] = _packed(fast.encode_ordinary(text))
         else:  # a chunk is a word with the space before it, a word at a line's start, or a line end
             cut.append(text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00"))
 
@@ -93,7 +99,7 @@ def encode(texts: list[str], tokenizer: str = TOKENIZER, ranks: str = RANKS) ->
             yield _packed(fast.encode_ordinary(chunk) if plain else whole.encode(chunk, add_special_tokens=False).ids)
 
     get = memory.recall(set().union(*filter(None, cut)), learn).__getitem__
-    return [_packed(whole.encode(text, add_special_tokens=False).ids) if chunks is None else b"".join(map(get, chunks)) for text, chunks in zip(texts, cut)]
+    return [done[place] if chunks is None else b"".join(map(get, chunks)) for place, chunks in enumerate(cut)]
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
