@@ -139,3 +139,21 @@ def test_components_of_a_star_and_a_path(spark):
     edges = [(5000, i) for i in range(1000)] + [(i, i + 1) for i in range(6000, 6040)] + [(7, 7), (None, 3)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in [*range(1000), 5000]}, **{i: 6000 for i in range(6000, 6041)}}
+
+
+def test_a_dense_bucket_above_the_last_level_loses_no_link(spark):
+    draw = np.random.default_rng(9)
+    base = int(draw.integers(1 << 62)) & ~0xFFF
+    fps = sorted({base | int(x) for x in draw.integers(1 << 12, size=250)})  # all alike in 52 bits: no key parts them
+    found = simhash.links(spark.createDataFrame([(x,) for x in fps], "fp long"), hot_bucket=40).collect()
+    told, brute = simhash._Forest(), simhash._Forest()
+    for r in found:
+        assert (r.a ^ r.b).bit_count() <= 4
+        told.joins(r.a, r.b)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 4:
+                brute.joins(a, b)
+    assert all((told._root(a) == told._root(b)) == (brute._root(a) == brute._root(b)) for i, a in enumerate(fps) for b in fps[:i])
+    keys = simhash._block_pairs(spark.createDataFrame([(1, x) for x in fps], "key long, fp long"), 40).groupBy("key").count()
+    assert keys.agg({"count": "max"}).first()[0] < 80

@@ -199,13 +199,22 @@ def _linker(hot_bucket: int | None, level: int = 1):
     return run
 
 
+def _block_pairs(rows: DataFrame, hot_bucket: int) -> DataFrame:
+    """rows(key, fp) once for each pair of blocks that theirs is in: blocks of a key have about half of hot_bucket rows."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") * 2 / hot_bucket).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.col("_blocks")).cast("int")
+    each = rows.join(blocks, "key").select("key", "fp", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    return each.select(F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("key"), "fp")
+
+
 def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """(a, b) pairs of fingerprints that differ in at most four bits and join all that are linked.
 
     distinct(fp) has each fingerprint once. Every component of the link graph is spanned; links inside a component
     that other links already imply are left out, so large groups do not give all their pairs. A bucket of more than
     hot_bucket members is not held by one task: its rows go on, under finer keys, to another exchange, up to LEVELS
-    times, each of which only runs if there are such rows.
+    times, each of which only runs if there are such rows. What is hot even then is cut into blocks by hash, and each
+    pair of blocks is a bucket of its own, so no task holds more than two blocks.
     """
     sort = lambda df: df.repartition("key").sortWithinPartitions("key", "fp")
     rows, found = _variants(distinct), []
@@ -217,7 +226,7 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
             break
         rows = hot.select(F.col("a").alias("key"), F.col("b").alias("fp"))
     else:
-        found.append(sort(rows).mapInArrow(_linker(None), "kind int, a long, b long"))
+        found.append(sort(_block_pairs(rows, hot_bucket)).mapInArrow(_linker(None), "kind int, a long, b long"))
     return functools.reduce(DataFrame.unionByName, found).where("kind = 0").select("a", "b")
 
 
@@ -236,8 +245,11 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     distinct = staged(parts.groupBy("fp").agg(F.min("best").alias("best"), F.collect_list("part").alias("parts")), "distinct-fingerprints")
     roots = connected_components(links(distinct.select("fp"), hot_bucket))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    tops = rooted.where("root is not null").groupBy("root").agg(F.min("best").alias("top"))
-    named = rooted.join(tops, "root", "left").select("fp", F.explode("parts").alias("part"), F.coalesce("top", "best").alias("top"))
+    linked = rooted.where("root is not null")
+    tops = linked.join(linked.groupBy("root").agg(F.min("best").alias("top")), "root").select("fp", "parts", "top")
+    # most fingerprints have no link: they stay out of the join, where they would all have one key, null
+    alone = rooted.where("root is null").select("fp", "parts", F.col("best").alias("top"))
+    named = tops.unionByName(alone).select("fp", F.explode("parts").alias("part"), "top")
     return rows.join(named, ["fp", "part"]).select(
         "doc_id", "row_key", "fp", F.col("top.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row_key") == F.col("top.row_key"))).alias("keeps"),
