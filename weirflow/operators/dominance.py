@@ -182,6 +182,22 @@ def common_ancestors(sets: DataFrame, parents: DataFrame) -> DataFrame:
     return settled(lifted.select("g", "key", F.when(F.col("_apart"), F.col("up")).otherwise(F.col("node")).alias("node")).distinct())
 
 
+def straight_runs(edges: DataFrame, heads: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (g, node, next) from a node back to the only one before it, which leads nowhere else, and (g, node, head, place) of such runs.
+
+    edges(g, src, dst) are distinct. heads(g, node) begin runs of their own, and so does every node of a circle that is
+    all one run. Runs of one node have no row. Log rounds, whatever the length of the runs.
+    """
+    out = edges.groupBy("g", "src").agg(F.count("*").alias("_out"))
+    into = edges.groupBy("g", "dst").agg(F.count("*").alias("_in"))
+    found = edges.where("src <> dst").join(out.where("_out = 1"), ["g", "src"]).join(into.where("_in = 1"), ["g", "dst"])
+    if heads is not None:
+        found = found.join(heads.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_anti")
+    found = settled(found.select("g", F.col("dst").alias("node"), F.col("src").alias("next")))
+    runs = settled(jump(found).where("steps is not null").select("g", "node", F.col("top").alias("head"), F.col("steps").alias("place")))
+    return settled(found.join(runs.select("g", "node"), ["g", "node"], "left_semi")), runs
+
+
 def _by_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(g, node, idom) by a fixpoint over shortest paths of what is left when straight runs are drawn together.
 
@@ -189,12 +205,8 @@ def _by_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     predecessor, and the edges followed from each that goes. Rows are as many as the paths of the drawn graphs are long,
     rounds as many as the longest is.
     """
-    out = edges.groupBy("g", "src").agg(F.count("*").alias("_out"))
-    into = edges.groupBy("g", "dst").agg(F.count("*").alias("_in"))
-    straight = edges.join(out.where("_out = 1"), ["g", "src"]).join(into.where("_in = 1"), ["g", "dst"]).join(starts.withColumnRenamed("node", "dst"), ["g", "dst"], "left_anti")
-    straight = settled(straight.select("g", F.col("dst").alias("node"), F.col("src").alias("next")))
-    runs = settled(jump(straight).where("steps is not null"))
-    head = runs.select("g", F.col("node").alias("src"), F.col("top").alias("_head"))
+    straight, runs = straight_runs(edges, starts)
+    head = runs.select("g", F.col("node").alias("src"), F.col("head").alias("_head"))
     drawn = edges.join(straight.select("g", F.col("node").alias("dst")), ["g", "dst"], "left_anti").join(head, ["g", "src"], "left")
     drawn = settled(drawn.select("g", F.coalesce("_head", "src").alias("src"), "dst").where("src <> dst").distinct())
     paths = settled(shortest_paths(drawn.withColumnRenamed("src", "node"), starts, ["g"]))
@@ -207,9 +219,9 @@ def _by_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     kept = settled(above.select("g", "d", "n").join(lost, ["g", "d", "n"], "left_anti"))
     deep = kept.groupBy("g", F.col("n").alias("d")).agg(F.count("*").alias("_own"))
     nearest = kept.join(deep, ["g", "d"], "left").groupBy("g", F.col("n").alias("node")).agg(F.max_by("d", F.coalesce("_own", F.lit(0))).alias("idom"))
-    tails = runs.groupBy("g", F.col("top").alias("idom")).agg(F.max_by("node", "steps").alias("_tail"))
+    tails = runs.groupBy("g", F.col("head").alias("idom")).agg(F.max_by("node", "place").alias("_tail"))
     heads = reached.join(nearest, ["g", "node"], "left").join(tails, ["g", "idom"], "left").select("g", "node", F.coalesce("_tail", "idom").alias("idom"))
-    within = straight.join(runs.select("g", "node", "top"), ["g", "node"]).join(reached.withColumnRenamed("node", "top"), ["g", "top"], "left_semi")
+    within = straight.join(runs.select("g", "node", "head"), ["g", "node"]).join(reached.withColumnRenamed("node", "head"), ["g", "head"], "left_semi")
     return settled(heads.unionByName(within.select("g", "node", F.col("next").alias("idom"))))
 
 

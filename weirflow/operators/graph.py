@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weirflow.operators.dataflow import first_access, liveness, span_access  # noqa: F401
 from weirflow.operators.dominance import (  # noqa: F401 - the graph operators that callers know by this module
     back_edges, dominance_frontier, dominance_pairs, dominators, immediate_dominators, nearest_above, shortest_paths, with_dominance,
 )
@@ -205,8 +206,7 @@ def member_paths(reads: DataFrame) -> DataFrame:
 
 def expand_spans(records: DataFrame, base: Column, count: Column) -> DataFrame:
     """(g, pc, reg) for each register that a record mentions by a span: count of them from base on; none for a count of 0 or null."""
-    spans = records.select("g", "pc", base.cast("long").alias("_from"), count.cast("long").alias("_many")).where("_many > 0")
-    return spans.select("g", "pc", F.explode(F.sequence("_from", F.col("_from") + F.col("_many") - 1)).alias("reg"))
+    return span_access(records, "", base, count).drop("mode")
 
 
 def contract_passthrough(edges: DataFrame, removable: DataFrame) -> DataFrame:
@@ -233,18 +233,6 @@ def boolean_diamonds(edges: DataFrame) -> DataFrame:
     return second.join(plain.select("g", F.col("src").alias("header"), F.col("dst").alias("target")), ["g", "header", "target"], "left_semi").select("g", "header", "mid", "target")
 
 
-def liveness(edges: DataFrame, reads_first: DataFrame, writes: DataFrame) -> DataFrame:
-    """(g, node, reg) live into a node: read there before any write, or live into a successor and not written.
-
-    reads_first(g, node, reg) are reads before the node's own writes(g, node, reg).
-    """
-    back = settled(edges.select("g", F.col("dst").alias("node"), F.col("src").alias("before")).distinct())
-    written = settled(writes.select("g", "node", "reg").distinct())
-    def step(new: DataFrame, _: DataFrame) -> DataFrame:
-        return new.join(back, ["g", "node"]).select("g", F.col("before").alias("node"), "reg").join(written, ["g", "node", "reg"], "left_anti")
-    return grow(reads_first.select("g", "node", "reg"), step)
-
-
 def place_merges(frontier: DataFrame, writes: DataFrame, live: DataFrame, edges: DataFrame, params: DataFrame | None = None) -> DataFrame:
     """(g, node, reg, n_operands): iterated frontier of each register's writing nodes, kept where the register is live in.
 

@@ -91,6 +91,14 @@ def g7(s, d):
     return _live(s, d, _block_access(s, d), _block_edges(s, d))
 
 
+def g7_spans(s, d):
+    """A signup is a call whose results are written to the k % 3 registers from its own on; a record reads before it writes."""
+    results = graph.span_access(fx.ir(s, d).where("op = 'signup'"), "W", F.col("reg"), F.col("k") % 3)
+    rows = segment.with_blocks(fx.ir(s, d), _error()).select("g", "pc", F.col("b").alias("node"))
+    plain = fx.du(s, d).where("mode = 'R'").unionByName(_call_spans(s, d).withColumn("mode", F.lit("R")))
+    return graph.liveness(_block_edges(s, d), *graph.first_access(settled(rows.join(plain.unionByName(results), ["g", "pc"]))))
+
+
 def _first_blocks(s, d):
     return segment.assign_blocks(fx.ir(s, d), _error()).where("b = 0").select("g", F.col("b").alias("node"))
 
@@ -383,6 +391,13 @@ QUERIES = {
       FROM p LEFT JOIN kids ON kids.g = p.g AND kids.node = p.node""", ("dom", "depth")),
     "g6_dominance_frontier": (g6, _FRONTIER.format(e="fe", dom="dom"), _DOM),
     "g7_liveness": (g7, _BLOCKS + " SELECT * FROM live", ("blk", "du")),
+    "g7_span_results": (g7_spans, """, bedge AS (SELECT g, b AS src, b + 1 AS dst FROM blk WHERE (g, b + 1) IN (SELECT g, b FROM blk) UNION ALL SELECT g, b, b - 2 FROM blk WHERE b >= 2 AND b % 2 = 0),
+      acc AS (SELECT a.g, b AS node, reg, a.pc, mode FROM (SELECT g, pc, reg, mode FROM du WHERE mode = 'R' UNION ALL SELECT g, pc, unnest(range(reg + 1, reg + 1 + k % 4)), 'R' FROM ir WHERE op = 'purchase'
+        UNION ALL SELECT g, pc, unnest(range(reg, reg + k % 3)), 'W' FROM ir WHERE op = 'signup') a JOIN blkrow ON blkrow.g = a.g AND blkrow.pc = a.pc),
+      firsts AS (SELECT g, node, reg FROM acc GROUP BY g, node, reg HAVING arg_min(mode, pc * 2 + CASE WHEN mode = 'W' THEN 1 ELSE 0 END) = 'R'), wr AS (SELECT DISTINCT g, node, reg FROM acc WHERE mode = 'W'),
+      live AS (SELECT g, node, reg FROM firsts UNION SELECT l.g, e.src, l.reg FROM live l JOIN bedge e ON e.g = l.g AND e.dst = l.node
+        WHERE NOT EXISTS (SELECT 1 FROM wr WHERE wr.g = l.g AND wr.node = e.src AND wr.reg = l.reg))
+      SELECT * FROM live""", ("blk", "du")),
     "g8_place_merges": (g8, _MERGES + " SELECT phi.*, (SELECT count(*) FROM bedge e WHERE e.g = phi.g AND e.dst = phi.node) AS n_operands FROM phi", ("blk", "du")),
     "g9_reaching_versions": (g9, _MERGES + _LEFT + """ SELECT a.g, a.pc, a.reg, coalesce((SELECT 'd' || max(w.pc) FROM acc w WHERE w.g = a.g AND w.node = a.node AND w.reg = a.reg AND w.mode = 'W' AND w.pc < a.pc),
         (SELECT 'p' || p.node FROM phi p WHERE p.g = a.g AND p.node = a.node AND p.reg = a.reg), near.v, '0') AS version
