@@ -13,6 +13,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weirflow.plans.fixpoint import discard, grow, jump, settled
+from weirflow.plans.scan import latest, running, total
 
 #: Graphs of so many nodes at most are solved within one row each: sets of their nodes are bits of a long, whose sign bit is left.
 SMALL = 63
@@ -300,10 +301,9 @@ def nearest_above(probes: DataFrame, marks: DataFrame, tree: DataFrame, keys: li
         probes.select(*group, "node").distinct().join(place, ["g", "node"]).select(*group, "node", F.col("pre").alias("_at"), F.lit(turn["probe"]).alias("_turn"), F.lit(0).alias("_step"), none.alias("_value"), F.lit(False).alias("_mark")),
     ]
     order = ("_at", "_turn")
-    counted = functools.reduce(DataFrame.unionByName, events).withColumn("_open", F.sum("_step").over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    counted = running(functools.reduce(DataFrame.unionByName, events), group, list(order), _open=total(F.col("_step")))
     begun = F.when(F.col("_step") == 1, F.struct(F.col("_value").alias("v")))
-    inner = F.last(begun, ignorenulls=True).over(Window.partitionBy(*group, "_open").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    seen = counted.withColumn("_inner", inner).where(~F.col("_mark") & (F.col("_open") > 0)).select(*group, "node", F.col("_inner.v").alias(value), F.col("_open").alias("n_above"))
+    seen = running(counted, [*group, "_open"], list(order), _inner=latest(begun)).where(~F.col("_mark") & (F.col("_open") > 0)).select(*group, "node", F.col("_inner.v").alias(value), F.col("_open").alias("n_above"))
     return probes.join(seen, [*group, "node"], "left")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weirflow.operators.dominance import with_dominance
+from weirflow.plans.scan import HOT_ROWS, latest, running
 
 
 def lookup(rows: DataFrame, key: str, pool: DataFrame, pool_key: str, value: str, null_key: int | None = 0) -> DataFrame:
@@ -29,20 +30,22 @@ def def_use(defs: DataFrame, uses: DataFrame) -> DataFrame:
     return uses.select("g", "reg", "version", F.col("pc").alias("use_pc")).join(made, ["g", "reg", "version"])
 
 
-def as_of(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, default, include: bool = False) -> DataFrame:
-    """probes with the value of the last mark before at (or at it, with include), by one sort of both; default where none is."""
+def as_of(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str, default, include: bool = False, hot: int = HOT_ROWS) -> DataFrame:
+    """probes with the value of the last mark before at (or at it, with include), by one sort of both; default where none is.
+
+    Keys of more than hot rows are cut into stretches of the order.
+    """
     both = probes.select(*probes.columns, F.lit(None).cast(marks.schema[value].dataType).alias("_value"), F.lit(1 if include else 0).alias("_turn"), F.lit(True).alias("_probe"))
     named = {c: F.col(c) if c in marks.columns and c != value else F.lit(None).cast(probes.schema[c].dataType) for c in probes.columns}
     other = marks.select(*(named[c].alias(c) for c in probes.columns), F.col(value).alias("_value"), F.lit(0 if include else 1).alias("_turn"), F.lit(False).alias("_probe"))
     # at one place a mark sorts behind the probes, or before them with include
-    last = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(at, "_turn").rowsBetween(Window.unboundedPreceding, 0))
-    seen = both.unionByName(other).withColumn(value, F.coalesce(last, F.lit(default)))
-    return seen.where("_probe").drop("_value", "_turn", "_probe")
+    seen = running(both.unionByName(other), keys, [at, "_turn"], hot, _last=latest(F.col("_value"))).where("_probe")
+    return seen.withColumn(value, F.coalesce("_last", F.lit(default))).drop("_last", "_value", "_turn", "_probe")
 
 
-def block_of(records: DataFrame, blocks: DataFrame) -> DataFrame:
+def block_of(records: DataFrame, blocks: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """(g, pc, b): the block whose range holds a record; -1 where none does."""
-    found = as_of(records.select("g", "pc"), blocks.select("g", F.col("head_pc").alias("pc"), F.struct("b", "tail_pc").alias("blk")), ["g"], "pc", "blk", None, include=True)
+    found = as_of(records.select("g", "pc"), blocks.select("g", F.col("head_pc").alias("pc"), F.struct("b", "tail_pc").alias("blk")), ["g"], "pc", "blk", None, True, hot)
     return found.select("g", "pc", F.when(F.col("pc") <= F.col("blk.tail_pc"), F.col("blk.b")).otherwise(-1).alias("b"))
 
 

@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from weirflow.plans.scan import HOT_ROWS, highest, latest, previous, running, total
+
 
 def _order() -> WindowSpec:
     return Window.partitionBy("g").orderBy("pc")
 
 
-def _before() -> WindowSpec:
-    return _order().rowsBetween(Window.unboundedPreceding, -1)
-
+def with_blocks(records: DataFrame, ends_block: Column, targets: DataFrame | None = None, hot: int = HOT_ROWS) -> DataFrame:
+    """records with b, the 0-based block: one begins at the first record, behind a record that ends a block, and at targets(g, pc).
 
-def with_blocks(records: DataFrame, ends_block: Column, targets: DataFrame | None = None) -> DataFrame:
-    """records with b, the 0-based block: one begins at the first record, behind a record that ends a block, and at targets(g, pc)."""
-    leader = F.coalesce(F.lag(ends_block).over(_order()), F.lit(True))
+    A record for which ends_block is null ends no block. A graph of more than hot records is cut into stretches.
+    """
+    target = F.lit(False)
     if targets is not None:
         marked = targets.select("g", "pc").distinct().withColumn("_target", F.lit(True))
         records = records.join(marked, ["g", "pc"], "left")
-        leader = leader | F.col("_target").isNotNull()
-    # a window may not hold another: the flag first, then its running sum
-    out = records.withColumn("_leader", leader.cast("long"))
-    return out.withColumn("b", F.sum("_leader").over(_order()) - 1).drop("_leader", "_target")
-
-
-def assign_blocks(records: DataFrame, ends_block: Column, targets: DataFrame | None = None) -> DataFrame:
+        target = F.coalesce("_target", F.lit(False))
+    # A block begins behind every record that ends one, and at every target whose record before doesn't; the first is 0.
+    ends = F.coalesce(ends_block, F.lit(False)).cast("long")
+    if targets is None:
+        out = running(records, ["g"], ["pc"], hot, b=total(ends, own=False))
+        return out.withColumn("b", F.coalesce("b", F.lit(0).cast("long")))
+    out = running(records.withColumn("_ends", ends), ["g"], ["pc"], hot, _before=previous(F.col("_ends")))
+    leader = F.coalesce(F.col("_before.v") > 0, F.lit(True)) | target
+    out = running(out.withColumn("_leader", leader.cast("long")), ["g"], ["pc"], hot, b=total(F.col("_leader")))
+    return out.withColumn("b", F.col("b") - 1).drop("_leader", "_target", "_ends", "_before")
+
+
+def assign_blocks(records: DataFrame, ends_block: Column, targets: DataFrame | None = None, hot: int = HOT_ROWS) -> DataFrame:
     """(g, b, head_pc, tail_pc) of each block."""
-    return with_blocks(records, ends_block, targets).groupBy("g", "b").agg(F.min("pc").alias("head_pc"), F.max("pc").alias("tail_pc"))
+    return with_blocks(records, ends_block, targets, hot).groupBy("g", "b").agg(F.min("pc").alias("head_pc"), F.max("pc").alias("tail_pc"))
 
 
 def classify_blocks(blocked: DataFrame, terminators: dict[str, str], default: str = "FALL", offset: str | None = None, loop_ops: list[str] = ()) -> DataFrame:
@@ -64,14 +71,15 @@ def decode_line_deltas(records: DataFrame, delta: str, gap: int) -> DataFrame:
     return rows.join(bases, ["g", "interval"]).select("g", "pc", (F.col("low") + F.col("base")).alias("line"))
 
 
-def number_versions(defs: DataFrame) -> DataFrame:
+def number_versions(defs: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """defs(g, pc, reg) with version, from 1 per register; 0 is the value at the entry."""
-    return defs.withColumn("version", F.row_number().over(Window.partitionBy("g", "reg").orderBy("pc")).cast("long"))
+    return running(defs, ["g", "reg"], ["pc"], hot, version=total(F.lit(1).cast("long")))
 
 
-def high_water(records: DataFrame, anchor: Column) -> DataFrame:
+def high_water(records: DataFrame, anchor: Column, hot: int = HOT_ROWS) -> DataFrame:
     """(g, pc, span): at each anchor, the highest register mentioned before it minus its own; null where none was."""
-    return records.select("g", "pc", anchor.alias("_is"), (F.max("reg").over(_before()) - F.col("reg")).alias("span")).where("_is").drop("_is")
+    rows = running(records.select("g", "pc", "reg", anchor.alias("_is")), ["g"], ["pc"], hot, _most=highest(F.col("reg"), own=False))
+    return rows.where("_is").select("g", "pc", (F.col("_most") - F.col("reg")).alias("span"))
 
 
 def pair_with_previous(records: DataFrame, n: int) -> DataFrame:
@@ -87,7 +95,9 @@ def trailing_run(records: DataFrame, anchor: str, op: str) -> DataFrame:
     return rows.where((F.col("op") == op) & (F.col("before") == anchor)).select("g", "anchor_pc", "pc", (F.col("pc") - F.col("anchor_pc") - 1).alias("ord"))
 
 
-def collect_until_barrier(records: DataFrame, anchor: Column, wanted: Column, barrier: Column, limit: int = 100, redefines: Column | None = None, foldable: Column | None = None) -> DataFrame:
+def collect_until_barrier(
+    records: DataFrame, anchor: Column, wanted: Column, barrier: Column, limit: int = 100, redefines: Column | None = None, foldable: Column | None = None, hot: int = HOT_ROWS
+) -> DataFrame:
     """(g, anchor_pc, n, pcs): wanted records behind each anchor, up to limit places and before the first barrier.
 
     A record for which redefines holds is a barrier to anchors of the same reg. If foldable does not hold for one of the
@@ -96,9 +106,11 @@ def collect_until_barrier(records: DataFrame, anchor: Column, wanted: Column, ba
     """
     place = F.floor(F.col("pc") / limit)
     ahead = Window.partitionBy("g").orderBy("pc").rangeBetween(1, limit)
-    behind = Window.partitionBy("g", "reg").orderBy("pc").rowsBetween(1, Window.unboundedFollowing)
-    again = F.min(F.when(redefines, F.col("pc"))).over(behind) if redefines is not None else F.lit(None).cast("long")
-    rows = records.select("g", "pc", anchor.alias("_a"), F.min(F.when(barrier, F.col("pc"))).over(ahead).alias("_stop"), again.alias("_again"))
+    rows = records.select("g", "pc", "reg", anchor.alias("_a"), F.min(F.when(barrier, F.col("pc"))).over(ahead).alias("_stop"), (redefines if redefines is not None else F.lit(False)).alias("_re"))
+    if redefines is None:
+        rows = rows.withColumn("_again", F.lit(None).cast("long"))
+    else:  # the next redefinition is the last one seen when the records are read from behind
+        rows = running(rows.withColumn("_back", -F.col("pc")), ["g", "reg"], ["_back"], hot, _again=latest(F.when(F.col("_re"), F.col("pc")), own=False))
     anchors = rows.where("_a").select("g", F.col("pc").alias("anchor_pc"), F.least("_stop", "_again").alias("_stop"))
     stretches = F.floor(F.col("anchor_pc") / limit)
     looking = anchors.withColumn("_stretch", F.explode(F.array(stretches, stretches + 1)))
@@ -113,10 +125,9 @@ def fallthrough(blocks: DataFrame) -> DataFrame:
     return blocks.select("g", "b", F.lead("b").over(Window.partitionBy("g").orderBy("b")).alias("next_b"))
 
 
-def first_write(defs: DataFrame, params: DataFrame | None = None) -> DataFrame:
+def first_write(defs: DataFrame, params: DataFrame | None = None, hot: int = HOT_ROWS) -> DataFrame:
     """(g, pc, reg, declares): whether a write is the register's first in its graph. A register of params(g, reg) is declared at the entry, so never later."""
-    first = F.row_number().over(Window.partitionBy("g", "reg").orderBy("pc")) == 1
-    rows = defs.select("g", "pc", "reg", first.alias("declares"))
+    rows = number_versions(defs.select("g", "pc", "reg"), hot).select("g", "pc", "reg", (F.col("version") == 1).alias("declares"))
     if params is None:
         return rows
     given = params.select("g", "reg").distinct().withColumn("_given", F.lit(True))
