@@ -28,6 +28,9 @@ PREFIXES = (4, 5, 6)
 #: One part in this many documents is held out.
 FOLDS = 5
 
+#: What a worker remembers of tokens; where all features are named, their names come on top, about twice as much.
+TOKEN_BYTES = 24 << 20
+
 # ---- the language model: codes 0 boundary, 1-26 the letters, 27 any other letter, 28 a figure or sign ----
 _CODES = 32
 _OTHER, _SIGN = 27, 28
@@ -166,7 +169,7 @@ class _Features:
     """The features of tokens and texts. chosen: those that count, all where None."""
 
     def __init__(self, costs: np.ndarray, chosen: dict[str, int] | None) -> None:
-        self.costs, self.chosen, self.memory = costs.tolist(), chosen, Memory()
+        self.costs, self.chosen, self.memory = costs.tolist(), chosen, Memory(TOKEN_BYTES)
 
     def of_words(self, words: list[str]) -> tuple:
         named = {f"={w}" for w in words} | {f"^{w[:n]}" for w in words for n in PREFIXES if len(w) > n}
