@@ -185,3 +185,42 @@ def test_chains_keep_nodes_without_links(spark):
     terms = spark.createDataFrame([(1, 3, "a"), (1, 5, "b"), (1, 6, "c"), (2, 9, "d")], "g long, node long, term string")
     assert {tuple(r) for r in graph.resolve_aliases(links, terms).collect()} == {(1, 3, 6, 2), (1, 5, 6, 1), (1, 6, 6, 0), (2, 9, 9, 0)}
     assert {tuple(r) for r in graph.chain_terms(links, terms, alone=True).collect()} == {(1, 6, 3, "a,b,c"), (2, 9, 1, "d")}
+
+
+def test_diamonds_of_truth_values(spark):
+    edges = [(g, *e) for g in range(1, 7) for e in [("h", "f"), ("h", "t"), ("f", "t"), ("t", "x")]] + [(6, "z", "t")]
+    loads = [(g, "f", 1, 0, False) for g in (1, 2, 4, 5, 6)] + [(3, "f", 2, 0, False)] + [(g, "t", 3, 0, True) for g in (1, 3, 5, 6)] + [(2, "t", 1, 0, False), (4, "t", 1, 1, True)]
+    e, _ = frames(spark, edges, [(1, "h")])
+    found = graph.boolean_diamonds(e, spark.createDataFrame(loads, "g long, node string, n_records long, reg long, value boolean")).collect()
+    assert {tuple(r) for r in found} == {(1, "h", "f", "t", 0, True), (5, "h", "f", "t", 0, True)}
+
+
+def test_breaks_and_continues_of_forward_jumps(spark):
+    # h: header, b decides between c (continues at l) and d (breaks to x), l: latch
+    edges = [(1, "a", "h"), (1, "h", "b"), (1, "h", "x"), (1, "b", "c"), (1, "b", "d"), (1, "c", "l"), (1, "d", "x"), (1, "l", "h"), (1, "x", "y")]
+    e, start = frames(spark, edges, [(1, "a")])
+    dom = graph.dominators(e, start)
+    looped = graph.loops(e, dom)
+    jumps = e.where("src in ('a', 'c', 'd', 'x')")
+    found = {tuple(r) for r in graph.jump_roles(jumps, graph.innermost_loop(dom, looped.select("g", "header")), looped, dom).collect()}
+    assert found == {(1, "c", "l", "h", "continue"), (1, "d", "x", "h", "break"), (1, "x", "y", "h", "continue")}
+
+
+def test_long_chains_of_decisions(spark):
+    size = 600
+    rows = [(1, f"{i:04d}", "t", f"{i + 1:04d}", True) for i in range(size)] + [(1, f"{size:04d}", "e", "t", True)]
+    found = {r.head: (r.n, r.otherwise) for r in graph.shared_target_chains(spark.createDataFrame(rows, "g long, node string, on_true string, on_false string, comparison boolean")).collect()}
+    assert found == {f"{i:04d}": (size + 1 - i, "e") for i in range(size)}
+
+
+def test_folding_takes_rounds_by_nesting(spark):
+    """A chain of 50,000 nodes, and one of diamonds of which an arm leads back: the idoms follow from the shape."""
+    chain = [(1, i, i + 1) for i in range(50_000)]
+    diamonds = [(2, k + a, k + b) for k in range(0, 6_000, 3) for a, b in [(0, 1), (0, 2), (1, 3), (2, 3), (1, 0)]]
+    e = spark.createDataFrame(chain + diamonds, "g long, src long, dst long")
+    tree = graph.dominators(e, spark.createDataFrame([(1, 0), (2, 0)], "g long, node long"))
+    one = tree.where("g = 1 and node > 0").where("idom <> node - 1 or depth <> node or pre <> node or last <> 50000")
+    assert one.isEmpty() and tree.where("g = 1").count() == 50_001
+    two = tree.where("g = 2 and node > 0").where("idom <> node - (node - 1) % 3 - 1 or depth <> floor((node - 1) / 3) + 1")
+    assert two.isEmpty() and tree.where("g = 2").count() == 6_001
+    assert graph.back_edges(e, tree).count() == 2_000

@@ -55,6 +55,24 @@ def real_uses(uses: DataFrame, bookkeeping: Column, veto: Column) -> DataFrame:
     return uses.groupBy("g", "reg", "version").agg(F.count_if(~bookkeeping).alias("n_real"), F.bool_or(veto).alias("vetoed"))
 
 
+def approved_sinks(uses: DataFrame, approved: Column) -> DataFrame:
+    """(g, reg, version) of versions whose only use is one for which approved holds."""
+    return uses.groupBy("g", "reg", "version").agg(F.count("*").alias("_n"), F.bool_and(F.coalesce(approved, F.lit(False))).alias("_ok")).where("_n = 1 and _ok").select("g", "reg", "version")
+
+
+def unit_facts(units: DataFrame) -> DataFrame:
+    """units(g, n_params, n_captured, n_registers, variadic, types, is_main, version, types_version) with top_register, has_types and banner.
+
+    types is the declared types' encoding, empty or null for none. The main unit's banner tells the versions, others
+    have none.
+    """
+    banner = F.when(F.col("is_main"), F.format_string("version %d, types version %d", "version", "types_version"))
+    return units.select(
+        "g", "n_params", "n_captured", F.when(F.col("n_registers") > 0, F.col("n_registers") - 1).alias("top_register"), "variadic",
+        (F.coalesce(F.length("types"), F.lit(0)) > 0).alias("has_types"), banner.alias("banner"),
+    )
+
+
 def self_overwrites(uses: DataFrame, defs: DataFrame) -> DataFrame:
     """(g, reg, version, overwritten): whether the record behind a use writes the same register."""
     writes = defs.select("g", "reg", (F.col("pc") - 1).alias("pc")).distinct().withColumn("_w", F.lit(True))

@@ -26,6 +26,13 @@ def link_blocks(blocks: DataFrame, jumps: DataFrame) -> DataFrame:
     return taken.unionByName(next_.select("g", F.col("b").alias("src"), "dst", F.when(F.col("conditional"), "false").otherwise("next").alias("role")))
 
 
+def number_links(links: DataFrame) -> DataFrame:
+    """links(g, src, dst, role) with ord, from 0 per src: a jump's side first, then the next block's; parallel edges each have their own."""
+    side = F.when(F.col("role").isin("true", "jump"), 0).otherwise(1)
+    order = Window.partitionBy("g", "src").orderBy(side, "dst")
+    return links.select("g", "src", "dst", "role", (F.row_number().over(order) - 1).cast("long").alias("ord"))
+
+
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """(g, node) reached from entries(g, node)."""
     pairs = settled(edges.select("g", F.col("src").alias("node"), "dst").distinct())
@@ -108,6 +115,17 @@ def classify_exits(edges: DataFrame, inner: DataFrame, looped: DataFrame, dom: D
     return rows.select("g", "src", "dst", role.alias("role"))
 
 
+def jump_roles(jumps: DataFrame, inner: DataFrame, looped: DataFrame, dom: DataFrame) -> DataFrame:
+    """(g, src, dst, header, role) of forward plain jumps(g, src, dst) in a loop, by their source's innermost header.
+
+    A jump to the loop's exit is a break, one to a node that the header dominates a continue, any other leaves.
+    """
+    exits = looped.where("exit is not null").select("g", "header", F.col("exit").alias("dst")).distinct().withColumn("_exit", F.lit(True))
+    rows = jumps.select("g", "src", "dst").join(inner.select("g", F.col("node").alias("src"), "header"), ["g", "src"]).join(exits, ["g", "header", "dst"], "left")
+    role = F.when(F.col("_exit"), "break").when(F.col("_in"), "continue").otherwise("leave")
+    return with_dominance(rows, dom, "header", "dst", "_in").select("g", "src", "dst", "header", role.alias("role"))
+
+
 def endless_loops(edges: DataFrame, dom: DataFrame, looped: DataFrame) -> DataFrame:
     """(g, node, latch) of loops without a test: nodes whose only edge leads to themselves, and headers of looped(g, header, latch) with a second latch that leads nowhere else.
 
@@ -148,25 +166,38 @@ def merge_point(edges: DataFrame, branches: DataFrame, returns: DataFrame | None
     return rows.select("g", "a", "b", merge.alias("merge"))
 
 
+def _ways(links: DataFrame) -> DataFrame:
+    """(g, node, way): the nodes from each node of links(g, node, next) to its end, both included, by doubling; there is no circle."""
+    state = settled(links.select("g", "node", F.col("next").alias("end"), F.array("node").alias("way")))
+    while True:
+        ahead = state.select("g", F.col("node").alias("end"), F.col("end").alias("_end"), F.col("way").alias("_way"))
+        following = state.join(ahead, ["g", "end"], "left")
+        if state.join(ahead, ["g", "end"], "left_semi").isEmpty():
+            return state.select("g", "node", F.array_append("way", F.col("end")).alias("way"))
+        after = settled(following.select("g", "node", F.coalesce("_end", "end").alias("end"), F.when(F.col("_way").isNull(), F.col("way")).otherwise(F.concat("way", "_way")).alias("way")))
+        discard(state)
+        state = after
+
+
 def shared_target_chains(decisions: DataFrame) -> DataFrame:
     """(g, head, target, n, links, otherwise) of chains of two or more decisions(g, node, on_true, on_false, comparison).
 
     All but the last of a chain lead to one target if true and to the next if false; the last leads to it if false, and
     otherwise is where it leads if true. All are comparisons. A chain that ends another way, or in a circle, is none.
-    A round a link; a chain from each head.
+    Found by pointer jumping, in log rounds; only chains that count get a list of their nodes.
     """
-    known = settled(decisions.where("on_true is not null and on_false is not null").select("g", "node", "on_true", "on_false", "comparison"))
-    level = settled(known.where("comparison").select("g", F.col("node").alias("head"), F.col("on_true").alias("target"), "node", F.array("node").alias("path")))
-    found = level.where("false").select("g", "head", "target", "path", F.col("target").alias("otherwise"))
-    while not level.isEmpty():
-        here = level.join(known.where("comparison"), ["g", "node"])
-        ended = settled(here.where("on_true <> target and on_false = target and size(path) > 1").select("g", "head", "target", "path", F.col("on_true").alias("otherwise")))
-        found = found.unionByName(ended)
-        ahead = here.where("on_true = target").select("g", "head", "target", F.col("on_false").alias("node"), "path").where(~F.array_contains("path", F.col("node")))
-        after = settled(ahead.join(known, ["g", "node"]).where("on_true = target or on_false = target").select("g", "head", "target", "node", F.array_append("path", F.col("node")).alias("path")))
-        discard(level)
-        level = after
-    return settled(found).select("g", "head", "target", F.size("path").cast("long").alias("n"), F.array_join("path", ",").alias("links"), "otherwise")
+    known = settled(decisions.where("comparison and on_true is not null and on_false is not null").select("g", "node", "on_true", "on_false"))
+    ahead = known.select("g", F.col("node").alias("on_false"), F.col("on_true").alias("_true"), F.col("on_false").alias("_false"))
+    both = settled(known.join(ahead, ["g", "on_false"]))
+    tops = settled(resolve_aliases(both.where("_true = on_true").select("g", "node", F.col("on_false").alias("next")), known).where("steps is not null"))
+    # a link to itself is a circle of one
+    last = both.where("_true <> on_true and _false = on_true and node <> on_false").select("g", F.col("node").alias("top"), F.col("on_false").alias("_end"), F.col("_true").alias("otherwise"))
+    ended = tops.join(last, ["g", "top"])
+    ended = settled(ended)
+    inner = both.where("_true = on_true").select("g", "node", F.col("on_false").alias("next")).join(ended.select("g", "node"), ["g", "node"], "left_semi")
+    rows = ended.join(_ways(inner), ["g", "node"], "left").join(known.select("g", "node", F.col("on_true").alias("target")), ["g", "node"])
+    path = F.array_append(F.coalesce("way", F.array("node")), F.col("_end"))
+    return rows.select("g", F.col("node").alias("head"), "target", F.size(path).cast("long").alias("n"), F.array_join(path, ",").alias("links"), "otherwise")
 
 
 def dispatch_depth(decisions: DataFrame, merges: DataFrame, deep: int = 64) -> DataFrame:
@@ -223,14 +254,25 @@ def contract_passthrough(edges: DataFrame, removable: DataFrame) -> DataFrame:
     return moved.select("g", "src", F.coalesce("top", "dst").alias("dst")).distinct()
 
 
-def boolean_diamonds(edges: DataFrame) -> DataFrame:
-    """(g, header, mid, target): header leads to mid and target, mid to target only, and mid is entered from header only."""
+def boolean_diamonds(edges: DataFrame, loads: DataFrame | None = None) -> DataFrame:
+    """(g, header, mid, target): header leads to mid and target, mid to target only, and mid is entered from header only.
+
+    With loads(g, node, n_records, reg, value), a node's records and the truth value that its first one puts into a
+    register, also reg and value, target's: then mid has only that one record, both put different values into the same
+    register, and target is entered from these two only.
+    """
     plain = edges.select("g", "src", "dst").distinct().where("src <> dst")
     out = plain.groupBy("g", F.col("src").alias("mid")).agg(F.count("*").alias("_o")).where("_o = 1")
-    into = plain.groupBy("g", F.col("dst").alias("mid")).agg(F.count("*").alias("_i")).where("_i = 1")
-    first = plain.select("g", F.col("src").alias("header"), F.col("dst").alias("mid")).join(out, ["g", "mid"], "left_semi").join(into, ["g", "mid"], "left_semi")
+    entered = plain.groupBy("g", F.col("dst").alias("mid")).agg(F.count("*").alias("_i"))
+    first = plain.select("g", F.col("src").alias("header"), F.col("dst").alias("mid")).join(out, ["g", "mid"], "left_semi").join(entered.where("_i = 1"), ["g", "mid"], "left_semi")
     second = first.join(plain.select("g", F.col("src").alias("mid"), F.col("dst").alias("target")), ["g", "mid"])
-    return second.join(plain.select("g", F.col("src").alias("header"), F.col("dst").alias("target")), ["g", "header", "target"], "left_semi").select("g", "header", "mid", "target")
+    found = second.join(plain.select("g", F.col("src").alias("header"), F.col("dst").alias("target")), ["g", "header", "target"], "left_semi").select("g", "header", "mid", "target")
+    if loads is None:
+        return found
+    one = loads.where("n_records = 1").select("g", F.col("node").alias("mid"), "reg", F.col("value").alias("_other"))
+    end = loads.select("g", F.col("node").alias("target"), "reg", "value")
+    twice = entered.where("_i = 2").select("g", F.col("mid").alias("target"))
+    return found.join(one, ["g", "mid"]).join(end, ["g", "target", "reg"]).join(twice, ["g", "target"], "left_semi").where("value <> _other").select("g", "header", "mid", "target", "reg", "value")
 
 
 def place_merges(frontier: DataFrame, writes: DataFrame, live: DataFrame, edges: DataFrame, params: DataFrame | None = None) -> DataFrame:

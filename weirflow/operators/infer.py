@@ -37,17 +37,16 @@ def resolve_types(params: DataFrame, *facts: DataFrame) -> DataFrame:
     return out.withColumn("type", F.coalesce(*found, F.lit("unknown"))).select("g", "subject", "type")
 
 
-def call_result_type(calls: DataFrame, *rules: DataFrame) -> DataFrame:
-    """calls with type: of each rules(key, priority, on, result, argument) in turn, the best rule for the call's column on.
+def call_result_type(calls: DataFrame, *rules: tuple[str, DataFrame]) -> DataFrame:
+    """calls with type: of each (on, rules(key, priority, result, argument)) in turn, the best rule for the call's column on.
 
     The first table with a rule for the call decides: by method, then by the receiver's type, then by the global
     function, say. A rule with an argument takes the class that the call names there, calls' column argN, and result
-    only where it is null. Of several rules for one key that of least priority counts; all rows of a table name one
-    column in on. No rule gives null.
+    only where it is null. Of several rules for one key that of least priority counts. No rule gives null, and so does
+    an empty table.
     """
-    out, found = calls, []
-    for rank, table in enumerate(rules):
-        on = table.first()["on"]
+    out, found = calls, [F.lit(None).cast("string")]
+    for rank, (on, table) in enumerate(rules):
         best = table.groupBy(F.col("key").alias(f"_k{rank}")).agg(F.min_by(F.struct("result", "argument"), "priority").alias(f"_r{rank}"))
         out = out.join(best, out[on] == F.col(f"_k{rank}"), "left")
         named = F.lit(None).cast("string")

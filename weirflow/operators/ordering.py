@@ -22,11 +22,11 @@ def first_rule(rows: DataFrame, keys: list[str], rules: DataFrame, method: str)
     return matched.groupBy(*keys).agg(F.min_by("result", "priority").alias("result"))
 
 
-def bounded_reach(edges: DataFrame, entries: DataFrame, limit: int, most_rounds: int = 10_000) -> DataFrame:
+def bounded_reach(edges: DataFrame, entries: DataFrame, limit: int) -> DataFrame:
     """(g, n, truncated): nodes reached per graph when the search stops after the round that reaches limit nodes."""
     known = settled(entries.select("g", "node").distinct())
     newest = known
-    for _ in range(most_rounds):
+    while True:
         full = known.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
         found = newest.join(edges.select("g", F.col("src").alias("node"), "dst"), ["g", "node"]).join(full, "g", "left_anti").select("g", F.col("dst").alias("node")).distinct()
         newest = settled(found.join(known, ["g", "node"], "left_anti"))
@@ -36,7 +36,6 @@ def bounded_reach(edges: DataFrame, entries: DataFrame, limit: int, most_rounds:
             cut = beyond.select("g").distinct().withColumn("_cut", F.lit(True))
             return known.groupBy("g").agg(F.count("*").alias("n")).join(cut, "g", "left").select("g", "n", F.coalesce("_cut", F.lit(False)).alias("truncated"))
         known = settled(known.unionByName(newest))
-    raise RuntimeError("the search did not end")
 
 
 def common_reach(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weirflow.operators.infer import scope_ancestors
-from weirflow.plans.fixpoint import settled
+from weirflow.plans.fixpoint import jump, settled
 
 
 def collapse_update_chains(rows: DataFrame, key: str, term: Column) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_empty_branches(rows: DataFrame) -> DataFrame:
         kept, left = kept.unionByName(above), above
 
 
-def eliminate_dead(rows: DataFrame, most_rounds: int = 10_000, bodies: DataFrame | None = None) -> DataFrame:
+def eliminate_dead(rows: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """rows(g, pos, target, reads, pure) without pure rows whose target no later row that stays reads; repeated until nothing changes.
 
     A round marks every pure row that no row left reads; as a removal can free an earlier one, rounds follow until
@@ -47,7 +47,7 @@ def eliminate_dead(rows: DataFrame, most_rounds: int = 10_000, bodies: DataFrame
     left = settled(rows)
     keys = ["g", "target"] if bodies is None else ["g", "scope", "target"]
     around = None if bodies is None else settled(scope_ancestors(bodies))
-    for _ in range(most_rounds):
+    while True:  # each round but the last takes rows away
         reads = left.where("reads is not null")
         if around is not None:  # a read counts in its own list and in every list around it
             reads = reads.join(around, ["g", "scope"]).withColumn("scope", F.col("ancestor"))
@@ -57,7 +57,6 @@ def eliminate_dead(rows: DataFrame, most_rounds: int = 10_000, bodies: DataFrame
         if dead.isEmpty():
             return left
         left = settled(left.join(dead, ["g", "pos"], "left_anti").select(*rows.columns))
-    raise RuntimeError("dead rows did not settle")
 
 
 def compound_updates(rows: DataFrame, target: str, left: str) -> DataFrame:
@@ -72,6 +71,32 @@ def apply_rewrites(rows: DataFrame, rewrites: Iterable[Callable[[DataFrame], Dat
     return rows
 
 
+def rewrite_lists(rows: DataFrame, lists: DataFrame, rewrites: Iterable[Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """The caller's rewrites on every statement list, inner lists first: rows(g, scope, ...) in lists(g, scope, parent), parent null at the top.
+
+    A rewrite is given the rows of all lists of one depth and the rows of all deeper ones, done already, and returns
+    the first ones rewritten, with the same columns; so what it frees around a list is seen in the same pass. There are
+    as many rounds as lists are nested, whatever their number. Rows of no list are left out.
+    """
+    links = lists.where("parent is not null").select("g", F.col("scope").alias("node"), F.col("parent").alias("next"))
+    nested = jump(links).select("g", F.col("node").alias("scope"), F.col("steps").alias("_depth"))
+    depths = settled(lists.select("g", "scope").distinct().join(nested, ["g", "scope"], "left").select("g", "scope", F.coalesce("_depth", F.lit(0)).alias("_depth")))
+    deepest = depths.agg(F.max("_depth")).first()[0]
+    done = settled(rows.where("false"))
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        level = rows.join(depths.where(F.col("_depth") == depth).select("g", "scope"), ["g", "scope"], "left_semi").select(*rows.columns)
+        for rewrite in rewrites:
+            level = rewrite(level, done)
+        done = settled(done.unionByName(level.select(*rows.columns)))
+    return done
+
+
+def drop_empty_lists(rows: DataFrame, inner: DataFrame, opens: str) -> DataFrame:
+    """rows without those whose column opens names a list that inner(g, scope) has no row of; a row that opens none stays."""
+    held = inner.select("g", F.col("scope").alias(opens)).distinct()
+    return rows.where(F.col(opens).isNull()).unionByName(rows.where(F.col(opens).isNotNull()).join(held, ["g", opens], "left_semi").select(*rows.columns))
+
+
 def prune_constant_branches(rows: DataFrame) -> DataFrame:
     """rows(id, parent, condition, side) without those under a branch not taken.
 
@@ -91,16 +116,22 @@ def prune_constant_branches(rows: DataFrame) -> DataFrame:
     return rows.join(gone, "id", "left_anti")
 
 
-def inline_candidates(defs: DataFrame, counts: DataFrame, consumed: DataFrame, overwritten: DataFrame, constants: list[str], effects: list[str] = ()) -> DataFrame:
+def inline_candidates(defs: DataFrame, counts: DataFrame, consumed: DataFrame, overwritten: DataFrame, constants: list[str], effects: list[str] = (), calls: list[str] = (), sinks: DataFrame | None = None) -> DataFrame:
     """(g, pc, reg, version, inline, reason) of each definition(g, pc, reg, version, op): the first rule that matches decides.
 
     A definition without use, with a side effect (ops in effects), consumed by a merge or capture, or overwritten by its
     own reader stays; one with a single use, or a constant (ops in constants), is inlined; one used several times stays.
+    What a call gives (ops in calls) moves only into an approved consumer, that is if it is in sinks(g, reg, version).
     """
     keys = ["g", "reg", "version"]
     rows = defs.join(counts.select(*keys, "n"), keys, "left").join(consumed.select(*keys, "consumed"), keys, "left").join(overwritten.select(*keys, "overwritten"), keys, "left")
+    moved = F.lit(False)
+    if sinks is not None:
+        rows = rows.join(sinks.select(*keys).distinct().withColumn("_sink", F.lit(True)), keys, "left")
+        moved = F.coalesce("_sink", F.lit(False))
+    called = F.col("op").isin(*calls)
     reason = (
         F.when(F.col("n").isNull(), "unused").when(F.col("op").isin(*effects), "effect").when(F.coalesce("consumed", F.lit(False)), "consumed").when(F.coalesce("overwritten", F.lit(False)), "overwritten")
-        .when(F.col("n") == 1, "single").when(F.col("op").isin(*constants), "constant").otherwise("several")
+        .when(called & moved, "sink").when(called, "call").when(F.col("n") == 1, "single").when(F.col("op").isin(*constants), "constant").otherwise("several")
     )
-    return rows.select("g", "pc", "reg", "version", reason.isin("single", "constant").alias("inline"), reason.alias("reason"))
+    return rows.select("g", "pc", "reg", "version", reason.isin("single", "constant", "sink").alias("inline"), reason.alias("reason"))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: The folder behind each settled table, and those written in each open scratch().
+#: The folder behind each settled table, and those written in each open scratch() of a thread.
 _folder_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-_open: list[list[str]] = []
+_opened: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,14 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared one, which the scratch() around it deletes."""
+    path = f"{shared_folder(spark)}/weirflow-{name}-{uuid.uuid4().hex}"
+    for mine in _opened.get()[-1:]:
+        mine.append(path)
+    return path
+
+
 def settled(df: DataFrame, name: str = "round") -> DataFrame:
     """The table, written once into the shared folder: later rounds neither repeat its plan nor lose it with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/weirflow-{name}-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _folder_of[out] = path
-    if _open:
-        _open[-1].append(path)
     return out
 
 
@@ -61,7 +69,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """
     mine: list[str] = []
     kept: list[str] = []
-    _open.append(mine)
+    before = _opened.get()
+    _opened.set((*before, mine))
 
     def keep(df: DataFrame) -> DataFrame:
         kept.append(_folder_of[df])
@@ -70,24 +79,26 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _open.remove(mine)
-        if _open:
-            _open[-1].extend(kept)
+        _opened.set(before)
+        for outer in before[-1:]:
+            outer.extend(kept)
         for path in mine:
             if path not in kept:
                 _delete(spark, path)
 
 
-def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 10_000, gather: int = 16) -> DataFrame:
+def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int | None = None, gather: int = 16) -> DataFrame:
     """The least set that holds seed and all that step(newest, all so far) derives from it.
 
     Rows are compared as wholes. Each round joins only the rows that the last one added. The parts are gathered into
-    one table every so many rounds, and their folders deleted. A set that still grows after most_rounds rounds raises;
-    nothing is cut off.
+    one table every so many rounds, and their folders deleted. A set that can't grow without end settles whatever
+    its depth; for others most_rounds is a bound beyond which the search raises. Nothing is cut off.
     """
     newest = settled(seed.distinct())
     known, parts = newest, [newest]
-    for done in range(1, most_rounds + 1):
+    for done in itertools.count(1):
+        if most_rounds is not None and done > most_rounds:
+            raise RuntimeError(f"the fixpoint still grows after {most_rounds} rounds")
         newest = settled(step(newest, known).distinct().join(known, seed.columns, "left_anti"))
         if newest.isEmpty():
             discard(newest)
@@ -98,7 +109,7 @@ def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], mos
             known = settled(known)
             discard(*parts[:-1])
             parts = [newest, known]
-    raise RuntimeError(f"the fixpoint still grows after {most_rounds} rounds")
+    raise AssertionError
 
 
 def jump(links: DataFrame, cycle_end: Callable[..., Column] = F.least) -> DataFrame:

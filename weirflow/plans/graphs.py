@@ -36,6 +36,10 @@ def g1(s, d):
     return graph.link_blocks(blocks, aimed.join(heads, ["g", "_t"]).drop("_t"))
 
 
+def g1_ordered(s, d):
+    return graph.number_links(g1(s, d))
+
+
 def g2(s, d):
     edges = _edges(s, d)
     out = edges.groupBy("g", F.col("src").alias("node")).agg(F.count("*").alias("o")).where("o = 1")
@@ -226,6 +230,14 @@ def g14(s, d):
     return graph.classify_exits(edges, graph.innermost_loop(dom, looped.select("g", "header")), looped, dom)
 
 
+def g14_jumps(s, d):
+    """Forward plain jumps: the only way on from a node, to one behind it in order of names."""
+    edges, dom = _edges_dom(s, d)
+    looped = _loops(s, d, edges, dom)
+    jumps = edges.groupBy("g", "src").agg(F.count("*").alias("n"), F.min("dst").alias("dst")).where("n = 1 and dst > src")
+    return graph.jump_roles(jumps, graph.innermost_loop(dom, looped.select("g", "header")), looped, dom)
+
+
 def _returns(s, d):
     return fx.nodes(s, d).where("node like 'error%'")
 
@@ -274,6 +286,11 @@ def g19(s, d):
     return graph.boolean_diamonds(_edges(s, d))
 
 
+def g19_values(s, d):
+    loads = fx.ir(s, d).groupBy("g", "node").agg(F.count("*").alias("n_records"), F.min_by("k", "pc").alias("k")).select("g", "node", "n_records", F.floor(F.col("k") / 50).alias("reg"), F.col("node").endswith(":1").alias("value"))
+    return graph.boolean_diamonds(_edges(s, d), loads)
+
+
 def g25(s, d):
     region, nation = fx.table(s, d, "region"), fx.table(s, d, "nation")
     roots = region.select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
@@ -372,6 +389,11 @@ QUERIES = {
       SELECT g, b AS src, t AS dst, CASE WHEN c THEN 'true' ELSE 'jump' END AS role FROM j
       UNION ALL SELECT n.g, n.b, n.b + 1, CASE WHEN c THEN 'false' ELSE 'next' END FROM blk n LEFT JOIN j ON j.g = n.g AND j.b = n.b
       WHERE (n.g, n.b + 1) IN (SELECT g, b FROM blk) AND (c IS NULL OR c)""", ("ir", "blk")),
+    "g1_ordered_links": (g1_ordered, """, last AS (SELECT r.g, r.b, max_by(r.op, r.pc) AS op, max_by(ir.k, r.pc) AS k FROM blkrow r JOIN ir ON ir.g = r.g AND ir.pc = r.pc GROUP BY r.g, r.b),
+      j AS (SELECT g, b, greatest(b - k % 3, 0) AS t, k % 2 = 0 AS c FROM last WHERE op = 'error'),
+      l AS (SELECT g, b AS src, t AS dst, CASE WHEN c THEN 'true' ELSE 'jump' END AS role FROM j
+      UNION ALL SELECT n.g, n.b, n.b + 1, CASE WHEN c THEN 'false' ELSE 'next' END FROM blk n LEFT JOIN j ON j.g = n.g AND j.b = n.b WHERE (n.g, n.b + 1) IN (SELECT g, b FROM blk) AND (c IS NULL OR c))
+      SELECT *, row_number() OVER (PARTITION BY g, src ORDER BY role IN ('false', 'next'), dst) - 1 AS ord FROM l""", ("ir", "blk")),
     "g2_contract_passthrough": (g2, """, rem AS (SELECT g, node FROM nodes n WHERE (SELECT count(*) FROM fe WHERE fe.g = n.g AND src = node) = 1 AND (SELECT count(*) FROM fe WHERE fe.g = n.g AND dst = node) = 1
         AND (g, node) NOT IN (SELECT g, node FROM ent)),
       nxt AS (SELECT r.g, r.node, fe.dst AS next FROM rem r JOIN fe ON fe.g = r.g AND fe.src = r.node WHERE fe.dst <> r.node),
@@ -417,6 +439,9 @@ QUERIES = {
     "g13_innermost_loop": (g13, f", back AS ({_BACK}), {_INNER} SELECT * FROM inner_", ("dom", "fe", "depth")),
     "g14_classify_exits": (g14, _LOOPS + f""", {_INNER} SELECT fe.g, fe.src, fe.dst, CASE WHEN fe.dst = header THEN 'continue' WHEN (fe.g, header, fe.dst) IN (SELECT g, header, exit FROM loops WHERE exit IS NOT NULL) THEN 'break'
       WHEN EXISTS (SELECT 1 FROM dom WHERE dom.g = fe.g AND d = header AND n = fe.dst) THEN 'inside' ELSE 'leave' END AS role FROM fe JOIN inner_ i ON i.g = fe.g AND i.node = fe.src""", ("dom", "fe", "depth")),
+    "g14_jump_roles": (g14_jumps, _LOOPS + f""", {_INNER}, one AS (SELECT g, src, min(dst) AS dst FROM fe GROUP BY g, src HAVING count(*) = 1)
+      SELECT o.g, o.src, o.dst, header, CASE WHEN (o.g, header, o.dst) IN (SELECT g, header, exit FROM loops WHERE exit IS NOT NULL) THEN 'break'
+      WHEN EXISTS (SELECT 1 FROM dom WHERE dom.g = o.g AND d = header AND n = o.dst) THEN 'continue' ELSE 'leave' END AS role FROM one o JOIN inner_ i ON i.g = o.g AND i.node = o.src WHERE o.dst > o.src""", ("dom", "fe", "depth")),
     "g15_merge_point": (g15, f", pr AS (SELECT DISTINCT g, min(dst) AS a, max(dst) AS b FROM fe GROUP BY g, src){_MEET} SELECT * FROM mp", _DOM),
     "g16_can_reach": (g16, """, rr AS (SELECT ent.g, ent.node AS a, fe.dst AS node FROM ent JOIN fe ON fe.g = ent.g AND fe.src = ent.node
         UNION SELECT rr.g, a, fe.dst FROM rr JOIN fe ON fe.g = rr.g AND fe.src = rr.node WHERE NOT rr.node LIKE 'error%')
@@ -442,6 +467,11 @@ QUERIES = {
     "g19_boolean_diamonds": (g19, """, p AS (SELECT g, src, dst FROM fe WHERE src <> dst)
       SELECT a.g, a.src AS header, a.dst AS mid, b.dst AS target FROM p a JOIN p b ON b.g = a.g AND b.src = a.dst JOIN p c ON c.g = a.g AND c.src = a.src AND c.dst = b.dst
       WHERE (SELECT count(*) FROM p x WHERE x.g = a.g AND x.src = a.dst) = 1 AND (SELECT count(*) FROM p x WHERE x.g = a.g AND x.dst = a.dst) = 1""", ("fe",)),
+    "g19_boolean_values": (g19_values, """, p AS (SELECT g, src, dst FROM fe WHERE src <> dst), ld AS (SELECT g, node, count(*) AS n, min_by(k, pc) // 50 AS reg, node LIKE '%:1' AS value FROM ir GROUP BY g, node)
+      SELECT a.g, a.src AS header, a.dst AS mid, b.dst AS target, t.reg, t.value FROM p a JOIN p b ON b.g = a.g AND b.src = a.dst JOIN p c ON c.g = a.g AND c.src = a.src AND c.dst = b.dst
+      JOIN ld m ON m.g = a.g AND m.node = a.dst JOIN ld t ON t.g = a.g AND t.node = b.dst
+      WHERE (SELECT count(*) FROM p x WHERE x.g = a.g AND x.src = a.dst) = 1 AND (SELECT count(*) FROM p x WHERE x.g = a.g AND x.dst = a.dst) = 1
+        AND (SELECT count(*) FROM p x WHERE x.g = a.g AND x.dst = b.dst) = 2 AND m.n = 1 AND m.reg = t.reg AND m.value <> t.value""", ("ir", "fe")),
     "g25_unit_paths": (g25, """SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS path, CAST(0 AS BIGINT) AS depth FROM region
       UNION ALL SELECT CAST(n_nationkey + 1000 AS BIGINT), r_name || '_SUB_' || n_name, 1 FROM nation JOIN region ON r_regionkey = n_regionkey
       UNION ALL SELECT c_custkey + 100000, r_name || '_SUB_' || n_name || '_SUB_' || c_name, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""", None),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -11,7 +10,7 @@ from weirflow.functions import decode
 from weirflow.operators import aggregates, infer, rewrite, segment
 from weirflow.plans import fixtures as fx
 from weirflow.plans import relational
-from weirflow.plans.fixpoint import settled, shared_folder
+from weirflow.plans.fixpoint import own_folder, settled
 from weirflow.sources import container, export, ingest
 from weirflow.streaming import ingest as continuous
 
@@ -168,7 +167,7 @@ def s5(s, d):
 
 def s6(s, d):
     """All events as a stream: encoded texts are decoded, judged and parted while they come."""
-    folder = f"{shared_folder(s)}/weirflow-stream-{uuid.uuid4().hex}"
+    folder = own_folder(s, "stream")
     events = fx.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, "!!").otherwise(F.base64(F.encode("props", "UTF-8"))).alias("sent"))
     events.write.parquet(f"{folder}/in")
     stream = s.readStream.schema(events.schema).parquet(f"{folder}/in")
@@ -180,7 +179,7 @@ def s6(s, d):
 
 def s9(s, d):
     stages = [("documents", fx.table(s, d, "documents")), ("errors", fx.ir(s, d).where("op = 'error'")), ("edges", fx.fe(s, d))]
-    folder = f"{shared_folder(s)}/weirflow-stages-{uuid.uuid4().hex}"
+    folder = own_folder(s, "stages")
     told = [export.stage_metrics(df, name, f"{folder}/{name}") for name, df in stages]
     return functools.reduce(DataFrame.unionByName, told).where("seconds > 0").select("stage", "rows")
 
@@ -221,10 +220,10 @@ def r2(s, d):
 
 
 def r2_branches(s, d):
-    # regions and nations are branches; customers with money are what they hold
+    # regions and nations are branches; of customers, those with money are what they hold, the others are empty branches
     region = fx.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("branch"), F.lit(True).alias("pure"))
     nation = fx.table(s, d, "nation").select((F.col("n_nationkey") + 1000).cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("parent"), F.lit(True).alias("branch"), (~F.col("n_name").startswith("I")).alias("pure"))
-    customer = fx.table(s, d, "customer").where("c_acctbal > 9000").select((F.col("c_custkey") + 100000).cast("long").alias("id"), (F.col("c_nationkey") + 1000).cast("long").alias("parent"), F.lit(False).alias("branch"), F.lit(True).alias("pure"))
+    customer = fx.table(s, d, "customer").select((F.col("c_custkey") + 100000).cast("long").alias("id"), (F.col("c_nationkey") + 1000).cast("long").alias("parent"), (F.col("c_acctbal") <= 9000).alias("branch"), F.lit(True).alias("pure"))
     return rewrite.drop_empty_branches(region.unionByName(nation).unionByName(customer)).select("id")
 
 
@@ -265,6 +264,17 @@ def r5(s, d):
     )
 
 
+def r5_sinks(s, d):
+    """What a purchase gives is a call's result: it moves into a click, but for one whose k is a multiple of 4, where it is the callee."""
+    uses, defs = relational._uses(s, d), relational._defs(s, d)
+    ops = fx.ir(s, d).select("g", "pc", "op", "k")
+    used = settled(uses.join(ops, ["g", "pc"]))
+    return rewrite.inline_candidates(
+        defs.join(ops, ["g", "pc"]), aggregates.use_counts(uses), aggregates.consumed_by(used, F.expr("op = 'view' and k % 2 = 0")), aggregates.self_overwrites(uses, defs), ["signup"],
+        calls=["purchase"], sinks=aggregates.approved_sinks(used, F.expr("op = 'click' and k % 4 <> 0")),
+    )
+
+
 def r6(s, d):
     rows = fx.ir(s, d).select("g", "pc", "reg", F.lag("reg").over(Window.partitionBy("g").orderBy("pc")).alias("left"))
     return rewrite.compound_updates(rows, "reg", "left").select("g", "pc", "reg")
@@ -278,7 +288,7 @@ def t1(s, d):
 
 def t2(s, d):
     calls = fx.table(s, d, "conversations").select(F.concat("role", (F.col("conv_id") % 40).cast("string")).alias("callee"), (F.col("turn") % 2).alias("position"), F.when(F.length("text") % 2 == 0, "even").otherwise("odd").alias("type"))
-    owners = fx.table(s, d, "conversations").where("turn <= 1").select(F.concat("role", (F.col("conv_id") % 40).cast("string")).alias("callee")).where("callee not like 'user1%'").distinct()
+    owners = fx.table(s, d, "conversations").select(F.concat("role", (F.col("conv_id") % 40).cast("string")).alias("callee")).where("callee not like 'user1%'").distinct()
     return infer.call_site_facts(calls, owners)
 
 
@@ -312,7 +322,7 @@ FUNCTION_RULES = [("f2", 1, "function", "CFrame", None), ("f5", 1, "function", "
 def t6(s, d):
     rows = fx.ir(s, d)
     calls = rows.select("event_id", F.col("op").alias("method"), F.col("node").alias("receiver"), F.concat(F.lit("f"), F.col("reg").cast("string")).alias("function"), F.when(F.col("val") > 30, F.concat(F.lit("C"), F.col("k").cast("string"))).alias("arg0"), F.col("op").alias("arg1"))
-    return infer.call_result_type(calls, *(s.createDataFrame(r, _RULES) for r in (METHOD_RULES, RECEIVER_RULES, FUNCTION_RULES))).select("event_id", "type")
+    return infer.call_result_type(calls, *((on, s.createDataFrame(r, _RULES)) for on, r in (("method", METHOD_RULES), ("receiver", RECEIVER_RULES), ("function", FUNCTION_RULES)))).select("event_id", "type")
 
 
 def t7(s, d):
@@ -340,6 +350,28 @@ def t10(s, d):
     return infer.apply_renames(rows.where("op in ('click', 'view')").select("g", "pc", F.col("reg").alias("name").cast("string")), rows.where("op = 'signup'").select("g", "pc", F.col("reg").cast("string").alias("name"), F.concat(F.lit("n"), F.col("pc").cast("string")).alias("renamed")))
 
 
+def u2_lists(s, d):
+    """A nation's list has its customers, a customer's its orders, an order's its items: items not returned go, and then what opens an empty list, inner first."""
+    nation, customer = fx.table(s, d, "nation"), fx.table(s, d, "customer")
+    owner = customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("g"))
+    order = fx.table(s, d, "orders").join(owner, "o_custkey").select("g", "o_orderkey", "o_custkey")
+    item = fx.table(s, d, "lineitem").join(order.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    rows = (
+        customer.select(F.col("c_nationkey").alias("g"), F.lit("n").alias("scope"), F.col("c_custkey").alias("pos"), name("c", "c_custkey").alias("opens"), F.lit(False).alias("noop"))
+        .unionByName(order.select("g", name("c", "o_custkey").alias("scope"), F.col("o_orderkey").alias("pos"), name("o", "o_orderkey").alias("opens"), F.lit(False).alias("noop")))
+        .unionByName(item.select("g", name("o", "l_orderkey").alias("scope"), F.col("l_linenumber").cast("long").alias("pos"), none.alias("opens"), (F.col("l_returnflag") != "R").alias("noop")))
+    )
+    lists = (
+        nation.select(F.col("n_nationkey").alias("g"), F.lit("n").alias("scope"), none.alias("parent"))
+        .unionByName(customer.select(F.col("c_nationkey").alias("g"), name("c", "c_custkey").alias("scope"), F.lit("n").alias("parent")))
+        .unionByName(order.select("g", name("o", "o_orderkey").alias("scope"), name("c", "o_custkey").alias("parent")))
+    )
+    steps = [lambda level, _: rewrite.drop_noops(level, F.col("noop")), lambda level, inner: rewrite.drop_empty_lists(level, inner, "opens")]
+    return rewrite.rewrite_lists(settled(rows), lists, steps).select("g", "scope", "pos")
+
+
 def u2(s, d):
     steps = [
         lambda df: rewrite.drop_noops(df, F.expr("op = 'error'")),
@@ -424,10 +456,16 @@ QUERIES = {
       r AS (SELECT d.g, d.pc, d.reg, d.version, CASE WHEN n IS NULL THEN 'unused' WHEN ir.op = 'purchase' THEN 'effect' WHEN v THEN 'consumed' WHEN o THEN 'overwritten' WHEN n = 1 THEN 'single' WHEN ir.op = 'signup' THEN 'constant' ELSE 'several' END AS reason
         FROM defs d JOIN ir ON ir.g = d.g AND ir.pc = d.pc LEFT JOIN n ON n.g = d.g AND n.reg = d.reg AND n.version = d.version)
       SELECT g, pc, reg, version, reason IN ('single', 'constant') AS inline, reason FROM r""", ("uses",)),
+    "r5_inline_sinks": (r5_sinks, """, n AS (SELECT u.g, u.reg, u.version, count(*) AS n, bool_or(ir.op = 'view' AND k % 2 = 0) AS v, bool_and(ir.op = 'click' AND k % 4 <> 0) AS s, bool_or((u.g, u.reg, u.pc + 1) IN (SELECT g, reg, pc FROM defs)) AS o
+        FROM uses u JOIN ir ON ir.g = u.g AND ir.pc = u.pc GROUP BY ALL),
+      r AS (SELECT d.g, d.pc, d.reg, d.version, CASE WHEN n IS NULL THEN 'unused' WHEN v THEN 'consumed' WHEN o THEN 'overwritten' WHEN ir.op = 'purchase' AND n = 1 AND s THEN 'sink' WHEN ir.op = 'purchase' THEN 'call'
+        WHEN n = 1 THEN 'single' WHEN ir.op = 'signup' THEN 'constant' ELSE 'several' END AS reason
+        FROM defs d JOIN ir ON ir.g = d.g AND ir.pc = d.pc LEFT JOIN n ON n.g = d.g AND n.reg = d.reg AND n.version = d.version)
+      SELECT g, pc, reg, version, reason IN ('single', 'constant', 'sink') AS inline, reason FROM r""", ("uses",)),
     "r6_compound_updates": (r6, "SELECT g, pc, reg FROM (SELECT g, pc, reg, lag(reg) OVER (PARTITION BY g ORDER BY pc) AS l FROM ir) WHERE reg = l", ("ir",)),
     "t1_expression_type": (t1, "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'boolean' WHEN 3 THEN 'integer' WHEN 4 THEN 'string' END AS type FROM events", None),
     "t2_call_site_facts": (t2, """WITH c AS (SELECT role || (conv_id % 40) AS callee, turn, turn % 2 AS position, CASE WHEN length(text) % 2 = 0 THEN 'even' ELSE 'odd' END AS type FROM conversations)
-      SELECT callee, position, type, count(*) AS n FROM c WHERE callee IN (SELECT callee FROM c WHERE turn <= 1 AND callee NOT LIKE 'user1%') GROUP BY ALL""", None),
+      SELECT callee, position, type, count(*) AS n FROM c WHERE callee IN (SELECT callee FROM c WHERE callee NOT LIKE 'user1%') GROUP BY ALL""", None),
     "t3_body_use_facts": (t3, """, u AS (SELECT g, reg AS subject, op, val, lead(op) OVER (PARTITION BY g ORDER BY pc) AS b FROM ir)
       SELECT g, subject, CASE op WHEN 'view' THEN 'table' WHEN 'click' THEN 'number' ELSE CASE b WHEN 'signup' THEN 'string' WHEN 'error' THEN 'boolean' ELSE 'unknown' END END AS type, count(*) AS n
       FROM u WHERE op IN ('click', 'view', 'purchase') AND NOT coalesce(val > 90, false) GROUP BY ALL""", ("ir",)),
@@ -449,5 +487,7 @@ QUERIES = {
       SELECT id, l.name, CASE WHEN later = 0 THEN l.name ELSE 'v' || i || '_' || l.name END AS resolved FROM l LEFT JOIN f ON f.name = l.name AND place = later""", None),
     "t10_apply_renames": (t10, """SELECT a.g, a.pc, CAST(a.reg AS VARCHAR) AS name, coalesce((SELECT 'n' || max(b.pc) FROM ir b WHERE b.g = a.g AND b.reg = a.reg AND b.op = 'signup' AND b.pc < a.pc), CAST(a.reg AS VARCHAR)) AS shown
       FROM ir a WHERE op IN ('click', 'view')""", ("ir",)),
+    "u2_inner_first": (u2_lists, """WITH i AS (SELECT c_nationkey AS g, o_custkey, l_orderkey, CAST(l_linenumber AS BIGINT) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'R')
+      SELECT g, 'o' || l_orderkey AS scope, pos FROM i UNION ALL SELECT DISTINCT g, 'c' || o_custkey, l_orderkey FROM i UNION ALL SELECT DISTINCT g, 'n', o_custkey FROM i""", None),
     "u2_rewrite_hook": (u2, _ISLANDS.format(where="WHERE op <> 'error'"), ("ir",)),
 }

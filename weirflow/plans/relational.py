@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weirflow.operators import aggregates, joins, ordering, segment
 from weirflow.plans import fixtures as fx
 from weirflow.plans.fixpoint import settled
-
+from weirflow.plans.scan import running, total
 
 
 def _error() -> Column:
@@ -31,6 +31,26 @@ def w1(s, d):
     return _blk(s, d)
 
 
+#: Rows above which a graph is cut into stretches in the queries on all events as one graph.
+HOT_HERE = 500
+
+
+def _one_graph(s, d):
+    events = fx.table(s, d, "events").select(F.lit(0).alias("g"), "ts", "event_id", F.col("event_type").alias("op"), (F.get_json_object("props", "$.k").cast("long") % 8).alias("reg"))
+    placed = running(events, ["g"], ["ts", "event_id"], HOT_HERE, n=total(F.lit(1).cast("long")))
+    return settled(placed.select("g", (F.col("n") - 1).alias("pc"), "event_id", "op", "reg"))
+
+
+def w1_one(s, d):
+    return segment.assign_blocks(_one_graph(s, d), _error(), hot=HOT_HERE)
+
+
+def j6_one(s, d):
+    rows = _one_graph(s, d)
+    defs = segment.number_versions(rows.where("op in ('signup', 'purchase')").select("g", "pc", "reg"), hot=HOT_HERE)
+    return joins.as_of(rows.where("op in ('click', 'view')").select("g", "pc", "reg"), defs, ["g", "reg"], "pc", "version", 0, hot=HOT_HERE)
+
+
 def w1_targets(s, d):
     # each purchase leads k records back, so a block begins there too
     aimed = fx.ir(s, d).where("op = 'purchase'").select("g", F.greatest(F.col("pc") - F.col("k") % 10, F.lit(0)).alias("pc"))
@@ -165,6 +185,18 @@ def a4(s, d):
     return aggregates.block_stats(_plain_blocks(s, d))
 
 
+def a5_facts(s, d):
+    """A user's week as a unit: the registers read before they are written are its parameters, views are captures; a user's first week is the main unit."""
+    rows = fx.ir(s, d)
+    first = fx.du(s, d).groupBy("g", "reg").agg(F.min_by("mode", "pc").alias("mode")).groupBy("g").agg(F.count_if(F.col("mode") == "R").alias("n_params"))
+    units = rows.groupBy("g").agg(
+        F.count_if(F.col("op") == "view").alias("n_captured"), (F.max("reg") + 1).alias("n_registers"), F.bool_or(F.col("op") == "error").alias("variadic"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("op") == "signup", F.col("pc")))), lambda x: x.cast("string")), ",").alias("types"), F.max("k").alias("version"), F.min("k").alias("types_version"),
+    ).join(first, "g", "left").withColumn("n_params", F.coalesce("n_params", F.lit(0).cast("long")))
+    mains = units.groupBy(F.floor(F.col("g") / 100).alias("user")).agg(F.min("g").alias("g")).select("g", F.lit(True).alias("is_main"))
+    return aggregates.unit_facts(units.join(mains, "g", "left"))
+
+
 def a5(s, d):
     return aggregates.unit_summary(fx.ir(s, d), "error", "purchase")
 
@@ -219,6 +251,10 @@ _USES_OP = "SELECT u.*, ir.op, ir.k FROM uses u JOIN ir ON ir.g = u.g AND ir.pc
 #: name: query, SQL, the views that the SQL reads
 QUERIES = {
     "w1_assign_blocks": (w1, "SELECT * FROM blk", ("blk",)),
+    "w1_one_graph": (w1_one, """, e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pc, op FROM ir), l AS (SELECT pc, coalesce(sum(CASE WHEN op = 'error' THEN 1 ELSE 0 END) OVER (ORDER BY pc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e)
+      SELECT 0 AS g, CAST(b AS BIGINT) AS b, min(pc) AS head_pc, max(pc) AS tail_pc FROM l GROUP BY b""", ("ir",)),
+    "j6_one_graph": (j6_one, """, e AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS pc, op, reg FROM ir)
+      SELECT 0 AS g, pc, reg, version FROM (SELECT pc, reg, op, CAST(count(*) FILTER (WHERE op IN ('signup', 'purchase')) OVER (PARTITION BY reg ORDER BY pc) AS BIGINT) AS version FROM e) WHERE op IN ('click', 'view')""", ("ir",)),
     "w1_jump_targets": (w1_targets, """, aim AS (SELECT DISTINCT g, greatest(pc - k % 10, 0) AS pc FROM ir WHERE op = 'purchase'),
       l AS (SELECT g, pc, CAST(sum(CASE WHEN pc = 0 OR p = 'error' OR (g, pc) IN (SELECT g, pc FROM aim) THEN 1 ELSE 0 END) OVER (PARTITION BY g ORDER BY pc) - 1 AS BIGINT) AS b
         FROM (SELECT g, pc, lag(op) OVER (PARTITION BY g ORDER BY pc) AS p FROM ir))
@@ -271,6 +307,10 @@ QUERIES = {
       FROM (SELECT g, b, CASE max_by(op, pc) WHEN 'error' THEN 'ERROR' ELSE 'FALL' END AS t, max(b) OVER (PARTITION BY g) AS m FROM blkrow GROUP BY g, b) GROUP BY ALL""", ("blkrow",)),
     "a5_unit_summary": (a5, """SELECT g, count(*) AS n_records, count(DISTINCT op) AS n_ops, max(reg) AS max_reg, count(DISTINCT reg) AS n_regs, bool_or(op = 'error') AS has_error,
       count(*) FILTER (WHERE op = 'purchase') AS n_purchases FROM ir GROUP BY g""", ("ir",)),
+    "a5_unit_facts": (a5_facts, """, f AS (SELECT g, count(*) FILTER (WHERE m = 'R') AS n_params FROM (SELECT g, reg, arg_min(mode, pc) AS m FROM du GROUP BY g, reg) GROUP BY g),
+      u AS (SELECT g, count(*) FILTER (WHERE op = 'view') AS n_captured, max(reg) AS top_register, bool_or(op = 'error') AS "variadic", bool_or(op = 'signup') AS has_types, max(k) AS v, min(k) AS t FROM ir GROUP BY g)
+      SELECT u.g, coalesce(n_params, 0) AS n_params, n_captured, top_register, "variadic", has_types, CASE WHEN u.g = min(u.g) OVER (PARTITION BY u.g // 100) THEN 'version ' || v || ', types version ' || t END AS banner
+      FROM u LEFT JOIN f ON f.g = u.g""", ("ir", "du")),
     "a6_consumed_by": (a6, f"SELECT g, reg, version, bool_or(op = 'view') AS consumed FROM ({_USES_OP}) GROUP BY g, reg, version", ("uses",)),
     "a7_only_feeds": (a7, "SELECT u.g, reg, version, bool_and(blk.tail_pc IS NOT NULL) AS only_tail FROM uses u LEFT JOIN blk ON blk.g = u.g AND blk.tail_pc = u.pc GROUP BY u.g, reg, version", ("uses", "blk")),
     "a8_real_uses": (a8, f"SELECT g, reg, version, count(*) FILTER (WHERE op <> 'view') AS n_real, bool_or(k % 5 = 0) AS vetoed FROM ({_USES_OP}) GROUP BY g, reg, version", ("uses",)),
