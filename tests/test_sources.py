@@ -91,3 +91,39 @@ def test_pointer_jumping_on_chains_and_cycles(spark):
     found = {(r.g, r.node): (r.top, r.steps) for r in fixpoint.jump(spark.createDataFrame(links, "g long, node string, next string")).collect()}
     assert all(found[(1, f"{i:02d}")] == ("20", 20 - i) for i in range(21))
     assert found[(2, "b")][0] == found[(2, "c")][0] == "b" and found[(3, "y")] == ("x", 1) and found[(3, "x")] == ("x", 0)
+
+
+def test_a_file_that_cannot_be_read_has_a_status(spark, tmp_path):
+    (tmp_path / "good.bin").write_bytes(b"abc")
+    (tmp_path / "bad.bin").write_bytes(b"0123456789")
+    (tmp_path / ".bad.bin.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x00\x00\x00\x00")  # a checksum that the bytes don't have
+    (tmp_path / "none.bin").write_bytes(b"")
+    found = {r.path.rsplit("/", 1)[1]: (r.status, r.length, r.content) for r in ingest.read_chunks(spark, str(tmp_path)).collect()}
+    assert {k: v[:2] for k, v in found.items()} == {"good.bin": ("ok", 3), "bad.bin": ("unreadable", 10), "none.bin": ("empty", 0)}
+    assert bytes(found["good.bin"][2]) == b"abc" and found["bad.bin"][2] is None
+
+
+def test_units_behind_their_parents(spark):
+    units = [(1, None, "a"), (2, 1, "b"), (10, 1, "c"), (3, 2, "d"), (5, None, "e"), (9, 77, "lost")]
+    df = spark.createDataFrame(units, "id long, parent long, text string")
+    for hot in (10**6, 2):
+        out = export.nested_listing(df, hot).orderBy("root", "ord").collect()
+        assert [(r.root, r.ord, r.text, r.depth) for r in out] == [(1, 0, "a", 0), (1, 1, "b", 1), (1, 2, "d", 2), (1, 3, "c", 1), (5, 0, "e", 0)]
+
+
+def test_scratch_of_one_thread_leaves_another_alone(spark):
+    import threading
+
+    kept = []
+
+    def other():
+        with fixpoint.scratch(spark) as keep:
+            kept.append(keep(fixpoint.settled(spark.range(5).toDF("id"))))
+
+    with fixpoint.scratch(spark):
+        mine = fixpoint.settled(spark.range(3).toDF("id"))
+        worker = threading.Thread(target=other)
+        worker.start()
+        worker.join()
+        assert mine.count() == 3
+    assert kept[0].count() == 5

@@ -177,6 +177,45 @@ def s6(s, d):
     return s.read.schema(shape).parquet(f"{folder}/good").unionByName(s.read.schema(shape).parquet(f"{folder}/failed")).select("event_id", "status", "k")
 
 
+def s1(s, d):
+    """Customers' names as text files, one a nation, read back as binary files."""
+    folder = own_folder(s, "files")
+    names = fx.table(s, d, "customer").select(F.col("c_nationkey").cast("string").alias("n"), "c_name")
+    names.repartition("n").write.partitionBy("n").text(folder)
+    files = ingest.read_chunks(s, folder).where("path not like '%SUCCESS'")
+    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1
+    rows = files.select(F.regexp_extract("path", "n=([0-9]+)/", 1).cast("long").alias("nation"), "status", "length", lines.cast("long").alias("n_lines"))
+    return rows.groupBy("nation", "status").agg(F.sum("length").alias("length"), F.sum("n_lines").alias("n_lines"))
+
+
+def s6_once(s, d):
+    """All events sent twice, in two batches of a stream: each is answered once."""
+    folder = own_folder(s, "stream")
+    events = fx.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 7 == 0, "damaged").otherwise(F.col("props")).alias("sent"))
+    for part in ("1", "2"):
+        events.coalesce(1).write.parquet(f"{folder}/in/{part}")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    judge = lambda rows: continuous.judged(continuous.once(rows, ["event_id"], "ts", "60 days"), "sent").select("event_id", "status", "k")
+    continuous.stream_ingest(stream, judge, f"{folder}/good", f"{folder}/failed", f"{folder}/checkpoint").awaitTermination()
+    shape = "event_id long, status string, k long"
+    return s.read.schema(shape).parquet(f"{folder}/good").unionByName(s.read.schema(shape).parquet(f"{folder}/failed")).select("event_id", "status", "k")
+
+
+def s7_nested(s, d):
+    """Regions, their nations and these' customers, each behind what holds it."""
+    part = lambda t, own, above, name: fx.table(s, d, t).select(own.cast("long").alias("id"), above.cast("long").alias("parent"), F.col(name).alias("text"))
+    units = part("region", F.col("r_regionkey"), F.lit(None), "r_name").unionByName(part("nation", F.col("n_nationkey") + 1000, F.col("n_regionkey"), "n_name"))
+    return export.nested_listing(units.unionByName(part("customer", F.col("c_custkey") + 100000, F.col("c_nationkey") + 1000, "c_name")), hot=200)
+
+
+def s8_labels(s, d):
+    """A node's two most frequent ways on; signups prepare loops, purchases test them, views decide."""
+    order = Window.partitionBy("g", "src").orderBy(F.desc("n"), "dst")
+    edges = fx.fe(s, d).withColumn("ord", (F.row_number().over(order) - 1).cast("long")).where("ord < 2")
+    kind = F.when(F.col("node").startswith("signup"), "prepare").when(F.col("node").startswith("purchase"), "loop").when(F.col("node").startswith("view"), "decide")
+    return export.edge_labels(edges, fx.nodes(s, d).select("g", "node", kind.alias("kind")))
+
+
 def s9(s, d):
     stages = [("documents", fx.table(s, d, "documents")), ("errors", fx.ir(s, d).where("op = 'error'")), ("edges", fx.fe(s, d))]
     folder = own_folder(s, "stages")
@@ -427,6 +466,15 @@ QUERIES = {
     "s5_quarantine": (s5, "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN event_id % 7 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events", None),
     "s6_stream_ingest": (s6, "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'empty' ELSE 'ok' END AS status, CASE WHEN event_id % 7 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events", None),
     "s9_stage_metrics": (s9, "SELECT 'documents' AS stage, count(*) AS rows FROM documents UNION ALL SELECT 'errors', count(*) FROM ir WHERE op = 'error' UNION ALL SELECT 'edges', count(*) FROM fe", ("ir", "fe")),
+    "s1_read_chunks": (s1, "SELECT CAST(c_nationkey AS BIGINT) AS nation, 'ok' AS status, sum(length(c_name) + 1) AS length, count(*) AS n_lines FROM customer GROUP BY c_nationkey", None),
+    "s6_answered_once": (s6_once, "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'damaged' ELSE 'ok' END AS status, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events", None),
+    "s7_nested_units": (s7_nested, """WITH u AS (SELECT CAST(r_regionkey AS BIGINT) AS root, CAST(r_regionkey AS BIGINT) AS id, CAST(-1 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS depth, r_name AS text FROM region
+      UNION ALL SELECT n_regionkey, n_nationkey + 1000, n_nationkey, -1, 1, n_name FROM nation
+      UNION ALL SELECT n_regionkey, c_custkey + 100000, n_nationkey, c_custkey, 2, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey)
+      SELECT root, row_number() OVER (PARTITION BY root ORDER BY a, b) - 1 AS ord, id, depth, text FROM u""", None),
+    "s8_edge_labels": (s8_labels, """, e AS (SELECT *, row_number() OVER (PARTITION BY g, src ORDER BY n DESC, dst) - 1 AS ord FROM fe)
+      SELECT g, src, dst, ord, CASE WHEN src LIKE 'signup%' THEN CASE ord WHEN 0 THEN 'skip' ELSE 'enter' END WHEN src LIKE 'purchase%' THEN CASE ord WHEN 0 THEN 'loop' ELSE 'exit' END
+        WHEN src LIKE 'view%' THEN CASE ord WHEN 0 THEN 'true' ELSE 'false' END WHEN dst <= src THEN 'back' ELSE '' END AS label FROM e WHERE ord < 2""", ("fe",)),
     "s7_listing": (s7, """, h AS (SELECT g, b, head_pc AS pc, -1 AS o, 'block ' || b || ' <- ' || CASE WHEN b > 0 THEN CAST(b - 1 AS VARCHAR) ELSE '' END || ' -> ' || CASE WHEN (g, b + 1) IN (SELECT g, b FROM blk) THEN CAST(b + 1 AS VARCHAR) ELSE '' END AS line FROM blk),
       a AS (SELECT * FROM h UNION ALL SELECT r.g, r.b, r.pc, 0, r.pc || ' ' || r.op || ' r' || ir.reg FROM blkrow r JOIN ir ON ir.g = r.g AND ir.pc = r.pc)
       SELECT g, string_agg(line, chr(10) ORDER BY b, o, pc) AS text FROM a GROUP BY g""", ("ir", "blk")),

@@ -6,6 +6,9 @@ import time
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from weirflow.plans.fixpoint import settled
+from weirflow.plans.scan import HOT_ROWS, running, total
+
 
 def listing(records: DataFrame, line: Column) -> DataFrame:
     """(g, text): one line per record in order. A graph is one text, so its lines meet in one row."""
@@ -29,6 +32,38 @@ def block_listing(blocks: DataFrame, edges: DataFrame, records: DataFrame, line:
     return lines.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("b", "pc", "line"))).alias("l")).select("g", F.array_join(F.transform("l", lambda e: e["line"]), "\n").alias("text"))
 
 
+def nested_listing(units: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """(root, ord, id, depth, text) of trees units(id, parent, text): each unit's text behind its parent's, siblings in order of id.
+
+    A root has no parent. A root's texts are rows in order, not one value, so a large tree is many tasks' work: its
+    order is the paths of ids from the root, made a level at a time. A unit whose parent is missing is left out.
+    """
+    kids = settled(units.select("id", "parent", "text"))
+    level = settled(kids.where("parent is null").select(F.col("id").alias("root"), "id", F.array("id").alias("path"), "text"))
+    known = level
+    while not level.isEmpty():
+        above = level.select("root", F.col("id").alias("parent"), F.col("path").alias("_path"))
+        level = settled(kids.join(above, "parent").select("root", "id", F.array_append("_path", F.col("id")).alias("path"), "text"))
+        known = known.unionByName(level)
+    placed = running(known, ["root"], ["path"], hot, ord=total(F.lit(1).cast("long")))
+    return placed.select("root", (F.col("ord") - 1).alias("ord"), "id", (F.size("path") - 1).cast("long").alias("depth"), "text")
+
+
+def edge_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges(g, src, dst, ord) with label, by what nodes(g, node, kind) says of their source.
+
+    The side taken (ord 0) and the other are skip and enter of a loop's preparation (prepare), loop and exit of its
+    test (loop), true and false of a decision (decide). A plain jump that doesn't lead forward is back; others are bare.
+    """
+    kinds = nodes.select("g", F.col("node").alias("src"), "kind")
+    taken = F.col("ord") == 0
+    label = (
+        F.when(F.col("kind") == "prepare", F.when(taken, "skip").otherwise("enter")).when(F.col("kind") == "loop", F.when(taken, "loop").otherwise("exit"))
+        .when(F.col("kind") == "decide", F.when(taken, "true").otherwise("false")).when(F.col("dst") <= F.col("src"), "back").otherwise("")
+    )
+    return edges.select("g", "src", "dst", "ord").join(kinds, ["g", "src"], "left").select("g", "src", "dst", "ord", label.alias("label"))
+
+
 def to_dot(edges: DataFrame, label: Column, dead: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """(g, dot): one DOT text per graph, its edges in order of their ends; all texts are escaped.
 

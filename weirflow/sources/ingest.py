@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content, status) of binary files, one row for each file listed: ok, or empty, without content.
+    """(path, length, content, status) of binary files, one row for each file listed: ok; or empty or unreadable, without content.
 
-    Spark's reader leaves out files without a byte and those that are gone by the time of reading; their rows are what
-    the listing has beside the reader's paths. No content is shuffled. A listed file that can't be opened raises.
+    Spark's reader leaves out files without a byte, and with the options here those that are gone or fail while they are
+    read. Their rows are what the listing has beside the paths that are read; the length that the listing gives tells
+    the two kinds apart. No content is shuffled, but to tell which files fail each one is read once more.
     """
-    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true").load(path)
+    options = {"ignoreMissingFiles": "true", "ignoreCorruptFiles": "true", "recursiveFileLookup": "true"}
+    found = spark.read.format("binaryFile").options(**options).load(path)
+    read = found.where(F.length("content") >= 0)
     one_slash = lambda url: F.regexp_replace(url, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
     listed = spark.createDataFrame([(name,) for name in found.inputFiles()], "url string")  # the listing that the reader itself keeps
-    left_out = listed.select(one_slash(F.col("url")).alias("url")).join(found.select(one_slash(F.col("_metadata.file_path")).alias("url")), "url", "left_anti")
+    left_out = listed.select(one_slash(F.col("url")).alias("url")).join(read.select(one_slash(F.col("_metadata.file_path")).alias("url")), "url", "left_anti")
+    sizes = found.select(one_slash(F.col("_metadata.file_path")).alias("url"), F.col("_metadata.file_size").alias("_size"))  # without content no file is opened
+    left_out = left_out.join(sizes, "url", "left").withColumn("_size", F.coalesce("_size", F.lit(0).cast("long")))
     path_of = F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B")))
-    none = left_out.select(path_of.alias("path"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), F.lit("empty").alias("status"))
+    none = left_out.select(path_of.alias("path"), F.col("_size").alias("length"), F.lit(None).cast("binary").alias("content"), F.when(F.col("_size") > 0, "unreadable").otherwise("empty").alias("status"))
     return found.select("path", "length", "content", F.lit("ok").alias("status")).unionByName(none)
 
 

@@ -13,6 +13,16 @@ def judged(stream: DataFrame, payload: str, field: str = "$.k") -> DataFrame:
     return stream.withColumn("k", F.get_json_object(payload, field).try_cast("long")).withColumn("status", F.when(F.col("k").isNotNull(), "ok").otherwise("damaged"))
 
 
+def once(stream: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
+    """stream without repeated requests: of rows equal in keys that come within an interval of event time at, the first stays.
+
+    The keys seen are state, kept until the watermark, the latest time seen less the interval, has passed them; so the
+    state is as large as the requests of one interval, whatever the stream's length. Rows that come later than that
+    are left out, as it can't be told any more whether they were answered.
+    """
+    return stream.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
+
+
 def stream_ingest(stream: DataFrame, judge: str | Callable[[DataFrame], DataFrame], good: str, failed: str, checkpoint: str) -> StreamingQuery:
     """Append good rows to one Parquet folder and failed rows to another, for all that is there, then stop.
 
