@@ -47,90 +47,123 @@ class _Reader:
         return struct.unpack(form, self.take(struct.calcsize(form)))
 
 
-def _row(chunk_id, tag, fid=None, pos=None, **values):
-    return {"chunk_id": chunk_id, "tag": tag, "fid": fid, "pos": pos, **values}
-
-
-def _constant(r: _Reader) -> dict:
+class _Columns:
+    """The rows of containers, column by column."""
+
+    def __init__(self) -> None:
+        self.lists: dict[str, list] = {name: [] for name in _SCHEMA.names}
+        self.size = 0
+
+    def add(self, count: int, **values) -> None:
+        """count rows more: a list has a value for each of them, anything else is the same for all, and what isn't named is null."""
+        for name, column in self.lists.items():
+            value = values.get(name)
+            column.extend(value if isinstance(value, list) else [value] * count)
+        self.size += count
+
+    def cut(self, size: int) -> None:
+        """Forget the rows behind the first size."""
+        for column in self.lists.values():
+            del column[size:]
+        self.size = size
+
+    def batch(self) -> pa.RecordBatch:
+        """What was gathered, which is forgotten then."""
+        out = pa.RecordBatch.from_arrays([pa.array(self.lists[f.name], f.type) for f in _SCHEMA], schema=_SCHEMA)
+        self.cut(0)
+        return out
+
+
+def _constant(r: _Reader) -> tuple:
+    """(kind, num, whole, text)."""
     tag = r.byte()
     if tag not in KINDS:
         raise ValueError(f"constant of unknown kind {tag}")
-    out = {"kind": KINDS[tag]}
+    num = whole = text = None
     if tag == 1:
-        out["whole"] = r.byte()
+        whole = r.byte()
     elif tag == 2:
-        out["num"] = r.unpack("<d")[0]
+        num = r.unpack("<d")[0]
     elif tag in (3, 6):
-        out["whole"] = r.number()
+        whole = r.number()
     elif tag == 4:
-        out["whole"] = r.unpack("<I")[0]
+        whole = r.unpack("<I")[0]
     elif tag == 5:
-        out["text"] = ",".join(str(r.number()) for _ in range(r.number()))
+        text = ",".join(str(r.number()) for _ in range(r.number()))
     elif tag == 7:
-        out["text"] = ",".join(map(repr, r.unpack("<4f")))
+        text = ",".join(map(repr, r.unpack("<4f")))
     elif tag == 9:
         negative = r.byte()
         value = r.number(10)
-        out["whole"] = -value if negative else value
-    return out
+        whole = -value if negative else value
+    return KINDS[tag], num, whole, text
+
 
+def _function(r: _Reader, chunk_id: int, fid: int, version: int, out: _Columns) -> None:
+    def many(tag: str, count: int, **values) -> None:
+        out.add(count, chunk_id=chunk_id, tag=tag, fid=fid, pos=list(range(count)), **values)
 
-def _function(r: _Reader, chunk_id: int, fid: int, version: int) -> list[dict]:
     stack, params, captured, variadic = r.take(4)
     flags = r.byte() if version >= 4 else 0
     types = r.take(r.number()).hex() if version >= 4 else ""
-    rows = []
     size = r.number()
-    rows += [_row(chunk_id, "word", fid, i, whole=w) for i, w in enumerate(r.unpack(f"<{size}I"))]
-    rows += [_row(chunk_id, "constant", fid, i, **_constant(r)) for i in range(r.number())]
-    rows += [_row(chunk_id, "child", fid, i, whole=r.number()) for i in range(r.number())]
+    many("word", size, whole=list(r.unpack(f"<{size}I")))
+    constants = [_constant(r) for _ in range(r.number())]
+    kinds, nums, wholes, texts = map(list, zip(*constants)) if constants else ([], [], [], [])
+    many("constant", len(constants), kind=kinds, num=nums, whole=wholes, text=texts)
+    children = [r.number() for _ in range(r.number())]
+    many("child", len(children), whole=children)
     line, name = r.number(), r.number()
     if r.byte():
         gap = r.byte()
-        rows += [_row(chunk_id, "line_delta", fid, i, whole=x) for i, x in enumerate(r.take(size))]
+        many("line_delta", size, whole=list(r.take(size)))
         bases = ((size - 1) >> gap) + 1 if size else 0
-        rows += [_row(chunk_id, "line_base", fid, i, whole=x, a=gap) for i, x in enumerate(r.unpack(f"<{bases}i"))]
+        many("line_base", bases, whole=list(r.unpack(f"<{bases}i")), a=gap)
     if r.byte():
-        rows += [_row(chunk_id, "local", fid, i, whole=r.number(), a=r.number(), b=r.number(), c=r.byte()) for i in range(r.number())]
-        rows += [_row(chunk_id, "capture", fid, i, whole=r.number()) for i in range(r.number())]
-    rows.append(_row(chunk_id, "function", fid, 0, whole=line, num=float(name), text=types, kind="variadic" if variadic else "fixed", a=stack, b=params, c=captured, d=flags))
-    return rows
-
-
-def decode(chunk_id: int, data: bytes) -> list[dict]:
-    """Tagged rows of one container; a container that can't be read gives its unit row alone, with the reason."""
-    r = _Reader(data or b"")
+        found = [(r.number(), r.number(), r.number(), r.byte()) for _ in range(r.number())]
+        names, begins, ends, registers = map(list, zip(*found)) if found else ([], [], [], [])
+        many("local", len(found), whole=names, a=begins, b=ends, c=registers)
+        captures = [r.number() for _ in range(r.number())]
+        many("capture", len(captures), whole=captures)
+    many("function", 1, whole=line, num=float(name), text=types, kind="variadic" if variadic else "fixed", a=stack, b=params, c=captured, d=flags)
+
+
+def decode(chunk_id: int, data: bytes, out: _Columns) -> None:
+    """Adds the tagged rows of one container; one that can't be read adds its unit row alone, with the reason."""
+    r, before = _Reader(data or b""), out.size
+    unit = lambda **values: out.add(1, chunk_id=chunk_id, tag="unit", **values)
     try:
         version = r.byte()
         if not version:
-            return [_row(chunk_id, "unit", kind="compile_error", text=r.data[1:].decode("utf-8", "replace"), a=0)]
+            return unit(kind="compile_error", text=r.data[1:].decode("utf-8", "replace"), a=0)
         if not 3 <= version <= 11:
-            return [_row(chunk_id, "unit", kind="unsupported", text=f"version {version}", a=version)]
+            return unit(kind="unsupported", text=f"version {version}", a=version)
         types = r.byte() if version >= 4 else 0
         if version >= 4 and not 1 <= types <= 3:
-            return [_row(chunk_id, "unit", kind="unsupported_types", text=f"types version {types}", a=version, b=types)]
-        rows = [_row(chunk_id, "string", None, i + 1, text=r.take(r.number()).decode("latin-1")) for i in range(r.number())]
+            return unit(kind="unsupported_types", text=f"types version {types}", a=version, b=types)
+        strings = [r.take(r.number()).decode("latin-1") for _ in range(r.number())]
+        out.add(len(strings), chunk_id=chunk_id, tag="string", pos=list(range(1, len(strings) + 1)), text=strings)
         while types == 3 and (index := r.byte()):
-            rows.append(_row(chunk_id, "userdata", None, index, whole=r.number()))
+            out.add(1, chunk_id=chunk_id, tag="userdata", pos=index, whole=r.number())
         for fid in range(r.number()):
-            rows += _function(r, chunk_id, fid, version)
-        return [*rows, _row(chunk_id, "unit", kind="ok", a=version, b=types, whole=r.number())]
+            _function(r, chunk_id, fid, version, out)
+        unit(kind="ok", a=version, b=types, whole=r.number())
     except (ValueError, struct.error) as problem:
-        return [_row(chunk_id, "unit", kind="damaged", text=str(problem))]
+        out.cut(before)
+        unit(kind="damaged", text=str(problem))
 
 
 def decode_chunks(chunks: DataFrame) -> DataFrame:
     """Tagged rows of chunks(chunk_id, content): unit, string, userdata, function, word, constant, child, line_delta, line_base, local, capture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+        rows = _Columns()
         for batch in batches:
             for chunk_id, content in zip(batch.column("chunk_id").to_pylist(), batch.column("content")):
-                rows += decode(chunk_id, content.as_py())
-                if len(rows) >= ROWS_AT_ONCE:  # a large container may be more, but no two of them are held
-                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-                    rows = []
-        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                decode(chunk_id, content.as_py(), rows)
+                if rows.size >= ROWS_AT_ONCE:  # a large container may be more, but no two of them are held
+                    yield rows.batch()
+        yield rows.batch()
 
     return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("content").cast("binary").alias("content")).mapInArrow(run, ROWS)
 
