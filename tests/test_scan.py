@@ -55,3 +55,29 @@ def test_many_redefinitions_of_one_register(spark):
     df = spark.range(size).select(F.lit(1).alias("g"), F.col("id").alias("pc"), F.lit(0).alias("reg"), F.when(F.col("id") % 10 == 0, "signup").when(F.col("id") % 10 == 5, "purchase").otherwise("view").alias("op"))
     out = segment.collect_until_barrier(df, F.col("op") == "signup", F.col("op") == "view", F.lit(False), 100, F.col("op") == "purchase", hot=5_000)
     assert out.count() == size // 10 and out.where("n <> 4").isEmpty()
+
+
+def test_windows_over_stretches_equal_those_in_one(spark):
+    draw = random.Random(5)
+    rows = [(g, pc, draw.choice(["call", "arg", "arg", "ret", None]), draw.randrange(3), draw.randrange(-40, 200)) for g, n in ((1, 700), (2, 30), (3, 1)) for pc in range(n)]
+    df = spark.createDataFrame(rows, "g long, pc long, op string, reg long, d long").repartition(3)
+    blocked = segment.with_blocks(df, F.col("op") == "ret")
+    ways = [
+        lambda hot: segment.pair_with_previous(df, 2, hot), lambda hot: segment.trailing_run(df, "call", "arg", hot), lambda hot: segment.decode_line_deltas(df, "d", 3, hot),
+        lambda hot: segment.fallthrough(blocked.select("g", "b").distinct(), hot), lambda hot: segment.classify_blocks(blocked, {"ret": "RETURN_OP"}, offset="d", loop_ops=["call"], hot=hot),
+    ]
+    for way in ways:
+        found, expected = (sorted(map(repr, way(hot).collect())) for hot in (50, 10_000))
+        assert found == expected and found
+    by_place = {(g, pc): (op, reg) for g, pc, op, reg, _ in rows}
+    paired = {(g, pc, pc - 2) for (g, pc), (op, reg) in by_place.items() if op and by_place.get((g, pc - 2)) == (op, reg)}
+    assert {tuple(r) for r in segment.pair_with_previous(df, 2, 50).collect()} == paired
+
+
+def test_scopes_of_any_length(spark):
+    draw = random.Random(6)
+    scopes = [(1, draw.randrange(2), f"s{i}", (start := draw.randrange(-50, 900)), start + draw.choice([0, 1, 2, 3, 5, 8, 64, 65, 400, 10**12])) for i in range(120)]
+    records = [(g, pc, reg) for g in (1, 2) for pc in range(-60, 1000, 3) for reg in (0, 1, 2)]
+    expected = sorted((g, pc, reg, name) for g, pc, reg in records for h, r, name, start, end in scopes if (g, reg) == (h, r) and start <= pc < end)
+    out = joins.in_scope(spark.createDataFrame(records, "g long, pc long, reg long"), spark.createDataFrame(scopes, "g long, reg long, name string, start_pc long, end_pc long"))
+    assert sorted((r.g, r.pc, r.reg, r.name) for r in out.collect()) == expected

@@ -49,14 +49,19 @@ def block_of(records: DataFrame, blocks: DataFrame, hot: int = HOT_ROWS) -> Data
     return found.select("g", "pc", F.when(F.col("pc") <= F.col("blk.tail_pc"), F.col("blk.b")).otherwise(-1).alias("b"))
 
 
-def in_scope(records: DataFrame, scopes: DataFrame, width: int = 256) -> DataFrame:
+def in_scope(records: DataFrame, scopes: DataFrame) -> DataFrame:
     """records joined with scopes(g, reg, name, start_pc, end_pc) that hold their register at their place, half open.
 
-    Records and scopes meet by stretches of width places, so a register of many scopes isn't one key.
+    A scope lies in one or two cells of the least power of two of places that is no shorter than it, whatever its
+    length. A record looks into one cell for each such size that its register has, 64 at most; of the scopes in a
+    cell at least a quarter of the places are held. So a register of many scopes, or of long ones, is not one key.
     """
-    stretch = lambda c: F.floor(c / width)
-    s = scopes.where("start_pc < end_pc").select("g", "reg", "name", "start_pc", "end_pc", F.explode(F.sequence(stretch(F.col("start_pc")), stretch(F.col("end_pc") - 1))).alias("_stretch"))
-    return records.withColumn("_stretch", stretch(F.col("pc"))).join(s, ["g", "reg", "_stretch"]).where("start_pc <= pc and pc < end_pc").drop("start_pc", "end_pc", "_stretch")
+    inside = lambda pc: F.expr(f"shiftright({pc}, _size)")
+    length = F.col("end_pc") - F.col("start_pc")
+    sized = scopes.where("start_pc < end_pc").select("g", "reg", "name", "start_pc", "end_pc", F.when(length == 1, 0).otherwise(F.length(F.bin(length - 1))).alias("_size"))
+    dealt = sized.withColumn("_cell", F.explode(F.array_distinct(F.array(inside("start_pc"), inside("end_pc - 1")))))
+    looking = records.join(sized.select("g", "reg", "_size").distinct(), ["g", "reg"]).withColumn("_cell", inside("pc"))
+    return looking.join(dealt, ["g", "reg", "_size", "_cell"]).where("start_pc <= pc and pc < end_pc").drop("start_pc", "end_pc", "_size", "_cell")
 
 
 def name_collisions(own: DataFrame, captured: DataFrame) -> DataFrame:

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weirflow.plans.scan import HOT_ROWS, highest, latest, previous, running, total
-
-
-def _order() -> WindowSpec:
-    return Window.partitionBy("g").orderBy("pc")
+from weirflow.plans.scan import HOT_ROWS, highest, lagged, latest, previous, running, total
 
 
 def with_blocks(records: DataFrame, ends_block: Column, targets: DataFrame | None = None, hot: int = HOT_ROWS) -> DataFrame:
@@ -37,38 +33,37 @@ def assign_blocks(records: DataFrame, ends_block: Column, targets: DataFrame | N
     return with_blocks(records, ends_block, targets, hot).groupBy("g", "b").agg(F.min("pc").alias("head_pc"), F.max("pc").alias("tail_pc"))
 
 
-def classify_blocks(blocked: DataFrame, terminators: dict[str, str], default: str = "FALL", offset: str | None = None, loop_ops: list[str] = ()) -> DataFrame:
+def classify_blocks(blocked: DataFrame, terminators: dict[str, str], default: str = "FALL", offset: str | None = None, loop_ops: list[str] = (), hot: int = HOT_ROWS) -> DataFrame:
     """(g, b, terminator, type): the tail record's op by a map; a last block returns, one that its terminator ends breaks.
 
     With offset, a column of how far a tail record jumps, a block that jumps back continues. A block that jumps right
     before a record of loop_ops breaks or continues by the sign; other jumps are then LEAP.
     """
     tail = blocked.groupBy("g", "b").agg(F.max_by("op", "pc").alias("op"), *([F.max_by(offset, "pc").alias("_by")] if offset else []), F.min_by("op", "pc").alias("_first"))
-    order = Window.partitionBy("g").orderBy("b")
-    last = F.lead("b").over(order).isNull()
+    # the block behind is the one before when blocks are read from behind
+    tail = running(tail.withColumn("_back", -F.col("b")), ["g"], ["_back"], hot, _behind=previous(F.col("_first")))
+    last = F.col("_behind").isNull()
     chain = F.lit(default)
     for op, name in terminators.items():
         chain = F.when(F.col("op") == op, name).otherwise(chain)
     kind = F.lit("BREAK")
     if offset:
         kind = F.when(F.col("_by") < 0, "CONTINUE").otherwise("BREAK")
-        kind = F.when(F.lead("_first").over(order).isin(*loop_ops), kind).otherwise("LEAP") if loop_ops else kind
+        kind = F.when(F.col("_behind.v").isin(*loop_ops), kind).otherwise("LEAP") if loop_ops else kind
     found = tail.withColumn("terminator", chain)
     return found.select("g", "b", "terminator", F.when(last, "RETURN").when(F.col("terminator") != default, kind).otherwise("STANDARD").alias("type"))
 
 
-def decode_line_deltas(records: DataFrame, delta: str, gap: int) -> DataFrame:
+def decode_line_deltas(records: DataFrame, delta: str, gap: int, hot: int = HOT_ROWS) -> DataFrame:
     """(g, pc, line): the running sum of byte deltas modulo 256, plus the running base of the interval pc >> gap.
 
     The base of an interval grows by the last delta of each interval before it.
     """
-    interval = F.shiftright("pc", gap)
-    running = F.pmod(F.sum(delta).over(_order()), F.lit(256))
-    rows = records.select("g", "pc", running.alias("low"), interval.alias("interval"), F.col(delta).alias("_delta"))
-    bases = rows.groupBy("g", "interval").agg(F.max_by("_delta", "pc").alias("step"))
-    before = Window.partitionBy("g").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
-    bases = bases.select("g", "interval", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, ["g", "interval"]).select("g", "pc", (F.col("low") + F.col("base")).alias("line"))
+    named = records.select("g", "pc", F.shiftright("pc", gap).alias("interval"), F.col(delta).alias("_delta"))
+    rows = running(named, ["g"], ["pc"], hot, _sum=total(F.col("_delta")))
+    steps = named.groupBy("g", "interval").agg(F.max_by("_delta", "pc").alias("step"))
+    bases = running(steps, ["g"], ["interval"], hot, base=total(F.col("step"), own=False)).select("g", "interval", F.coalesce("base", F.lit(0)).alias("base"))
+    return rows.join(bases, ["g", "interval"]).select("g", "pc", (F.pmod("_sum", F.lit(256)) + F.col("base")).alias("line"))
 
 
 def number_versions(defs: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
@@ -82,17 +77,18 @@ def high_water(records: DataFrame, anchor: Column, hot: int = HOT_ROWS) -> DataF
     return rows.where("_is").select("g", "pc", (F.col("_most") - F.col("reg")).alias("span"))
 
 
-def pair_with_previous(records: DataFrame, n: int) -> DataFrame:
+def pair_with_previous(records: DataFrame, n: int, hot: int = HOT_ROWS) -> DataFrame:
     """(g, pc, paired_pc): records whose n-th predecessor has the same op and register."""
-    same = (F.lag("op", n).over(_order()) == F.col("op")) & (F.lag("reg", n).over(_order()) == F.col("reg"))
-    return records.select("g", "pc", F.lag("pc", n).over(_order()).alias("paired_pc"), same.alias("_same")).where("_same").drop("_same")
+    rows = lagged(records.select("g", "pc", "op", "reg"), ["g"], ["pc"], n, {"paired_pc": F.col("pc"), "_op": F.col("op"), "_reg": F.col("reg")}, hot)
+    return rows.where("_op = op and _reg = reg").select("g", "pc", "paired_pc")
 
 
-def trailing_run(records: DataFrame, anchor: str, op: str) -> DataFrame:
+def trailing_run(records: DataFrame, anchor: str, op: str, hot: int = HOT_ROWS) -> DataFrame:
     """(g, anchor_pc, pc, ord): the unbroken run of op records directly behind each anchor, numbered from 0."""
-    other = F.max(F.when(F.col("op") != op, F.col("pc"))).over(_order())
-    rows = records.select("g", "pc", "op", other.alias("anchor_pc"), F.max_by("op", F.when(F.col("op") != op, F.col("pc"))).over(_order()).alias("before"))
-    return rows.where((F.col("op") == op) & (F.col("before") == anchor)).select("g", "anchor_pc", "pc", (F.col("pc") - F.col("anchor_pc") - 1).alias("ord"))
+    other = F.when(F.col("op") != op, F.struct("pc", "op"))
+    rows = running(records.select("g", "pc", "op"), ["g"], ["pc"], hot, _other=latest(other))
+    rows = rows.where((F.col("op") == op) & (F.col("_other.op") == anchor)).select("g", F.col("_other.pc").alias("anchor_pc"), "pc")
+    return rows.withColumn("ord", F.col("pc") - F.col("anchor_pc") - 1)
 
 
 def collect_until_barrier(
@@ -120,9 +116,10 @@ def collect_until_barrier(
     return anchors.select("g", "anchor_pc").join(lists.where("_ok"), ["g", "anchor_pc"], "left").select("g", "anchor_pc", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("pcs", F.lit("")).alias("pcs"))
 
 
-def fallthrough(blocks: DataFrame) -> DataFrame:
+def fallthrough(blocks: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """(g, b, next_b): the next block in order, null for the last."""
-    return blocks.select("g", "b", F.lead("b").over(Window.partitionBy("g").orderBy("b")).alias("next_b"))
+    rows = running(blocks.select("g", "b", (-F.col("b")).alias("_back")), ["g"], ["_back"], hot, _behind=previous(F.col("b")))
+    return rows.select("g", "b", F.col("_behind.v").alias("next_b"))
 
 
 def first_write(defs: DataFrame, params: DataFrame | None = None, hot: int = HOT_ROWS) -> DataFrame:

@@ -43,14 +43,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], hot: int = HOT_R
     than hot rows isn't one task's work: its rows are dealt over stretches of the order, each stretch runs by itself,
     and what those before it add up to is carried into it. Null keys are a group.
     """
-    sizes = rows.groupBy(*keys).count().where(F.col("count") > hot).select(*keys)
-    large = settled(sizes)  # at most one group for every hot rows
-    if large.isEmpty():
+    cold, found = _split(rows, keys, hot)
+    if found is None:
         return _windowed(rows, keys, order, values)
     same = lambda other: [F.col(f"l.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in keys]
-    marked = rows.alias("l")
-    cold = marked.join(large.alias("h"), same("h"), "left_anti")
-    dealt = settled(marked.join(large.alias("h"), same("h"), "left_semi").repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "stretches")
+    dealt = settled(found.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "stretches")
     hot_rows = _windowed(dealt, [*keys, "_part"], order, values)
     wholes = dealt.groupBy(*keys, "_part").agg(*(v.whole(v.of, F.struct(*order)).alias(f"_{n}") for n, v in values.items()))
     parts = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,6 +58,32 @@ def running(rows: DataFrame, keys: list[str], order: list[str], hot: int = HOT_R
     return _windowed(cold, keys, order, values).unionByName(out)
 
 
+def lagged(rows: DataFrame, keys: list[str], order: list[str], n: int, values: dict[str, Column], hot: int = HOT_ROWS) -> DataFrame:
+    """rows with values of the n-th row before in order within each group of keys, null where there is none.
+
+    Rows of a group of more than hot rows are numbered over stretches, and meet by group and number.
+    """
+    cold, found = _split(rows, keys, hot)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    near = cold.select(*rows.columns, *(F.lag(v, n).over(window).alias(name) for name, v in values.items()))
+    if found is None:
+        return near
+    numbered = settled(running(found, keys, order, hot, _place=total(F.lit(1).cast("long"))))
+    before = numbered.select(*keys, (F.col("_place") + n).alias("_place"), *(v.alias(name) for name, v in values.items()))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_place"]]
+    met = numbered.alias("l").join(before.alias("b"), same, "left")
+    return near.unionByName(met.select(*(F.col(f"l.{c}") for c in rows.columns), *(F.col(f"b.{name}") for name in values)))
+
+
+def _split(rows: DataFrame, keys: list[str], hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of up to hot rows, and those of larger ones, None where there are none."""
+    large = settled(rows.groupBy(*keys).count().where(F.col("count") > hot).select(*keys))  # at most one group for every hot rows
+    if large.isEmpty():
+        return rows, None
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    return tuple(rows.alias("l").join(large.alias("h"), same, how) for how in ("left_anti", "left_semi"))
+
+
 def _windowed(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Running]) -> DataFrame:
     sorted_ = Window.partitionBy(*keys).orderBy(*order)
     whole, before = sorted_.rowsBetween(Window.unboundedPreceding, 0), sorted_.rowsBetween(Window.unboundedPreceding, -1)
