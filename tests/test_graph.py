@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from weirflow.operators import graph
+from weirflow.operators import graph, merging
 from weirflow.plans import fixpoint
 
 
@@ -136,6 +136,72 @@ def test_merge_point_rules(spark):
     assert found == {(1, "a", "b"): "m2", (2, "a", "b"): "b", (2, "b", "b"): "b", (3, "a", "b"): None, (3, "x", "b"): "b", (3, "x", "y"): None, (3, "b", "y"): "b"}
 
 
+def plain_merge(edges, back, a, b):
+    """The rules by two plain searches in one graph."""
+    out = {}
+    for x, y in sorted(set(edges) - set(back)):
+        out.setdefault(x, []).append(y)
+
+    def search(start):
+        order, queue = [start], [start]
+        while queue:
+            for y in out.get(queue.pop(0), []):
+                if y not in order:
+                    order.append(y)
+                    queue.append(y)
+        return order
+
+    behind = set(search(a))
+    return a if a == b else next((n for n in search(b) if n in behind), None)
+
+
+def test_merge_points_of_random_graphs(spark):
+    draw = random.Random(8)
+    edges, entries, pairs = [], [], []
+    for g in range(80):
+        size = draw.randint(2, 12)
+        names = [f"n{i:02d}" for i in range(size)]
+        draw.shuffle(names)  # so names don't follow the order of the graph
+        entries.append((g, names[0]))
+        for i in range(1, size):
+            edges.append((g, names[max(0, i - draw.randint(1, 4))], names[i]))
+        for _ in range(draw.randint(0, 12)):
+            x, y = sorted(draw.sample(range(size), 2), reverse=draw.random() < 0.15)  # loops too, some of them with two ways in
+            edges.append((g, names[x], names[y]))
+        pairs += [(g, draw.choice(names), draw.choice(names)) for _ in range(8)]
+    e, start = frames(spark, edges, entries)
+    wanted = spark.createDataFrame(pairs, "g long, a string, b string")
+    dom = graph.dominators(e, start)
+    back = graph.back_edges(e, dom)
+    left = {}
+    for g, x, y in {tuple(r) for r in back.collect()}:
+        left.setdefault(g, []).append((x, y))
+    expected = {(g, a, b, plain_merge([(x, y) for h, x, y in edges if h == g], left.get(g, []), a, b)) for g, a, b in pairs}
+    for tree, small in ((None, 0), (dom, 0), (dom, 8)):  # searched without and with places, the last both ways
+        found = {tuple(r) for r in graph.merge_point(e, wanted, None, back, tree, small).collect()}
+        assert found == expected, sorted(map(repr, found ^ expected))[:6]
+    links = e.join(back, ["g", "src", "dst"], "left_anti").where("src <> dst").withColumnRenamed("src", "node").distinct()
+    places = {(r.g, r.node): r.place for r in merging.topological_places(links, dom, 0).collect()}
+    ordered = {g for g, _ in places}
+    assert len(places) == len(set((g, p) for (g, _), p in places.items())) and 40 < len(ordered) < 80
+    assert all(places[r.g, r.node] < places[r.g, r.dst] for r in links.collect() if r.g in ordered and (r.g, r.node) in places)
+
+
+def test_merge_points_of_one_large_graph(spark, monkeypatch):
+    size = 2_000  # decisions in a row, each with a shorter and a longer side
+    h = lambda i, side: f"{i:05d}{side}"
+    edges = [(1, h(i, x), y) for i in range(size) for x, y in (("a", h(i, "b")), ("a", h(i, "c")), ("b", h(i + 1, "a")), ("c", h(i, "d")), ("d", h(i + 1, "a")))]
+    e, start = frames(spark, edges, [(1, h(0, "a"))])
+    dom = graph.dominators(e, start)
+    pairs = spark.createDataFrame([(1, *sorted([h(i, "b"), h(i, "c")], reverse=bool(i % 2))) for i in range(size)], "g long, a string, b string")
+    most = []
+    judged = merging._judged
+    monkeypatch.setattr(merging, "_judged", lambda state: (most.append(state.count()), judged(state))[1])
+    found = {(r.a[:5], r.merge) for r in graph.merge_point(e, pairs, None, None, dom).collect()}
+    assert found == {(f"{i:05d}", h(i + 1, "a")) for i in range(size)}
+    assert len(most) <= 5 and max(most) <= 8 * size, most
+
+
 def test_chains_of_decisions_and_member_paths(spark):
     rows = [(1, "a", "t", "b", True), (1, "b", "t", "c", True), (1, "c", "e", "t", True), (2, "a", "t", "b", True), (2, "b", "t", "x", True), (3, "a", "t", "b", True), (3, "b", "e", "t", False), (4, "a", "t", "b", True), (4, "b", "t", "a", True)]
     decisions = spark.createDataFrame(rows, "g long, node string, on_true string, on_false string, comparison boolean")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weirflow.operators.dataflow import first_access, liveness, span_access  # noqa: F401
 from weirflow.operators.dominance import (  # noqa: F401 - the graph operators that callers know by this module
-    back_edges, dominance_frontier, dominance_pairs, dominators, immediate_dominators, nearest_above, shortest_paths, with_dominance,
+    back_edges, dominance_frontier, dominance_pairs, dominators, immediate_dominators, nearest_above, with_dominance,
 )
+from weirflow.operators.merging import merge_point  # noqa: F401
 from weirflow.plans.fixpoint import discard, grow, jump, settled
 
 
@@ -139,33 +140,6 @@ def endless_loops(edges: DataFrame, dom: DataFrame, looped: DataFrame) -> DataFr
     return fused.unionByName(second.groupBy("g", F.col("dst").alias("node")).agg(F.min("src").alias("latch")))
 
 
-def merge_point(edges: DataFrame, branches: DataFrame, returns: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
-    """branches(g, a, b) with merge, the node where the two ways meet again.
-
-    a if both are one; null if both are returns(g, node), the other one if one is; b if a reaches it; else the first
-    node that a breadth-first search from b meets, successors in order of names, of those that a reaches; null if there
-    is none. Edges in back(g, src, dst), those of loops, are not followed.
-    """
-    pairs = settled(branches.select("g", "a", "b").distinct())
-    links = edges.select("g", "src", "dst").distinct()
-    if back is not None:
-        links = links.join(back.select("g", "src", "dst").distinct(), ["g", "src", "dst"], "left_anti")
-    starts = pairs.select("g", F.col("a").alias("s")).union(pairs.select("g", F.col("b").alias("s"))).distinct().withColumn("node", F.col("s"))
-    paths = settled(shortest_paths(links.withColumnRenamed("src", "node"), starts, ["g", "s"]))
-    left = paths.select("g", F.col("s").alias("a"), "node")
-    right = paths.select("g", F.col("s").alias("b"), "node", F.struct(F.size("path").alias("n"), "path").alias("place"))
-    both = pairs.join(left, ["g", "a"]).join(right, ["g", "b", "node"])  # b itself has the first place of all
-    met = both.groupBy("g", "a", "b").agg(F.min_by("node", "place").alias("_met"))
-    rows = pairs.join(met, ["g", "a", "b"], "left")
-    ends = [F.lit(False), F.lit(False)]
-    if returns is not None:
-        for i, side in enumerate("ab"):
-            rows = rows.join(returns.select("g", F.col("node").alias(side)).distinct().withColumn(f"_{side}", F.lit(True)), ["g", side], "left")
-            ends[i] = F.coalesce(f"_{side}", F.lit(False))
-    merge = F.when(F.col("a") == F.col("b"), F.col("a")).when(ends[0] & ends[1], None).when(ends[0], F.col("b")).when(ends[1], F.col("a")).otherwise(F.col("_met"))
-    return rows.select("g", "a", "b", merge.alias("merge"))
-
-
 def _ways(links: DataFrame) -> DataFrame:
     """(g, node, way): the nodes from each node of links(g, node, next) to its end, both included, by doubling; there is no circle."""
     state = settled(links.select("g", "node", F.col("next").alias("end"), F.array("node").alias("way")))

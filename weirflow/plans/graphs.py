@@ -245,7 +245,7 @@ def _returns(s, d):
 def g15(s, d):
     edges, dom = _edges_dom(s, d)
     pairs = edges.groupBy("g", "src").agg(F.min("dst").alias("a"), F.max("dst").alias("b"))
-    return graph.merge_point(edges, pairs, _returns(s, d), graph.back_edges(edges, dom))
+    return graph.merge_point(edges, pairs, _returns(s, d), graph.back_edges(edges, dom), dom)
 
 
 def _decisions(s, d):
@@ -263,7 +263,7 @@ def g20(s, d):
     edges, dom = _edges_dom(s, d)
     decisions = _decisions(s, d)
     pairs = decisions.select("g", "node", F.col("on_true").alias("a"), F.col("on_false").alias("b"))
-    merges = pairs.join(graph.merge_point(edges, pairs, _returns(s, d), graph.back_edges(edges, dom)), ["g", "a", "b"])
+    merges = pairs.join(graph.merge_point(edges, pairs, _returns(s, d), graph.back_edges(edges, dom), dom), ["g", "a", "b"])
     return graph.dispatch_depth(decisions, merges.select("g", "node", "merge"), deep=1)
 
 
