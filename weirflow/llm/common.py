@@ -75,15 +75,15 @@ class Memory:
         return self.known
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, of so many rows and so much text at most, so that what a task holds at once depends on neither.
+def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512, most_bytes: int = BATCH_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, of so many rows and so much of the column at most, so that what a task holds at once depends on neither.
 
     What Arrow has freed goes back to the system batch by batch, as a worker lives on behind its task.
     """
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)
-        if "text" in batch.schema.names:
-            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if column in batch.schema.names:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         upto = np.cumsum(sizes)
         start = 0
         while start < batch.num_rows:
