@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from weirflow.operators import joins, segment
+from weirflow.functions import decode
+from weirflow.operators import dominance, graph, infer, joins, ordering, rewrite, segment
 from weirflow.plans.scan import highest, latest, previous, running, total
 
 
@@ -81,3 +82,33 @@ def test_scopes_of_any_length(spark):
     expected = sorted((g, pc, reg, name) for g, pc, reg in records for h, r, name, start, end in scopes if (g, reg) == (h, r) and start <= pc < end)
     out = joins.in_scope(spark.createDataFrame(records, "g long, pc long, reg long"), spark.createDataFrame(scopes, "g long, reg long, name string, start_pc long, end_pc long"))
     assert sorted((r.g, r.pc, r.reg, r.name) for r in out.collect()) == expected
+
+
+def test_hot_words_links_names_and_children_over_stretches(spark):
+    draw = random.Random(8)
+    rows = [(g, pc, draw.randrange(8), draw.choice("xyz")) for g, n in ((1, 600), (2, 25), (3, 1)) for pc in range(n)]
+    df = spark.createDataFrame(rows, "g long, pc long, word long, name string").repartition(3)
+    words = df.select("g", F.col("pc").alias("pos"), "word", "name")
+    blocks = df.select("g", F.col("pc").alias("b"), F.col("pc").alias("head_pc"))
+    jumps = df.where("word < 4").select("g", F.col("pc").alias("b"), (F.col("pc") + F.col("word")).alias("target_pc"), (F.col("word") < 2).alias("conditional"))
+    star = spark.createDataFrame([(1, f"n{draw.randrange(40)}", f"n{draw.randrange(400)}", r) for r in ("true", "false", "jump", "next") for _ in range(200)], "g long, src string, dst string, role string")
+    renames = df.where("word = 3").select("g", "pc", "name", F.concat(F.lit("r"), F.col("pc").cast("string")).alias("renamed"))
+    # two trees of a graph: a root with 300 children, one of which has 150 of its own
+    tree = [(1, "a", None), (1, "b", None)] + [(1, f"c{i}", "a") for i in range(300)] + [(1, f"d{i}", "c7") for i in range(150)] + [(2, "a", None), (2, "b", "a")]
+    idoms = spark.createDataFrame(tree, "g long, node string, idom string")
+    ways = [
+        lambda hot: decode.split_aux(words, F.col("word") % 2 == 0, hot), lambda hot: graph.link_blocks(blocks, jumps, hot), lambda hot: graph.number_links(star, hot),
+        lambda hot: ordering.order_predecessors(star, star.where("src > dst"), hot), lambda hot: infer.apply_renames(df, renames, hot),
+        lambda hot: rewrite.collapse_update_chains(words, "name", F.col("word").cast("string"), hot), lambda hot: dominance.labelled(idoms, hot),
+        lambda hot: segment.collect_until_barrier(df.withColumn("reg", F.col("word")), F.col("word") == 1, F.col("word") > 4, F.col("word") == 0, 10, hot=hot),
+    ]
+    for way in ways:
+        found, expected = (sorted(map(repr, way(hot).collect())) for hot in (20, 10_000))
+        assert found == expected and found
+    labels = {(r.g, r.node): r for r in dominance.labelled(idoms, 20).collect()}
+    assert len(labels) == len(tree) and sorted(r.pre for (g, _), r in labels.items() if g == 1) == list(range(452))
+    for g, node, idom in tree:
+        own = labels[g, node]
+        assert own.depth == (0 if idom is None else labels[g, idom].depth + 1)
+        assert idom is None or labels[g, idom].pre < own.pre <= own.last <= labels[g, idom].last
+    assert labels[1, "c7"].last - labels[1, "c7"].pre == 150

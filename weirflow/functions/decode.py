@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from weirflow.plans.scan import HOT_ROWS, latest, previous, running
 
 # ---- fixed values: the multiplier of the permuted low byte; 227 undoes it modulo 256 ----
 PERMUTATION = 203
@@ -32,18 +34,20 @@ def decode_words(words: DataFrame, word: str = "word", decoder: Callable[[Column
     )
 
 
-def split_aux(words: DataFrame, two_word: Column) -> DataFrame:
+def split_aux(words: DataFrame, two_word: Column, hot: int = HOT_ROWS) -> DataFrame:
     """(g, pos, word, is_data, aux): which words are data of the one before, and each record's own data word.
 
     A word is data if the one before is a two-word record and no data itself. Within a run of two-word-looking words
-    data alternates, so a word is data if the run that ends before it has an odd length up to there.
+    data alternates, so a word is data if the run that ends before it has an odd length up to there. A sequence of more
+    than hot words is cut into stretches.
     """
-    order = Window.partitionBy("g").orderBy("pos")
+    rows = words.select("g", "pos", "word", two_word.alias("_two"))
     # The last word before here that does not look two-word: the run begins behind it.
-    stop = F.max(F.when(~F.col("_two"), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = words.select("g", "pos", "word", two_word.alias("_two")).withColumn("_stop", F.coalesce(stop, F.lit(-1)))
-    rows = rows.withColumn("is_data", F.pmod(F.col("pos") - F.col("_stop") - 1, F.lit(2)) == 1)
-    return rows.select("g", "pos", "word", "is_data", F.when(F.col("_two") & ~F.col("is_data"), F.lead("word").over(order)).alias("aux"))
+    rows = running(rows, ["g"], ["pos"], hot, _stop=latest(F.when(~F.col("_two"), F.col("pos")), own=False))
+    # the word behind is the one before when words are read from behind
+    rows = running(rows.withColumn("_back", -F.col("pos")), ["g"], ["_back"], hot, _behind=previous(F.col("word")))
+    rows = rows.withColumn("is_data", F.pmod(F.col("pos") - F.coalesce("_stop", F.lit(-1)) - 1, F.lit(2)) == 1)
+    return rows.select("g", "pos", "word", "is_data", F.when(F.col("_two") & ~F.col("is_data"), F.col("_behind.v")).alias("aux"))
 
 
 def unpack_path(word: Column) -> Column:

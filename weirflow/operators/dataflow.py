@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weirflow.operators.dominance import SMALL, straight_runs
 from weirflow.plans.fixpoint import grow, settled
+from weirflow.plans.scan import previous, running
 
 
 def span_access(records: DataFrame, mode: str, base: Column, count: Column) -> DataFrame:
@@ -88,7 +89,8 @@ def _liveness_along_runs(edges: DataFrame, accesses: DataFrame, nodes: DataFrame
     lengths = places.groupBy("g", "head").agg((F.max("place") + 1).alias("_length"))
     behind = into.join(drawn, ["g", "head"]).select("g", F.col("before").alias("head"), "reg").distinct().join(lengths, ["g", "head"])
     events = found.select("g", "head", "reg", "place", "read").unionByName(behind.select("g", "head", "reg", F.col("_length").alias("place"), F.lit(True).alias("read")))
-    before = F.coalesce(F.lag("place").over(Window.partitionBy("g", "head", "reg").orderBy("place")), F.lit(-1))
+    events = running(events, ["g", "head", "reg"], ["place"], _before=previous(F.col("place")))
+    before = F.coalesce("_before.v", F.lit(-1))
     # A read makes the register live from behind the access before it up to the read.
     spans = events.withColumn("_from", before + 1).where("read").join(lengths, ["g", "head"]).withColumn("_to", F.least("place", F.col("_length") - 1)).where("_from <= _to")
     each = spans.select("g", "head", "reg", F.explode(F.sequence("_from", "_to")).alias("place"))

@@ -13,7 +13,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weirflow.plans.fixpoint import discard, grow, jump, settled
-from weirflow.plans.scan import latest, running, total
+from weirflow.plans.scan import HOT_ROWS, latest, previous, running, total
 
 #: Graphs of so many nodes at most are solved within one row each: sets of their nodes are bits of a long, whose sign bit is left.
 SMALL = 63
@@ -226,20 +226,22 @@ def _by_paths(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return settled(heads.unionByName(within.select("g", "node", F.col("next").alias("idom"))))
 
 
-def labelled(idoms: DataFrame) -> DataFrame:
+def labelled(idoms: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """(g, node, idom, depth, pre, last) of trees (g, node, idom), by a walk around each tree and list ranking.
 
     The walk enters and leaves each node once; a node's place is what pointer jumping finds to lie behind it. Roots of one
-    graph follow one another. Log rounds, whatever the shape of the trees.
+    graph follow one another. Log rounds, whatever the shape of the trees; a node of more than hot children has them cut
+    into stretches.
     """
     idoms = settled(idoms.select("g", "node", "idom"))
     stop = lambda node, side: F.struct(node.alias("node"), F.lit(side).alias("side"))
-    ordered = idoms.withColumn("_next", F.lead("node").over(Window.partitionBy("g", "idom").orderBy("node")))
-    first = idoms.where("idom is not null").groupBy("g", F.col("idom").alias("node")).agg(F.min("node").alias("_child"))
-    at = ordered.join(first, ["g", "node"], "left")
+    ends = idoms.where("idom is not null").groupBy("g", F.col("idom").alias("node")).agg(F.min("node").alias("_child"), F.max("node").alias("_last"))
+    at = idoms.join(ends.select("g", "node", "_child"), ["g", "node"], "left")
     enter = at.select("g", stop(F.col("node"), 0).alias("node"), F.when(F.col("_child").isNotNull(), stop(F.col("_child"), 0)).otherwise(stop(F.col("node"), 1)).alias("next"))
-    leave = at.where("_next is not null or idom is not null").select(
-        "g", stop(F.col("node"), 1).alias("node"), F.when(F.col("_next").isNotNull(), stop(F.col("_next"), 0)).otherwise(stop(F.col("idom"), 1)).alias("next")
+    # a sibling, or a root, is entered from the one before it; the last child leads back to its parent
+    beside = running(idoms, ["g", "idom"], ["node"], hot, _before=previous(F.col("node"))).where("_before is not null")
+    leave = beside.select("g", stop(F.col("_before.v"), 1).alias("node"), stop(F.col("node"), 0).alias("next")).unionByName(
+        ends.select("g", stop(F.col("_last"), 1).alias("node"), stop(F.col("node"), 1).alias("next"))
     )
     up = idoms.where("idom is not null").select("g", stop(F.col("node"), 2).alias("node"), stop(F.col("idom"), 2).alias("next"))
     ranked = settled(jump(enter.unionByName(leave).unionByName(up)).select("g", "node.node", "node.side", "steps"))

@@ -4,34 +4,40 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weirflow.operators.dataflow import first_access, liveness, span_access  # noqa: F401
 from weirflow.operators.dominance import (  # noqa: F401 - the graph operators that callers know by this module
     back_edges, dominance_frontier, dominance_pairs, dominators, immediate_dominators, nearest_above, with_dominance,
 )
 from weirflow.operators.merging import merge_point  # noqa: F401
+from weirflow.operators.segment import fallthrough
 from weirflow.plans.fixpoint import discard, grow, jump, settled
+from weirflow.plans.scan import HOT_ROWS, running, total
 
 
-def link_blocks(blocks: DataFrame, jumps: DataFrame) -> DataFrame:
+def link_blocks(blocks: DataFrame, jumps: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
     """(g, src, dst, role): each block to the next one, unless it returns, and jumps(g, b, target_pc, conditional) to the block of their target.
 
-    A conditional jump's target is the true side and its next block the false side; a plain jump has no next.
+    A conditional jump's target is the true side and its next block the false side; a plain jump has no next. A graph of
+    more than hot blocks is cut into stretches.
     """
     j = jumps.select("g", "b", "target_pc", "conditional")
     heads = blocks.select("g", F.col("head_pc").alias("target_pc"), F.col("b").alias("dst"))
     taken = j.join(heads, ["g", "target_pc"]).select("g", F.col("b").alias("src"), "dst", F.when(F.col("conditional"), "true").otherwise("jump").alias("role"))
-    following = blocks.select("g", "b", F.lead("b").over(Window.partitionBy("g").orderBy("b")).alias("dst")).where("dst is not null")
+    following = fallthrough(blocks, hot).withColumnRenamed("next_b", "dst").where("dst is not null")
     next_ = following.join(j, ["g", "b"], "left").where("conditional is null or conditional")
     return taken.unionByName(next_.select("g", F.col("b").alias("src"), "dst", F.when(F.col("conditional"), "false").otherwise("next").alias("role")))
 
 
-def number_links(links: DataFrame) -> DataFrame:
-    """links(g, src, dst, role) with ord, from 0 per src: a jump's side first, then the next block's; parallel edges each have their own."""
-    side = F.when(F.col("role").isin("true", "jump"), 0).otherwise(1)
-    order = Window.partitionBy("g", "src").orderBy(side, "dst")
-    return links.select("g", "src", "dst", "role", (F.row_number().over(order) - 1).cast("long").alias("ord"))
+def number_links(links: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """links(g, src, dst, role) with ord, from 0 per src: a jump's side first, then the next block's; parallel edges each have their own.
+
+    A node of more than hot links is cut into stretches.
+    """
+    sided = links.select("g", "src", "dst", "role", F.when(F.col("role").isin("true", "jump"), 0).otherwise(1).alias("_side"))
+    rows = running(sided, ["g", "src"], ["_side", "dst", "role"], hot, _place=total(F.lit(1).cast("long")))
+    return rows.select("g", "src", "dst", "role", (F.col("_place") - 1).alias("ord"))
 
 
 def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
@@ -296,8 +302,8 @@ def check_graph(nodes: DataFrame, edges: DataFrame, entries: DataFrame, returns:
         told(entries.groupBy("g").agg(F.count("*").alias("_n"), F.max("node").alias("node")).where("_n > 1"), "several_entries"),
     ]
     if "id" in nodes.columns:
-        place = F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1
-        found.append(told(nodes.withColumn("_place", place).where("id is null or id <> _place"), "id_not_place"))
+        placed = running(nodes, ["g"], ["id"], _place=total(F.lit(1).cast("long")))
+        found.append(told(placed.where("id is null or id <> _place - 1"), "id_not_place"))
     if "head_pc" in nodes.columns:
         found.append(told(nodes.where("head_pc is null or tail_pc is null or head_pc > tail_pc"), "head_behind_tail"))
     if "on_true" in nodes.columns:

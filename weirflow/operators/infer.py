@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weirflow.operators.joins import as_of
 from weirflow.plans.fixpoint import grow, settled
+from weirflow.plans.scan import HOT_ROWS, latest, running
 
 # ---- fixed values: what an operator's result is ----
 RESULT_OF = {"==": "boolean", "<": "boolean", "not": "boolean", "+": "number", "-": "number", "*": "number", "/": "number", "#": "number", "..": "string", "{}": "table", "function": "function"}
@@ -122,11 +123,14 @@ def resolve_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     return out.select("id", "name", F.when(F.col("_later") == 0, F.col("name")).otherwise(F.concat(F.lit("v"), F.col("_n").cast("string"), F.lit("_"), "name")).alias("resolved"))
 
 
-def apply_renames(refs: DataFrame, renames: DataFrame) -> DataFrame:
-    """refs(g, pc, name) with shown: the new name of the last of renames(g, pc, name, renamed) before, else the name."""
+def apply_renames(refs: DataFrame, renames: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """refs(g, pc, name) with shown: the new name of the last of renames(g, pc, name, renamed) before, else the name.
+
+    A name of more than hot rows in a graph is cut into stretches.
+    """
     events = refs.select("g", "pc", "name", F.lit(None).cast("string").alias("renamed"), F.lit(True).alias("_ref")).unionByName(renames.select("g", "pc", "name", "renamed", F.lit(False).alias("_ref")))
-    order = Window.partitionBy("g", "name").orderBy("pc", F.desc("_ref")).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("shown", F.coalesce(F.last("renamed", ignorenulls=True).over(order), "name")).where("_ref").select("g", "pc", "name", "shown")
+    seen = running(events.withColumn("_turn", ~F.col("_ref")), ["g", "name"], ["pc", "_turn"], hot, _last=latest(F.col("renamed")))
+    return seen.where("_ref").select("g", "pc", "name", F.coalesce("_last", "name").alias("shown"))
 
 
 def body_use_facts(uses: DataFrame, rules: DataFrame) -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weirflow.plans.fixpoint import settled
+from weirflow.plans.scan import HOT_ROWS, running, total
 
 
-def order_predecessors(edges: DataFrame, latches: DataFrame) -> DataFrame:
-    """(g, dst, src, ord): predecessors by name, a loop's latch(g, dst, src) last."""
+def order_predecessors(edges: DataFrame, latches: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """(g, dst, src, ord): predecessors by name, a loop's latch(g, dst, src) last. A node of more than hot ways in is cut into stretches."""
     marked = edges.select("g", "src", "dst").distinct().join(latches.select("g", "dst", "src").distinct().withColumn("_latch", F.lit(True)), ["g", "dst", "src"], "left")
-    order = Window.partitionBy("g", "dst").orderBy(F.coalesce("_latch", F.lit(False)), "src")
-    return marked.select("g", "dst", "src", (F.row_number().over(order) - 1).cast("long").alias("ord"))
+    rows = running(marked.withColumn("_latch", F.coalesce("_latch", F.lit(False))), ["g", "dst"], ["_latch", "src"], hot, _place=total(F.lit(1).cast("long")))
+    return rows.select("g", "dst", "src", (F.col("_place") - 1).alias("ord"))
 
 
 def first_rule(rows: DataFrame, keys: list[str], rules: DataFrame, method: str) -> DataFrame:

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weirflow.operators.infer import scope_ancestors
 from weirflow.plans.fixpoint import jump, settled
+from weirflow.plans.scan import HOT_ROWS, previous, running, total
 
 
-def collapse_update_chains(rows: DataFrame, key: str, term: Column) -> DataFrame:
-    """(g, pos, key, n, terms): adjacent rows of one key as one row with their terms in order."""
-    order = Window.partitionBy("g").orderBy("pos")
-    starts = rows.select("g", "pos", key, term.alias("_term"), (~F.col(key).eqNullSafe(F.lag(key).over(order)) | (F.row_number().over(order) == 1)).cast("int").alias("_s"))
-    runs = starts.withColumn("_run", F.sum("_s").over(order))
+def collapse_update_chains(rows: DataFrame, key: str, term: Column, hot: int = HOT_ROWS) -> DataFrame:
+    """(g, pos, key, n, terms): adjacent rows of one key as one row with their terms in order.
+
+    A list of more than hot rows is cut into stretches; the terms of one row are one value.
+    """
+    named = running(rows.select("g", "pos", key, term.alias("_term")), ["g"], ["pos"], hot, _before=previous(F.col(key)))
+    starts = F.col("_before").isNull() | ~F.col(key).eqNullSafe(F.col("_before.v"))
+    runs = running(named.withColumn("_s", starts.cast("long")), ["g"], ["pos"], hot, _run=total(F.col("_s")))
     terms = F.transform(F.array_sort(F.collect_list(F.struct("pos", "_term"))), lambda e: e["_term"])
     return runs.groupBy("g", "_run").agg(F.min("pos").alias("pos"), F.first(key).alias(key), F.count("*").alias("n"), F.array_join(terms, ",").alias("terms")).drop("_run")
 

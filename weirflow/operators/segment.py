@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weirflow.plans.scan import HOT_ROWS, highest, lagged, latest, previous, running, total
 
@@ -101,12 +101,13 @@ def collect_until_barrier(
     anchors only.
     """
     place = F.floor(F.col("pc") / limit)
-    ahead = Window.partitionBy("g").orderBy("pc").rangeBetween(1, limit)
-    rows = records.select("g", "pc", "reg", anchor.alias("_a"), F.min(F.when(barrier, F.col("pc"))).over(ahead).alias("_stop"), (redefines if redefines is not None else F.lit(False)).alias("_re"))
+    rows = records.select("g", "pc", (-F.col("pc")).alias("_back"), "reg", anchor.alias("_a"), barrier.alias("_bars"), (redefines if redefines is not None else F.lit(False)).alias("_re"))
+    # the next barrier, or redefinition, is the last one seen when the records are read from behind
+    rows = running(rows, ["g"], ["_back"], hot, _stop=latest(F.when(F.col("_bars"), F.col("pc")), own=False))
     if redefines is None:
         rows = rows.withColumn("_again", F.lit(None).cast("long"))
-    else:  # the next redefinition is the last one seen when the records are read from behind
-        rows = running(rows.withColumn("_back", -F.col("pc")), ["g", "reg"], ["_back"], hot, _again=latest(F.when(F.col("_re"), F.col("pc")), own=False))
+    else:
+        rows = running(rows, ["g", "reg"], ["_back"], hot, _again=latest(F.when(F.col("_re"), F.col("pc")), own=False))
     anchors = rows.where("_a").select("g", F.col("pc").alias("anchor_pc"), F.least("_stop", "_again").alias("_stop"))
     stretches = F.floor(F.col("anchor_pc") / limit)
     looking = anchors.withColumn("_stretch", F.explode(F.array(stretches, stretches + 1)))

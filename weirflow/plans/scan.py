@@ -77,9 +77,10 @@ def lagged(rows: DataFrame, keys: list[str], order: list[str], n: int, values: d
 
 def _split(rows: DataFrame, keys: list[str], hot: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups of up to hot rows, and those of larger ones, None where there are none."""
-    large = settled(rows.groupBy(*keys).count().where(F.col("count") > hot).select(*keys))  # at most one group for every hot rows
+    large = rows.groupBy(*keys).count().where(F.col("count") > hot).select(*keys)  # at most one group for every hot rows
     if large.isEmpty():
         return rows, None
+    large = settled(large)
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     return tuple(rows.alias("l").join(large.alias("h"), same, how) for how in ("left_anti", "left_semi"))
 
