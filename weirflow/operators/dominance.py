@@ -12,7 +12,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weirflow.plans.fixpoint import discard, grow, jump, settled
+from weirflow.plans.fixpoint import discard, grow, jump, settled, shuffled, together
 from weirflow.plans.scan import HOT_ROWS, latest, previous, running, total
 
 #: Graphs of so many nodes at most are solved within one row each: sets of their nodes are bits of a long, whose sign bit is left.
@@ -33,7 +33,7 @@ def shortest_paths(links: DataFrame, starts: DataFrame, keys: list[str]) -> Data
         level = settled(ahead.groupBy(*keys, "node").agg(F.min("path").alias("path")).join(known.select(*keys, "node"), [*keys, "node"], "left_anti"))
         if level.isEmpty():
             return known
-        known = known.unionByName(level)
+        known = together(known, level)
         parts.append(level)
         if not done % 16:
             known = settled(known)
@@ -63,7 +63,7 @@ def dominators(edges: DataFrame, entries: DataFrame, small: int = SMALL) -> Data
     rest = sizes.where(F.col("_n") <= small).select("g")
     of = lambda df, graphs: df.join(graphs, "g", "left_semi")
     trees = settled(_small_trees(of(plain, rest), of(ends, rest), of(starts, rest)))
-    return trees.unionByName(settled(labelled(_large_idoms(settled(of(plain, large)), settled(of(starts, large))))))
+    return together(trees, settled(labelled(_large_idoms(settled(of(plain, large)), settled(of(starts, large))))))
 
 
 def _small_trees(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:

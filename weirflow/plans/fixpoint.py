@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import tempfile
 import uuid
@@ -10,10 +11,14 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-#: The folder behind each settled table, and those written in each open scratch() of a thread.
+#: Rows above which a settled table is joined by shuffles: its files are a small part of what its rows take in memory.
+SHUFFLED_ROWS = 100_000
+
+#: The folder behind each settled table and its rows, and the folders written in each open scratch() of a thread.
 _folder_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_rows_of: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
 _opened: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
@@ -37,12 +42,31 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table, joined by shuffles. Spark goes by the size of files, which packs rows up to a hundredfold, and would send them all through the driver.
+
+    A union or a join hides what its tables say of themselves, so it has to be said of the outcome.
+    """
+    return df.hint("merge")
+
+
 def settled(df: DataFrame, name: str = "round") -> DataFrame:
     """The table, written once into the shared folder: later rounds neither repeat its plan nor lose it with an executor."""
-    path = own_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _folder_of[out] = path
+    path, seen = own_folder(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out, rows = df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+    if rows > SHUFFLED_ROWS:
+        out = shuffled(out)
+    _folder_of[out], _rows_of[out] = path, rows
+    return out
+
+
+def together(*tables: DataFrame) -> DataFrame:
+    """The rows of settled tables as one; joined by shuffles if they are many."""
+    out, rows = functools.reduce(DataFrame.unionByName, tables), sum(_rows_of[t] for t in tables)
+    if rows > SHUFFLED_ROWS:
+        out = shuffled(out)
+    _rows_of[out] = rows
     return out
 
 
@@ -103,7 +127,7 @@ def grow(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], mos
         if newest.isEmpty():
             discard(newest)
             return known
-        known = known.unionByName(newest)
+        known = together(known, newest)
         parts.append(newest)
         if not done % gather:
             known = settled(known)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window, functions as F
 
 from weirflow.operators import graph, joins, segment
 from weirflow.plans import fixtures as fx
-from weirflow.plans.fixpoint import settled
+from weirflow.plans.fixpoint import settled, shuffled
 
 
 
@@ -75,7 +75,7 @@ def _call_spans(s, d):
 
 
 def _block_access(s, d):
-    rows = segment.with_blocks(fx.ir(s, d), _error()).select("g", "pc", F.col("b").alias("node"))
+    rows = shuffled(segment.with_blocks(fx.ir(s, d), _error()).select("g", "pc", F.col("b").alias("node")))
     return settled(rows.join(fx.du(s, d).unionByName(_call_spans(s, d).withColumn("mode", F.lit("R"))), ["g", "pc"]))
 
 
@@ -98,7 +98,7 @@ def g7(s, d):
 def g7_spans(s, d):
     """A signup is a call whose results are written to the k % 3 registers from its own on; a record reads before it writes."""
     results = graph.span_access(fx.ir(s, d).where("op = 'signup'"), "W", F.col("reg"), F.col("k") % 3)
-    rows = segment.with_blocks(fx.ir(s, d), _error()).select("g", "pc", F.col("b").alias("node"))
+    rows = shuffled(segment.with_blocks(fx.ir(s, d), _error()).select("g", "pc", F.col("b").alias("node")))
     plain = fx.du(s, d).where("mode = 'R'").unionByName(_call_spans(s, d).withColumn("mode", F.lit("R")))
     return graph.liveness(_block_edges(s, d), *graph.first_access(settled(rows.join(plain.unionByName(results), ["g", "pc"]))))
 
@@ -288,7 +288,7 @@ def g19(s, d):
 
 def g19_values(s, d):
     loads = fx.ir(s, d).groupBy("g", "node").agg(F.count("*").alias("n_records"), F.min_by("k", "pc").alias("k")).select("g", "node", "n_records", F.floor(F.col("k") / 50).alias("reg"), F.col("node").endswith(":1").alias("value"))
-    return graph.boolean_diamonds(_edges(s, d), loads)
+    return graph.boolean_diamonds(_edges(s, d), settled(loads))
 
 
 def g25(s, d):
