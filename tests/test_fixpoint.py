@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.operators import dominance, graph
+from weirflow.plans import fixpoint
 from weirflow.plans.fixpoint import SHUFFLED_ROWS, grow, settled, together
 
 
@@ -44,3 +45,22 @@ def test_trees_and_loops_of_many_graphs_are_not_broadcast(spark):
     assert "BroadcastExchange" not in plan(dominance.back_edges(edges, dom))
     assert "BroadcastExchange" not in plan(looped)
     assert looped.agg(F.count("*"), F.min("exit"), F.max("exit")).first()[:] == (SHUFFLED_ROWS // 2 + 1, "c", "c")
+
+
+def test_ended_chains_are_not_asked_again(spark, monkeypatch):
+    """One long chain beside many short ones, and circles with ways in: all tops, and few rows in later rounds."""
+    written = []
+    kept = fixpoint.settled
+    monkeypatch.setattr(fixpoint, "settled", lambda df, name="round": written.append(kept(df, name)) or written[-1])
+    short = [(g, 0, 1) for g in range(1, 2001)]
+    long = [(0, i, i + 1) for i in range(300)]
+    circles = [(-1, 1, 2), (-1, 2, 3), (-1, 3, 1), (-1, 9, 2), (-2, 1, 2), (-2, 2, 3), (-2, 3, 4), (-2, 4, 1), (-2, 8, 3), (-2, 7, 8)]
+    links = spark.createDataFrame(short + long + circles, "g long, node long, next long")
+    found = {(r.g, r.node): (r.top, r.steps) for r in fixpoint.jump(links).collect()}
+    assert found == (
+        {(g, n): (1, 1 - n) for g in range(1, 2001) for n in (0, 1)} | {(0, i): (300, 300 - i) for i in range(301)}
+        | {(g, n): (1, None) for g, nodes in ((-1, (1, 2, 3, 9)), (-2, (1, 2, 3, 4, 7, 8))) for n in nodes}
+    )
+    assert max(t.count() for t in written[3:]) < 400
+    largest = {(r.g, r.node): r.top for r in fixpoint.jump(links.where("g < 0"), F.greatest).collect()}
+    assert largest == {(g, n): top for g, nodes, top in ((-1, (1, 2, 3, 9), 3), (-2, (1, 2, 3, 4, 7, 8), 4)) for n in nodes}

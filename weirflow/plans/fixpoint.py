@@ -55,21 +55,22 @@ def settled(df: DataFrame, name: str = "round") -> DataFrame:
     path, seen = own_folder(df.sparkSession, name), Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out, rows = df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
-    if rows > SHUFFLED_ROWS:
-        out = shuffled(out)
-    _folder_of[out], _rows_of[out] = path, rows
+    out = _told(out, rows)
+    _folder_of[out] = path
     return out
 
 
-def together(*tables: DataFrame) -> DataFrame:
-    """The rows of settled tables as one; joined by shuffles if they are many."""
-    out, rows = functools.reduce(DataFrame.unionByName, tables), sum(_rows_of[t] for t in tables)
-    if rows > SHUFFLED_ROWS:
-        out = shuffled(out)
+def _told(df: DataFrame, rows: int) -> DataFrame:
+    out = shuffled(df) if rows > SHUFFLED_ROWS else df
     _rows_of[out] = rows
     return out
 
 
+def together(*tables: DataFrame) -> DataFrame:
+    """The rows of settled tables as one; joined by shuffles if they are many."""
+    return _told(functools.reduce(DataFrame.unionByName, tables), sum(_rows_of[t] for t in tables))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -145,23 +146,29 @@ def jump(links: DataFrame, cycle_end: Callable[..., Column] = F.least) -> DataFr
     """
     links = settled(links.select("g", "node", "next").where("node <> next"))
     nodes = links.select("g", "node").union(links.select("g", F.col("next").alias("node"))).distinct()
-    state = settled(
-        nodes.join(links, ["g", "node"], "left").select(
-            "g", "node", F.coalesce("next", "node").alias("top"), F.col("next").isNotNull().cast("long").alias("steps"), cycle_end("node", "next").alias("end")
-        )
-    )
-    most = state.groupBy("g").count().agg(F.max("count")).first()[0] or 1
+    first = F.coalesce("next", "node")
+    linked = F.col("next").isNotNull()
+    newest = settled(nodes.join(links, ["g", "node"], "left").select("g", "node", first.alias("top"), linked.cast("long").alias("steps"), cycle_end("node", "next").alias("end"), linked.alias("linked"), linked.alias("moved"), F.lit(False).alias("circle")))
+    columns, total = newest.columns, _rows_of[newest]
+    most = newest.groupBy("g").count().agg(F.max("count")).first()[0] or 1
+    # A top that is its own top stays, so what leads there has its end and isn't asked again.
+    resting = [newest.where("not moved")]
     for _ in range(most.bit_length() + 1):
-        ahead = state.select("g", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("end").alias("_end"))
-        following = settled(
-            state.join(ahead, ["g", "top"]).select("g", "node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), cycle_end("end", "_end").alias("end"))
+        state = _told(functools.reduce(DataFrame.unionByName, [*resting, newest.where("moved")]), total)
+        ahead = state.select("g", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"), F.col("end").alias("_end"), F.col("linked").alias("_linked"))
+        asking = newest.where("moved")
+        if _rows_of[newest] <= SHUFFLED_ROWS:
+            asking = F.broadcast(asking)  # the last few of many chains
+        following = asking.join(ahead, ["g", "top"]).select(
+            "g", "node", F.col("_top").alias("top"), (F.col("steps") + F.col("_steps")).alias("steps"), cycle_end("end", "_end").alias("end"), "linked", (F.col("top") != F.col("_top")).alias("moved"), F.col("_linked").alias("circle")
         )
-        same = following.join(state.select("g", "node", F.col("top").alias("_before")), ["g", "node"]).where("top <> _before").isEmpty()
-        discard(state)
-        state = following
-        if same:
+        newest = settled(following.select(*columns))
+        resting.append(newest.where("not moved"))
+        if newest.where("moved").isEmpty():
             break
-    # An end that leads on lies on a cycle; by now the end that each node there has seen is that of the whole cycle.
-    rounds = state.join(links.select("g", "node"), ["g", "node"], "left_semi").select("g", F.col("node").alias("top"), F.col("end").alias("_on_cycle"))
-    out = state.join(rounds, ["g", "top"], "left")
-    return out.select("g", "node", F.coalesce("_on_cycle", "top").alias("top"), F.when(F.col("_on_cycle").isNull(), F.col("steps")).alias("steps"))
+    # What still moves goes round a circle, and so does a top that leads on; by now the end that each node there has seen is that of the whole circle.
+    ended = functools.reduce(DataFrame.unionByName, resting)
+    around = ended.where("circle").unionByName(newest.where("moved"))
+    ends = around.select("g", F.col("node").alias("top"), F.col("end").alias("_on_cycle"))
+    there = around.join(ends, ["g", "top"]).select("g", "node", F.col("_on_cycle").alias("top"), F.lit(None).cast("long").alias("steps"))
+    return _told(ended.where("not circle").select("g", "node", "top", "steps").unionByName(there), total)
