@@ -47,6 +47,24 @@ def test_trees_and_loops_of_many_graphs_are_not_broadcast(spark):
     assert looped.agg(F.count("*"), F.min("exit"), F.max("exit")).first()[:] == (SHUFFLED_ROWS // 2 + 1, "c", "c")
 
 
+def test_exits_and_diamonds_of_many_graphs_are_not_broadcast(spark):
+    graphs = spark.range(SHUFFLED_ROWS + 1).withColumnRenamed("id", "g")
+    edges = settled(graphs.select("g", F.explode(F.expr("array(struct('a' as src, 'b' as dst), struct('b' as src, 'a' as dst), struct('b' as src, 'c' as dst), struct('a' as src, 'c' as dst))")).alias("e")).select("g", "e.*"))
+    dom = dominance.dominators(edges, graphs.select("g", F.lit("a").alias("node")))
+    looped = settled(graph.loops(edges, dom))
+    inner = graph.innermost_loop(dom, looped.select("g", "header"))
+    for found in (inner, graph.classify_exits(edges, inner, looped, dom), graph.endless_loops(edges, dom, looped), graph.boolean_diamonds(edges)):
+        assert "BroadcastExchange" not in plan(found)
+
+
+def test_contracted_runs_of_many_graphs_are_not_broadcast(spark):
+    graphs = spark.range(SHUFFLED_ROWS // 2 + 1).withColumnRenamed("id", "g")
+    edges = settled(graphs.select("g", F.explode(F.expr("array(struct('a' as src, 'b' as dst), struct('b' as src, 'c' as dst), struct('c' as src, 'd' as dst))")).alias("e")).select("g", "e.*"))
+    found = graph.contract_passthrough(edges, edges.where("src <> 'a'").select("g", F.col("src").alias("node")))
+    assert "BroadcastExchange" not in plan(found)
+    assert found.agg(F.count("*"), F.min("src"), F.max("dst")).first()[:] == (SHUFFLED_ROWS // 2 + 1, "a", "d")
+
+
 def test_ended_chains_are_not_asked_again(spark, monkeypatch):
     """One long chain beside many short ones, and circles with ways in: all tops, and few rows in later rounds."""
     written = []

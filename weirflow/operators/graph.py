@@ -227,9 +227,9 @@ def contract_passthrough(edges: DataFrame, removable: DataFrame) -> DataFrame:
     edge to itself.
     """
     plain = edges.select("g", "src", "dst").distinct()
-    links = plain.join(removable.select("g", F.col("node").alias("src")).distinct(), ["g", "src"], "left_semi").where("src <> dst").select("g", F.col("src").alias("node"), F.col("dst").alias("next"))
+    links = settled(plain.join(removable.select("g", F.col("node").alias("src")).distinct(), ["g", "src"], "left_semi").where("src <> dst").select("g", F.col("src").alias("node"), F.col("dst").alias("next")))
     tops = settled(jump(links, F.greatest))
-    turned = tops.join(links.select("g", "node"), ["g", "node"], "left_semi").select("g", "node", "top").where("node <> top")
+    turned = settled(tops.join(links.select("g", "node"), ["g", "node"], "left_semi").select("g", "node", "top").where("node <> top"))
     moved = plain.join(turned.select("g", F.col("node").alias("src")), ["g", "src"], "left_anti").join(turned.select("g", F.col("node").alias("dst"), "top"), ["g", "dst"], "left")
     return moved.select("g", "src", F.coalesce("top", "dst").alias("dst")).distinct()
 
