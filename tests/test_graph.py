@@ -187,6 +187,19 @@ def test_merge_points_of_random_graphs(spark):
     assert all(places[r.g, r.node] < places[r.g, r.dst] for r in links.collect() if r.g in ordered and (r.g, r.node) in places)
 
 
+def test_small_graphs_meet_without_rounds(spark, monkeypatch):
+    """Two runs of 25 nodes that meet at their end: as many tables are written as for runs of one node."""
+    written = []
+    monkeypatch.setattr(merging, "settled", lambda df, name="round": written.append(name) or fixpoint.settled(df, name))
+    monkeypatch.setattr("weirflow.operators.dominance.settled", lambda df, name="round": written.append(name) or fixpoint.settled(df, name))
+    ways = [[f"{side}{i:02}" for i in range(25)] + ["z"] for side in "ab"]
+    edges = [(0, s, d) for way in ways for s, d in zip(way, way[1:])] + [(1, "a00", "z"), (1, "b00", "z"), (2, "a00", "b00"), (2, "b00", "x")]
+    e = spark.createDataFrame(edges, "g long, src string, dst string")
+    pairs = spark.createDataFrame([(g, "a00", "b00") for g in (0, 1, 2, 3)], "g long, a string, b string")
+    assert {r.g: r.merge for r in graph.merge_point(e, pairs).collect()} == {0: "z", 1: "z", 2: "b00", 3: None}
+    assert len(written) < 12
+
+
 def test_merge_points_of_one_large_graph(spark, monkeypatch):
     size = 2_000  # decisions in a row, each with a shorter and a longer side
     h = lambda i, side: f"{i:05d}{side}"

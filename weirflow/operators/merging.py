@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weirflow.operators.dominance import SMALL, shortest_paths
+from weirflow.operators.dominance import SMALL
 from weirflow.operators.joins import as_of
 from weirflow.plans.fixpoint import discard, settled
 from weirflow.plans.scan import running, total
@@ -23,9 +23,9 @@ def merge_point(
     node that a breadth-first search from b meets, successors in order of names, of those that a reaches; null if there
     is none. Edges in back(g, src, dst), those of loops, are not followed.
 
-    In graphs of up to small nodes all ways from a pair's ends are listed. In larger ones both ends search in turn. With
+    Graphs of up to small nodes are searched within one row each, by bits. In larger ones both ends search in turn. With
     dom, the tree whose loops back holds, they end where what they look for can't lie ahead, so a pair costs what lies
-    between its ends and where they meet, not all behind them. Rounds are as many as the longer way to the meeting
+    between its ends and where they meet, not all behind them. Their rounds are as many as the longer way to the meeting
     point has steps.
     """
     pairs = settled(branches.select(*_PAIR).distinct())
@@ -42,23 +42,37 @@ def merge_point(
     sizes = links.select("g", "node").union(links.select("g", "dst")).distinct().groupBy("g").count()
     large = settled(sizes.where(F.col("count") > small).select("g"))
     if large.isEmpty():
-        met = _met_by_paths(asked, links)
+        met = _met_in_rows(asked, links)
     else:
         of = lambda df, how: settled(df.join(large, "g", how))
         places = None if dom is None else topological_places(links, dom, small)
-        met = _met_by_paths(of(asked, "left_anti"), of(links, "left_anti")).unionByName(_met(of(asked, "left_semi"), of(links, "left_semi"), places))
+        met = _met_in_rows(of(asked, "left_anti"), of(links, "left_anti")).unionByName(_met(of(asked, "left_semi"), of(links, "left_semi"), places))
     merge = F.when(F.col("a") == F.col("b"), F.col("a")).when(ends[0] & ends[1], None).when(ends[0], F.col("b")).when(ends[1], F.col("a")).otherwise(F.col("_met"))
     return rows.join(met, _PAIR, "left").select(*_PAIR, merge.alias("merge"))
 
 
-def _met_by_paths(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """(g, a, b, _met) by the shortest path from each end to each node that it reaches: for small graphs."""
-    starts = pairs.select("g", F.col("a").alias("s")).union(pairs.select("g", F.col("b").alias("s"))).distinct().withColumn("node", F.col("s"))
-    paths = settled(shortest_paths(links, starts, ["g", "s"]))
-    left = paths.select("g", F.col("s").alias("a"), "node")
-    right = paths.select("g", F.col("s").alias("b"), "node", F.struct(F.size("path").alias("n"), "path").alias("place"))
-    both = pairs.join(left, ["g", "a"]).join(right, ["g", "b", "node"])  # b itself has the first place of all
-    return both.groupBy(*_PAIR).agg(F.min_by("node", "place").alias("_met"))
+def _met_in_rows(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(g, a, b, _met) for small graphs, whose nodes are bits: a graph is one row, and its pairs search in it without rounds.
+
+    A breadth-first search takes the nodes of its queue in turn and adds their successors that it doesn't hold yet, in
+    order of names.
+    """
+    rows = links.groupBy("g").agg(F.collect_list(F.struct("node", "dst")).alias("e"))
+    rows = rows.withColumn("names", F.array_sort(F.array_union(F.transform("e", lambda x: x["node"]), F.transform("e", lambda x: x["dst"]))))
+    place = lambda name: (F.array_position(F.col("names"), name) - 1).cast("int")
+    rows = rows.withColumn("ids", F.sequence(F.lit(0), F.size("names") - 1)).withColumn("ways", F.transform("e", lambda x: F.struct(place(x["node"]).alias("s"), place(x["dst"]).alias("d"))))
+    to = F.transform("ids", lambda v: F.array_sort(F.transform(F.filter("ways", lambda x: x["s"] == v), lambda x: x["d"])))
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v)
+    # Settled, as the optimizer would work out again, node by node, what is asked within a node's own step.
+    rows = settled(settled(rows.select("g", "names", "ids", "ways")).select("g", "names", "ids", to.alias("to")))
+    own = F.transform("ids", lambda v: F.aggregate(F.get("to", v), bit(v), lambda m, d: m.bitwiseOR(bit(d))))
+    over = lambda sets, k: F.transform(sets, lambda m: F.when(m.bitwiseAND(bit(k)) != 0, m.bitwiseOR(F.get(sets, k))).otherwise(m))
+    graphs = settled(rows.withColumn("reach", F.aggregate("ids", own, over)))
+    both = pairs.join(graphs, "g").withColumn("_a", place(F.col("a"))).withColumn("_b", place(F.col("b"))).where("_a >= 0 and _b >= 0")
+    both = both.withColumn("_from_a", F.get("reach", F.col("_a"))).where(F.col("_from_a").bitwiseAND(F.get("reach", F.col("_b"))) != 0)
+    queue = F.aggregate("ids", F.array("_b"), lambda q, i: F.when(i < F.size(q), F.concat(q, F.array_except(F.get("to", F.get(q, i)), q))).otherwise(q))
+    first = F.get(F.filter(queue, lambda v: F.col("_from_a").bitwiseAND(bit(v)) != 0), F.lit(0))
+    return both.select(*_PAIR, F.get("names", first).alias("_met"))
 
 
 def topological_places(links: DataFrame, tree: DataFrame, small: int = SMALL) -> DataFrame | None:
