@@ -12,7 +12,7 @@ from weirflow.operators.dominance import (  # noqa: F401 - the graph operators t
 )
 from weirflow.operators.merging import merge_point  # noqa: F401
 from weirflow.operators.segment import fallthrough
-from weirflow.plans.fixpoint import discard, grow, jump, settled
+from weirflow.plans.fixpoint import discard, grow, jump, settled, shuffled
 from weirflow.plans.scan import HOT_ROWS, running, total
 
 
@@ -91,7 +91,7 @@ def loops(edges: DataFrame, dom: DataFrame, records: DataFrame | None = None, fo
     rows = back.join(out("latch"), ["g", "latch"]).join(out("header"), ["g", "header"]).join(straight, ["g", "header", "latch"], "left")
     named = F.lit(None).cast("string")
     if records is not None and for_kinds:
-        rows = rows.join(records.select("g", F.col("node").alias("header"), F.col("op").alias("_op")), ["g", "header"], "left")
+        rows = rows.join(shuffled(records.select("g", F.col("node").alias("header"), F.col("op").alias("_op"))), ["g", "header"], "left")
         for op, kind in for_kinds.items():
             named = F.when(F.col("_op") == op, kind).otherwise(named)
     decides = (F.col("_latch_out") > 1) & (F.col("latch") != F.col("header"))
