@@ -33,3 +33,7 @@ def broadcasts(plans):
 
 def test_jump_roles(executed):
     assert not broadcasts(executed("g14_jump_roles"))
+
+
+def test_place_merges(executed):
+    assert not broadcasts(executed("g8_place_merges"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weirflow.operators.dominance import SMALL, straight_runs
-from weirflow.plans.fixpoint import grow, settled
+from weirflow.plans.fixpoint import grow, settled, shuffled
 from weirflow.plans.scan import previous, running
 
 
@@ -47,11 +47,11 @@ def _small_liveness(edges: DataFrame, accesses: DataFrame, nodes: DataFrame) ->
     """Liveness of graphs whose nodes are bits: as many steps as there are nodes reach all that can be reached."""
     order = F.array_position(F.col("names"), F.col("node")) - 1
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), order.cast("int"))
-    named = nodes.groupBy("g").agg(F.array_sort(F.collect_set("node")).alias("names"))
+    named = shuffled(nodes.groupBy("g").agg(F.array_sort(F.collect_set("node")).alias("names")))
     ways = edges.join(named, "g").select("g", F.col("src"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position("names", F.col("dst")) - 1).cast("int")).alias("_bit"))
     ahead = ways.groupBy("g", F.col("src").alias("node")).agg(F.bit_or("_bit").alias("_ahead"))
     graphs = named.join(ahead.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("node", "_ahead"))).alias("_to")), "g", "left")
-    graphs = graphs.select("g", "names", F.transform("names", lambda n: F.coalesce(F.try_element_at("_to", n), F.lit(0).cast("long"))).alias("to"))
+    graphs = shuffled(graphs).select("g", "names", F.transform("names", lambda n: F.coalesce(F.try_element_at("_to", n), F.lit(0).cast("long"))).alias("to"))
     marked = accesses.join(named, "g").select("g", "reg", bit.alias("_bit"), "read", "written")
     none = F.lit(0).cast("long")
     masks = marked.groupBy("g", "reg").agg(
