@@ -37,3 +37,8 @@ def test_jump_roles(executed):
 
 def test_place_merges(executed):
     assert not broadcasts(executed("g8_place_merges"))
+
+
+@pytest.mark.parametrize("name", ["g9_merge_operands", "g9_reaching_versions"])
+def test_versions(executed, name):
+    assert not broadcasts(executed(name))

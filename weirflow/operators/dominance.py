@@ -306,7 +306,7 @@ def nearest_above(probes: DataFrame, marks: DataFrame, tree: DataFrame, keys: li
     counted = running(functools.reduce(DataFrame.unionByName, events), group, list(order), _open=total(F.col("_step")))
     begun = F.when(F.col("_step") == 1, F.struct(F.col("_value").alias("v")))
     seen = running(counted, [*group, "_open"], list(order), _inner=latest(begun)).where(~F.col("_mark") & (F.col("_open") > 0)).select(*group, "node", F.col("_inner.v").alias(value), F.col("_open").alias("n_above"))
-    return probes.join(seen, [*group, "node"], "left")
+    return probes.join(shuffled(seen), [*group, "node"], "left")
 
 
 def dominance_frontier(edges: DataFrame, tree: DataFrame, min_preds: int = 2) -> DataFrame:

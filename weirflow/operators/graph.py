@@ -348,9 +348,9 @@ def chain_terms(links: DataFrame, terms: DataFrame, alone: bool = False) -> Data
 def _left_above(wanted: DataFrame, exits: DataFrame, merges: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For wanted(g, node, reg): the merges, as text, what nodes leave, and what the nearest strict dominator leaves, as _above."""
     merged = merges.select("g", "node", "reg", F.concat(F.lit("p"), F.col("node").cast("string")).alias("_merge"))
-    left = exits.select("g", "node", "reg", F.col("version").alias("_exit")).join(merged, ["g", "node", "reg"], "full_outer").select("g", "node", "reg", F.coalesce("_exit", "_merge").alias("_leaves"))
+    left = shuffled(exits.select("g", "node", "reg", F.col("version").alias("_exit")).join(merged, ["g", "node", "reg"], "full_outer").select("g", "node", "reg", F.coalesce("_exit", "_merge").alias("_leaves")))
     above = nearest_above(wanted.select("g", "node", "reg").distinct(), left.withColumnRenamed("_leaves", "_above"), dom, ["reg"], "_above", strict=True)
-    return merged, left, above.select("g", "node", "reg", "_above")
+    return merged, left, shuffled(above.select("g", "node", "reg", "_above"))
 
 
 def reaching_versions(uses: DataFrame, exits: DataFrame, merges: DataFrame, dom: DataFrame, inside: DataFrame) -> DataFrame:
@@ -370,4 +370,4 @@ def merge_operands(edges: DataFrame, exits: DataFrame, merges: DataFrame, dom: D
     ends = into.select("g", F.col("pred").alias("node"), "reg").distinct()
     _, left, nearest = _left_above(ends, exits, merges, dom)
     known = ends.join(left, ["g", "node", "reg"], "left").join(nearest, ["g", "node", "reg"], "left").select("g", F.col("node").alias("pred"), "reg", F.coalesce("_leaves", "_above", F.lit("0")).alias("version"))
-    return into.join(known, ["g", "pred", "reg"]).select("g", "node", "reg", "pred", "version")
+    return into.join(shuffled(known), ["g", "pred", "reg"]).select("g", "node", "reg", "pred", "version")
