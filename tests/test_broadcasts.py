@@ -42,3 +42,8 @@ def test_place_merges(executed):
 @pytest.mark.parametrize("name", ["g9_merge_operands", "g9_reaching_versions"])
 def test_versions(executed, name):
     assert not broadcasts(executed(name))
+
+
+@pytest.mark.parametrize("name", ["g6_dominance_frontier"])
+def test_settled_tables(executed, name):
+    assert not broadcasts(executed(name))
