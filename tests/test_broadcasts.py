@@ -44,6 +44,6 @@ def test_versions(executed, name):
     assert not broadcasts(executed(name))
 
 
-@pytest.mark.parametrize("name", ["g6_dominance_frontier"])
+@pytest.mark.parametrize("name", ["g6_dominance_frontier", "r3_eliminate_dead"])
 def test_settled_tables(executed, name):
     assert not broadcasts(executed(name))
