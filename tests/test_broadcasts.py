@@ -44,6 +44,6 @@ def test_versions(executed, name):
     assert not broadcasts(executed(name))
 
 
-@pytest.mark.parametrize("name", ["g6_dominance_frontier", "r3_eliminate_dead", "g26_check_graph", "j10_dominates"])
+@pytest.mark.parametrize("name", ["g6_dominance_frontier", "r3_eliminate_dead", "g26_check_graph", "j10_dominates", "t7_propagate_types"])
 def test_settled_tables(executed, name):
     assert not broadcasts(executed(name))
