@@ -1,10 +1,13 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -108,3 +111,36 @@ def test_words_encode_as_whole_texts():
     for text, found in zip(texts, encoder.encode(texts)):
         assert (found.tolist() if found is not None else None) == (B.encode(text) if plain_groups(text) or not text else None), repr(text)
     assert all(isinstance(x, np.ndarray) for x in encoder.encode([""]))
+
+
+@pytest.fixture
+def chunks_of(monkeypatch):
+    """The rows that a task makes of texts."""
+    monkeypatch.setattr(alignment.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+
+    def run(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        return list(alignment._chunk_batches(packing.TOKENIZER, packing.RANKS, alignment.PIECES)(iter([batch])))
+
+    return run
+
+
+def test_chunks_by_parts(chunks_of, monkeypatch):
+    texts = [*drawn_texts(), None]
+    whole = chunks_of(texts)
+    assert len(whole) == 2 and whole[0].num_rows == len(texts)
+    monkeypatch.setattr(alignment, "PART_BYTES", 100)
+    assert chunks_of(texts) == whole
+
+
+def test_memory_of_a_chunk(chunks_of):
+    draw = random.Random(7)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 7))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=250)) for _ in range(1500)]
+    assert 1 << 20 < sum(map(len, texts)) < alignment.CHUNK_BYTES
+    chunks_of(texts[:1])
+    tracemalloc.start()
+    found = chunks_of(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2 and peak < 60 << 20, peak

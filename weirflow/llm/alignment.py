@@ -10,6 +10,7 @@ from __future__ import annotations
 import array
 import functools
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from weirflow.llm.common import Memory, small_batches, staged, texts_of
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Text that makes a chunk: its documents share one list of id pairs. A single longer text is a chunk of its own.
 CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 4_096
+#: Text of a chunk whose tokens are held at a time: they take up to a hundred times as much.
+PART_BYTES = 256 << 10
 #: Link rows that are made at a time.
 SLAB = 2_000_000
 _MARK = "▁"
@@ -181,25 +184,31 @@ _CHUNKS = (
 )
 
 
+def _part(aligner: Aligner, part: pa.RecordBatch) -> tuple[list[np.ndarray], list[str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of both sides and groups per text, the digests of the groups, and the links by text."""
+    found, count = aligner.align(texts_of(part, "text")), part.num_rows
+    sizes = [np.bincount(t, minlength=count) for t in (*found.texts, found.group_text)]
+    return sizes, [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in written_groups(found, count)], found.links()
+
+
 def _chunk_batches(tokenizer: str, ranks: str, model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(tokenizer, ranks, model)
         chunk = TaskContext.get().partitionId() << 32
         schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}[t]) for n, t in (x.split() for x in _CHUNKS.split(", "))])
         for batch in small_batches(batches, CHUNK_ROWS, CHUNK_BYTES):
-            texts = texts_of(batch, "text")
-            found, count = aligner.align(texts), len(texts)
-            text_of, pair, times = found.links()
+            count, parts = batch.num_rows, [_part(aligner, part) for part in small_batches([batch], CHUNK_ROWS, PART_BYTES)]
+            sizes, digests, links = zip(*parts)
+            before = np.cumsum([0, *map(len, digests)])
+            text_of, pair, times = map(np.concatenate, zip(*((text + n, *rest) for n, (text, *rest) in zip(before, links))))
             pairs, places, holders = np.unique(pair, return_inverse=True, return_counts=True)
             bounds = np.searchsorted(text_of, np.arange(count + 1))
-            written = written_groups(found, count)
-            sizes = [np.bincount(t, minlength=count) for t in (*found.texts, found.group_text)]
             columns = {
                 "chunk": pa.array(np.full(count, chunk)),
                 "doc_id": batch.column("doc_id"),
-                **{name: pa.array(size) for name, size in zip(("n_a", "n_b", "n_groups"), sizes)},
+                **{name: pa.array(size) for name, size in zip(("n_a", "n_b", "n_groups"), map(np.concatenate, zip(*sizes)))},
                 "n_links": pa.array(np.add.reduceat(np.r_[times, 0], bounds[:-1]) * (bounds[1:] > bounds[:-1])),
-                "groups_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in written]),
+                "groups_sha256": pa.array(itertools.chain(*digests), pa.string()),
                 "places": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(places, pa.int32())),
                 "times": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(times)),
             }
